@@ -37,6 +37,8 @@ from tallyspark.llm.scratch import stored
 from tallyspark.llm.text_arrays import Texts, pieces
 
 BITS = 64
+#: Shingles whose bits are spread out at once.
+BLOCK = 1 << 17
 
 
 def text_fingerprints(piece: Texts, shingle: int) -> np.ndarray:
@@ -60,12 +62,13 @@ def text_fingerprints(piece: Texts, shingle: int) -> np.ndarray:
             to = np.cumsum([len(w) + 1 for w in words]).tolist()
             hashes += [h(joined[x : y - 1], 42) for x, y in zip([0, *to[: b - a - k]], to[k - 1 :])]
         sizes[row] = b - a - k + 1
-    rows = np.flatnonzero(sizes)
-    if len(rows):
-        bits = np.unpackbits(np.array(hashes, dtype=">u8").view(np.uint8).reshape(-1, 8), axis=1)
-        at = np.concatenate([[0], np.cumsum(sizes[rows])[:-1]])
-        majority = 2 * np.add.reduceat(bits, at, axis=0, dtype=np.int32) > sizes[rows][:, None]
-        out[rows] = np.packbits(majority, axis=1).view(">u8").ravel().astype(np.uint64)
+    values, owner = np.array(hashes, dtype=">u8"), np.repeat(np.arange(len(piece)), sizes)
+    votes = np.zeros((len(piece), BITS), np.int64)
+    for at in range(0, len(values), BLOCK):
+        rows, begin = np.unique(owner[at : at + BLOCK], return_index=True)
+        bits = np.unpackbits(values[at : at + BLOCK].view(np.uint8).reshape(-1, 8), axis=1)
+        votes[rows] += np.add.reduceat(bits, begin, axis=0, dtype=np.int32)
+    out[:] = np.packbits(2 * votes > sizes[:, None], axis=1).view(">u8").ravel()
     return out
 
 

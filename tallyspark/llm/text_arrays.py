@@ -126,3 +126,28 @@ def per_row(values: np.ndarray, first: np.ndarray) -> np.ndarray:
 def row_of(first: np.ndarray) -> np.ndarray:
     """For each item the row whose range it lies in."""
     return np.repeat(np.arange(len(first) - 1), np.diff(first))
+
+
+def code_points(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of the first byte of each character in valid UTF-8, and the code points."""
+    at = np.flatnonzero((data & 0xC0) != 0x80)
+    lead = data[at].astype(np.int32)
+    padded = np.concatenate([data, np.zeros(3, np.uint8)])
+    cp = lead.copy()
+    for low, high, mask, more in ((0xC0, 0xE0, 0x1F, 1), (0xE0, 0xF0, 0x0F, 2), (0xF0, 0x100, 0x07, 3)):
+        wide = np.flatnonzero((lead >= low) & (lead < high))
+        if len(wide):
+            value = lead[wide] & mask
+            for k in range(1, more + 1):
+                value = (value << 6) | (padded[at[wide] + k] & 0x3F)
+            cp[wide] = value
+    return at, cp
+
+
+def spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Indices start, start + 1, ... of each run, one run after the other."""
+    total = int(lengths.sum())
+    if not total:
+        return np.zeros(0, np.int64)
+    before = np.cumsum(lengths) - lengths
+    return np.arange(total) + np.repeat(starts - before, lengths)
