@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.llm import boosted_rules, factorisation, host_reputation, language, repeats, simhash, token_counts, warc
+from tallyspark.llm import boosted_rules, decontamination, factorisation, host_reputation, language, merge_dropout, repeats, simhash, token_counts, warc
 from tallyspark.llm.scratch import scratch_path, stored
 
 
@@ -27,6 +27,11 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(manifest, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.contaminated_pairs(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "n_tokens", "n_covered", "coverage", F.size("tiles").alias("n_tiles"))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
     return counts.withColumn("over_limit", F.col("n_tokens") > 512)
@@ -60,6 +65,12 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of every whole text with merge-dropout: their number, a digest of their ids, and whether they decode to the text."""
+    coded = merge_dropout.encode(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"), rate=0.1, seed=1)
+    return coded.select("doc_id", F.size("ids").alias("n_pieces"), F.xxhash64("ids").alias("ids_hash"), "lossless")
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, max_bits=2)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -68,12 +79,14 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_warc": op1_warc,
+        "op2_decontamination": op2_decontamination,
         "op3_token_counts": op3_token_counts,
         "op4_quality_classifier": op4_quality_classifier,
         "op5_substring_dedup": op5_substring_dedup,
         "op6_language_id": op6_language_id,
         "op7_url_filters": op7_url_filters,
         "op8_quality_rules": op8_quality_rules,
+        "op9_sentencepiece": op9_sentencepiece,
         "op10_simhash": op10_simhash,
     }
 

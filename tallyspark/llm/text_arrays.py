@@ -61,8 +61,8 @@ class RunHash:
 class Texts:
     """One piece of a text column: ``data`` (UTF-8 bytes), ``offsets`` (rows + 1) and the rows themselves."""
 
-    def __init__(self, rows: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray):
-        self.rows, self.data, self.offsets = rows, data, offsets
+    def __init__(self, rows: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray, between: np.ndarray = IS_SPACE):
+        self.rows, self.data, self.offsets, self.between = rows, data, offsets, between
         self._words: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
 
     def __len__(self) -> int:
@@ -76,7 +76,7 @@ class Texts:
         if self._words is None:
             n = len(self.data)
             space = np.ones(n + 2, bool)
-            space[1:-1] = IS_SPACE[self.data]
+            space[1:-1] = self.between[self.data]
             before, after = space[:-2].copy(), space[2:].copy()
             edges = self.offsets
             before[edges[edges < n]] = True
