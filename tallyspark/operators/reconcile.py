@@ -53,42 +53,54 @@ def plain_number(n: Column) -> Column:
     return F.regexp_replace(F.format_string("%.4f", n), r"\.?0+$", "")
 
 
-def compare_cell(mode: str, dump: Column, report: Column, tolerance: float = 0.0) -> Column:
-    """struct(status: match, differ or blank; note)."""
-    a, b = norm_ws(dump), norm_ws(report)
+def prepared(mode: str, c: Column) -> Column:
+    """What a comparison needs of one side, made once by row before any join: struct(n: tidy text, and by mode t, f, x, w, j)."""
+    n = norm_ws(c)
+    if mode == "number":
+        return F.struct(n.alias("n"), mx_number(n).alias("x"))
+    if mode == "words":
+        return F.struct(n.alias("n"), mx_words(n).alias("w"), F.array_join(mx_words(n), " ").alias("j"))
+    return F.struct(n.alias("n"), mx_text(n).alias("t"), scan_fold(mx_text(n)).alias("f"))
+
+
+def compare_prepared(mode: str, a: Column, b: Column, tolerance: float = 0.0) -> Column:
+    """struct(status: match, differ or blank; note) of a dump side and a report side."""
     result = lambda status, note="": F.struct(F.lit(status).alias("status"), (note if isinstance(note, Column) else F.lit(note)).alias("note"))
-    start = F.when(a == "", result("blank", "dump value empty")).when(b == "", result("blank", "report value empty"))
+    start = F.when(a.n == "", result("blank", "dump value empty")).when(b.n == "", result("blank", "report value empty"))
     if mode == "number":
-        x, y = mx_number(a), mx_number(b)
-        return start.when(x.isNull() | y.isNull(), result("blank", "not numeric")).when(F.abs(x - y) <= tolerance, result("match")).otherwise(result("differ", F.concat(plain_number(x), F.lit(" vs "), plain_number(y))))
+        differ = F.concat(plain_number(a.x), F.lit(" vs "), plain_number(b.x))
+        return start.when(a.x.isNull() | b.x.isNull(), result("blank", "not numeric")).when(F.abs(a.x - b.x) <= tolerance, result("match")).otherwise(result("differ", differ))
     if mode == "words":
-        words, text = mx_words(a), F.array_join(mx_words(b), " ")
-        missing = F.filter(words, lambda w: ~F.contains(text, w))
-        return start.when(F.size(words) == 0, result("blank", "no words to compare")).when(F.size(missing) == 0, result("match")).otherwise(result("differ", F.concat(F.lit("missing in report: "), F.array_join(missing, ", "))))
-    x, y = mx_text(a), mx_text(b)
-    pair = lambda joint: F.concat(a, F.lit(joint), b)
+        missing = F.filter(a.w, lambda w: ~F.contains(b.j, w))
+        return start.when(F.size(a.w) == 0, result("blank", "no words to compare")).when(F.size(missing) == 0, result("match")).otherwise(result("differ", F.concat(F.lit("missing in report: "), F.array_join(missing, ", "))))
     return (
-        start.when((x == "") | (y == ""), result("blank", "nothing to compare"))
-        .when(x == y, result("match"))
-        .when(scan_fold(x) == scan_fold(y), result("match", F.concat(F.lit("scan-normalised ("), pair(" / "), F.lit(")"))))
-        .otherwise(result("differ", pair(" vs ")))
+        start.when((a.t == "") | (b.t == ""), result("blank", "nothing to compare"))
+        .when(a.t == b.t, result("match"))
+        .when(a.f == b.f, result("match", F.concat(F.lit("scan-normalised ("), a.n, F.lit(" / "), b.n, F.lit(")"))))
+        .otherwise(result("differ", F.concat(a.n, F.lit(" vs "), b.n)))
     )
 
 
+def compare_cell(mode: str, dump: Column, report: Column, tolerance: float = 0.0) -> Column:
+    """The same for two plain columns."""
+    return compare_prepared(mode, prepared(mode, dump), prepared(mode, report), tolerance)
+
+
 def candidates(reports: DataFrame, dump: DataFrame) -> DataFrame:
     """Every report with each dump row of its order; reports without one keep null; blank orders never meet."""
-    rows = dump.select("po_key", "ord", F.struct(*[F.col(c) for c in dump.columns if c not in ("po_key", "ord")]).alias("row"))
+    made = [c for c in dump.columns if c.startswith("_")]
+    rows = dump.select("po_key", "ord", F.struct(*[F.col(c) for c in dump.columns if c not in ("po_key", "ord", *made)]).alias("row"), *made)
     keyed = reports.withColumn("po_key", F.nullif(po_key(F.col("po")), F.lit("")))
     return keyed.join(rows, "po_key", "left")
 
 
 def checks(rules: tuple[tuple[str, str, str, bool], ...] = RULES) -> Column:
-    """One struct by rule, from the columns of ``candidates``."""
+    """One struct by rule, from a pair's prepared sides ``_d0, _r0, _d1, ...``."""
     out = []
-    for dump, report, mode, optional in rules:
-        c = compare_cell(mode, F.col(f"row.{dump}"), F.col(report))
-        out.append(F.struct(F.lit(dump).alias("field"), F.lit(mode).alias("mode"), blank_to_empty(F.col(f"row.{dump}")).alias("dump_value"), blank_to_empty(F.col(report)).alias("report_value"), c.status.alias("status"), c.note.alias("note"), F.lit(optional).alias("optional")))
-    return F.array(*out)
+    for i, (dump, report, mode, optional) in enumerate(rules):
+        c = compare_prepared(mode, F.col(f"_d{i}"), F.col(f"_r{i}"))
+        out.append(F.struct(F.lit(dump).alias("field"), F.lit(mode).alias("mode"), F.col(f"row.{dump}").alias("dump_value"), blank_to_empty(F.col(report)).alias("report_value"), c.alias("c"), F.lit(optional).alias("optional")))
+    return F.transform(F.array(*out), lambda x: F.struct(x.field.alias("field"), x.mode.alias("mode"), blank_to_empty(x.dump_value).alias("dump_value"), x.report_value.alias("report_value"), x.c.status.alias("status"), x.c.note.alias("note"), x.optional.alias("optional")))
 
 
 def accepted(checks_: Column, blank_blocks: bool = False) -> Column:
@@ -98,6 +110,8 @@ def accepted(checks_: Column, blank_blocks: bool = False) -> Column:
 
 def checked(reports: DataFrame, dump: DataFrame, rules=RULES, blank_blocks: bool = False) -> DataFrame:
     """Candidates with checks, counts and acceptance."""
+    for i, (field, report, mode, _) in enumerate(rules):
+        dump, reports = dump.withColumn(f"_d{i}", prepared(mode, F.col(field))), reports.withColumn(f"_r{i}", prepared(mode, F.col(report)))
     rows = candidates(reports, dump).withColumn("checks", F.when(F.col("row").isNotNull(), checks(rules)))
     count = lambda s: F.size(F.filter("checks", lambda c: c.status == s))
     return rows.withColumn("matched", count("match")).withColumn("differed", count("differ")).withColumn("blank", count("blank")).withColumn("accepted", accepted(F.col("checks"), blank_blocks))

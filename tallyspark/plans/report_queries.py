@@ -13,6 +13,7 @@ from tallyspark.operators import reconcile as R
 from tallyspark.operators import scoring as S
 from tallyspark.plans.adapters import Inputs, with_clause
 from tallyspark.plans.idea_queries import dates_as_text
+from tallyspark.sources.scratch import stored
 
 QUERIES, SQL = {}, {}
 _E = ("lines", "dump", "extractions")
@@ -211,18 +212,26 @@ _c = F.col
 _single = {
     "rfr": lambda v: v.extractions.join(_matches(v), "report_id").select("report_id", S.score_rfr(_c("reason_for_removal"), _c("row.reason_for_removal")).alias("level")),
     "basics": lambda v: v.extractions.select("report_id", S.score_basics(S.present_details(v.extractions.columns)).alias("level")),
-    "actions": lambda v: v.extractions.select("report_id", S.score_actions(_c("actions_taken"), _c("reason_for_removal")).alias("level")),
-    "findings": lambda v: v.extractions.select("report_id", S.score_findings(_c("findings"), _c("reason_for_removal")).alias("level")),
-    "outcome": lambda v: v.extractions.select("report_id", S.score_outcome(_c("fault_outcome"), _c("findings"), _c("reason_for_removal")).alias("level")),
-    "correctness": lambda v: v.extractions.select("report_id", S.score_correctness(_c("fault_outcome"), _c("findings"), _c("reason_for_removal")).level.alias("level")),
+    "actions": lambda v: S.prepare(v.extractions).select("report_id", S.score_actions().alias("level")),
+    "findings": lambda v: S.prepare(v.extractions).select("report_id", S.score_findings().alias("level")),
+    "outcome": lambda v: S.prepare(v.extractions).select("report_id", S.score_outcome().alias("level")),
+    "correctness": lambda v: S.prepare(v.extractions).select("report_id", S.score_correctness()[0].alias("level")),
 }
 for _k, _f in _single.items():
     _add(f"score_{_k}", _f, _PLAIN + f"SELECT report_id, {_SCORES[_k]} AS level FROM base", *_E)
 _SEEN = _REVERSE + ", seen AS (SELECT report_id, list(DISTINCT detail) FILTER (found AND detail <> '') AS s, TRUE AS known FROM plain GROUP BY report_id)"
 _FULL = _base(f"CASE WHEN seen.known THEN coalesce(seen.s, []) ELSE {_FOUND.replace('coalesce(', 'coalesce(e.')} END", _SEEN).replace("LEFT JOIN dump d ON d.ord = m.ord)\n", "LEFT JOIN dump d ON d.ord = m.ord LEFT JOIN seen ON seen.report_id = e.report_id)\n")
 _LEVELS = ", ".join(f"{x} AS {k}" for k, x in _SCORES.items())
-_add("score_report", lambda v: S.score_report(v.extractions, _matches(v), _reverse(v)), _FULL + f", levels AS (SELECT report_id, {_LEVELS}, {_REVIEW} AS needs_review FROM base) SELECT *, CAST(round((rfr * 5 + basics * 10 + actions * 20 + findings * 20 + outcome * 20 + correctness * 25) * 100.0 / 300, 1) AS DOUBLE) AS weighted_percent FROM levels", *_T)
-_add("scored_details_wide", lambda v: S.scored_details_wide(v.extractions, S.score_report(v.extractions, _matches(v), _reverse(v)), _reverse(v), ("po", "vendor", "tsn")).select("report_id", "po", "vendor", "tsn", "in_report_core_tsn", "in_report_rr_po_number", "score_actions", "review", "band"),
+def _scored(v: Inputs, columns: tuple[str, ...] = ()):
+    """Scores, or the wide rows; what is read twice is written once."""
+    matches = stored(_matches(v), "matches")
+    reverse = stored(S.reverse_check(v.extractions, v.report_text, matches, False), "reverse")
+    scores = S.score_report(v.extractions, matches, reverse)
+    return S.scored_details_wide(v.extractions, scores, reverse, columns) if columns else scores
+
+
+_add("score_report", _scored, _FULL + f", levels AS (SELECT report_id, {_LEVELS}, {_REVIEW} AS needs_review FROM base) SELECT *, CAST(round((rfr * 5 + basics * 10 + actions * 20 + findings * 20 + outcome * 20 + correctness * 25) * 100.0 / 300, 1) AS DOUBLE) AS weighted_percent FROM levels", *_T)
+_add("scored_details_wide", lambda v: _scored(v, ("po", "vendor", "tsn")).select("report_id", "po", "vendor", "tsn", "in_report_core_tsn", "in_report_rr_po_number", "score_actions", "review", "band"),
      _FULL + f""", levels AS (SELECT report_id, {_LEVELS}, {_REVIEW} AS needs_review FROM base), pct AS (SELECT *, round((rfr * 5 + basics * 10 + actions * 20 + findings * 20 + outcome * 20 + correctness * 25) * 100.0 / 300, 1) AS p FROM levels)
      SELECT e.report_id, e.po, e.vendor, e.tsn, coalesce(max(CASE WHEN field = 'core_tsn' THEN CASE WHEN found THEN 'FOUND' ELSE 'NOT FOUND' END END), '') AS in_report_core_tsn, coalesce(max(CASE WHEN field = 'rr_po_number' THEN CASE WHEN found THEN 'FOUND' ELSE 'NOT FOUND' END END), '') AS in_report_rr_po_number,
      any_value(CAST(actions AS VARCHAR) || ' - ' || ['Unacceptable', 'Insufficient', 'Needs Improving', 'Adequate'][actions + 1]) AS score_actions, any_value(CASE WHEN needs_review THEN 'CORRECTNESS' ELSE 'No' END) AS review, any_value(CASE WHEN p >= 80 THEN 'green' WHEN p >= 50 THEN 'amber' ELSE 'red' END) AS band
