@@ -34,6 +34,8 @@ DICTIONARY_MAGIC = 0x184D2A5D
 DICTIONARY_BYTES = 64 << 10
 #: Raw bytes of records that an archive's dictionary is built from, and raw bytes that end an archive.
 SAMPLE_BYTES, ARCHIVE_BYTES = 4 << 20, 64 << 20
+#: A dictionary learns from this much of each sampled record, so that no record outweighs the rest.
+HEAD_BYTES = 16 << 10
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 RECORD = "urn:tally:page:"
 
@@ -57,9 +59,10 @@ def record_bytes(page_id: int | None, url: str | None, payload: bytes, digest: s
 
 
 def train_dictionary(samples: list[bytes]) -> zstandard.ZstdCompressionDict | None:
-    """A dictionary from whole records, None where there are too few."""
+    """A dictionary from the heads of records, None where there are too few or they have nothing in common."""
     if len(samples) < 16:
         return None
+    samples = [s[:HEAD_BYTES] for s in samples]
     try:
         return zstandard.train_dictionary(min(DICTIONARY_BYTES, sum(map(len, samples)) // 8), samples, k=512, d=8)
     except zstandard.ZstdError:
@@ -174,7 +177,7 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
                 body = body.as_py()
                 if archive is None:
                     path = f"{root}/part-{context.partitionId():06d}-{k:04d}-{uuid.uuid4().hex[:12]}.warc.zst"
-                    archive = ArchiveWriter(files.open_output_stream(path))
+                    archive = ArchiveWriter(files.open_output_stream(path, compression=None))
                 archive.add(record_bytes(page_id, url, body, base32_sha1(body), refers_to, refers_to is not None, date))
                 if archive.raw >= ARCHIVE_BYTES:
                     yield finish()
@@ -200,7 +203,7 @@ def read_archives(manifest: DataFrame, folder: str, parts: int | None = None) ->
         for batch in batches:
             for path in batch.column("path").to_pylist():
                 found: list[tuple] = []
-                with files.open_input_stream(path) as source:
+                with files.open_input_stream(path, compression=None) as source:
                     for headers, block in read_archive(source):
                         http, _, payload = block.partition(b"\r\n\r\n")
                         digest, kind = headers["WARC-Payload-Digest"].removeprefix("sha1:"), headers["WARC-Type"]
