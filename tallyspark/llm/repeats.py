@@ -20,7 +20,6 @@ rows repeated under one id each count as a place; an empty table gives no rows;
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -132,7 +131,7 @@ def repeated_runs(docs: DataFrame, length: int = 35, gram: int = 8) -> DataFrame
     open_runs = met.join(several, "anchor").select("at.doc_id", "at.tkey", "at.run", (F.col("places") == 1).alias("alone"))
     by_doc = open_runs.groupBy("doc_id", "tkey").agg(F.collect_list(F.struct("run", "alone")).alias("r")).select("doc_id", "tkey", F.col("r.run").alias("runs"), F.col("r.alone").alias("singles"))
     # A row repeated under one id and text has its twin as another place, so one of them is enough here.
-    once = docs.join(by_doc, ["doc_id", "tkey"]).select("doc_id", "tkey", "text", "runs", "singles")
+    once = docs.join(by_doc, docs.doc_id.eqNullSafe(by_doc.doc_id) & (docs.tkey == by_doc.tkey)).select(docs.doc_id, docs.tkey, "text", "runs", "singles")
     windows = stored(_windows(once, length), "repeats-windows")
     twice = windows.groupBy("w1", "w2").agg((F.max(F.when(~F.col("alone"), 1).otherwise(0)) * 2 + F.count_if("alone")).alias("places")).filter("places > 1").select("w1", "w2")
     parts = windows.filter("alone").join(twice, ["w1", "w2"]).select("doc_id", "tkey", (F.shiftleft("start", SHIFT) + 1).alias("run"))
@@ -176,7 +175,3 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
     return joined.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept string" + "".join(f", `{c}` {kinds[c]}" for c in rest))
-
-
-def sha256_hex(text: bytes) -> str:
-    return hashlib.sha256(text).hexdigest()

@@ -134,7 +134,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """Rows of ``docs`` that stay when one document of each component does: that with the least id (a tie of ids keeps them all)."""
+    """Rows of ``docs`` that stay when one document of each component does: that with the least id.
+
+    Rows repeated under that id all stay, and so do rows without id.
+    """
     found = near_duplicates(docs, id_col, text_col, **options)
     gone = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs[id_col] == F.col("__gone"), "left_anti")
+    return docs.join(gone, docs[id_col] == gone["__gone"], "left_anti")
