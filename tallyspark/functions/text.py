@@ -5,6 +5,7 @@ Null and ``''`` mean the same blank throughout; functions return ``''`` for a bl
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -19,6 +20,11 @@ DATE_FORMATS = ("d.M.yyyy", "d/M/yyyy", "M/d/yyyy", "yyyy-M-d", "d-M-yyyy", "d M
 SHORT_DATE_FORMATS = (("d.M.yy", r"^\d{1,2}\.\d{1,2}\.\d{2}$"), ("d/M/yy", r"^\d{1,2}/\d{1,2}/\d{2}$"), ("M/d/yy", r"^\d{1,2}/\d{1,2}/\d{2}$"))
 
 
+def let(c: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a column that is worked out once, however often ``f`` uses it."""
+    return F.transform(F.array(c), f)[0]
+
+
 def blank_to_empty(c: Column) -> Column:
     return F.coalesce(c.cast("string"), F.lit(""))
 
@@ -58,21 +64,22 @@ def scan_fold(c: Column) -> Column:
 def numeric_only(c: Column) -> Column:
     """A counter reading without label and commas; blank if the text is anything else."""
     v = F.trim(F.regexp_replace(norm_ws(c), r"(?i)^(?:CSN|TSN|CSO|TSO|CSI|TSI|CSR|TSR)\b\s*[:\-]?\s*", ""))
-    return F.when(v.rlike(r"(?i)^ESN\b"), "").when(v.rlike(r"^\d{1,3}(?:,\d{3})*(?:\.\d+)?$|^\d+(?:\.\d+)?$"), F.replace(v, F.lit(","), F.lit(""))).otherwise("")
+    return let(v, lambda v: F.when(v.rlike(r"(?i)^ESN\b"), "").when(v.rlike(r"^\d{1,3}(?:,\d{3})*(?:\.\d+)?$|^\d+(?:\.\d+)?$"), F.replace(v, F.lit(","), F.lit(""))).otherwise(""))
 
 
 def post_digits(c: Column) -> Column:
     """Digits of a value, or the value if it has none."""
-    v = norm_ws(c)
-    digits = F.regexp_replace(v, "[^0-9]", "")
-    return F.when(digits != "", digits).otherwise(v)
+    return let(norm_ws(c), lambda v: F.coalesce(F.nullif(F.regexp_replace(v, "[^0-9]", ""), F.lit("")), v))
 
 
 def post_schedule(c: Column) -> Column:
     """Scheduled or Unscheduled; a tick mark, or an x or Y anywhere, counts as Scheduled; else unchanged."""
-    v = norm_ws(c)
-    word = F.lower(F.regexp_extract(v, r"(?i)\b(un[\s-]?scheduled|scheduled)\b", 1))
-    return F.when(word.startswith("un"), "Unscheduled").when(word != "", "Scheduled").when(v.rlike("[\\u2713\\u2714\\u2611xXY]|yes"), "Scheduled").otherwise(v)
+
+    def of(v: Column) -> Column:
+        word = F.lower(F.regexp_extract(v, r"(?i)\b(un[\s-]?scheduled|scheduled)\b", 1))
+        return F.when(word.startswith("un"), "Unscheduled").when(word != "", "Scheduled").when(v.rlike("[\\u2713\\u2714\\u2611xXY]|yes"), "Scheduled").otherwise(v)
+
+    return let(norm_ws(c), of)
 
 
 def po_from_subject(c: Column) -> Column:
@@ -82,33 +89,37 @@ def po_from_subject(c: Column) -> Column:
 
 def post_po10(c: Column) -> Column:
     """The same once commas and blanks are removed, then as written; blank if neither has one."""
-    v = norm_ws(c)
-    joined = F.regexp_extract(F.regexp_replace(v, "[, ]", ""), r"\b(4[0-9]{9})\b", 1)
-    return F.when(joined != "", joined).otherwise(F.regexp_extract(v, r"\b(4[0-9]{9})\b", 1))
+    pattern = r"\b(4[0-9]{9})\b"
+    return let(norm_ws(c), lambda v: F.coalesce(F.nullif(F.regexp_extract(F.regexp_replace(v, "[, ]", ""), pattern, 1), F.lit("")), F.regexp_extract(v, pattern, 1)))
 
 
 def post_date(c: Column) -> Column:
     """A written date as yyyy-MM-dd by the first format that fits; other text unchanged."""
-    v = norm_ws(c)
-    t = F.trim(F.substring(v, 1, 20))
-    tries = [F.try_to_timestamp(F.initcap(t), F.lit(f)) for f in DATE_FORMATS]
-    for f, shape in SHORT_DATE_FORMATS:
-        year = F.regexp_extract(t, "([0-9]{2})$", 1).try_cast("int")
-        stamp = F.when(t.rlike(shape), F.try_to_timestamp(t, F.lit(f)))
-        tries.append(F.when(year >= 69, F.add_months(stamp, -1200).cast("timestamp")).otherwise(stamp))
-    return F.coalesce(F.date_format(F.coalesce(*tries), "yyyy-MM-dd"), v)
+
+    def of(v: Column) -> Column:
+        t = F.trim(F.substring(v, 1, 20))
+        tries = [F.try_to_timestamp(F.initcap(t), F.lit(f)) for f in DATE_FORMATS]
+        for f, shape in SHORT_DATE_FORMATS:
+            year = F.regexp_extract(t, "([0-9]{2})$", 1).try_cast("int")
+            stamp = F.when(t.rlike(shape), F.try_to_timestamp(t, F.lit(f)))
+            tries.append(F.when(year >= 69, F.add_months(stamp, -1200).cast("timestamp")).otherwise(stamp))
+        return F.when(v.rlike("[0-9]"), F.coalesce(F.date_format(F.coalesce(*tries), "yyyy-MM-dd"), v)).otherwise(v)
+
+    return let(norm_ws(c), of)
 
 
 def trim_at_embedded_label(c: Column, labels: Column) -> Column:
     """A value cut at the first later word where one to three words are a known label (lower-case array)."""
-    words = F.split(norm_ws(c), " ")
 
-    def is_label(i: Column) -> Column:
-        probes = [F.regexp_replace(F.lower(F.array_join(F.slice(words, i + 1, F.lit(n)), " ")), "[ :#.,]+$", "") for n in (1, 2, 3)]
-        return reduce(lambda a, b: a | b, [(i + n <= F.size(words)) & F.array_contains(labels, p) for n, p in enumerate(probes, 1)])
+    def of(words: Column) -> Column:
+        def is_label(i: Column) -> Column:
+            probes = [F.regexp_replace(F.lower(F.array_join(F.slice(words, i + 1, F.lit(n)), " ")), "[ :#.,]+$", "") for n in (1, 2, 3)]
+            return reduce(lambda a, b: a | b, [(i + n <= F.size(words)) & F.array_contains(labels, p) for n, p in enumerate(probes, 1)])
+
+        at = F.array_min(F.filter(F.when(F.size(words) > 1, F.sequence(F.lit(1), F.size(words) - 1)).otherwise(F.array().cast("array<int>")), is_label))
+        return F.regexp_replace(F.array_join(F.slice(words, 1, F.coalesce(at, F.size(words))), " "), "^[ :,-]+|[ :,-]+$", "")
 
-    at = F.array_min(F.filter(F.when(F.size(words) > 1, F.sequence(F.lit(1), F.size(words) - 1)).otherwise(F.array().cast("array<int>")), is_label))
-    return F.regexp_replace(F.array_join(F.slice(words, 1, F.coalesce(at, F.size(words))), " "), "^[ :,-]+|[ :,-]+$", "")
+    return let(F.split(norm_ws(c), " "), of)
 
 
 def parse_stamp(c: Column) -> Column:

@@ -132,7 +132,8 @@ def _span() -> tuple[str, str]:
 _add("mail_date_window", lambda v: v.mails.filter(M.date_window(F.col("received"), *_span())).select("seq"), "SELECT seq FROM mails WHERE received >= TIMESTAMP '2024-01-05 00:00:00' AND received < TIMESTAMP '2024-01-21 00:00:00'", "mails")
 _add("mail_read_state", lambda v: v.mails.filter(M.read_state(F.col("unread"), True, False)).select("seq"), "SELECT seq FROM mails WHERE NOT unread", "mails")
 _add("sender_domain_filter", lambda v: M.domain_filter(v.mails, ("Vendor A", "Nobody")).select("seq"), _MAILS + f" SELECT seq FROM m WHERE {_VENDOR_A}", "mails")
-_add("vendor_domain_union", lambda v: v.table("region").limit(1).select(F.explode(F.array(*[F.lit(d) for d in M.domains_of(("Vendor A", "Vendor B", "Vendor C"))])).alias("domain")), "SELECT unnest(['vendor-a.example', 'vendor-b.example']) AS domain")
+_add("vendor_domain_union", lambda v: D.filter_options(M.domain_filter(v.mails, ("Vendor A", "Vendor B", "Vendor C")).select(X.sender_domain(F.col("sender")).alias("domain")), "domain"),
+     _MAILS + f" SELECT DISTINCT domain AS value FROM m WHERE {_VENDOR_A} OR domain = 'vendor-b.example' OR domain LIKE '%.vendor-b.example'", "mails")
 _add("attachment_filter", lambda v: M.attachment_files(v.mails).select("seq", "file_name"), "SELECT seq, file_name FROM (SELECT seq, unnest(string_split(attachments, ';')) AS file_name FROM mails) WHERE lower(file_name) LIKE '%.pdf'", "mails")
 _add("mail_new_only", lambda v: M.new_only(v.mails, v.processed).select("seq"), "SELECT seq FROM mails WHERE entry_id NOT IN (SELECT entry_id FROM processed)", "mails", "processed")
 _add("mail_duplicates", lambda v: M.duplicates(v.mails, v.processed).select("seq", "downloaded_by"), "SELECT seq, downloaded_by FROM mails JOIN processed USING (entry_id)", "mails", "processed")
