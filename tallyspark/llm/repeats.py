@@ -123,10 +123,13 @@ def repeated_runs(docs: DataFrame, length: int = 35, gram: int = 8) -> DataFrame
     """(doc_id, tkey, runs): packed runs of repeated windows by document; ``docs`` has doc_id, text and tkey."""
     key = ["anchor", "ext"]
     anchors = stored(_anchors(docs, length, gram), "repeats-anchors")
-    texts = anchors.groupBy(*key).agg(F.count("*").alias("places"), F.min(F.struct("doc_id", "tkey", "run")).alias("at"))
+    # Most anchors stand in one place only; they go before anything else is shuffled with them.
+    found_again = anchors.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor")
+    shared = stored(anchors.join(found_again, "anchor", "left_semi"), "repeats-shared")
+    texts = shared.groupBy(*key).agg(F.count("*").alias("places"), F.min(F.struct("doc_id", "tkey", "run")).alias("at"))
     met = stored(texts, "repeats-texts")
     several = met.groupBy("anchor").agg(F.count("*").alias("kinds")).filter("kinds > 1").select("anchor")
-    whole = anchors.join(met.filter("places > 1").select(*key), key).select("doc_id", "tkey", "run")
+    whole = shared.join(met.filter("places > 1").select(*key), key).select("doc_id", "tkey", "run")
 
     open_runs = met.join(several, "anchor").select("at.doc_id", "at.tkey", "at.run", (F.col("places") == 1).alias("alone"))
     by_doc = open_runs.groupBy("doc_id", "tkey").agg(F.collect_list(F.struct("run", "alone")).alias("r")).select("doc_id", "tkey", F.col("r.run").alias("runs"), F.col("r.alone").alias("singles"))
