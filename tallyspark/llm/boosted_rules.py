@@ -106,9 +106,11 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int
             x = features(counts(piece))
             yield pa.RecordBatch.from_arrays([*(pa.array(x[:, f]) for f in range(len(FEATURES))), piece.rows.column("label").cast(pa.int32())], [*FEATURES, "y"])
 
-    rows = labelled_sample(docs, labels, label, most).mapInArrow(run, ", ".join(f"{f} double" for f in FEATURES) + ", y int").toArrow()
+    rows = labelled_sample(docs, labels, label, most).mapInArrow(run, ", ".join(f"{f} double" for f in FEATURES) + ", y int").limit(most).toArrow()
     x = np.stack([rows.column(f).to_numpy() for f in FEATURES], axis=1)
-    return fit(x, rows.column("y").to_numpy().astype(np.float64))
+    y = rows.column("y").to_numpy().astype(np.float64)
+    order = np.lexsort((y, *x.T))  # the same order however rows arrive
+    return fit(x[order], y[order])
 
 
 def judge(docs: DataFrame, trees: Trees, id_col: str = "doc_id", text_col: str = "text", least_words: int = 20, most_repeat_percent: int = 30, threshold: float = 0.5) -> DataFrame:

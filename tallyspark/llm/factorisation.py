@@ -132,12 +132,15 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int
             stats = lists(s.ravel(), np.arange(len(piece) + 1) * len(FEATURES)).cast(pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([lists(w.index.astype(np.int32), w.first).cast(pa.list_(pa.int32())), lists(w.value, w.first).cast(pa.list_(pa.float32())), stats, piece.rows.column("label").cast(pa.int32())], ["i", "x", "s", "y"])
 
-    rows = labelled_sample(docs, labels, label, most).mapInArrow(run, "i array<int>, x array<float>, s array<double>, y int").toArrow().combine_chunks()
+    rows = labelled_sample(docs, labels, label, most).mapInArrow(run, "i array<int>, x array<float>, s array<double>, y int").limit(most).toArrow().combine_chunks()
     if not rows.num_rows:
         return fit(Sparse(np.zeros(0, np.int64), np.zeros(0, np.float32), np.zeros(1, np.int64)), np.zeros((0, len(FEATURES))), np.zeros(0))
     flat = lambda name: rows.column(name).combine_chunks().flatten().to_numpy(zero_copy_only=False)
     first = np.concatenate([[0], np.cumsum(rows.column("i").combine_chunks().value_lengths().to_numpy(zero_copy_only=False))])
-    return fit(Sparse(flat("i").astype(np.int64), flat("x"), first), flat("s").reshape(-1, len(FEATURES)), rows.column("y").to_numpy().astype(np.float64))
+    stats, y = flat("s").reshape(-1, len(FEATURES)), rows.column("y").to_numpy().astype(np.float64)
+    order = np.lexsort((y, *stats.T))  # the same order however rows arrive
+    return fit(Sparse(flat("i").astype(np.int64), flat("x"), first).rows(order), stats[order], y[order])
+
 
 
 def score(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: str = "text", rest: tuple[str, ...] = ()) -> DataFrame:

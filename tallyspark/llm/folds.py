@@ -12,8 +12,11 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int) -> DataFrame:
-    """(text, label) of at most ``most`` labelled documents outside the held-out fold, those with the least hashed ids."""
+    """(text, label) of the labelled documents outside the held-out fold with the least hashed ids, ``most`` ids at most.
+
+    A document repeated under one id comes repeatedly; callers limit again once texts have become small features.
+    """
     ids = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out("doc_id")).groupBy("doc_id").agg(F.min(label).alias("label"))
     ids = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    # ``ids`` is bounded by ``most``; a document repeated under one id is taken up to the same bound.
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(ids), "doc_id").select("text", "label").limit(most)
+    # ``ids`` is bounded by ``most``.
+    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(ids), "doc_id").select("text", "label")

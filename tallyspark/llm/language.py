@@ -214,7 +214,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
                 at = first[good] + (each[good] * (2 * k + 1)) // (2 * TRAIN_SEGMENTS)
                 yield pa.RecordBatch.from_arrays([pa.array([row.tobytes() for row in codes[at]], pa.binary()), piece.rows.column("label").take(pa.array(good))], ["codes", "label"])
 
-    rows = labelled_sample(base, base.filter("text is not null"), "lang", most).mapInArrow(run, "codes binary, label string").toArrow()
+    rows = labelled_sample(base, base.filter("text is not null"), "lang", most).mapInArrow(run, "codes binary, label string").limit(TRAIN_SEGMENTS * most).toArrow()
     if not rows.num_rows:
         return None
     labels = rows.column("label").to_pylist()
