@@ -217,12 +217,17 @@ def extract_fields(texts: DataFrame, cells: DataFrame, templates: Sequence[Templ
         rows = rows.join(positional_value(docs, label, every).withColumnRenamed("value", f"_tab{k}"), "doc_id", "left")
     place, columns = {label: k for k, label in enumerate(tabular)}, column_union(templates)
 
+    # Templates that differ in names alone share one expression.
+    kinds: dict[tuple, tuple[Template, list[int]]] = {}
+    for i, t in enumerate(templates):
+        kinds.setdefault((t.fields, t.neighbours, t.positional), (t, []))[1].append(i)
+
     def by_template(make) -> Column:
         """``make`` of the template at hand; null where that one lacks the field."""
         out = F.lit(None).cast("string")
-        for i, t in reversed(list(enumerate(templates))):
+        for t, places in kinds.values():
             v = make(t)
-            out = out if v is None else F.when(F.col("template") == i, v).otherwise(out)
+            out = out if v is None else F.when(F.col("template").isin(*places), v).otherwise(out)
         return out
 
     def raw(t: Template, f: Field) -> Column:
