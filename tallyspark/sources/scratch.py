@@ -9,11 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path below ``spark.checkpoint.dir``; where that is unset (a local test), below a temporary folder."""
+    """A new path below ``spark.checkpoint.dir``; where that is unset (a local test), below one temporary folder an application."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = tempfile.mkdtemp(prefix="spark-scratch-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        context = spark.sparkContext
+        base = context._tallyspark_scratch = getattr(context, "_tallyspark_scratch", None) or tempfile.mkdtemp(prefix="spark-scratch-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
