@@ -33,6 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyspark.llm.components import connected_components
+from tallyspark.llm.minwise import similar_documents
 from tallyspark.llm.scratch import stored
 from tallyspark.llm.text_arrays import Texts, pieces
 
@@ -133,11 +134,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(ids, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """Rows of ``docs`` that stay when one document of each component does: that with the least id.
+def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, words: int = 5, **options) -> DataFrame:
+    """Rows of ``docs`` that stay when one document of each group does: that with the least id.
 
-    Rows repeated under that id all stay, and so do rows without id.
+    A group is what links connect: fingerprints within ``max_bits`` bits, and sets of
+    ``words``-word shingles with a Jaccard similarity of ``similarity`` or more, which
+    fingerprints alone don't reach (see ``minwise``).  Rows repeated under the id that
+    stays all stay, and so do rows without id.
     """
-    found = near_duplicates(docs, id_col, text_col, **options)
-    gone = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
+    prints = near_duplicates(docs, id_col, text_col, **options).filter("doc_id > component_id")
+    edges = prints.select(F.col("doc_id").alias("a"), F.col("component_id").alias("b")).unionByName(similar_documents(docs, id_col, text_col, words, similarity))
+    gone = connected_components(edges, "a", "b").filter("node <> root").select(F.col("node").alias("__gone"))
     return docs.join(gone, docs[id_col] == gone["__gone"], "left_anti")
