@@ -14,10 +14,9 @@ Two sets share one of 25 bands of 6 min-wise hashes with probability 1 - (1 - s*
   its own length.  Candidates are verified on the whole sets, as 32-bit shingle hashes.
 * Buckets of at most ``bucket_rows`` texts that still hold several components: all pairs
   across components.
-* Larger ones: rounds of 8, 64, 512, ... leaders; each unplaced text meets all leaders of its
-  bucket, and leaves the bucket once linked to one or being one.  Rounds end when none is
-  left.  Two texts placed with different leaders don't meet in this bucket; similar pairs
-  share six or seven buckets of 25 on average, each with leaders of its own.
+* Larger ones: two rounds in which each text meets the 8, then 64 leaders of its bucket that are of
+  other components.  Texts of buckets that still hold several components then go through a join on early
+  shingles (prefix, position and length filters), which meets every similar pair across components.
 """
 
 from __future__ import annotations
@@ -34,6 +33,8 @@ from tallyspark.llm.scratch import stored
 from tallyspark.llm.text_arrays import RunHash, Texts, mix, pieces
 
 BANDS, ROWS = 25, 6
+#: Leaders of a large bucket, by round.
+LEADERS = (8, 64)
 
 SETS = "uid long, doc_id long, s long, n int, bands array<long>, shingles array<int>"
 
@@ -107,6 +108,41 @@ def _leaders(rows: DataFrame, k: int) -> DataFrame:
     return least.select("key", F.col("l.s").alias("other"), F.col("l.n").alias("other_n"), *[F.col(f"l.{c}").alias(f"other_{c}") for c in carried])
 
 
+def _still_mixed(rows: DataFrame, links: DataFrame) -> DataFrame:
+    """Bucket rows under the roots that ``links`` leave, of buckets that hold several roots."""
+    named = rows.select("s", "root").distinct()
+    of = lambda c, to: links.join(named.select(F.col("s").alias(c), F.col("root").alias(to)), c)
+    ends = of("a", "ra").join(of("b", "rb"), ["a", "b"]).select(F.col("ra").alias("a"), F.col("rb").alias("b"))
+    moved = connected_components(ends, "a", "b").select(F.col("node").alias("root"), F.col("root").alias("to"))
+    rows = stored(rows.join(moved, "root", "left").withColumn("root", F.coalesce("to", "root")).drop("to"), "minwise-rooted")
+    mixed = rows.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("key")
+    return stored(rows.join(mixed, "key"), "minwise-mixed")
+
+
+def _prefix_pairs(texts: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of texts (s, root, shingles) of different roots that hold every pair of that similarity.
+
+    All sets are put in one order, shingles of fewest roots first.  Of two similar sets the first
+    common shingle stands so early that enough of each is left from there on: ``rest`` shingles,
+    itself included, at least s of the longer set, 2s / (1 + s) of the shorter, s / (1 + s) of both sizes.
+    """
+    texts = texts.select("s", "root", F.array_distinct("shingles").alias("shingles")).withColumn("n", F.size("shingles"))
+    each = stored(texts.select("s", "root", "n", F.explode("shingles").alias("t")), "minwise-shingles")
+    # Shingles of a single root come first and meet nothing, so their number is enough.
+    roots = each.select("t", "root").distinct().groupBy("t").agg(F.count("*").alias("roots")).filter("roots > 1")
+    listed = each.join(roots, "t").groupBy("s", "root", "n").agg(F.sort_array(F.collect_list(F.struct("roots", "t"))).alias("l"))
+    rest = F.size("l") - F.col("at")
+    early = listed.select("s", "root", "n", F.posexplode("l").alias("at", "e"), "l").select("s", "root", "n", F.col("e.t").alias("t"), rest.alias("rest"))
+    early = stored(early.filter(F.col("rest") + 1e-6 >= similarity * F.col("n")), "minwise-early")
+    short = early.filter(F.col("rest") + 1e-6 >= 2 * similarity / (1 + similarity) * F.col("n"))
+    short = short.select("t", F.col("s").alias("b"), F.col("root").alias("b_root"), F.col("n").alias("b_n"), F.col("rest").alias("b_rest"))
+    # Roots meet before texts do, so that texts of one root never meet each other.
+    met = early.join(short.select("t", "b_root").distinct(), "t").filter("root <> b_root").join(short, ["t", "b_root"])
+    longer = (F.col("n") > F.col("b_n")) | ((F.col("n") == F.col("b_n")) & (F.col("s") > F.col("b")))
+    enough = F.least("rest", "b_rest") + 1e-6 >= similarity / (1 + similarity) * (F.col("n") + F.col("b_n"))
+    return met.filter(longer & enough).select(F.col("s").alias("a"), "b")
+
+
 def similar_links(sets: DataFrame, named: DataFrame, similarity: float = 0.8, bucket_rows: int = 64) -> DataFrame:
     """Edges (a, b) between set names; see the module's text for what is met."""
     keyed = named.select("s", "n", F.explode("bands").alias("key"))
@@ -127,15 +163,16 @@ def similar_links(sets: DataFrame, named: DataFrame, similarity: float = 0.8, bu
     across = small.join(other, "key").filter((F.col("s") > F.col("other")) & (F.col("root") != F.col("other_root")) & _long_enough(similarity))
     links = [found, _verified(across.select(F.col("s").alias("a"), F.col("other").alias("b")), held, similarity)]
 
-    rest, k = stored(split.filter(F.col("size") > bucket_rows).drop("size"), "minwise-rest"), 8
-    while not rest.isEmpty():
-        meets = stored(rest.join(_leaders(rest, k), "key"), "minwise-meets")
-        tried = meets.filter((F.col("root") != F.col("other_root")) & _long_enough(similarity))
-        more = _verified(tried.select(F.col("s").alias("a"), F.col("other").alias("b")), held, similarity)
-        joined = tried.withColumn("a", F.greatest("s", "other")).withColumn("b", F.least("s", "other")).join(more, ["a", "b"], "left_semi")
-        placed = meets.filter(F.col("root") == F.col("other_root")).select("key", "s").unionByName(joined.select("key", "s")).distinct()
-        links.append(more)
-        rest, k = stored(rest.join(placed, ["key", "s"], "left_anti"), "minwise-rest"), 8 * k
+    # Leaders join what is easily joined, so that few components are left for the exact route.
+    large = split.filter(F.col("size") > bucket_rows).drop("size")
+    for k in LEADERS:
+        if large.isEmpty():
+            break
+        tried = large.join(_leaders(large, k), "key").filter((F.col("root") != F.col("other_root")) & _long_enough(similarity))
+        links.append(_verified(tried.select(F.col("s").alias("a"), F.col("other").alias("b")), held, similarity))
+        large = _still_mixed(large, links[-1])
+    if not large.isEmpty():
+        links.append(_verified(_prefix_pairs(large.select("s", "root").distinct().join(held, "s"), similarity), held, similarity))
     out = links[0]
     for more in links[1:]:
         out = out.unionByName(more)

@@ -155,6 +155,38 @@ def test_similar_documents_match_brute_force(spark, bucket_rows):
     assert got == want if bucket_rows > 1 else len(got - want) <= 2  # leaders alone may miss a link between two others
 
 
+def test_large_buckets_lose_nothing(spark):
+    # Chains of sliding windows: only neighbours are similar, and all of a chain share their one bucket.
+    chains, length = 6, 100
+    rows = [(n, 20, [n // length], n, list(range(9999 * (n // length) + 2 * (n % length), 9999 * (n // length) + 2 * (n % length) + 20))) for n in range(chains * length)]
+    random.Random(3).shuffle(rows)
+    df = spark.createDataFrame(rows, "s long, n int, bands array<long>, rep long, shingles array<int>")
+    edges = {(r.a, r.b) for r in minwise.similar_links(df.selectExpr("rep AS uid", "shingles"), df.drop("shingles"), bucket_rows=64).collect()}
+    want = {(n, n - 1) for n in range(chains * length) if n % length}
+    assert edges == want
+
+
+def test_similar_documents_match_brute_force_without_small_buckets(spark):
+    texts = near_copies(random.Random(9))
+    edges = [(r.a, r.b) for r in minwise.similar_documents(spark.createDataFrame(texts, "doc_id long, text string"), bucket_rows=1).collect()]
+    ids, pairs = [i for i, _ in texts], brute_similar(texts)
+    assert brute_groups(ids, edges) == brute_groups(ids, pairs) == brute_groups(ids, pairs + edges)
+
+
+def test_early_shingles_meet_all_similar_sets(spark):
+    rng, sets = random.Random(4), []
+    for _ in range(8):
+        base = rng.sample(range(-2000, 2000), rng.choice([5, 9, 40]))
+        sets += [rng.sample(base, len(base) - rng.randrange(len(base) // 4 + 1)) + rng.sample(range(3000, 9000), rng.randrange(len(base) // 4 + 1)) for _ in range(20)]
+    roots = [rng.randrange(100) for _ in sets]
+    rows = spark.createDataFrame([(i, r, x) for i, (r, x) in enumerate(zip(roots, sets))], "s long, root long, shingles array<int>")
+    got = {(max(r), min(r)) for r in minwise._prefix_pairs(rows, 0.8).collect()}
+    similar = lambda a, b: len(a & b) >= 0.8 * len(a | b)
+    want = {(i, j) for i in range(len(sets)) for j in range(i) if roots[i] != roots[j] and similar(set(sets[i]), set(sets[j]))}
+    assert want and want <= got
+    assert all(roots[i] != roots[j] for i, j in got)
+
+
 def test_similar_documents_edges_and_empty(edges, empty):
     pairs = {(r.a, r.b) for r in minwise.similar_documents(edges).collect()}
     assert pairs == {(2, 1), (3, 1), (5, 4)}
