@@ -2,12 +2,13 @@
 
 A text is split before each run of blanks, as no piece spans a blank after another character, and each
 part is merged by an agenda: the best-scored adjacent pair, the leftmost of equals, is merged first.  With
-dropout, a candidate (its part, variant and three borders) is skipped for good if its keyed hash falls below the
-rate, so a text's segmentation is a function of seed and id.  Ids fall into ``variants`` classes that
-each drop other merges.  Rate 0 gives the library's own pieces.
+dropout, a candidate (seed, document id, the part's place in the text and three borders) is skipped for good if its
+keyed hash falls below the rate, so each occurrence of a word is cut for itself, and a text's segmentation is a
+function of seed and id.  Rate 0 gives the library's own pieces.
 
-Many parts are merged at once in numpy: different parts of a piece of texts by width, one merge of each part a
-step.  Parts over ``LONG`` characters go through a heap instead, with the same result.
+Many parts are merged at once in numpy: parts of a piece of texts by width, one merge of each part a step.  Parts
+over ``LONG`` characters go through a heap instead, with the same result.  Equal parts are merged once where no
+candidate is dropped: the candidates met without dropout tell, as none of them dropped means the same merges.
 
 Decoding is lossless for every text: characters outside the vocabulary, and the blank symbol U+2581 itself,
 become byte pieces.  Defined results: null and empty texts have no pieces and decode to the empty text; repeated rows encode alike.
@@ -80,8 +81,11 @@ def _dropped(part: np.ndarray, start: np.ndarray, middle: np.ndarray, end: np.nd
     return (h >> u(11)).astype(np.float64) < rate * float(1 << 53)
 
 
-def merge_many(vocab: Vocabulary, grid: np.ndarray, part: np.ndarray, rate: float) -> tuple[np.ndarray, np.ndarray]:
-    """Merge rows of equal width at once: (symbols left-aligned, their number)."""
+def merge_many(vocab: Vocabulary, grid: np.ndarray, part: np.ndarray, rate: float, met: list | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Merge rows of equal width at once: (symbols left-aligned, their number).
+
+    ``met`` takes the candidates met: arrays of (row, start, middle, end).
+    """
     n, width = grid.shape
     out, size = grid.copy(), np.full(n, width, np.int64)
     if width < 2:
@@ -90,6 +94,9 @@ def merge_many(vocab: Vocabulary, grid: np.ndarray, part: np.ndarray, rate: floa
     sym, key = grid.copy(), part
     border = np.tile(np.arange(width + 1, dtype=np.int64), (n, 1))
     rank, made = vocab.look_up(sym[:, :-1], sym[:, 1:])
+    if met is not None:
+        row, at = np.nonzero(rank < _NONE)
+        met.append((row, at, at + 1, at + 2))
     if rate:
         drop = _dropped(key[:, None], border[:, :-2], border[:, 1:-1], border[:, 2:], rate)
         rank[drop] = _NONE
@@ -124,6 +131,10 @@ def merge_many(vocab: Vocabulary, grid: np.ndarray, part: np.ndarray, rate: floa
             ok = np.flatnonzero((at >= 0) & (at < w - 2))
             j = at[ok]
             r, m = vocab.look_up(sym[ok, j], sym[ok, j + 1])
+            if met is not None:
+                fits = np.flatnonzero(r < _NONE)
+                i, k = ok[fits], j[fits]
+                met.append((live[i], border[i, k], border[i, k + 1], border[i, k + 2]))
             if rate:
                 r[_dropped(key[ok], border[ok, j], border[ok, j + 1], border[ok, j + 2], rate)] = _NONE
             rank[ok, j], made[ok, j] = r, m
@@ -164,8 +175,55 @@ def merge_long(vocab: Vocabulary, symbols: np.ndarray, part: int, rate: float) -
     return [s for s in sym if s is not None]
 
 
-def encode_piece(vocab: Vocabulary, piece: Texts, variant: np.ndarray, rate: float, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """(ids of all texts in a row, first id of each text)."""
+class _Merged:
+    """Pieces of parts, in one pool; parts are rows of (start, size) in ``symbols``."""
+
+    def __init__(self, vocab: Vocabulary, symbols: np.ndarray, starts: np.ndarray, sizes: np.ndarray, parts: np.ndarray, rate: float, met: list | None = None):
+        pools: list[np.ndarray] = [np.zeros(0, np.int32)]
+        self.start, self.size, used = np.zeros(len(parts), np.int64), np.zeros(len(parts), np.int64), 0
+        order = np.argsort(sizes, kind="stable")
+        bounds = np.searchsorted(sizes[order], np.arange(1, LONG + 2))
+        for width in range(1, LONG + 1):
+            chosen = order[bounds[width - 1] : bounds[width]]
+            if len(chosen):
+                grid = symbols[starts[chosen][:, None] + np.arange(width)]
+                # An unknown character carries its place until the end, below -1.
+                grid = np.where(grid < 0, -2 - np.arange(width, dtype=np.int32), grid)
+                seen: list | None = None if met is None else []
+                merged, size = merge_many(vocab, grid, parts[chosen], rate, seen)
+                if met is not None:
+                    met += [(chosen[row], *borders) for row, *borders in seen]
+                flat = merged[np.arange(width) < size[:, None]]
+                self.start[chosen], self.size[chosen] = used + np.cumsum(size) - size, size
+                pools.append(flat)
+                used += len(flat)
+        for k in order[bounds[LONG] :].tolist():
+            grid = symbols[starts[k] : starts[k] + sizes[k]]
+            ids = np.array(merge_long(vocab, np.where(grid < 0, -2 - np.arange(len(grid), dtype=np.int32), grid), int(parts[k]), rate), np.int32)
+            self.start[k], self.size[k] = used, len(ids)
+            pools.append(ids)
+            used += len(ids)
+        self.pool = np.concatenate(pools)
+
+
+def _untouched(word: np.ndarray, words: int, parts: np.ndarray, met: list, rate: float) -> np.ndarray:
+    """Whether no candidate of a part (of the word of that number) is dropped; ``met`` are those of the words."""
+    if not met:
+        return np.ones(len(parts), bool)
+    of, start, middle, end = (np.concatenate(c) for c in zip(*met))
+    order = np.argsort(of, kind="stable")
+    start, middle, end = start[order], middle[order], end[order]
+    count = np.bincount(of, minlength=words)
+    begin, each = (np.cumsum(count) - count)[word], count[word]
+    at, part = spread(begin, each), np.repeat(np.arange(len(parts)), each)
+    drop = _dropped(parts[part], start[at], middle[at], end[at], rate)
+    clean = np.ones(len(parts), bool)
+    clean[part[drop]] = False
+    return clean
+
+
+def encode_piece(vocab: Vocabulary, piece: Texts, doc: np.ndarray, rate: float, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """(ids of all texts in a row, first id of each text); ``doc`` are the texts' document ids."""
     full = np.flatnonzero(np.diff(piece.offsets))
     if not len(full):
         return np.zeros(0, np.int32), np.zeros(len(piece) + 1, np.int64)
@@ -183,36 +241,31 @@ def encode_piece(vocab: Vocabulary, piece: Texts, variant: np.ndarray, rate: flo
     first[begin] = True
     starts = np.flatnonzero(first)
     sizes = np.diff(np.append(starts, len(cp)))
-    salt = mix(variant.astype(np.uint64) + (np.uint64(seed) << np.uint64(20)))
-    parts = RunHash(cp.astype(np.uint64) + np.uint64(1), "byte").of(starts, starts + sizes) ^ salt[owner[starts]]
-    parts, where, back = np.unique(parts, return_index=True, return_inverse=True)
-    starts_u, sizes_u = starts[where], sizes[where]
+    # A part's key: seed, document id and its place in the text.
+    salt = mix(doc.astype(np.uint64) ^ mix(np.array([seed], np.int64).view(np.uint64)))
+    place = np.arange(len(starts)) - np.searchsorted(starts, begin)[np.searchsorted(full, owner[starts])]
+    parts = mix(salt[owner[starts]] + place.astype(np.uint64))
+    words, where, back = np.unique(RunHash(cp.astype(np.uint64) + np.uint64(1), "byte").of(starts, starts + sizes), return_index=True, return_inverse=True)
 
     symbols = vocab.symbol[cp]
-    pools: list[np.ndarray] = []
-    pool_start, pool_size, used = np.zeros(len(parts), np.int64), np.zeros(len(parts), np.int64), 0
-    order = np.argsort(sizes_u, kind="stable")
-    bounds = np.searchsorted(sizes_u[order], np.arange(1, LONG + 2))
-    for width in range(1, LONG + 1):
-        chosen = order[bounds[width - 1] : bounds[width]]
-        if len(chosen):
-            grid = symbols[starts_u[chosen][:, None] + np.arange(width)]
-            # An unknown character carries its place until the end, below -1.
-            grid = np.where(grid < 0, -2 - np.arange(width, dtype=np.int32), grid)
-            merged, size = merge_many(vocab, grid, parts[chosen], rate)
-            flat = merged[np.arange(width) < size[:, None]]
-            pool_start[chosen], pool_size[chosen] = used + np.cumsum(size) - size, size
-            pools.append(flat)
-            used += len(flat)
-    for k in order[bounds[LONG] :].tolist():
-        grid = symbols[starts_u[k] : starts_u[k] + sizes_u[k]]
-        ids = np.array(merge_long(vocab, np.where(grid < 0, -2 - np.arange(len(grid), dtype=np.int32), grid), int(parts[k]), rate), np.int32)
-        pool_start[k], pool_size[k] = used, len(ids)
-        pools.append(ids)
-        used += len(ids)
-
-    each = pool_size[back]
-    ids = np.concatenate(pools)[spread(pool_start[back], each)]
+    # Long parts have a merge each under dropout.
+    shared = np.flatnonzero(sizes[where] <= LONG) if rate else np.arange(len(words))
+    met: list | None = [] if rate else None
+    plain = _Merged(vocab, symbols, starts[where[shared]], sizes[where[shared]], np.zeros(len(shared), np.uint64), 0, met)
+    number = np.full(len(words), -1)
+    number[shared] = np.arange(len(shared))
+    word = number[back]
+    touched = word < 0
+    if rate:
+        some = np.flatnonzero(~touched)
+        touched[some] = ~_untouched(word[some], len(shared), parts[some], met, rate)
+    own = np.flatnonzero(touched)
+    cut = _Merged(vocab, symbols, starts[own], sizes[own], parts[own], rate)
+    rest = np.flatnonzero(~touched)
+    begins, each = np.zeros(len(parts), np.int64), np.zeros(len(parts), np.int64)
+    begins[rest], each[rest] = plain.start[word[rest]], plain.size[word[rest]]
+    begins[own], each[own] = cut.start + len(plain.pool), cut.size
+    ids = np.concatenate([plain.pool, cut.pool])[spread(begins, each)]
     part_owner = owner[starts]
     # Unknown characters become their bytes.
     which = np.flatnonzero(ids < 0)
@@ -246,15 +299,14 @@ def vocabulary(path: str) -> Vocabulary:
     return _VOCABULARIES[path]
 
 
-def encode(docs: DataFrame, model_path: str, rate: float = 0.1, seed: int = 1, variants: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode(docs: DataFrame, model_path: str, rate: float = 0.1, seed: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, ids array<int>, lossless): lossless tells whether the pieces decode to the very text."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(model_path)
         for piece in pieces(batches, "text"):
             ids_in = piece.rows.column("doc_id").fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
-            variant = mix(ids_in.view(np.uint64)) % np.uint64(max(1, variants))
-            ids, first = encode_piece(vocab, piece, variant, rate, seed)
+            ids, first = encode_piece(vocab, piece, ids_in.view(np.uint64), rate, seed)
             data, offsets = decode_ids(vocab, ids, first)
             same = np.diff(offsets) == np.diff(piece.offsets)
             if same.all():

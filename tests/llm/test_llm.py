@@ -277,6 +277,23 @@ def test_merge_dropout(spark, edges, empty, docs):
     assert merge_dropout.encode(empty, path).count() == 0
 
 
+def test_dropout_cuts_each_occurrence_for_itself(spark):
+    path, rate, seed = public_tokenizers.path("piece_bpe_32k.model"), 0.2, 3
+    vocab, word = merge_dropout.vocabulary(path), "international"
+    rows = [(i, " ".join([word] * 50 + ["the"] * 50)) for i in range(20)] + [(30, "y" * 90)]
+    coded = {r.doc_id: list(r.ids) for r in merge_dropout.encode(spark.createDataFrame(rows, "doc_id long, text string"), path, rate=rate, seed=seed).collect()}
+    assert len({tuple(coded[i]) for i in range(20)}) == 20  # equal texts differ by id
+    cuts = set()
+    for doc_id, text in rows:
+        salt, want = merge_dropout.mix(np.array([doc_id], np.uint64) ^ merge_dropout.mix(np.array([seed], np.uint64))), []
+        for place, part in enumerate(text.split(" ")):
+            symbols = vocab.symbol[[0x20, *map(ord, part)]]
+            want.append(merge_dropout.merge_long(vocab, symbols, int(merge_dropout.mix(salt + np.uint64(place))[0]), rate))
+            cuts |= {tuple(want[-1])} if part == word else set()
+        assert coded[doc_id] == [x for p in want for x in p]
+    assert len(cuts) > 20
+
+
 def test_merge_by_heap_equals_merge_by_grid():
     vocab = merge_dropout.vocabulary(public_tokenizers.path("piece_bpe_32k.model"))
     rng = np.random.default_rng(4)
