@@ -113,17 +113,35 @@ def engineer_queue(ideas: DataFrame, as_of: str) -> DataFrame:
     return ranked.withColumn("sprint_start", start).withColumn("sprint_end", end)
 
 
-def compute_delivery(ideas: DataFrame, requests: DataFrame, as_of: str) -> DataFrame:
+def compute_delivery(ideas: DataFrame, requests: DataFrame, as_of: str, parts: int | None = None) -> DataFrame:
     """Slot of each request (an idea with its engineer) in that engineer's queue; an older row of the same idea is taken out.
 
     A request's rank is 1 plus the engineer's active ideas that sort before it.
     """
-    key = lambda: F.struct(category_rank(F.col("category")).alias("c"), (-F.coalesce("roi", F.lit(0.0))).alias("r"), blank_to_empty(F.col("created_date")).alias("d"))
-    active = ideas.filter(F.col("status").isin(*ACTIVE)).select("assigned_engineer", F.col("id").alias("other"), key().alias("k"))
-    asked = requests.select("id", "assigned_engineer", "category", "roi", "created_date", key().alias("key"))
-    met = asked.join(active, "assigned_engineer", "left")
-    before = F.count_if((F.col("other") != F.col("id")) & ((F.col("k") < F.col("key")) | ((F.col("k") == F.col("key")) & (F.col("other") < F.col("id")))))
-    ranked = met.groupBy("id", "assigned_engineer", "category", "roi").agg((before + 1).cast("int").alias("priority_rank"))
+    keys = [category_rank(F.col("category")).alias("_c"), (-F.coalesce("roi", F.lit(0.0))).alias("_r"), blank_to_empty(F.col("created_date")).alias("_d")]
+    fields = ["id", "assigned_engineer", "category", "roi", "created_date"]
+    # An active idea counts for the rows after it: _more is 1 for active ideas, 0 for requests.
+    active = ideas.filter(F.col("status").isin(*ACTIVE) & F.col("assigned_engineer").isNotNull()).select("id", "assigned_engineer", *keys, F.lit(1).alias("_more"), F.lit(None).cast("string").alias("category"), F.lit(None).cast("double").alias("roi"))
+    asked = requests.select(*fields, *keys)
+    rows = asked.select("id", "assigned_engineer", "_c", "_r", "_d", F.lit(0).alias("_more"), "category", "roi").unionByName(active)
+    order = ["assigned_engineer", "_c", "_r", "_d", "id", "_more"]
+    n = parts or ideas.sparkSession.sparkContext.defaultParallelism
+    # Written once with its partition, as in rank_all.
+    dealt = stored(rows.repartitionByRange(n, *order).withColumn("_p", F.spark_partition_id()), "delivery")
+    # One row a partition and engineer: active ideas of the engineer in earlier partitions.
+    counts = dealt.groupBy("_p", "assigned_engineer").agg(F.sum("_more").alias("_n"))
+    earlier = Window.partitionBy("assigned_engineer").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(F.col("_p").alias("_q"), F.col("assigned_engineer").alias("_of"), F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    # Within a partition and engineer, rows are counted in order; the sort is by partition, so no group lands in one task.
+    inside = F.sum("_more").over(Window.partitionBy("_p", "assigned_engineer").orderBy(*order[1:]).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    counted = dealt.withColumn("_seen", inside).filter("_more = 0")
+    placed = counted.join(offsets, (F.col("_p") == F.col("_q")) & F.col("assigned_engineer").eqNullSafe(F.col("_of"))).drop("_q", "_of")
+    # An older row of the request itself does not count: it is one less where that row sorts earlier.
+    own = active.select("id", F.col("assigned_engineer").alias("_e"), F.struct("_c", "_r", "_d").alias("_k"))
+    own = placed.select("id", "assigned_engineer", "_c", "_r", "_d").distinct().join(own, "id").filter((F.col("_e") == F.col("assigned_engineer")) & (F.col("_k") < F.struct("_c", "_r", "_d")))
+    own = own.groupBy("id", "assigned_engineer", "_c", "_r", "_d").agg(F.count("*").alias("_own"))
+    same = ["id", "assigned_engineer", "_c", "_r", "_d"]
+    ranked = placed.join(own, same, "left").withColumn("priority_rank", (1 + F.col("_before") + F.col("_seen") - F.coalesce("_own", F.lit(0))).cast("int"))
     start, end = sprint(F.lit(as_of).cast("date"), F.col("priority_rank"))
     return ranked.select("id", "assigned_engineer", "priority_rank", start.alias("sprint_start"), end.alias("sprint_end"), priority_label(F.col("priority_rank")).alias("priority_label"))
 

@@ -44,6 +44,20 @@ def test_rank_all_equals_a_window(spark):
     assert [ranks[r.id] for r in order] == list(range(1, 301))
 
 
+def test_delivery_counts_without_pairing_a_group(spark):
+    rows = [(str(n), ("Customer Requirement", "Internal", "")[n % 3], float(n * 7 % 5), f"2024-01-{1 + n % 9:02d}", ("Assigned", "WIP", "Rejected")[n * 5 % 7 % 3], f"e{n % 2}" if n % 11 else "", "", "x") for n in range(120)]
+    df = ideas(spark, rows)
+    asked = df.filter("status = 'Assigned'").withColumn("roi", F.when(F.col("id") % 4 == 0, F.lit(9.0)).otherwise(F.col("roi")))
+    got = I.compute_delivery(df, asked, "2024-03-07", 5)
+    key = lambda r: ({"Customer Requirement": 0, "Internal": 1}.get(r[1], 2), -(r[2] or 0.0), r[3], r[0])
+    want = {r[0]: 1 + sum(o[0] != r[0] and o[5] == r[5] and key(o) < key(r) for o in rows if o[4] in ("Assigned", "WIP")) for r in map(tuple, asked.collect())}
+    assert len(want) > 30 and {r.id: r.priority_rank for r in got.collect()} == want
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    # Every join is on the id or on partition and engineer, none on the engineer alone.
+    joins = [x for x in plan.split("\n") if "Join" in x]
+    assert joins and all("id#" in x or "_p#" in x for x in joins)
+
+
 def test_best_candidate_prefers_the_first_accepted(spark):
     rules = (("a", "ra", "exact", False), ("b", "rb", "exact", False))
     reports = spark.createDataFrame([(1, "4600000001", "x", "y"), (2, "", "x", "y"), (3, "9", "x", "y"), (4, "4600000004", "x", "q")], "report_id long, po string, ra string, rb string")
