@@ -7,15 +7,17 @@ Two deterministic transducers are compiled from a public tokenizer file:
   chunk's map from start state to end state is built for all states at once, the maps
   compose in a parallel prefix scan, and every chunk then knows its start state.
 * The *counter* reads the bytes of one pre-token and annotates each transition with
-  a number of emitted tokens.  An encoding is right exactly if each adjacent pair of
-  its tokens is the encoding of the pair's bytes, so the open encodings of a
+  a number of emitted tokens.  An encoding is right exactly if no merge crosses the border of two adjacent
+  tokens, which the merge table decides, so the open encodings of a
   prefix are a finite set (last token, trie node, tokens so far); such sets, their least
-  count emitted, are the states.  They are made when first met, into arrays that
-  all pre-tokens of a batch then step through together.  A boundary resets the counter, so
-  its map over a boundary is constant and pre-tokens are counted independently.
+  count emitted, are the states.  There are too many to list them all, so they are made when first met, into arrays that
+  all chunks of a batch then step through together.  A chunk's map (state, count) is constant where a boundary opens
+  the chunk; the other chunks' maps compose onto it.
 
 Defined results: a null text counts as empty (no bytes, no tokens); added tokens that stand in
-a text count as one token each, as the library's default has it; repeated rows each give a row.
+a text count as one token each, as the library's default has it; repeated rows each give a row, ties can't
+arise; a null id stays null; an empty table gives no rows; other columns, whatever their names, are not read.
+A text of any length is worked through whole, in memory of about 40 times its bytes.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.llm.text_arrays import Texts, code_points, per_row, pieces
+from tallyspark.llm.text_arrays import Texts, code_points, per_row, pieces, spread
 
 # Classes of characters. R, V, L, E and the finals s t m d matter in English contractions only.
 LETTER, FINAL, R, V, L, E, NUMBER, SPACE, WHITE, OTHER, QUOTE, CONT, RESET = range(13)
@@ -77,61 +79,99 @@ def class_table() -> np.ndarray:
     return table
 
 
-def scan_states(classes: np.ndarray, table: np.ndarray, chunk: int = CHUNK) -> np.ndarray:
-    """State after each class from BEGIN, by chunk maps and a parallel prefix scan over them."""
-    n, states = len(classes), table.shape[0]
+def through(table: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """``table`` (at most 256 bytes) at each of the bytes x."""
+    return np.frombuffer(x.tobytes().translate(table.astype(np.uint8).tobytes().ljust(256, b"\0")), np.uint8).reshape(x.shape)
+
+
+def scan_edges(classes: np.ndarray, table: np.ndarray, chunk: int = CHUNK) -> np.ndarray:
+    """The transition taken at each class from BEGIN, as (state before) * classes + class: chunk maps and a parallel prefix scan over them."""
+    n, (states, width) = len(classes), table.shape
     count = max(1, -(-n // chunk))
     grid = np.full(count * chunk, CONT, np.uint8)
     grid[:n] = classes
     grid = np.ascontiguousarray(grid.reshape(count, chunk).T)
-    flat = table.astype(np.uint8).ravel()
-    width = table.shape[1]
-    maps = np.tile(np.arange(states, dtype=np.uint8), (count, 1))
+    # States are kept times ``width``, so that an addition makes an edge of state and class.
+    step_to = (table * width).ravel()
+    maps = np.tile(np.arange(states, dtype=np.uint8) * np.uint8(width), (count, 1))
     for column in grid:
-        maps = flat[maps.astype(np.uint16) * width + column[:, None]]
+        maps = through(step_to, maps + column[:, None])
+    maps = maps // np.uint8(width)
     step = 1
     while step < count:  # inclusive scan: maps[i] becomes the map of chunks 0..i
-        maps[step:] = np.take_along_axis(maps[step:], maps[:-step].copy(), axis=1)
+        maps = np.concatenate([maps[:step], np.take_along_axis(maps[step:], maps[:-step], axis=1)])
         step *= 2
-    now = np.concatenate([[BEGIN], maps[:-1, BEGIN]]).astype(np.uint16)
+    now = np.concatenate([[BEGIN], maps[:-1, BEGIN]]).astype(np.uint8) * np.uint8(width)
     out = np.empty((chunk, count), np.uint8)
     for k, column in enumerate(grid):
-        out[k] = flat[now * width + column]
-        now = out[k].astype(np.uint16)
+        out[k] = now + column
+        now = through(step_to, out[k])
     return out.T.ravel()[:n]
 
 
-def boundaries(classes: np.ndarray, after: np.ndarray) -> np.ndarray:
-    """Whether a pre-token begins at each place; ``classes`` ends in RESET and has no CONT."""
-    before = np.concatenate([[BEGIN], after[:-1]])
-    white, was_white = (classes == SPACE) | (classes == WHITE), np.isin(before, (ONE_SPACE, ONE_WHITE, MORE_SPACE, MORE_WHITE))
-    solid = ~white & (classes != RESET)
-    begins = white & ~was_white
-    begins |= solid & ~was_white & ((after != before) | (before == CONTRACTED))
-    joined = np.isin(before, (AT_QUOTE, QUOTE_R, QUOTE_V, QUOTE_L)) & np.isin(after, (CONTRACTED, QUOTE_R, QUOTE_V, QUOTE_L, IN_OTHER))
-    joined &= ~np.isin(before, (QUOTE_R, QUOTE_V, QUOTE_L)) | (after == CONTRACTED)
-    joined |= np.isin(before, (QUOTE_R, QUOTE_V, QUOTE_L)) & (after == IN_LETTERS)
-    begins &= ~(solid & joined)
-    begins |= solid & np.isin(before, (ONE_WHITE, MORE_WHITE))
-    late = np.zeros(len(classes), bool)
-    late[:-1] = solid[1:] & np.isin(before[1:], (MORE_SPACE, MORE_WHITE))  # the last of several white characters stands apart
-    broken = np.isin(before, (QUOTE_R, QUOTE_V, QUOTE_L)) & (after != CONTRACTED)
-    late[:-1] |= broken[1:]  # the letter after the quote began a word after all
-    return begins | late
+def boundary_table(table: np.ndarray) -> np.ndarray:
+    """By edge: 1 if a pre-token begins at the class read, 2 if one began at the class before it after all."""
+    white, quoted = (ONE_SPACE, ONE_WHITE, MORE_SPACE, MORE_WHITE), (QUOTE_R, QUOTE_V, QUOTE_L)
+    out = np.zeros(table.shape, np.uint8)
+    for before in range(table.shape[0]):
+        for kind in range(table.shape[1]):
+            after = int(table[before, kind])
+            if kind in (CONT, RESET):
+                begins = False
+            elif kind in (SPACE, WHITE):
+                begins = before not in white
+            elif before in white:
+                begins = before in (ONE_WHITE, MORE_WHITE)
+            elif before in quoted:  # with the quote, or with the letter that turned out to begin a word
+                begins = after not in (CONTRACTED, IN_LETTERS)
+            elif before == AT_QUOTE:
+                begins = after not in (CONTRACTED, IN_OTHER, *quoted)
+            else:
+                begins = after != before or before == CONTRACTED
+            # The last of several white characters stands apart; so does the letter after a quote that begins no contraction.
+            late = kind not in (CONT, RESET, SPACE, WHITE) and before in (MORE_SPACE, MORE_WHITE)
+            late = late or (before in quoted and after != CONTRACTED)
+            out[before, kind] = begins | late << 1
+    return out.ravel()
+
+
+def boundaries(edges: np.ndarray, flags: np.ndarray) -> np.ndarray:
+    """Whether a pre-token begins at each place."""
+    found = through(flags, edges)
+    begins = (found & 1).astype(bool)
+    begins[:-1] |= found[1:] > 1
+    return begins
 
 
 class Counter:
-    """The counting transducer of one vocabulary: transitions made when first met."""
+    """The counting transducer of one vocabulary: transitions made when first met.
 
-    #: Transitions kept before the table starts anew.
-    MOST = 40 << 20
+    ``merges`` maps a pair of tokens to (rank, the token it makes).
+    """
+
+    #: Entries of the transition table before it starts anew.
+    MOST = 48 << 20
 
     def __init__(self, vocab: dict[bytes, int], merges: dict[tuple[int, int], tuple[int, int]]):
-        self.merges, self.bytes = merges, {i: b for b, i in vocab.items()}
-        self.single = [vocab[bytes([b])] for b in range(256)]
+        self.rank = {a << 20 | b: rank for (a, b), (rank, _) in merges.items()}
+        last = float("inf")
+        #: Tokens at a token's right and left edge as it is built, each with the rank of the merge that takes it up.
+        self.right = {vocab[bytes([b])]: ((vocab[bytes([b])], last),) for b in range(256)}
+        self.left = dict(self.right)
+        absent: set[int] = set()
+        for (a, b), (rank, made) in sorted(merges.items(), key=lambda m: m[1][0]):
+            absent |= {a, b} - self.right.keys()  # tokens that no text gives, so neither does this merge
+            # What a pair makes is a token of its own bytes unless another merge breaks the pair first.
+            if not absent & {a, b} and made not in self.right and self.parts_stand(a, b, rank):
+                if made in absent:
+                    raise ValueError("a merge stands before those that make its parts")
+                self.right[made] = (made, last), (b, rank), *self.right[b][1:]
+                self.left[made] = (made, last), (a, rank), *self.left[a][1:]
         self.child: dict[int, int] = {}
         self.token, parent = [-1], [0]
         for word, i in vocab.items():
+            if i not in self.right:
+                continue
             node = 0
             for x in word:
                 key = node << 8 | x
@@ -147,11 +187,10 @@ class Counter:
             while up and len(self.below[up]) <= 3:
                 self.below[up].append(self.token[node])
                 up = parent[up]
-        self.paired: dict[int, bool] = {}
         self.reset()
 
     def reset(self) -> None:
-        self.paired.clear()
+        self.paired: dict[int, bool] = {}
         self.kept: dict[tuple[int, int], int | None] = {}
         self.alike: dict[tuple, int] = {}
         self.ids: dict[tuple, int] = {}
@@ -163,23 +202,29 @@ class Counter:
         self.final = np.zeros(1024, np.int16)
         self.state(((-1, 0, 0),))
 
-    def encode(self, word: bytes) -> list[int]:
-        ids = [self.single[b] for b in word]
-        while len(ids) > 1:
-            found = min(((self.merges[pair][0], k) for k, pair in enumerate(zip(ids, ids[1:])) if pair in self.merges), default=None)
-            if found is None:
-                break
-            k = found[1]
-            ids[k : k + 2] = [self.merges[ids[k], ids[k + 1]][1]]
-        return ids
+    def parts_stand(self, a: int, b: int, before: float) -> bool:
+        """Whether no merge of a rank below ``before`` crosses the border of tokens a and b.
+
+        A merge crosses if its two sides stand at the border at once: neither has been taken up by
+        a merge within its own token, where of equal ranks the one further left comes first.
+        """
+        rank = self.rank
+        for p, p_end in self.right[a]:
+            for q, q_end in self.left[b]:
+                r = rank.get(p << 20 | q)
+                if r is not None and r < p_end and r <= q_end and r < before:
+                    return False
+        return True
 
     def fits(self, last: int, token: int) -> bool:
+        """Whether the two tokens, side by side, are the encoding of their bytes."""
         if last < 0:
             return True
         key = last << 20 | token
-        if key not in self.paired:
-            self.paired[key] = self.encode(self.bytes[last] + self.bytes[token]) == [last, token]
-        return self.paired[key]
+        found = self.paired.get(key)
+        if found is None:
+            found = self.paired[key] = self.parts_stand(last, token, float("inf"))
+        return found
 
     def canonical(self, last: int, node: int) -> int | None:
         """A last token that behaves as this one below the node; None if nothing below can follow."""
@@ -187,37 +232,41 @@ class Counter:
             return last
         key = last, node
         if key not in self.kept:
-            fit = tuple(self.fits(last, t) for t in self.below[node])
-            self.kept[key] = self.alike.setdefault((node, fit), last) if any(fit) else None
+            fit = tuple([self.fits(last, t) for t in self.below[node]])
+            self.kept[key] = self.alike.setdefault((node, fit), last) if True in fit else None
         return self.kept[key]
 
     def state(self, key: tuple) -> int:
-        if key not in self.ids:
-            self.ids[key] = i = len(self.states)
+        found = self.ids.get(key)
+        if found is None:
+            self.ids[key] = found = len(self.states)
             self.states.append(key)
-            if i >= len(self.next):
+            if found >= len(self.next):
                 more = len(self.next) // 2
                 self.next = np.concatenate([self.next, np.full((more, self.next.shape[1]), -1, np.int32)])
                 self.emit = np.concatenate([self.emit, np.zeros((more, self.emit.shape[1]), np.int8)])
                 self.final = np.concatenate([self.final, np.zeros(more, np.int16)])
-            self.final[i] = next(k for last, node, k in key if node == 0)
-        return self.ids[key]
+            self.final[found] = next(k for _, node, k in key if node == 0)
+        return found
 
-    def make(self, state: int, byte: int) -> None:
-        opened = []
+    def make(self, state: int, byte: int) -> tuple[int, int]:
+        """(state after the byte, tokens emitted): the least count of the open encodings moves to the transition."""
+        opened, child, tokens = [], self.child, self.token
         for last, node, k in self.states[state]:
-            to = self.child.get(node << 8 | byte)
+            to = child.get(node << 8 | byte)
             if to is None:
                 continue
             same = self.canonical(last, to) if self.below[to] else None
             if same is not None:
                 opened.append((same, to, k))
-            if self.token[to] >= 0 and self.fits(last, self.token[to]):
-                opened.append((self.token[to], 0, k + 1))
-        least = min(k for _, _, k in opened)
-        to = self.state(tuple(sorted((last, node, k - least) for last, node, k in opened)))
-        self.next[state, self.columns[byte]] = to
-        self.emit[state, self.columns[byte]] = least
+            token = tokens[to]
+            if token >= 0 and self.fits(last, token):
+                opened.append((token, 0, k + 1))
+        least = min([k for _, _, k in opened])
+        if least:
+            opened = [(last, node, k - least) for last, node, k in opened]
+        opened.sort()
+        return self.state(tuple(opened)), least
 
     def open_columns(self, data: np.ndarray) -> None:
         for byte in np.flatnonzero(np.bincount(data, minlength=256)):
@@ -229,31 +278,53 @@ class Counter:
                 self.columns[byte] = self.n_columns
                 self.n_columns += 1
 
-    def count(self, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        """Tokens of each run of bytes."""
-        if self.next.size > self.MOST:
-            self.reset()
-        self.open_columns(data)
-        order = np.argsort(-lengths, kind="stable")
-        begin, size = starts[order], lengths[order]
-        state, total = np.zeros(len(begin), np.int32), np.zeros(len(begin), np.int64)
+    def walk(self, data: np.ndarray, begin: np.ndarray, size: np.ndarray, entry: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Each chunk's map applied to the state that it is entered with: (state after it, tokens emitted)."""
+        order = np.argsort(-size.astype(np.int16), kind="stable")
+        begin, shrink = begin[order], -size[order]
+        state, total = entry[order].astype(np.int32), np.zeros(len(begin), np.int32)
         column = self.columns[data]
-        live = len(begin)
-        for k in range(int(size[0]) if live else 0):
-            live = int(np.searchsorted(-size, -k, "left"))
-            c = column[begin[:live] + k]
-            s = state[:live]
-            to = self.next[s, c]
+        for k in range(-int(shrink[0]) if len(shrink) else 0):
+            live = int(np.searchsorted(shrink, -k, "left"))
+            at, wide = begin[:live] + k, self.next.shape[1]
+            edge = state[:live].astype(np.int64) * wide + column[at]
+            to = self.next.ravel().take(edge)
             missing = np.flatnonzero(to < 0)
             if len(missing):
-                for s0, b0 in np.unique(np.stack([s[missing], data[begin[missing] + k]], axis=1), axis=0).tolist():
-                    self.make(s0, b0)
-                to = self.next[s, c]
-            total[:live] += self.emit[s, c]
+                new, back = np.unique(state[missing].astype(np.int64) << 8 | data[at[missing]], return_inverse=True)
+                made = [self.make(x >> 8, x & 255) for x in new.tolist()]
+                row, col = new >> 8, self.columns[new & 255]
+                self.next[row, col], self.emit[row, col] = [m[0] for m in made], [m[1] for m in made]
+                to[missing] = self.next[row, col][back]
+            total[:live] += self.emit.ravel().take(edge)
             state[:live] = to
-        out = np.empty(len(begin), np.int64)
-        out[order] = total + self.final[state]
-        return out
+        after, emitted = np.empty(len(begin), np.int32), np.empty(len(begin), np.int64)
+        after[order], emitted[order] = state, total
+        return after, emitted
+
+    def count(self, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """Tokens of each run of bytes between boundaries.
+
+        Runs are cut in chunks. A chunk behind a boundary has a constant map (state and count whatever came before);
+        all of these are found at once. Maps of later chunks of a long run compose in order: each is applied to the state that
+        the one before leaves. Counts add.
+        """
+        if self.next.size > self.MOST:
+            self.reset()
+        self.open_columns(data)
+        chunks = -(-lengths // CHUNK)
+        first = np.cumsum(chunks) - chunks
+        place = spread(np.zeros(len(chunks), np.int64), chunks)
+        begin = np.repeat(starts, chunks) + CHUNK * place
+        size = np.minimum(np.repeat(starts + lengths, chunks) - begin, CHUNK)
+        state, emitted = np.zeros(len(begin), np.int32), np.zeros(len(begin), np.int64)
+        order = np.argsort(place, kind="stable")
+        bounds = np.searchsorted(place[order], np.arange(int(chunks.max(initial=0)) + 1))
+        for a, b in zip(bounds[:-1], bounds[1:]):
+            now = order[a:b]
+            entry = state[now - 1] if a else state[now]
+            state[now], emitted[now] = self.walk(data, begin[now], size[now], entry)
+        return per_row(emitted, np.append(first, len(begin))) + self.final[state[first + chunks - 1]]
 
 
 class TokenCounter:
@@ -274,6 +345,7 @@ class TokenCounter:
         merges = {(vocab[raw(a)], vocab[raw(b)]): (rank, vocab[raw(a) + raw(b)]) for rank, (a, b) in enumerate(pairs)}
         self.added = sorted((t["content"].encode() for t in spec["added_tokens"]), key=len, reverse=True)
         self.classes, self.table, self.counter = class_table(), splitter_table(), Counter(vocab, merges)
+        self.flags = boundary_table(self.table)
 
     def count(self, piece: Texts) -> np.ndarray:
         """Tokens of each text of a piece."""
@@ -298,7 +370,7 @@ class TokenCounter:
         at, cp = code_points(data)
         classes = self.classes[np.where(data[at] == 0xFF, 0, cp)]
         classes[data[at] == 0xFF] = RESET
-        begins = at[boundaries(classes, scan_states(classes, self.table))]
+        begins = at[boundaries(scan_edges(classes, self.table), self.flags)]
         stops = np.flatnonzero(data == 0xFF)
         limit = stops[np.searchsorted(stops, begins)]
         to = np.minimum(np.append(begins[1:], len(data)), limit)

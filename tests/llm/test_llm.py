@@ -255,7 +255,32 @@ def test_scan_agrees_with_a_plain_walk():
     for c in classes:
         state = table[state, c]
         want.append(state)
-    assert (token_counts.scan_states(classes, table, 64) == want).all()
+    assert (table.ravel()[token_counts.scan_edges(classes, table, 64)] == want).all()
+
+
+def test_counter_borders_equal_encoding():
+    # The rule for borders against the merges themselves, on a vocabulary whose merges often compete.
+    rng = random.Random(7)
+    for _ in range(12):
+        vocab, merges = {bytes([b]): b for b in range(256)}, {}
+        while len(merges) < 25:
+            a, b = rng.choice([w for w in vocab if set(w) <= set(b"ab")]), rng.choice([w for w in vocab if set(w) <= set(b"ab")])
+            if len(a + b) <= 8 and a + b not in vocab:
+                merges[vocab[a], vocab[b]] = (len(merges), len(vocab))
+                vocab[a + b] = len(vocab)
+
+        def encode(word):
+            ids = list(word)
+            while found := min(((merges[p][0], k) for k, p in enumerate(zip(ids, ids[1:])) if p in merges), default=None):
+                ids[found[1] : found[1] + 2] = [merges[ids[found[1]], ids[found[1] + 1]][1]]
+            return ids
+
+        counter = token_counts.Counter(vocab, merges)
+        assert set(counter.right) == {i for w, i in vocab.items() if encode(w) == [i]}
+        words = ["".join(rng.choice("ab") for _ in range(rng.choice([1, 2, 3, 5, 9, 40, 300]))).encode() for _ in range(30)]
+        data = np.frombuffer(b"".join(words), np.uint8)
+        sizes = np.array([len(w) for w in words])
+        assert counter.count(data, np.cumsum(sizes) - sizes, sizes).tolist() == [len(encode(w)) for w in words]
 
 
 def test_merge_dropout(spark, edges, empty, docs):
