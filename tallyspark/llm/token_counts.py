@@ -160,7 +160,7 @@ class Counter:
         self.left = dict(self.right)
         absent: set[int] = set()
         for (a, b), (rank, made) in sorted(merges.items(), key=lambda m: m[1][0]):
-            absent |= {a, b} - self.right.keys()  # tokens that no text gives, so neither does this merge
+            absent.update(x for x in (a, b) if x not in self.right)  # tokens that no text gives, so neither does this merge
             # What a pair makes is a token of its own bytes unless another merge breaks the pair first.
             if not absent & {a, b} and made not in self.right and self.parts_stand(a, b, rank):
                 if made in absent:
