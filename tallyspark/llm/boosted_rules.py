@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from tallyspark.llm.folds import labelled_sample
 from tallyspark.llm.statistics import FEATURES, counts, features
-from tallyspark.llm.text_arrays import pieces
+from tallyspark.llm.text_arrays import map_texts, pieces
 
 TRAIN_ROWS = 20000
 #: More symbols, repeated words, repeated lines or capitals never help a text.
@@ -106,7 +106,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int
             x = features(counts(piece))
             yield pa.RecordBatch.from_arrays([*(pa.array(x[:, f]) for f in range(len(FEATURES))), piece.rows.column("label").cast(pa.int32())], [*FEATURES, "y"])
 
-    rows = labelled_sample(docs, labels, label, most).mapInArrow(run, ", ".join(f"{f} double" for f in FEATURES) + ", y int").limit(most).toArrow()
+    rows = map_texts(labelled_sample(docs, labels, label, most), run, ", ".join(f"{f} double" for f in FEATURES) + ", y int").limit(most).toArrow()
     x = np.stack([rows.column(f).to_numpy() for f in FEATURES], axis=1)
     y = rows.column("y").to_numpy().astype(np.float64)
     order = np.lexsort((y, *x.T))  # the same order however rows arrive
@@ -125,4 +125,4 @@ def judge(docs: DataFrame, trees: Trees, id_col: str = "doc_id", text_col: str =
             yield pa.RecordBatch.from_arrays([piece.rows.column("doc_id"), *(pa.array(c[k].astype(np.int64)) for k in ("n_words", *BASE)), pa.array(failed), pa.array(score), pa.array(~failed & (score >= threshold))], names)
 
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return base.mapInArrow(run, "doc_id long, n_words long, " + ", ".join(f"{k} long" for k in BASE) + ", base_failed boolean, score double, kept boolean")
+    return map_texts(base, run, "doc_id long, n_words long, " + ", ".join(f"{k} long" for k in BASE) + ", base_failed boolean, score double, kept boolean")

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyspark.llm.scratch import stored
-from tallyspark.llm.text_arrays import RunHash, Texts, pieces, row_of
+from tallyspark.llm.text_arrays import RunHash, Texts, map_texts, pieces, row_of
 
 LEAST = 5
 THRESHOLD = 0.6
@@ -202,7 +202,7 @@ def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), schema.types)], schema=schema)
 
-        return base.mapInArrow(run, "doc_id long, item_id long, n_tokens long, n_covered long, coverage double, tiles array<struct<item_start:int,doc_start:int,length:int>>")
+        return map_texts(base, run, "doc_id long, item_id long, n_tokens long, n_covered long, coverage double, tiles array<struct<item_start:int,doc_start:int,length:int>>")
 
     parts = item_blocks(benchmark, block_bytes=block_bytes)
     found = None
@@ -229,7 +229,7 @@ def without_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str =
                             keep[at[row]] = False
                 yield batch.filter(pa.array(keep))
 
-        return rows.mapInArrow(run, kinds)
+        return map_texts(rows, run, kinds)
 
     for part in item_blocks(benchmark, block_bytes=block_bytes):
         docs = against(docs, Items(part.toArrow(), least))

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from tallyspark.llm.folds import held_out, labelled_sample
 from tallyspark.llm.statistics import FEATURES, counts, features
-from tallyspark.llm.text_arrays import Texts, pieces, row_of
+from tallyspark.llm.text_arrays import Texts, map_texts, pieces, row_of
 
 #: Labelled documents that a model is fitted on at most.
 TRAIN_ROWS = 6000
@@ -132,7 +132,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int
             stats = lists(s.ravel(), np.arange(len(piece) + 1) * len(FEATURES)).cast(pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([lists(w.index.astype(np.int32), w.first).cast(pa.list_(pa.int32())), lists(w.value, w.first).cast(pa.list_(pa.float32())), stats, piece.rows.column("label").cast(pa.int32())], ["i", "x", "s", "y"])
 
-    rows = labelled_sample(docs, labels, label, most).mapInArrow(run, "i array<int>, x array<float>, s array<double>, y int").limit(most).toArrow().combine_chunks()
+    rows = map_texts(labelled_sample(docs, labels, label, most), run, "i array<int>, x array<float>, s array<double>, y int").limit(most).toArrow().combine_chunks()
     if not rows.num_rows:
         return fit(Sparse(np.zeros(0, np.int64), np.zeros(0, np.float32), np.zeros(1, np.int64)), np.zeros((0, len(FEATURES))), np.zeros(0))
     flat = lambda name: rows.column(name).combine_chunks().flatten().to_numpy(zero_copy_only=False)
@@ -153,7 +153,7 @@ def score(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: s
 
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *[F.col(c).alias(f"rest_{c}") for c in rest])
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
-    return base.mapInArrow(run, "doc_id long, score double" + "".join(f", `rest_{c}` {kinds[c]}" for c in rest))
+    return map_texts(base, run, "doc_id long, score double" + "".join(f", `rest_{c}` {kinds[c]}" for c in rest))
 
 
 def classify(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int = TRAIN_ROWS) -> DataFrame:

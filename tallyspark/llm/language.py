@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyspark.llm.folds import held_out, labelled_sample
-from tallyspark.llm.text_arrays import Texts, per_row, pieces, spread
+from tallyspark.llm.text_arrays import Texts, map_texts, per_row, pieces, spread
 
 SEGMENT = 64
 HIDDEN = 8
@@ -214,7 +214,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
                 at = first[good] + (each[good] * (2 * k + 1)) // (2 * TRAIN_SEGMENTS)
                 yield pa.RecordBatch.from_arrays([pa.array([row.tobytes() for row in codes[at]], pa.binary()), piece.rows.column("label").take(pa.array(good))], ["codes", "label"])
 
-    rows = labelled_sample(base, base.filter("text is not null"), "lang", most).mapInArrow(run, "codes binary, label string").limit(TRAIN_SEGMENTS * most).toArrow()
+    rows = map_texts(labelled_sample(base, base.filter("text is not null"), "lang", most), run, "codes binary, label string").limit(TRAIN_SEGMENTS * most).toArrow()
     if not rows.num_rows:
         return None
     labels = rows.column("label").to_pylist()
@@ -238,5 +238,5 @@ def predict(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_c
             yield pa.RecordBatch.from_arrays([piece.rows.column("doc_id"), pa.array(languages, pa.string()), pa.array(score)], ["doc_id", "lang_pred", "score"])
 
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    found = base.mapInArrow(run, "doc_id long, lang_pred string, score double")
+    found = map_texts(base, run, "doc_id long, lang_pred string, score double")
     return found.select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score")

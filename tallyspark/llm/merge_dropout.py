@@ -25,7 +25,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.llm.text_arrays import RunHash, Texts, code_points, mix, pieces, spread
+from tallyspark.llm.text_arrays import RunHash, Texts, code_points, map_texts, mix, pieces, spread
 
 BLANK = 0x2581
 LONG = 64
@@ -318,7 +318,7 @@ def encode(docs: DataFrame, model_path: str, rate: float = 0.1, seed: int = 1, i
             lists = pa.LargeListArray.from_arrays(pa.array(first.astype(np.int64)), pa.array(ids.astype(np.int32))).cast(pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([piece.rows.column("doc_id"), lists, pa.array(same)], ["doc_id", "ids", "lossless"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, ids array<int>, lossless boolean")
+    return map_texts(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), run, "doc_id long, ids array<int>, lossless boolean")
 
 
 def decode(encoded: DataFrame, model_path: str) -> DataFrame:
@@ -333,4 +333,4 @@ def decode(encoded: DataFrame, model_path: str) -> DataFrame:
             raw = data.tobytes()
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([raw[a:b] for a, b in zip(offsets, offsets[1:])], pa.binary()).cast(pa.string())], ["doc_id", "text"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
+    return map_texts(encoded.select("doc_id", "ids"), run, "doc_id long, text string")

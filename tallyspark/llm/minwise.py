@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from tallyspark.llm.components import connected_components
 from tallyspark.llm.scratch import stored
-from tallyspark.llm.text_arrays import RunHash, Texts, mix, pieces
+from tallyspark.llm.text_arrays import RunHash, Texts, map_texts, mix, pieces
 
 BANDS, ROWS = 25, 6
 #: Leaders of a large bucket, by round.
@@ -84,7 +84,7 @@ def shingle_sets(docs: DataFrame, shingle: int = 5) -> DataFrame:
             ]
             yield pa.RecordBatch.from_arrays(columns, ["uid", "doc_id", "s", "n", "bands", "shingles"])
 
-    return docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, SETS)
+    return map_texts(docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long"), F.col("text").cast("string")), run, SETS)
 
 
 def _verified(pairs: DataFrame, held: DataFrame, similarity: float) -> DataFrame:

@@ -3,19 +3,21 @@
 A window is ``length`` consecutive words.  Each window picks an anchor: the least of the
 hashes of its ``gram``-word runs (winnowing), so equal windows pick equal anchors.  A document's
 anchors come with the longest extension both ways whose windows all picked them.
-Documents meet on anchors, never in pairs:
+Documents are joined on anchors that stand in two places or more; of an anchor's places those of one
+extension are one side of the comparison, however many they are, so no pairs are made:
 
-1. Occurrences are counted by (anchor, hash of the extended text).  An extension that stands
+1. Places are counted by (anchor, hash of the extended text).  An extension that stands
    in two places is repeated as a whole.
-2. Where an anchor has several different extensions, each text of them gives its windows
-   once, with its number of places; a window found twice is repeated.
-3. Repeated windows of a document merge to its maximal repeats.
+2. Where an anchor has several different extensions, one place of each is read again and the extensions are
+   compared on both sides of the anchor, as far as windows around it reach: a window that two of them share is repeated.
+3. Repeated windows of a document merge to its maximal repeats, see ``repeated_spans``.
 
-Counting is all that happens per anchor, so a passage in a third of all documents costs rows
-in proportion to its occurrences, combined before the shuffle.
+A passage in a third of all documents costs rows in proportion to its places: sums are combined before
+the shuffle, and both sides of each join on anchors or windows are shuffled for the join alone, so that Spark can split a common key.
 
 Defined results: null or empty text has no words; a text shorter than the window has no window;
-rows repeated under one id each count as a place; an empty table gives no rows; other columns pass unread.
+rows repeated under one id each count as a place; equal documents all lose what they share; an empty table gives no rows; a null id
+stays null; a text of any length is read whole, in memory of about 100 times its bytes; other columns pass unread, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyspark.llm.scratch import stored
-from tallyspark.llm.text_arrays import RunHash, Texts, mix, pieces, row_of, spread
+from tallyspark.llm.text_arrays import RunHash, Texts, map_texts, mix, per_row, pieces, row_of, spread
 
 #: A packed run is first window << SHIFT | number of windows.
 SHIFT = 12
@@ -81,7 +83,7 @@ def _anchors(docs: DataFrame, length: int, gram: int) -> DataFrame:
             ids, keys = piece.rows.column("doc_id").take(pa.array(owner)), piece.rows.column("tkey").take(pa.array(owner))
             yield pa.RecordBatch.from_arrays([ids, keys, pa.array(anchor), pa.array(text), pa.array(begin << SHIFT | size)], ["doc_id", "tkey", "anchor", "ext", "run"])
 
-    return docs.mapInArrow(run, "doc_id long, tkey int, anchor long, ext long, run long")
+    return map_texts(docs, run, "doc_id long, tkey int, anchor long, ext long, run long")
 
 
 def _unpacked(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -116,65 +118,110 @@ def _windows(joined: DataFrame, length: int) -> DataFrame:
                     ["w1", "w2", "alone", "doc_id", "tkey", "start"],
                 )
 
-    return joined.mapInArrow(run, "w1 long, w2 long, alone boolean, doc_id long, tkey int, start long")
+    return map_texts(joined, run, "w1 long, w2 long, alone boolean, doc_id long, tkey int, start long")
 
 
 def repeated_runs(docs: DataFrame, length: int = 35, gram: int = 8) -> DataFrame:
     """(doc_id, tkey, runs): packed runs of repeated windows by document; ``docs`` has doc_id, text and tkey."""
+    if not 0 < gram <= length or length - gram + 1 >= 1 << SHIFT:
+        raise ValueError(f"gram is from 1 to length, and a window has fewer than {1 << SHIFT} grams")
     key = ["anchor", "ext"]
     anchors = stored(_anchors(docs, length, gram), "repeats-anchors")
     # Most anchors stand in one place only; they go before anything else is shuffled with them.
-    found_again = anchors.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor")
-    shared = stored(anchors.join(found_again, "anchor", "left_semi"), "repeats-shared")
-    texts = shared.groupBy(*key).agg(F.count("*").alias("places"), F.min(F.struct("doc_id", "tkey", "run")).alias("at"))
-    met = stored(texts, "repeats-texts")
-    several = met.groupBy("anchor").agg(F.count("*").alias("kinds")).filter("kinds > 1").select("anchor")
-    whole = shared.join(met.filter("places > 1").select(*key), key).select("doc_id", "tkey", "run")
-
-    open_runs = met.join(several, "anchor").select("at.doc_id", "at.tkey", "at.run", (F.col("places") == 1).alias("alone"))
+    met = anchors.groupBy("anchor").agg(F.count("*").alias("n"), F.min("ext").alias("lo"), F.max("ext").alias("hi")).filter("n > 1")
+    met = stored(met.select("anchor", (F.col("lo") != F.col("hi")).alias("several")), "repeats-met")
+    shared = stored(anchors.join(met, "anchor"), "repeats-shared")
+    texts = stored(shared.groupBy(*key).agg(F.count("*").alias("places"), F.max("several").alias("several"), F.min(F.struct("doc_id", "tkey", "run")).alias("at")), "repeats-texts")
+    whole = shared.join(texts.filter("places > 1").select(*key), key).select("doc_id", "tkey", "run")
+
+    open_runs = texts.filter("several").select("at.doc_id", "at.tkey", "at.run", (F.col("places") == 1).alias("alone"))
     by_doc = open_runs.groupBy("doc_id", "tkey").agg(F.collect_list(F.struct("run", "alone")).alias("r")).select("doc_id", "tkey", F.col("r.run").alias("runs"), F.col("r.alone").alias("singles"))
     # A row repeated under one id and text has its twin as another place, so one of them is enough here.
     once = docs.join(by_doc, docs.doc_id.eqNullSafe(by_doc.doc_id) & (docs.tkey == by_doc.tkey)).select(docs.doc_id, docs.tkey, "text", "runs", "singles")
     windows = stored(_windows(once, length), "repeats-windows")
-    twice = windows.groupBy("w1", "w2").agg((F.max(F.when(~F.col("alone"), 1).otherwise(0)) * 2 + F.count_if("alone")).alias("places")).filter("places > 1").select("w1", "w2")
-    parts = windows.filter("alone").join(twice, ["w1", "w2"]).select("doc_id", "tkey", (F.shiftleft("start", SHIFT) + 1).alias("run"))
+    twice = windows.groupBy("w1", "w2").agg((F.max(F.when(~F.col("alone"), 1).otherwise(0)) * 2 + F.count_if("alone")).alias("places")).filter("places > 1")
+    parts = windows.filter("alone").join(stored(twice.select("w1", "w2"), "repeats-twice"), ["w1", "w2"]).select("doc_id", "tkey", (F.shiftleft("start", SHIFT) + 1).alias("run"))
     return whole.unionByName(parts).groupBy("doc_id", "tkey").agg(F.collect_list("run").alias("runs"))
 
 
-def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 35, gram: int = 8, rest: tuple[str, ...] = ()) -> DataFrame:
-    """A row for each document: doc_id, n_words, n_removed, kept (the words left, joined by one space) and the columns in ``rest``.
-
-    Each word that a repeated window covers is removed; what is repeated is judged on the input.
-    """
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), *[F.col(c).alias(f"rest_{c}") for c in rest])
+def _joined(docs: DataFrame, id_col: str, text_col: str, length: int, gram: int, rest: tuple[str, ...] = ()) -> DataFrame:
+    """Documents (doc_id, text, rest_...) with the packed runs of their repeated windows."""
+    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *[F.col(f"`{c}`").alias(f"rest_{c}") for c in rest])
     base = base.withColumn("tkey", F.hash("text"))
     found = repeated_runs(base.select("doc_id", "tkey", "text"), length, gram)
-    joined = base.join(found, base.doc_id.eqNullSafe(found.doc_id) & (base.tkey == found.tkey), "left").select(base.doc_id, "text", "runs", *[f"rest_{c}" for c in rest])
+    return base.join(found, base.doc_id.eqNullSafe(found.doc_id) & (base.tkey == found.tkey), "left").select(base.doc_id, "text", "runs", *[f"`rest_{c}`" for c in rest])
+
+
+def _gone(piece: Texts, length: int) -> np.ndarray:
+    """Whether a repeated window covers each word of a piece with ``runs``."""
+    starts, _, first = piece.words()
+    packed, offsets = _unpacked(piece.rows.column("runs"))
+    begin = first[row_of(offsets)] + (packed >> SHIFT)
+    edge = np.zeros(len(starts) + 1, np.int64)
+    np.add.at(edge, begin, 1)
+    np.add.at(edge, begin + (packed & ((1 << SHIFT) - 1)) + length - 1, -1)
+    return np.cumsum(edge)[:-1] > 0
+
+
+def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 35, gram: int = 8) -> DataFrame:
+    """(doc_id, first_word, n_words): a row for each maximal run of words that repeated windows cover."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in pieces(batches, "text"):
+            _, _, first = piece.words()
+            gone = np.concatenate([[False], _gone(piece, length), [False]])
+            heads = np.zeros(len(gone), bool)
+            heads[first] = True  # a span ends with its text
+            begin = np.flatnonzero(gone[1:-1] & (~gone[:-2] | heads[:-2]))
+            stop = np.flatnonzero(gone[1:-1] & (~gone[2:] | heads[1:-1])) + 1
+            owner = np.searchsorted(first, begin, "right") - 1
+            yield pa.RecordBatch.from_arrays([piece.rows.column("doc_id").take(pa.array(owner)), pa.array(begin - first[owner]), pa.array(stop - begin)], ["doc_id", "first_word", "n_words"])
+
+    return map_texts(_joined(docs, id_col, text_col, length, gram), run, "doc_id long, first_word long, n_words long")
+
+
+def _cut(docs: DataFrame, id_col: str, text_col: str, length: int, gram: int, rest: tuple[str, ...] = (), layout: bool = False) -> DataFrame:
+    """doc_id, n_words, n_removed, kept and rest_...; with ``layout`` a text that loses nothing stays as it is."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batches, "text"):
             starts, ends, first = piece.words()
-            packed, offsets = _unpacked(piece.rows.column("runs"))
-            owner = row_of(offsets)
-            begin = first[owner] + (packed >> SHIFT)
-            edge = np.zeros(len(starts) + 1, np.int64)
-            np.add.at(edge, begin, 1)
-            np.add.at(edge, begin + (packed & ((1 << SHIFT) - 1)) + length - 1, -1)
-            gone = np.cumsum(edge)[:-1] > 0
-            raw, keep = piece.data.tobytes(), ~gone
-            kept, removed = [], []
+            gone = _gone(piece, length)
+            removed = per_row(gone, first)
+            raw, keep, whole = piece.data.tobytes(), ~gone, piece.rows.column("text")
+            kept = []
             for k in range(len(piece)):
                 a, b = int(first[k]), int(first[k + 1])
-                if a == b:
+                if layout and not removed[k]:
+                    kept.append(raw[piece.offsets[k] : piece.offsets[k + 1]] if whole[k].is_valid else None)
+                elif a == b:
                     kept.append(b"")
-                elif keep[a:b].all():
+                elif not removed[k]:
                     kept.append(b" ".join(raw[starts[a] : ends[b - 1]].split()))
                 else:
                     words = raw[starts[a] : ends[b - 1]].split()
                     kept.append(b" ".join([words[i] for i in np.flatnonzero(keep[a:b]).tolist()]))
-                removed.append(int(gone[a:b].sum()))
             arrays = [piece.rows.column("doc_id"), pa.array(np.diff(first)), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())]
-            yield pa.RecordBatch.from_arrays([*arrays, *[piece.rows.column(f"rest_{c}") for c in rest]], ["doc_id", "n_words", "n_removed", "kept", *rest])
+            yield pa.RecordBatch.from_arrays([*arrays, *[piece.rows.column(f"rest_{c}") for c in rest]], ["doc_id", "n_words", "n_removed", "kept", *[f"rest_{c}" for c in rest]])
 
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
-    return joined.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept string" + "".join(f", `{c}` {kinds[c]}" for c in rest))
+    return map_texts(_joined(docs, id_col, text_col, length, gram, rest), run, "doc_id long, n_words long, n_removed long, kept string" + "".join(f", `rest_{c}` {kinds[c]}" for c in rest))
+
+
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 35, gram: int = 8) -> DataFrame:
+    """A row for each document: doc_id, n_words, n_removed, kept (the words left, joined by one space).
+
+    Each word that a repeated window covers is removed; what is repeated is judged on the input.
+    """
+    return _cut(docs, id_col, text_col, length, gram)
+
+
+def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 35, gram: int = 8, chars_col: str = "n_chars") -> DataFrame:
+    """Rows of ``docs`` under its columns, whose texts lack what is repeated; ``chars_col``, if there is one, follows.
+
+    A text that loses nothing stays as it is, white space and null included.
+    """
+    rest = tuple(c for c in docs.columns if c != text_col)
+    cut = _cut(docs, id_col, text_col, length, gram, rest, layout=True)
+    column = lambda c: F.col("kept") if c == text_col else F.when(F.col("n_removed") > 0, F.char_length("kept")).otherwise(F.col(f"`rest_{c}`")) if c == chars_col else F.col(f"`rest_{c}`")
+    return cut.select(*[column(c).cast(docs.schema[c].dataType).alias(c) for c in docs.columns])

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from tallyspark.llm.components import connected_components
 from tallyspark.llm.minwise import similar_documents
 from tallyspark.llm.scratch import stored
-from tallyspark.llm.text_arrays import Texts, pieces
+from tallyspark.llm.text_arrays import Texts, map_texts, pieces
 
 BITS = 64
 #: Shingles whose bits are spread out at once.
@@ -80,7 +80,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for piece in pieces(batches, "text", 1 << 20):
             yield pa.RecordBatch.from_arrays([piece.rows.column("doc_id"), pa.array(text_fingerprints(piece, shingle).view(np.int64))], ["doc_id", "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return map_texts(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), run, "doc_id long, fp long")
 
 
 def pivot_fingerprints(n: int, seed: int = 7) -> list[int]:

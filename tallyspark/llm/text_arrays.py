@@ -6,12 +6,16 @@ of bytes outside ``\\x20 \\x09-\\x0D``; null texts count as empty.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+import re
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 
+#: Bytes of an Arrow batch sent to a Python worker. Spark's own bound is 64 MiB, which a task holds several times over.
+BATCH_BYTES = 4 << 20
 #: A piece of a batch ends once it has this many bytes of text; a longer text is a piece of its own.
 PIECE_BYTES = 2 << 20
 
@@ -116,6 +120,18 @@ def pieces(batches: Iterable[pa.RecordBatch], text: str, limit: int = PIECE_BYTE
             at = to
 
 
+def map_texts(df: DataFrame, run: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """``mapInArrow`` in batches of at most about BATCH_BYTES, or of a single text where that is longer.
+
+    Sets the session's bound, as plans read it when they run; a smaller bound set before stays.
+    """
+    name, conf = "spark.sql.execution.arrow.maxBytesPerBatch", df.sparkSession.conf
+    number, unit = re.fullmatch(r"(-?[0-9]+)([a-z]?)[a-z]*", conf.get(name).lower()).groups()
+    if not 0 < int(number) << 10 * "bkmgtp".find(unit or "b") <= BATCH_BYTES:
+        conf.set(name, f"{BATCH_BYTES}b")
+    return df.mapInArrow(run, schema)
+
+
 def per_row(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Sums of ``values`` over each row's range first[i]..first[i+1], empty ranges included."""
     sums = np.zeros(len(values) + 1, np.int64 if values.dtype.kind in "iub" else np.float64)

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.llm.text_arrays import Texts, code_points, per_row, pieces, spread
+from tallyspark.llm.text_arrays import Texts, code_points, map_texts, per_row, pieces, spread
 
 # Classes of characters. R, V, L, E and the finals s t m d matter in English contractions only.
 LETTER, FINAL, R, V, L, E, NUMBER, SPACE, WHITE, OTHER, QUOTE, CONT, RESET = range(13)
@@ -390,4 +390,4 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
         for piece in pieces(batches, "text", 4 << 20):
             yield pa.RecordBatch.from_arrays([piece.rows.column("doc_id"), pa.array(np.diff(piece.offsets)), pa.array(_COUNTERS[tokenizer_path].count(piece))], ["doc_id", "n_bytes", "n_tokens"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, n_bytes long, n_tokens long")
+    return map_texts(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), run, "doc_id long, n_bytes long, n_tokens long")

@@ -30,6 +30,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyspark.llm.text_arrays import map_texts
+
 DICTIONARY_MAGIC = 0x184D2A5D
 DICTIONARY_BYTES = 64 << 10
 #: Raw bytes of records that an archive's dictionary is built from, and raw bytes that end an archive.
@@ -185,7 +187,7 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
         if archive is not None:
             yield finish()
 
-    return marked.mapInArrow(run, "path string, records long, raw_bytes long, bytes long")
+    return map_texts(marked, run, "path string, records long, raw_bytes long, bytes long")
 
 
 def read_archives(manifest: DataFrame, folder: str, parts: int | None = None) -> DataFrame:

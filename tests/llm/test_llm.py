@@ -229,6 +229,22 @@ def test_repeats_match_brute_force(spark, edges, empty, docs):
     assert sorted(short, key=str) == brute_repeats(rows[-60:], 6)
 
 
+def test_repeated_spans_and_cut_texts(spark, edges, empty):
+    passage = " ".join(f"p{i}" for i in range(40))
+    rows = [(1, f"a  b\n{passage} c", 7), (2, f"{passage}", 7), (3, f"{passage} {passage}", 7), (4, " as \t it was ", 7), (5, None, 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars int")
+    spans = sorted((r.doc_id, r.first_word, r.n_words) for r in repeats.repeated_spans(docs).collect())
+    assert spans == [(1, 2, 40), (2, 0, 40), (3, 0, 80)]
+    cut = {r.doc_id: (r.text, r.n_chars) for r in repeats.cut_repeats(docs).collect()}
+    assert cut == {1: ("a b c", 5), 2: ("", 0), 3: ("", 0), 4: (" as \t it was ", 7), 5: (None, 7)}
+    kept = repeats.cut_repeats(edges)
+    assert kept.schema.simpleString() == edges.schema.simpleString() and kept.count() == len(EDGES)
+    assert repeats.cut_repeats(empty).count() == repeats.repeated_spans(empty).count() == 0
+    for length, gram in ((5, 6), (5000, 3)):
+        with pytest.raises(ValueError):
+            repeats.without_repeats(docs, length=length, gram=gram)
+
+
 def test_token_counts_equal_the_library(spark, edges, empty, docs):
     from tokenizers import Tokenizer
 
