@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tallyspark.llm import decontamination, factorisation, merge_dropout, repeats, simhash
 from tallyspark.llm.queries import table, tokenizer
@@ -21,10 +20,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Words in passages that repeat are taken out of the text; a text that loses none stays as it is."""
-    cut = repeats.without_repeats(docs.withColumn("whole", F.col("text")), length=35, rest=("whole", "lang", "source", "n_chars"))
-    text = F.when(F.col("n_removed") == 0, F.col("whole")).otherwise(F.col("kept"))
-    return cut.select("doc_id", text.alias("text"), "lang", "source", F.when(F.col("n_removed") == 0, F.col("n_chars")).otherwise(F.char_length("kept")).cast("long").alias("n_chars"))
+    """Words in passages of 35 words or more that repeat are taken out of the text; a text that loses none stays as it is."""
+    return repeats.cut_repeats(docs, length=35)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
