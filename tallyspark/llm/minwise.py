@@ -8,20 +8,23 @@ would hold a large part of a corpus each.
 A text's words are lower-cased (A-Z); its set holds its distinct shingles (fewer words than
 a shingle: the whole sequence; no word: the empty set).  Equal sets count as one text.
 Two sets share one of 25 bands of 6 min-wise hashes with probability 1 - (1 - s**6)**25,
-0.9995 at similarity s = 0.8.  Bands are worked in three steps:
-
-* Star: each text meets the least of its bucket, so a group of copies of any size costs
-  its own length.  Candidates are verified on the whole sets, as 32-bit shingle hashes.
-* Buckets of at most ``bucket_rows`` texts that still hold several components: all pairs
-  across components.
-* Larger ones: two rounds in which each text meets the 8, then 64 leaders of its bucket that are of
-  other components.  Texts of buckets that still hold several components then go through a join on early
+0.9995 at similarity s = 0.8; only pairs that share none are never compared.  Bands are worked in two steps:
+
+* Star: each text meets the leaders of its bucket, at most 8 of them, so a group of copies of any size costs
+  its own length.  Candidates are verified on the whole sets.
+* Texts of buckets that still hold several components go through one join on early
   shingles (prefix, position and length filters), which meets every similar pair across components.
+
+Every document's bands are kept, but whole sets only of texts that share a bucket.
+
+Defined results: null and empty texts have the empty set and are equal to each other; rows repeated under one id are one
+document; a null id gives no edge; an empty table gives none; other columns are not read; a set holds all shingles of a
+text, however long.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,10 +36,8 @@ from tallyspark.llm.scratch import stored
 from tallyspark.llm.text_arrays import RunHash, Texts, map_texts, mix, pieces
 
 BANDS, ROWS = 25, 6
-#: Leaders of a large bucket, by round.
-LEADERS = (8, 64)
-
-SETS = "uid long, doc_id long, s long, n int, bands array<long>, shingles array<int>"
+#: Texts of a bucket that all others of it meet.
+LEADERS = 8
 
 
 def _lists(flat: np.ndarray, sizes: np.ndarray) -> pa.Array:
@@ -67,24 +68,37 @@ def band_keys(flat: np.ndarray, sizes: np.ndarray, seed: int = 11) -> np.ndarray
     return keys
 
 
-def shingle_sets(docs: DataFrame, shingle: int = 5) -> DataFrame:
-    """A row per document: s names its set, n is the set's size; ``bands`` is empty for an empty set."""
+def _named(piece: Texts, shingle: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Shingle hashes and sizes of a piece's sets, and a name of each set."""
+    flat, sizes = text_sets(piece, shingle)
+    some, name = sizes > 0, np.zeros(len(piece), np.uint64)
+    if some.any():
+        name[some] = mix(np.add.reduceat(mix(flat), (np.cumsum(sizes) - sizes)[some]) + sizes[some].astype(np.uint64))
+    return flat, sizes, name.view(np.int64)
+
+
+def signatures(docs: DataFrame, shingle: int = 5) -> DataFrame:
+    """(doc_id, s, n, bands) of each row of (doc_id, text): the set's name, its size and band keys, none for an empty set."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batches, "text", 1 << 20):
-            flat, sizes = text_sets(piece, shingle)
-            some, name = sizes > 0, np.zeros(len(piece), np.uint64)
-            keys = np.zeros((0, BANDS), np.uint64)
-            if some.any():
-                keys = band_keys(flat, sizes)
-                name[some] = mix(np.add.reduceat(mix(flat), (np.cumsum(sizes) - sizes)[some]) + sizes[some].astype(np.uint64))
-            columns = [
-                piece.rows.column("uid"), piece.rows.column("doc_id"), pa.array(name.view(np.int64)), pa.array(sizes.astype(np.int32)),
-                _lists(keys.view(np.int64).ravel(), np.where(some, BANDS, 0)), _lists(flat.astype(np.uint32).view(np.int32), sizes),
-            ]
-            yield pa.RecordBatch.from_arrays(columns, ["uid", "doc_id", "s", "n", "bands", "shingles"])
+            flat, sizes, name = _named(piece, shingle)
+            keys = band_keys(flat, sizes) if len(flat) else np.zeros((0, BANDS), np.uint64)
+            columns = [piece.rows.column("doc_id"), pa.array(name), pa.array(sizes.astype(np.int32)), _lists(keys.view(np.int64).ravel(), np.where(sizes > 0, BANDS, 0))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "s", "n", "bands"])
 
-    return map_texts(docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long"), F.col("text").cast("string")), run, SETS)
+    return map_texts(docs, run, "doc_id long, s long, n int, bands array<long>")
+
+
+def whole_sets(docs: DataFrame, shingle: int = 5) -> DataFrame:
+    """(s, shingles), once for each set of (doc_id, text) rows."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in pieces(batches, "text", 1 << 20):
+            flat, sizes, name = _named(piece, shingle)
+            yield pa.RecordBatch.from_arrays([pa.array(name), _lists(flat.view(np.int64), sizes)], ["s", "shingles"])
+
+    return map_texts(docs, run, "s long, shingles array<long>").groupBy("s").agg(F.first("shingles").alias("shingles"))
 
 
 def _verified(pairs: DataFrame, held: DataFrame, similarity: float) -> DataFrame:
@@ -101,24 +115,6 @@ def _long_enough(similarity: float) -> Column:
     return F.least("n", "other_n") >= similarity * F.greatest("n", "other_n")
 
 
-def _leaders(rows: DataFrame, k: int) -> DataFrame:
-    """A text of each of ``k`` shares of every bucket: that of least name, or in later rounds that of least hash with the bucket's key, so that buckets differ in their leaders."""
-    carried = [c for c in ("root",) if c in rows.columns]
-    least = rows.groupBy("key", F.pmod(F.xxhash64("s"), F.lit(k)).alias("share")).agg(F.min(F.struct(*([F.xxhash64("key", "s").alias("order")] if k > 1 else []), "s", "n", *carried)).alias("l"))
-    return least.select("key", F.col("l.s").alias("other"), F.col("l.n").alias("other_n"), *[F.col(f"l.{c}").alias(f"other_{c}") for c in carried])
-
-
-def _still_mixed(rows: DataFrame, links: DataFrame) -> DataFrame:
-    """Bucket rows under the roots that ``links`` leave, of buckets that hold several roots."""
-    named = rows.select("s", "root").distinct()
-    of = lambda c, to: links.join(named.select(F.col("s").alias(c), F.col("root").alias(to)), c)
-    ends = of("a", "ra").join(of("b", "rb"), ["a", "b"]).select(F.col("ra").alias("a"), F.col("rb").alias("b"))
-    moved = connected_components(ends, "a", "b").select(F.col("node").alias("root"), F.col("root").alias("to"))
-    rows = stored(rows.join(moved, "root", "left").withColumn("root", F.coalesce("to", "root")).drop("to"), "minwise-rooted")
-    mixed = rows.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("key")
-    return stored(rows.join(mixed, "key"), "minwise-mixed")
-
-
 def _prefix_pairs(texts: DataFrame, similarity: float) -> DataFrame:
     """Pairs (a, b) of texts (s, root, shingles) of different roots that hold every pair of that similarity.
 
@@ -129,7 +125,7 @@ def _prefix_pairs(texts: DataFrame, similarity: float) -> DataFrame:
     texts = texts.select("s", "root", F.array_distinct("shingles").alias("shingles")).withColumn("n", F.size("shingles"))
     each = stored(texts.select("s", "root", "n", F.explode("shingles").alias("t")), "minwise-shingles")
     # Shingles of a single root come first and meet nothing, so their number is enough.
-    roots = each.select("t", "root").distinct().groupBy("t").agg(F.count("*").alias("roots")).filter("roots > 1")
+    roots = stored(each.select("t", "root").distinct().groupBy("t").agg(F.count("*").alias("roots")).filter("roots > 1"), "minwise-shared")
     listed = each.join(roots, "t").groupBy("s", "root", "n").agg(F.sort_array(F.collect_list(F.struct("roots", "t"))).alias("l"))
     rest = F.size("l") - F.col("at")
     early = listed.select("s", "root", "n", F.posexplode("l").alias("at", "e"), "l").select("s", "root", "n", F.col("e.t").alias("t"), rest.alias("rest"))
@@ -143,52 +139,36 @@ def _prefix_pairs(texts: DataFrame, similarity: float) -> DataFrame:
     return met.filter(longer & enough).select(F.col("s").alias("a"), "b")
 
 
-def similar_links(sets: DataFrame, named: DataFrame, similarity: float = 0.8, bucket_rows: int = 64) -> DataFrame:
-    """Edges (a, b) between set names; see the module's text for what is met."""
+def similar_links(named: DataFrame, sets_of: Callable[[DataFrame], DataFrame], similarity: float = 0.8) -> DataFrame:
+    """Edges (a, b) between names of (s, n, bands); ``sets_of`` gives (s, shingles) of a frame of names."""
     keyed = named.select("s", "n", F.explode("bands").alias("key"))
-    met = keyed.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1").select("key")
-    rows = stored(keyed.join(met, "key"), "minwise-rows")
-    # Whole sets of texts that share a bucket are shuffled once, for all rounds.
-    needed = rows.select("s").distinct().join(named.select("s", "rep"), "s")
-    held = stored(sets.select("uid", "shingles").join(needed, F.col("uid") == F.col("rep")).select("s", "shingles"), "minwise-sets")
-    star = rows.join(_leaders(rows, 1), "key").filter(_long_enough(similarity))
-    found = _verified(star.select(F.col("s").alias("a"), F.col("other").alias("b")), held, similarity)
+    # The least text of each share of a bucket leads it; shares are by name, so copies in several buckets have leaders in common.
+    least = [F.min(F.when(F.pmod("s", F.lit(LEADERS)) == k, F.struct("s", "n"))) for k in range(LEADERS)]
+    met = keyed.groupBy("key").agg(F.count("*").alias("size"), F.array_compact(F.array(*least)).alias("leaders")).filter("size > 1")
+    rows = stored(keyed.join(stored(met.select("key", "leaders"), "minwise-buckets"), "key"), "minwise-rows")
+    held = stored(sets_of(stored(rows.select("s").distinct(), "minwise-names")), "minwise-sets")
+    star = rows.select("s", "n", F.explode("leaders").alias("l")).select("s", "n", F.col("l.s").alias("other"), F.col("l.n").alias("other_n"))
+    found = _verified(star.filter(_long_enough(similarity)).select(F.col("s").alias("a"), F.col("other").alias("b")), held, similarity)
 
     roots = connected_components(found, "a", "b").select(F.col("node").alias("s"), "root")
-    rooted = stored(rows.join(roots, "s", "left").withColumn("root", F.coalesce("root", "s")), "minwise-rooted")
-    mixed = rooted.groupBy("key").agg(F.count("*").alias("size"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi")
-    split = stored(rooted.join(mixed.select("key", "size"), "key"), "minwise-mixed")
-    small = split.filter(F.col("size") <= bucket_rows)
-    other = small.select("key", F.col("s").alias("other"), F.col("n").alias("other_n"), F.col("root").alias("other_root"))
-    across = small.join(other, "key").filter((F.col("s") > F.col("other")) & (F.col("root") != F.col("other_root")) & _long_enough(similarity))
-    links = [found, _verified(across.select(F.col("s").alias("a"), F.col("other").alias("b")), held, similarity)]
-
-    # Leaders join what is easily joined, so that few components are left for the exact route.
-    large = split.filter(F.col("size") > bucket_rows).drop("size")
-    for k in LEADERS:
-        if large.isEmpty():
-            break
-        tried = large.join(_leaders(large, k), "key").filter((F.col("root") != F.col("other_root")) & _long_enough(similarity))
-        links.append(_verified(tried.select(F.col("s").alias("a"), F.col("other").alias("b")), held, similarity))
-        large = _still_mixed(large, links[-1])
-    if not large.isEmpty():
-        links.append(_verified(_prefix_pairs(large.select("s", "root").distinct().join(held, "s"), similarity), held, similarity))
-    out = links[0]
-    for more in links[1:]:
-        out = out.unionByName(more)
-    return out.distinct()
-
-
-def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, bucket_rows: int = 64) -> DataFrame:
-    """Edges (a, b) of document ids, a > b, that connect documents whose sets are equal or similar.
-
-    Rows without id give no edge; an empty table none.  Texts without a word are equal.
-    """
-    sets = stored(shingle_sets(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), shingle), "minwise-texts")
-    kept = [F.first(c).alias(c) for c in ("n", "bands")]
-    named = stored(sets.filter("doc_id is not null").groupBy("s").agg(F.min("doc_id").alias("least"), F.min("uid").alias("rep"), *kept), "minwise-named")
-    equal = sets.select("doc_id", "s").join(named.select("s", "least"), "s").filter("doc_id > least").select(F.col("doc_id").alias("a"), F.col("least").alias("b"))
+    rooted = stored(rows.select("s", "key").join(roots, "s", "left").withColumn("root", F.coalesce("root", "s")), "minwise-rooted")
+    mixed = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("key")
+    across = rooted.join(stored(mixed, "minwise-mixed"), "key").select("s", "root").distinct().join(held, "s")
+    return found.unionByName(_verified(_prefix_pairs(across, similarity), held, similarity))
+
+
+def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """Edges (a, b) of document ids, a > b, that connect documents whose sets are equal or similar."""
+    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).filter("doc_id is not null")
+    each = stored(signatures(base, shingle), "minwise-texts")
+    named = stored(each.groupBy("s").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("bands").alias("bands")), "minwise-named")
+
+    def sets_of(names: DataFrame) -> DataFrame:
+        ids = named.join(names, "s", "left_semi").select(F.col("least").alias("doc_id"))
+        return whole_sets(base.join(ids, "doc_id", "left_semi"), shingle).join(names, "s", "left_semi")
+
     least = named.select("s", "least")
-    links = similar_links(sets, named, similarity, bucket_rows)
+    equal = each.join(least, "s").filter("doc_id > least").select(F.col("doc_id").alias("a"), F.col("least").alias("b"))
+    links = similar_links(named.select("s", "n", "bands"), sets_of, similarity)
     ids = links.join(least.select(F.col("s").alias("a"), F.col("least").alias("x")), "a").join(least.select(F.col("s").alias("b"), F.col("least").alias("y")), "b")
     return equal.unionByName(ids.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b"))).filter("a > b").distinct()

@@ -6,19 +6,22 @@ fingerprints, so copies cost one aggregation, however many there are.
 
 Links are found in two ways that together lose none:
 
-* Bits are cut in ``max_bits + 1`` blocks; linked fingerprints agree in one block at
-  least.  In a bucket (block, bits) of at most ``bucket_rows`` fingerprints, pairs meet,
-  each side with its precomputed distances to the pivots.  A pair whose distance to some
+* Bits are cut in ``max_bits + 2`` blocks; linked fingerprints agree in two blocks at
+  least, so each fingerprint has a bucket for each pair of blocks (32 bits of key at two differing bits: an average
+  bucket of random fingerprints passes 32 only beyond 10**11 of them).  In a bucket of at most ``bucket_rows`` fingerprints,
+  pairs meet, each side with its precomputed distances to the pivots.  A pair whose distance to some
   pivot differs by more than ``max_bits`` is discarded (triangle inequality); survivors
   are verified on the fingerprints.
-* A larger bucket is not paired, as pairs would grow with its square.  Each of its
+* A larger bucket is a dense family: many different fingerprints that differ in the other half of their bits alone.  It is
+  not paired, as pairs would grow with its square.  Each of its
   fingerprints names itself and its 64 one-bit neighbours; two within two bits share one
   of these names, at most 65 fingerprints bear a name, and each is linked to the least of
   them.  With ``max_bits`` 1 the star's edges are verified before use.
 
 Defined results: null or empty text (or no word) has fingerprint zero and links like any
 other; fewer words than a shingle make one shingle; a repeated id yields one row for each
-of its rows; an empty table gives no rows; other columns are not read.
+of its rows; a null id gets its group's component, or null where it is alone; an empty table gives no rows; other columns are not read;
+a text of any length is hashed whole.
 """
 
 from __future__ import annotations
@@ -96,10 +99,12 @@ def links(distinct: DataFrame, max_bits: int = 2, n_pivots: int = 12, bucket_row
     """Edges (a, b), a > b, that connect exactly what fingerprints within ``max_bits`` bits connect."""
     if max_bits not in (1, 2):
         raise ValueError("max_bits is 1 or 2")
-    cuts = [BITS * i // (max_bits + 1) for i in range(max_bits + 2)]
-    blocks = F.array(*[F.struct(F.lit(i).alias("block"), F.shiftrightunsigned("fp", lo).bitwiseAND(F.lit((1 << hi - lo) - 1)).alias("bits")) for i, (lo, hi) in enumerate(zip(cuts, cuts[1:]))])
-    keyed = distinct.select("fp", F.explode(blocks).alias("b")).select("fp", "b.block", "b.bits")
-    sized = keyed.groupBy("block", "bits").agg(F.count("*").alias("n")).filter("n > 1")
+    blocks = max_bits + 2
+    cuts = [BITS * i // blocks for i in range(blocks + 1)]
+    block = lambda i: F.shiftrightunsigned("fp", cuts[i]).bitwiseAND(F.lit((1 << cuts[i + 1] - cuts[i]) - 1))
+    both = F.array(*[F.struct(F.lit(i * blocks + j).alias("block"), F.shiftleft(block(i), cuts[j + 1] - cuts[j]).bitwiseOR(block(j)).alias("bits")) for i in range(blocks) for j in range(i)])
+    keyed = distinct.select("fp", F.explode(both).alias("b")).select("fp", "b.block", "b.bits")
+    sized = stored(keyed.groupBy("block", "bits").agg(F.count("*").alias("n")).filter("n > 1"), "simhash-sizes")
     met = stored(keyed.join(sized, ["block", "bits"]), "simhash-buckets")
 
     pivots = pivot_fingerprints(n_pivots)
@@ -123,17 +128,32 @@ def links(distinct: DataFrame, max_bits: int = 2, n_pivots: int = 12, bucket_row
     return pairs.unionByName(star).distinct()
 
 
+def _prints(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> tuple[DataFrame, DataFrame]:
+    """Fingerprints of all rows, and the different ones with their least id."""
+    prints = stored(fingerprints(docs, id_col, text_col, shingle), "simhash-prints")
+    return prints, stored(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, max_bits: int = 2, n_pivots: int = 12, bucket_rows: int = 32) -> DataFrame:
     """(doc_id, fp, component_id): a row per document; component_id is the least doc_id that links reach."""
-    prints = stored(fingerprints(docs, id_col, text_col, shingle), "simhash-prints")
-    distinct = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
+    prints, distinct = _prints(docs, id_col, text_col, shingle)
     roots = connected_components(links(distinct.select("fp"), max_bits, n_pivots, bucket_rows), "a", "b")
     rooted = distinct.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    ids = rooted.join(least, "root").select("fp", "component_id")
+    ids = stored(rooted.join(least, "root").select("fp", "component_id"), "simhash-components")
     return prints.join(ids, "fp").select("doc_id", "fp", "component_id")
 
 
+def document_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, max_bits: int = 2, n_pivots: int = 12, bucket_rows: int = 32) -> DataFrame:
+    """Edges (a, b) of document ids that connect what ``near_duplicates`` puts in one component; a null id has none."""
+    prints, distinct = _prints(docs, id_col, text_col, shingle)
+    least = distinct.filter("least is not null")
+    equal = prints.join(least, "fp").filter("doc_id > least").select(F.col("doc_id").alias("a"), F.col("least").alias("b"))
+    side = lambda c, to: least.select(F.col("fp").alias(c), F.col("least").alias(to))
+    linked = links(least.select("fp"), max_bits, n_pivots, bucket_rows).join(side("a", "x"), "a").join(side("b", "y"), "b")
+    return equal.unionByName(linked.select(F.col("x").alias("a"), F.col("y").alias("b")))
+
+
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, words: int = 5, **options) -> DataFrame:
     """Rows of ``docs`` that stay when one document of each group does: that with the least id.
 
@@ -142,7 +162,6 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     fingerprints alone don't reach (see ``minwise``).  Rows repeated under the id that
     stays all stay, and so do rows without id.
     """
-    prints = near_duplicates(docs, id_col, text_col, **options).filter("doc_id > component_id")
-    edges = prints.select(F.col("doc_id").alias("a"), F.col("component_id").alias("b")).unionByName(similar_documents(docs, id_col, text_col, words, similarity))
-    gone = connected_components(edges, "a", "b").filter("node <> root").select(F.col("node").alias("__gone"))
-    return docs.join(gone, docs[id_col] == gone["__gone"], "left_anti")
+    edges = document_links(docs, id_col, text_col, **options).unionByName(similar_documents(docs, id_col, text_col, words, similarity))
+    gone = connected_components(edges, "a", "b").filter("node <> root").select(F.col("node").alias(id_col))
+    return docs.join(gone, docs[id_col] == gone[id_col], "left_anti")
