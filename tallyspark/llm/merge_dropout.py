@@ -11,7 +11,9 @@ over ``LONG`` characters go through a heap instead, with the same result.  Equal
 candidate is dropped: the candidates met without dropout tell, as none of them dropped means the same merges.
 
 Decoding is lossless for every text: characters outside the vocabulary, and the blank symbol U+2581 itself,
-become byte pieces.  Defined results: null and empty texts have no pieces and decode to the empty text; repeated rows encode alike.
+become byte pieces.  Defined results: null and empty texts have no pieces and decode to the empty text; repeated rows encode alike;
+rows without id share one key; of equal candidates the leftmost merges first; an empty table gives no rows; other columns, whatever their names, are not read.
+A text of any length is encoded whole, PART_BYTES at a time; only a part without blanks needs memory by its own length.
 """
 
 from __future__ import annotations
@@ -29,7 +31,9 @@ from tallyspark.llm.text_arrays import RunHash, Texts, code_points, map_texts, m
 
 BLANK = 0x2581
 LONG = 64
-_NONE = np.int64(1) << np.int64(40)
+_NONE = np.int32(2**31 - 1)
+#: Bytes of text worked on at once; a task needs about 300 times as much.
+PART_BYTES = 1 << 19
 
 
 class Vocabulary:
@@ -52,7 +56,7 @@ class Vocabulary:
                     pairs[ids[p[:k]] * n + ids[p[k:]]] = (order[model.get_score(i)], i)
         self.n = n
         self.keys = np.array(sorted(pairs), np.int64)
-        self.ranks = np.array([pairs[k][0] for k in self.keys.tolist()], np.int64)
+        self.ranks = np.array([pairs[k][0] for k in self.keys.tolist()], np.int32)
         self.merged = np.array([pairs[k][1] for k in self.keys.tolist()], np.int32)
         self.pairs = pairs
         self.symbol = np.full(0x110000, -1, np.int32)
@@ -92,7 +96,7 @@ def merge_many(vocab: Vocabulary, grid: np.ndarray, part: np.ndarray, rate: floa
         return out, size
     live = np.arange(n)
     sym, key = grid.copy(), part
-    border = np.tile(np.arange(width + 1, dtype=np.int64), (n, 1))
+    border = np.tile(np.arange(width + 1, dtype=np.int16), (n, 1))
     rank, made = vocab.look_up(sym[:, :-1], sym[:, 1:])
     if met is not None:
         row, at = np.nonzero(rank < _NONE)
@@ -222,16 +226,19 @@ def _untouched(word: np.ndarray, words: int, parts: np.ndarray, met: list, rate:
     return clean
 
 
-def encode_piece(vocab: Vocabulary, piece: Texts, doc: np.ndarray, rate: float, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """(ids of all texts in a row, first id of each text); ``doc`` are the texts' document ids."""
+def encode_piece(vocab: Vocabulary, piece: Texts, doc: np.ndarray, rate: float, seed: int, before: int = 0) -> tuple[np.ndarray, np.ndarray, int]:
+    """(ids of all texts in a row, first id of each text, number of parts); ``doc`` are the texts' document ids.
+
+    With ``before`` the piece is the rest of one text, from a blank on, behind so many parts.
+    """
     full = np.flatnonzero(np.diff(piece.offsets))
     if not len(full):
-        return np.zeros(0, np.int32), np.zeros(len(piece) + 1, np.int64)
+        return np.zeros(0, np.int32), np.zeros(len(piece) + 1, np.int64), 0
     # A blank stands before each text that isn't empty.
     at, cp = code_points(piece.data)
     lead = np.searchsorted(at, piece.offsets[full])
-    cp = np.insert(cp, lead, 0x20)
-    begin = lead + np.arange(len(full))
+    cp = cp if before else np.insert(cp, lead, 0x20)
+    begin = lead if before else lead + np.arange(len(full))
     owner = np.zeros(len(cp), np.int64)
     owner[begin] = np.diff(full, prepend=0)
     owner = np.cumsum(owner)
@@ -243,7 +250,7 @@ def encode_piece(vocab: Vocabulary, piece: Texts, doc: np.ndarray, rate: float,
     sizes = np.diff(np.append(starts, len(cp)))
     # A part's key: seed, document id and its place in the text.
     salt = mix(doc.astype(np.uint64) ^ mix(np.array([seed], np.int64).view(np.uint64)))
-    place = np.arange(len(starts)) - np.searchsorted(starts, begin)[np.searchsorted(full, owner[starts])]
+    place = before + np.arange(len(starts)) - np.searchsorted(starts, begin)[np.searchsorted(full, owner[starts])]
     parts = mix(salt[owner[starts]] + place.astype(np.uint64))
     words, where, back = np.unique(RunHash(cp.astype(np.uint64) + np.uint64(1), "byte").of(starts, starts + sizes), return_index=True, return_inverse=True)
 
@@ -277,7 +284,24 @@ def encode_piece(vocab: Vocabulary, piece: Texts, doc: np.ndarray, rate: float,
         width[which] = [len(r) for r in raw]
         ids, row = np.repeat(ids, width), np.repeat(row, width)
         ids[ids < 0] = vocab.byte[np.frombuffer(b"".join(raw), np.uint8)]
-    return ids, np.searchsorted(row, np.arange(len(piece) + 1))
+    return ids, np.searchsorted(row, np.arange(len(piece) + 1)), len(starts)
+
+
+def encode_texts(vocab: Vocabulary, piece: Texts, doc: np.ndarray, rate: float, seed: int, part_bytes: int = PART_BYTES) -> tuple[np.ndarray, np.ndarray]:
+    """(ids of all texts in a row, first id of each text); a single long text goes from blank to blank."""
+    if len(piece) > 1 or len(piece.data) <= part_bytes:
+        return encode_piece(vocab, piece, doc, rate, seed)[:2]
+    blank = piece.data == 0x20
+    cuts = np.flatnonzero(blank[1:] & ~blank[:-1]) + 1
+    at, parts, found = 0, 0, []
+    while at < len(piece.data):
+        k = np.searchsorted(cuts, at + part_bytes)
+        to = int(cuts[k]) if k < len(cuts) else len(piece.data)
+        ids, _, n = encode_piece(vocab, Texts(piece.rows, piece.data[at:to], np.array([0, to - at])), doc, rate, seed, parts)
+        found.append(ids)
+        at, parts = to, parts + n
+    ids = np.concatenate(found)
+    return ids, np.array([0, len(ids)])
 
 
 def decode_ids(vocab: Vocabulary, ids: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -304,9 +328,9 @@ def encode(docs: DataFrame, model_path: str, rate: float = 0.1, seed: int = 1, i
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(model_path)
-        for piece in pieces(batches, "text"):
+        for piece in pieces(batches, "text", PART_BYTES):
             ids_in = piece.rows.column("doc_id").fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
-            ids, first = encode_piece(vocab, piece, ids_in.view(np.uint64), rate, seed)
+            ids, first = encode_texts(vocab, piece, ids_in.view(np.uint64), rate, seed)
             data, offsets = decode_ids(vocab, ids, first)
             same = np.diff(offsets) == np.diff(piece.offsets)
             if same.all():

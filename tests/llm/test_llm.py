@@ -332,6 +332,51 @@ def test_dropout_cuts_each_occurrence_for_itself(spark):
     assert len(cuts) > 20
 
 
+def naive_merge(vocab, symbols, part, rate):
+    """Agenda merging written out: at each step the best of all adjacent pairs whose candidate isn't skipped."""
+    spans = [(k, k + 1, int(x) if x >= 0 else -2 - k) for k, x in enumerate(symbols)]
+    while True:
+        open_ = []
+        for k, ((a, m, x), (_, b, y)) in enumerate(zip(spans, spans[1:])):
+            found = vocab.pairs.get(x * vocab.n + y) if x >= 0 and y >= 0 else None
+            word = int(merge_dropout.mix(np.array([part], np.uint64) ^ merge_dropout.mix(np.array([(a << 42) ^ (m << 21) ^ b], np.uint64)))[0]) >> 11
+            if found and word >= rate * 2**53:
+                open_.append((found[0], k, found[1]))
+        if not open_:
+            return [x for _, _, x in spans]
+        _, k, made = min(open_)
+        spans[k : k + 2] = [(spans[k][0], spans[k + 1][1], made)]
+
+
+def test_dropout_equals_naive_merging(spark):
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    vocab = merge_dropout.vocabulary(path)
+    rng = random.Random(6)
+    for rate in (0.2, 0.7):
+        for n in (1, 2, 7, 15, 40, 80):
+            symbols = vocab.symbol[[0x20, *rng.choices([ord(c) for c in "theinaorsé漢"], k=n)]]
+            key = rng.getrandbits(63)
+            want = naive_merge(vocab, symbols, key, rate)
+            grid = np.where(symbols < 0, -2 - np.arange(len(symbols), dtype=np.int32), symbols)
+            assert merge_dropout.merge_long(vocab, grid, key, rate) == want
+            merged, size = merge_dropout.merge_many(vocab, grid[None], np.array([key], np.uint64), rate)
+            assert merged[0, : size[0]].tolist() == want
+
+
+def test_a_long_text_encodes_as_a_whole():
+    import pyarrow as pa
+
+    from tallyspark.llm.text_arrays import pieces
+
+    vocab = merge_dropout.vocabulary(public_tokenizers.path("piece_bpe_32k.model"))
+    text = "  long  texts é▁ go from blank to blank\n" * 60
+    (piece,) = pieces([pa.RecordBatch.from_arrays([pa.array([text])], ["text"])], "text")
+    doc = np.array([5], np.uint64)
+    whole = merge_dropout.encode_texts(vocab, piece, doc, 0.3, 1)[0].tolist()
+    for limit in (1, 50, 777):
+        assert merge_dropout.encode_texts(vocab, piece, doc, 0.3, 1, limit)[0].tolist() == whole
+
+
 def test_merge_by_heap_equals_merge_by_grid():
     vocab = merge_dropout.vocabulary(public_tokenizers.path("piece_bpe_32k.model"))
     rng = np.random.default_rng(4)
