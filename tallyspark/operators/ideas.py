@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyspark.functions.calendar import next_workday, sprint, vsm_date
-from tallyspark.functions.text import blank_to_empty, parse_stamp, to_double
+from tallyspark.functions.calendar import sprint, vsm_date
+from tallyspark.functions.text import blank_to_empty, let, parse_stamp, to_double
 from tallyspark.operators.constants import ACTIVE, CUSTOMER, FREQUENCY, INTERNAL, MEETINGS
 from tallyspark.sources.scratch import stored
 
@@ -23,11 +25,9 @@ def load(ideas: DataFrame) -> DataFrame:
     return ideas.withColumn("feasibility", feasibility(F.col("feasibility_data"))).orderBy(F.desc(blank_to_empty(F.col("created_date"))), "id")
 
 
-def _number(text: Column) -> tuple[Column, Column]:
-    """(number, 0 if blank; whether it is readable)."""
-    blank = blank_to_empty(text) == ""
-    n = F.when(blank, 0.0).otherwise(to_double(text))
-    return n, n.isNotNull()
+def _number(text: Column) -> Column:
+    """A number, 0 for a blank, null if it can't be read."""
+    return F.when(blank_to_empty(text) == "", 0.0).otherwise(to_double(text))
 
 
 def _multiplier(freq: Column, unknown: int) -> Column:
@@ -35,33 +35,43 @@ def _multiplier(freq: Column, unknown: int) -> Column:
     return F.coalesce(F.element_at(table, freq), F.lit(unknown)).cast("double")
 
 
-def _freq(json: Column, parsed: Column) -> Column:
-    """Daily if the key is absent, null stays unknown."""
-    has = F.coalesce(F.array_contains(F.json_object_keys(json), "freq"), F.lit(False))
-    return F.when(has, F.coalesce(parsed, F.lit(""))).otherwise("Daily")
+def savings_fields(json: Column) -> Column:
+    """What savings are worked out from, as a struct: numbers base, new, manual, fte, eng; the same of base, new and eng without a
+    zero for blanks; and freq, Daily if the key is absent, blank if it is null.
+
+    The JSON is parsed once and each number read once, however often the result is used.
+    """
+
+    def read(x: Column) -> Column:
+        f, names = x.f, {"base": "baseline_process_time", "new": "new_process_time", "manual": "manual", "fte": "fte", "eng": "eng"}
+        has = F.coalesce(F.array_contains(x.keys, "freq"), F.lit(False))
+        given = {f"{k}_given": F.when(blank_to_empty(f[names[k]]) != "", to_double(f[names[k]])) for k in ("base", "new", "eng")}
+        parts = {k: _number(f[name]) for k, name in names.items()} | given | {"freq": F.when(has, F.coalesce(f.freq, F.lit(""))).otherwise("Daily")}
+        return F.struct(*[c.alias(k) for k, c in parts.items()])
+
+    return let(F.struct(feasibility(json).alias("f"), F.json_object_keys(json).alias("keys")), read)
+
+
+def _hours(x: Column) -> Column:
+    saved = F.when((x.base != 0) & (x.base > x.new), x.base - x.new).otherwise(x.manual)
+    return F.when(x.base.isNotNull() & x.new.isNotNull(), F.coalesce(saved * x.fte * _multiplier(x.freq, 1), F.lit(0.0))).otherwise(0.0)
 
 
 def idea_hours(json: Column) -> Column:
     """Yearly hours saved; 0 as soon as a field that counts can't be read; an unknown frequency counts once."""
-    f = feasibility(json)
-    base, base_ok = _number(f.baseline_process_time)
-    new, new_ok = _number(f.new_process_time)
-    manual, _ = _number(f.manual)
-    fte, _ = _number(f.fte)
-    saved = F.when((base != 0) & (base > new), base - new).otherwise(manual)
-    return F.when(base_ok & new_ok, F.coalesce(saved * fte * _multiplier(_freq(json, f.freq), 1), F.lit(0.0))).otherwise(0.0)
+    return let(savings_fields(json), _hours)
 
 
 def savings_table(ideas: DataFrame) -> DataFrame:
     """Savings by idea, field by field: an unreadable field falls back alone; an unknown frequency counts as daily."""
-    json = F.col("feasibility_data")
-    f = feasibility(json)
-    blank = lambda c: blank_to_empty(c) == ""
-    base, new, eng = (F.when(~blank(c), to_double(c)) for c in (f.baseline_process_time, f.new_process_time, f.eng))
-    manual, fte = (F.coalesce(_number(c)[0], F.lit(0.0)) for c in (f.manual, f.fte))
-    per = F.when(base.isNotNull() & new.isNotNull() & (base > new), base - new).otherwise(manual)
-    yearly = per * fte * _multiplier(_freq(json, f.freq), FREQUENCY["Daily"])
-    return ideas.select("id", base.alias("baseline"), new.alias("new_time"), F.round(per, 2).alias("savings_per_occ"), F.round(yearly, 1).alias("annual_hours"), F.round(eng, 1).alias("effort"), F.round(idea_hours(json), 1).alias("saving_hours"))
+
+    def row(x: Column) -> Column:
+        per = F.when(x.base_given.isNotNull() & x.new_given.isNotNull() & (x.base_given > x.new_given), x.base_given - x.new_given).otherwise(F.coalesce(x.manual, F.lit(0.0)))
+        yearly = per * F.coalesce(x.fte, F.lit(0.0)) * _multiplier(x.freq, FREQUENCY["Daily"])
+        parts = {"baseline": x.base_given, "new_time": x.new_given, "savings_per_occ": F.round(per, 2), "annual_hours": F.round(yearly, 1), "effort": F.round(x.eng_given, 1), "saving_hours": F.round(_hours(x), 1)}
+        return F.struct(*[c.alias(k) for k, c in parts.items()])
+
+    return ideas.select("id", let(savings_fields(F.col("feasibility_data")), row).alias("x")).select("id", "x.*")
 
 
 def compute_roi(baseline: Column, new: Column, fte: Column, freq: Column, effort: Column) -> Column:
@@ -85,24 +95,34 @@ def priority_label(rank: Column) -> Column:
     return F.concat(head, F.when(roi != 0, F.concat(F.lit(" (ROI "), F.format_string("%.1f", roi), F.lit(")"))).otherwise(""), F.lit(" #"), rank.cast("string"))
 
 
-def rank_ideas(ideas: DataFrame, queue: str = "status") -> DataFrame:
-    """Rank 1..n and label of each idea in its queue."""
-    rank = F.row_number().over(Window.partitionBy(queue).orderBy(*_order()))
-    return ideas.withColumn("priority_rank", rank).withColumn("priority_label", priority_label(F.col("priority_rank")))
-
+def rank_ideas(ideas: DataFrame, queue: str | None = "status", parts: int | None = None) -> DataFrame:
+    """Rank 1..n and label of each idea in its queue, or of all ideas where ``queue`` is None.
 
-def rank_all(ideas: DataFrame, parts: int | None = None) -> DataFrame:
-    """One ranking over all ideas without a single-task window: range-partitioned sort, then offsets by partition."""
-    keyed = ideas.withColumn("_c", category_rank(F.col("category"))).withColumn("_r", -F.coalesce("roi", F.lit(0.0))).withColumn("_d", blank_to_empty(F.col("created_date")))
-    keys = ["_c", "_r", "_d", "id"]
-    # Written once with its partition, so that counting and ranking see one and the same assignment.
+    A queue may hold most ideas, so none is sorted in one task: rows are dealt by range of queue and order, and ranks within
+    a part go on from the queue's number of ideas in earlier parts.
+    """
+    group = [] if queue is None else [queue]
+    keys = [*group, "_c", "_r", "_d", "id"]
+    keyed = ideas.withColumns({"_c": category_rank(F.col("category")), "_r": -F.coalesce("roi", F.lit(0.0)), "_d": blank_to_empty(F.col("created_date"))})
+    # Written once with its part, so that counting and ranking see one and the same assignment.
     n = parts or ideas.sparkSession.sparkContext.defaultParallelism
     dealt = stored(keyed.repartitionByRange(n, *keys).withColumn("_p", F.spark_partition_id()), "rank")
-    sizes = dealt.groupBy("_p").agg(F.count("*").alias("n"))
-    # One row a partition: a bounded table.
-    offsets = sizes.select("_p", (F.sum("n").over(Window.orderBy("_p")) - F.col("n")).alias("before"))
-    ranked = dealt.join(F.broadcast(offsets), "_p").withColumn("priority_rank", (F.col("before") + F.row_number().over(Window.partitionBy("_p").orderBy(*keys))).cast("long"))
-    return ranked.drop("_c", "_r", "_d", "_p", "before")
+    sizes = dealt.groupBy("_p", *[F.col(g).alias("_q") for g in group]).agg(F.count("*").alias("_n"))
+    # A row for each part and queue in it.
+    earlier = Window.partitionBy(*["_q" for _ in group]).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    before = sizes.select(F.col("_p").alias("_o"), *["_q" for _ in group], F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    same = F.col("_p") == F.col("_o")
+    for g in group:
+        same &= F.col(g).eqNullSafe(F.col("_q"))
+    inside = F.row_number().over(Window.partitionBy("_p", *group).orderBy(*keys[len(group) :]))
+    rank = (F.col("_before") + F.col("_k")).cast("int" if queue else "long")
+    ranked = dealt.withColumn("_k", inside).join(before, same).withColumn("priority_rank", rank)
+    return ranked.withColumn("priority_label", priority_label(F.col("priority_rank"))).drop("_c", "_r", "_d", "_p", "_k", "_o", "_before", *["_q" for _ in group])
+
+
+def rank_all(ideas: DataFrame, parts: int | None = None) -> DataFrame:
+    """One ranking over all ideas."""
+    return rank_ideas(ideas, None, parts).drop("priority_label")
 
 
 def engineer_queue(ideas: DataFrame, as_of: str) -> DataFrame:
@@ -238,12 +258,19 @@ def nestable_cards(ideas: DataFrame) -> DataFrame:
     return ideas.select("id", "status").join(kids, ["id", "status"], "left_anti").join(busy, "status", "left_semi").select("id", "status")
 
 
-def eligible_parents(ideas: DataFrame, requested: DataFrame) -> DataFrame:
-    """For each requested idea the number of possible parents: top-level ideas but itself.
+def eligible_parents(ideas: DataFrame, requested: Sequence[str]) -> DataFrame:
+    """(id, parent_id): the ideas that each requested one may be put under, all those without parent but itself.
 
-    All requests share the list of top-level ideas, so counts do without pairs.
+    ``requested`` are the ids on one screen.  An idea with a parent is never offered, so no child of a requested one is.
     """
     top = ideas.filter(blank_to_empty(F.col("parent_id")) == "")
+    pairs = top.select(F.explode(F.array(*[F.lit(x) for x in requested])).alias("id"), F.col("id").alias("parent_id"))
+    return pairs.filter("id <> parent_id")
+
+
+def eligible_parent_counts(ideas: DataFrame, requested: DataFrame) -> DataFrame:
+    """The number of possible parents of each requested idea; counts do without pairs, so all ideas may be requested."""
+    top = ideas.filter(blank_to_empty(F.col("parent_id")) == "")
     total = top.count()
     own = top.select("id", F.lit(1).alias("own"))
     return requested.select("id").join(own, "id", "left").select("id", (F.lit(total) - F.coalesce("own", F.lit(0))).cast("long").alias("n_parents"))
@@ -256,7 +283,3 @@ def meeting_schedule(ideas: DataFrame) -> DataFrame:
     people = F.array_join(F.filter(F.array("submitter_email", "assigned_engineer", "pl_name"), lambda a: F.trim(blank_to_empty(a)).rlike(r"^[^@\s]+@[^@\s]+\.[^@\s]+$")), ",")
     out = ideas.select("id", people.alias("recipients"), F.explode(meetings).alias("m"))
     return out.filter(parse_stamp(F.col("m.date")).isNotNull()).select("id", "m.kind", "m.date", "m.time", "recipients")
-
-
-def first_workday(as_of: str) -> Column:
-    return next_workday(F.lit(as_of).cast("date"))

@@ -49,10 +49,6 @@ def dump_preview(dump: DataFrame, columns: tuple[str, ...]) -> DataFrame:
     return counted.select("rows", "orders", F.array_join(F.array_intersect(want, have), ",").alias("present"), F.array_join(F.array_except(want, have), ",").alias("missing"))
 
 
-def plain_number(n: Column) -> Column:
-    return F.regexp_replace(F.format_string("%.4f", n), r"\.?0+$", "")
-
-
 def prepared(mode: str, c: Column) -> Column:
     """What a comparison needs of one side, made once by row before any join: struct(n: tidy text, and by mode t, f, x, w, j)."""
     n = norm_ws(c)
@@ -63,73 +59,95 @@ def prepared(mode: str, c: Column) -> Column:
     return F.struct(n.alias("n"), mx_text(n).alias("t"), scan_fold(mx_text(n)).alias("f"))
 
 
-def compare_prepared(mode: str, a: Column, b: Column, tolerance: float = 0.0) -> Column:
-    """struct(status: match, differ or blank; note) of a dump side and a report side."""
-    result = lambda status, note="": F.struct(F.lit(status).alias("status"), (note if isinstance(note, Column) else F.lit(note)).alias("note"))
-    start = F.when(a.n == "", result("blank", "dump value empty")).when(b.n == "", result("blank", "report value empty"))
+#: Outcomes of a comparison, by number: tens tell the status, 1 match, 2 differ, 3 blank.
+OUTCOMES = {10: "equal", 11: "equal_folded", 20: "unequal", 21: "words_absent", 30: "no_dump_value", 31: "no_report_value", 32: "not_comparable"}
+STATUSES = ("match", "differ", "blank")
+
+
+def outcome_of(mode: str, a: Column, b: Column, tolerance: float = 0.0) -> Column:
+    """The outcome's number for a dump side and a report side, both prepared."""
     if mode == "number":
-        differ = F.concat(plain_number(a.x), F.lit(" vs "), plain_number(b.x))
-        return start.when(a.x.isNull() | b.x.isNull(), result("blank", "not numeric")).when(F.abs(a.x - b.x) <= tolerance, result("match")).otherwise(result("differ", differ))
-    if mode == "words":
-        missing = F.filter(a.w, lambda w: ~F.contains(b.j, w))
-        return start.when(F.size(a.w) == 0, result("blank", "no words to compare")).when(F.size(missing) == 0, result("match")).otherwise(result("differ", F.concat(F.lit("missing in report: "), F.array_join(missing, ", "))))
-    return (
-        start.when((a.t == "") | (b.t == ""), result("blank", "nothing to compare"))
-        .when(a.t == b.t, result("match"))
-        .when(a.f == b.f, result("match", F.concat(F.lit("scan-normalised ("), a.n, F.lit(" / "), b.n, F.lit(")"))))
-        .otherwise(result("differ", F.concat(a.n, F.lit(" vs "), b.n)))
-    )
+        empty, hits, miss = a.x.isNull() | b.x.isNull(), [(F.abs(a.x - b.x) <= tolerance, 10)], 20
+    elif mode == "words":
+        empty, hits, miss = F.size(a.w) == 0, [(F.forall(a.w, lambda w: F.contains(b.j, w)), 10)], 21
+    else:
+        empty, hits, miss = (a.t == "") | (b.t == ""), [(a.t == b.t, 10), (a.f == b.f, 11)], 20
+    chain = [(a.n == "", 30), (b.n == "", 31), (empty, 32), *hits]
+    return reduce(lambda out, rule: F.when(rule[0], rule[1]).otherwise(out), reversed(chain), F.lit(miss)).cast("int")
+
+
+def _tens(outcome: Column) -> Column:
+    return F.floor(outcome / 10).cast("int")
+
+
+def status_name(outcome: Column) -> Column:
+    return F.element_at(F.array(*[F.lit(x) for x in STATUSES]), _tens(outcome))
+
+
+def outcome_name(outcome: Column) -> Column:
+    return F.element_at(F.create_map(*[F.lit(x) for pair in OUTCOMES.items() for x in pair]), outcome)
 
 
 def compare_cell(mode: str, dump: Column, report: Column, tolerance: float = 0.0) -> Column:
-    """The same for two plain columns."""
-    return compare_prepared(mode, prepared(mode, dump), prepared(mode, report), tolerance)
+    """struct(status, outcome) of two plain columns."""
+    k = outcome_of(mode, prepared(mode, dump), prepared(mode, report), tolerance)
+    return F.struct(status_name(k).alias("status"), outcome_name(k).alias("outcome"))
 
 
 def candidates(reports: DataFrame, dump: DataFrame) -> DataFrame:
-    """Every report with each dump row of its order; reports without one keep null; blank orders never meet."""
+    """Every report with each dump row of its order; reports without one keep null; blank orders never meet, nor do they enter the join."""
     made = [c for c in dump.columns if c.startswith("_")]
     rows = dump.select("po_key", "ord", F.struct(*[F.col(c) for c in dump.columns if c not in ("po_key", "ord", *made)]).alias("row"), *made)
     keyed = reports.withColumn("po_key", F.nullif(po_key(F.col("po")), F.lit("")))
-    return keyed.join(rows, "po_key", "left")
-
-
-def checks(rules: tuple[tuple[str, str, str, bool], ...] = RULES) -> Column:
-    """One struct by rule, from a pair's prepared sides ``_d0, _r0, _d1, ...``."""
-    out = []
-    for i, (dump, report, mode, optional) in enumerate(rules):
-        c = compare_prepared(mode, F.col(f"_d{i}"), F.col(f"_r{i}"))
-        out.append(F.struct(F.lit(dump).alias("field"), F.lit(mode).alias("mode"), F.col(f"row.{dump}").alias("dump_value"), blank_to_empty(F.col(report)).alias("report_value"), c.alias("c"), F.lit(optional).alias("optional")))
-    return F.transform(F.array(*out), lambda x: F.struct(x.field.alias("field"), x.mode.alias("mode"), blank_to_empty(x.dump_value).alias("dump_value"), x.report_value.alias("report_value"), x.c.status.alias("status"), x.c.note.alias("note"), x.optional.alias("optional")))
-
-
-def accepted(checks_: Column, blank_blocks: bool = False) -> Column:
-    """Whether no rule that must hold is contradicted; blanks block only if told to."""
-    return ~F.exists(checks_, lambda c: ~c.optional & ((c.status == "differ") | ((c.status == "blank") & F.lit(blank_blocks))))
+    met = keyed.filter("po_key is not null").join(rows, "po_key", "left")
+    return met.unionByName(keyed.filter("po_key is null"), allowMissingColumns=True)
 
 
 def checked(reports: DataFrame, dump: DataFrame, rules=RULES, blank_blocks: bool = False) -> DataFrame:
-    """Candidates with checks, counts and acceptance."""
+    """Candidates with an outcome by rule (array ``outcomes``), counts and acceptance.
+
+    A row is accepted where no rule that must hold is contradicted; blanks block only if told to.
+    """
     for i, (field, report, mode, _) in enumerate(rules):
         dump, reports = dump.withColumn(f"_d{i}", prepared(mode, F.col(field))), reports.withColumn(f"_r{i}", prepared(mode, F.col(report)))
-    rows = candidates(reports, dump).withColumn("checks", F.when(F.col("row").isNotNull(), checks(rules)))
-    count = lambda s: F.size(F.filter("checks", lambda c: c.status == s))
-    return rows.withColumn("matched", count("match")).withColumn("differed", count("differ")).withColumn("blank", count("blank")).withColumn("accepted", accepted(F.col("checks"), blank_blocks))
+    found = F.array(*[outcome_of(mode, F.col(f"_d{i}"), F.col(f"_r{i}")) for i, (_, _, mode, _) in enumerate(rules)])
+    rows = candidates(reports, dump).withColumn("outcomes", F.when(F.col("row").isNotNull(), found))
+    tens = [_tens(F.col("outcomes")[i]) for i in range(len(rules))]
+    counts = {name: sum((F.when(t == k, 1).otherwise(0) for t in tens), F.lit(0)) for k, name in enumerate(("matched", "differed", "blank"), 1)}
+    return rows.withColumns(counts | {"accepted": accepted(rules, blank_blocks)})
+
+
+def accepted(rules=RULES, blank_blocks: bool = False) -> Column:
+    """Acceptance of a row with ``outcomes``."""
+    against = (2, 3) if blank_blocks else (2,)
+    return ~reduce(lambda a, b: a | b, [_tens(F.col("outcomes")[i]).isin(*against) for i, r in enumerate(rules) if not r[3]], F.lit(False))
 
 
 def match_reports(reports: DataFrame, dump: DataFrame, rules=RULES, blank_blocks: bool = False) -> DataFrame:
     """A row by report: status, ord, row, checks and counts of the best candidate.
 
-    The first accepted row in dump order wins, else the row with most matches, ties to the earliest.
+    The first accepted row in dump order wins, else the row with most matches, ties to the earliest.  Only numbers are
+    worked out for candidates; values and names of outcomes are put together for the best one.
     """
     rows = checked(reports, dump, rules, blank_blocks)
     ok = F.col("accepted")
     order = F.struct(F.when(ok, 0).otherwise(1), F.when(ok, 0).otherwise(-F.col("matched")), F.col("ord"))
-    best = F.min_by(F.struct("accepted", "ord", "row", "checks", "matched", "differed", "blank"), F.when(F.col("row").isNotNull(), order)).alias("best")
-    picked = rows.groupBy("report_id").agg(best)
+    best = F.min_by(F.struct("accepted", "ord", "row", "outcomes", "matched", "differed", "blank"), F.when(F.col("row").isNotNull(), order)).alias("best")
+    picked = rows.groupBy("report_id").agg(best, F.first(F.struct(*[F.col(r[1]).alias(f"v{i}") for i, r in enumerate(rules)])).alias("said"))
     status = F.when(F.col("best").isNull(), "no_po_rows").when(F.col("best.accepted"), "matched").otherwise("mismatch")
     zero = lambda c: F.coalesce(F.col(f"best.{c}"), F.lit(0)).alias(c)
-    return picked.select("report_id", status.alias("status"), F.col("best.ord").alias("ord"), F.col("best.row").alias("row"), F.col("best.checks").alias("checks"), zero("matched"), zero("differed"), zero("blank"))
+    checks = F.when(F.col("best").isNotNull(), F.array(*[_check(i, *rule) for i, rule in enumerate(rules)]))
+    return picked.select("report_id", status.alias("status"), F.col("best.ord").alias("ord"), F.col("best.row").alias("row"), checks.alias("checks"), zero("matched"), zero("differed"), zero("blank"))
+
+
+def _check(i: int, dump: str, report: str, mode: str, optional: bool) -> Column:
+    """One rule of the best candidate; ``absent`` are the dump's words that the report lacks."""
+    outcome, ours, theirs = F.col("best.outcomes")[i], F.col(f"best.row.{dump}"), F.col(f"said.v{i}")
+    absent = F.array().cast("array<string>")
+    if mode == "words":
+        absent = F.when(outcome == 21, F.filter(mx_words(ours), lambda w: ~F.contains(F.array_join(mx_words(theirs), " "), w))).otherwise(absent)
+    parts = {"field": F.lit(dump), "mode": F.lit(mode), "dump_value": blank_to_empty(ours), "report_value": blank_to_empty(theirs), "status": status_name(outcome), "outcome": outcome_name(outcome), "absent": absent, "optional": F.lit(optional)}
+    return F.struct(*[c.alias(name) for name, c in parts.items()])
 
 
 STATUS_LABELS = {"matched": "MATCHED", "mismatch": "NOT MATCHED", "no_po_rows": "PO NOT IN DUMP", "no_dump": "NO DUMP FILE"}
@@ -145,8 +163,9 @@ def comparison_wide(reports: DataFrame, matches: DataFrame, rules=RULES) -> Data
     for i, (field, _, _, _) in enumerate(rules):
         c = F.try_element_at("checks", F.lit(i + 1))
         body += [blank_to_empty(c.report_value).alias(f"{field}_report"), blank_to_empty(c.dump_value).alias(f"{field}_dump"), F.coalesce(F.upper(c.status), F.lit("NOT CHECKED")).alias(f"{field}_result")]
-    noted = F.filter("checks", lambda c: (c.status != "match") & (c.note != ""))
-    notes = blank_to_empty(F.array_join(F.transform(noted, lambda c: F.concat(c.field, F.lit(": "), c.note)), "; "))
+    noted = F.filter("checks", lambda c: c.outcome != "equal")
+    note = lambda c: F.concat(c.field, F.lit("="), c.outcome, F.when(F.size(c.absent) > 0, F.concat(F.lit(":"), F.array_join(c.absent, "+"))).otherwise(""))
+    notes = blank_to_empty(F.array_join(F.transform(noted, note), ";"))
     return reports.select("report_id", "po", "vendor").join(matches, "report_id").select("report_id", status_label(F.col("status")).alias("match_status"), "po", "vendor", *body, "matched", "differed", "blank", notes.alias("notes"))
 
 
@@ -157,6 +176,15 @@ def matched_tracker(reports: DataFrame, matches: DataFrame) -> DataFrame:
     return won.join(reports.select("report_id", F.col("po").alias("matched_po"), "vendor"), "report_id").select("report_id", "row.*", "matched_po", "vendor", "matched_rules")
 
 
-def phase_summary(matches: DataFrame) -> DataFrame:
-    s = F.col("status")
-    return matches.agg(F.count("*").alias("extracted"), F.count_if(s == "matched").alias("matched"), F.count_if(s == "mismatch").alias("mismatch"), F.count_if(s == "no_po_rows").alias("po_missing"), F.count_if(s != "no_po_rows").alias("compared"))
+def phase_summary(attachments: DataFrame, extracted: DataFrame, matches: DataFrame) -> DataFrame:
+    """Counters of a run in one row.
+
+    ``attachments`` are the queued files with ``converted`` (boolean); ``extracted`` has the converted ones with a
+    template place or null; ``matches`` the extracted ones.
+    """
+    s, count = F.col("status"), lambda c, name: F.count_if(c).alias(name)
+    files = attachments.agg(F.count("*").alias("queued"), count(F.col("converted"), "converted"), count(~F.col("converted"), "errors"))
+    read = extracted.agg(F.count("template").alias("extracted"), count(F.col("template").isNull(), "unmatched"))
+    met = matches.agg(count(s == "matched", "matched"), count(s == "mismatch", "mismatch"), count(s == "no_po_rows", "po_missing"), count(s != "no_po_rows", "compared"))
+    rows = files.unionByName(read, allowMissingColumns=True).unionByName(met, allowMissingColumns=True)
+    return rows.agg(*[F.sum(c).alias(c) for c in rows.columns])

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from tallyspark.sources.scratch import stored
 
 #: View -> SQL over the given tables and earlier views.
 VIEWS: dict[str, str] = {
@@ -28,7 +31,7 @@ SELECT CAST(o.o_orderkey AS STRING) AS id,
             WHEN 4 THEN 'Completed' WHEN 5 THEN 'Hold/Park' ELSE 'Rejected' END AS status,
        CASE WHEN o.o_orderkey % 13 = 0 THEN NULL WHEN o.o_orderkey % 13 = 1 THEN CAST(0 AS DOUBLE)
             ELSE CAST(floor(o.o_totalprice / 1000) AS DOUBLE) END AS roi,
-       CASE WHEN o.o_orderkey % 7 = 0 THEN '' ELSE 'eng' || CAST(o.o_custkey % 25 AS STRING) || '@corp.example' END AS assigned_engineer,
+       CASE WHEN o.o_orderkey % 7 = 0 THEN '' ELSE 'eng' || CAST(o.o_custkey AS STRING) || '@corp.example' END AS assigned_engineer,
        CASE o.o_orderkey % 6
             WHEN 0 THEN '{}'
             WHEN 1 THEN '{"manual":' || CAST(o.o_custkey % 9 AS STRING) || ',"fte":2,"eng":4,"freq":"Weekly"}'
@@ -41,7 +44,7 @@ SELECT CAST(o.o_orderkey AS STRING) AS id,
        CASE o.o_orderkey % 5 WHEN 0 THEN '' WHEN 1 THEN ' ' || lower(r.r_name) ELSE r.r_name END AS region,
        CASE WHEN o.o_orderkey % 4 = 1 THEN CAST(o.o_orderkey - 1 AS STRING)
             WHEN o.o_orderkey % 4 = 3 AND o.o_orderkey >= 7 THEN CAST(o.o_orderkey - 7 AS STRING) ELSE '' END AS parent_id,
-       'OTP' || lpad(CAST(o.o_custkey % 60 AS STRING), 4, '0') AS otp,
+       'OTP' || lpad(CAST(o.o_custkey AS STRING), 9, '0') AS otp,
        substr(CAST(o.o_orderdate AS STRING), 1, 16) AS created_date,
        CASE WHEN o.o_orderkey % 7 IN (2,3,4) THEN substr(CAST(o.o_orderdate AS STRING), 1, 10) ELSE '' END AS vsm_meeting_date,
        CASE WHEN o.o_orderkey % 7 IN (3,4) THEN substr(CAST(o.o_orderdate AS STRING), 1, 10) ELSE '' END AS delivery_date
@@ -49,14 +52,13 @@ FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey
      JOIN nation n ON c.c_nationkey = n.n_nationkey JOIN region r ON n.n_regionkey = r.r_regionkey
 """,
     "users": """
-SELECT 'eng' || CAST(n_nationkey AS STRING) || '@corp.example' AS email, 'automation engineer' AS role FROM nation
-UNION ALL SELECT 'eng' || CAST(25 + r_regionkey AS STRING) || '@corp.example', 'automation engineer' FROM region
-UNION ALL SELECT 'PL' || CAST(n_nationkey AS STRING) || '@corp.example', 'pl/spl' FROM nation WHERE n_nationkey < 11
+SELECT 'eng' || CAST(c_custkey AS STRING) || '@corp.example' AS email, 'automation engineer' AS role FROM customer
+UNION ALL SELECT 'PL' || CAST(s_suppkey AS STRING) || '@corp.example', 'pl/spl' FROM supplier
 """,
     "otp_list": """
-SELECT 'OTP' || lpad(CAST(p_partkey AS STRING), 4, '0') AS otp, p_name AS project_name, p_brand AS business_unit,
+SELECT 'OTP' || lpad(CAST(2 * p_partkey AS STRING), 9, '0') AS otp, p_name AS project_name, p_brand AS business_unit,
        p_type AS pd, 'PL' || CAST(p_partkey % 11 AS STRING) AS spl_pl
-FROM part WHERE p_partkey < 50
+FROM part
 """,
     "deployed_tools": """
 SELECT CAST(l_orderkey AS STRING) || '-' || CAST(rn AS STRING) AS id,
@@ -132,7 +134,7 @@ FROM events
     "otp_batch": """
 SELECT otp, project_name, business_unit, pd, spl_pl, 1 AS seq FROM otp_list
 UNION ALL
-SELECT 'OTP' || lpad(CAST(p_partkey AS STRING), 4, '0'), 'New ' || p_name, p_brand, p_type, 'PL0', 2 FROM part WHERE p_partkey < 70 AND (p_partkey % 3 = 0 OR p_partkey >= 50)
+SELECT 'OTP' || lpad(CAST(3 * p_partkey AS STRING), 9, '0'), 'New ' || p_name, p_brand, p_type, 'PL0', 2 FROM part
 """,
     "patches": """
 SELECT id, 1 AS seq, 'WIP' AS status, CAST(NULL AS STRING) AS assigned_engineer, CAST(NULL AS DOUBLE) AS roi FROM ideas WHERE CAST(id AS BIGINT) % 5 = 0
@@ -143,7 +145,19 @@ SELECT id, 3, 'UAT', CAST(NULL AS STRING), CAST(NULL AS DOUBLE) FROM ideas WHERE
 """,
 }
 _NEEDS = {"ideas": (), "otp_batch": ("otp_list",), "patches": ("ideas",), "deployed_tools": ("lines",), "dump": ("lines",), "extractions": ("lines",), "report_text": ("lines", "extractions")}
-_TABLES = ("region", "nation", "customer", "part", "orders", "lineitem", "events", "documents")
+_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents")
+
+
+def with_position(ordered: DataFrame) -> DataFrame:
+    """Rows of a sorted frame with their place, 1..n, taken from the order in which the sort gives them.
+
+    Rows are numbered within their partition as they are written; a table of a row by partition says how many stand before it.
+    """
+    dealt = stored(ordered.withColumn("_m", F.monotonically_increasing_id()), "ordered")
+    part, within = F.shiftright("_m", 33), F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = dealt.groupBy(part.alias("_p")).agg(F.count("*").alias("_n"))
+    before = sizes.select("_p", (F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).alias("_before"))
+    return dealt.withColumn("_p", part).join(before, "_p").withColumn("position", F.col("_before") + within + 1).drop("_m", "_p", "_before")
 
 
 def with_clause(*names: str) -> str:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tallyspark.operators import dashboard as D
 from tallyspark.operators import ideas as I
 from tallyspark.operators.constants import ACTIVE, AI, AUTOMATION
-from tallyspark.plans.adapters import Inputs, with_clause
+from tallyspark.plans.adapters import Inputs, with_clause, with_position
 
 AS_OF, WEEKEND = "2024-03-07", "2024-03-09"
 _IN = lambda values: "(" + ", ".join(f"'{v}'" for v in values) + ")"
@@ -56,8 +56,8 @@ def _add(name: str, f, sql: str | None, *views: str) -> None:
     query(name, sql, *views)(f)
 
 
-_add("ideas_load", lambda v: I.load(v.ideas).select("id", "created_date", F.coalesce("feasibility.freq", F.lit("")).alias("freq"), F.coalesce("feasibility.fte", F.lit("")).alias("fte")),
-     f"SELECT id, created_date, {_FIELD('freq')} AS freq, {_FIELD('fte')} AS fte FROM ideas", "ideas")
+_add("ideas_load", lambda v: with_position(I.load(v.ideas).select("id", "created_date", F.coalesce("feasibility.freq", F.lit("")).alias("freq"), F.coalesce("feasibility.fte", F.lit("")).alias("fte"))),
+     f"SELECT id, created_date, {_FIELD('freq')} AS freq, {_FIELD('fte')} AS fte, row_number() OVER (ORDER BY created_date DESC, id) AS position FROM ideas", "ideas")
 _add("idea_hours", lambda v: v.ideas.select("id", I.idea_hours(F.col("feasibility_data")).alias("hours")), _HOURS + "SELECT id, CAST(hours AS DOUBLE) AS hours FROM timed", "ideas")
 _add("idea_savings_table", lambda v: I.savings_table(v.ideas),
      _HOURS + f""", local AS (SELECT *, CASE WHEN {_FIELD('baseline_process_time')} <> '' THEN {_NUM(_FIELD('baseline_process_time'))} END AS b, CASE WHEN {_FIELD('new_process_time')} <> '' THEN {_NUM(_FIELD('new_process_time'))} END AS n,
@@ -75,12 +75,12 @@ for _name, _day in (("engineer_queue", AS_OF), ("engineer_queue_weekend", WEEKEN
     _add(_name, lambda v, d=_day: I.engineer_queue(v.ideas, d).select("id", "assigned_engineer", "priority_rank", "sprint_start", "sprint_end"),
          f""", {_workdays(_day)}, q AS (SELECT id, assigned_engineer, CAST(row_number() OVER (PARTITION BY assigned_engineer ORDER BY {_ORDER}) AS INT) AS priority_rank FROM ideas WHERE status IN {_ACTIVE} AND assigned_engineer <> '')
          SELECT id, assigned_engineer, priority_rank, s.d AS sprint_start, e.d AS sprint_end FROM q JOIN workdays s ON s.k = 9 * (priority_rank - 1) JOIN workdays e ON e.k = 9 * priority_rank""", "ideas")
-_SLOT = f"""requests AS (SELECT id, assigned_engineer, category, roi, created_date FROM ideas WHERE status = 'Assigned' AND CAST(id AS BIGINT) % 3 = 0),
+_SLOT = f"""requests AS (SELECT id, assigned_engineer, category, roi, created_date FROM ideas WHERE status = 'Assigned'),
 slots AS (SELECT r.id, r.assigned_engineer, r.category, r.roi, CAST(1 + count(CASE WHEN o.id <> r.id AND ({_RANK.replace('category', 'o.category')}, -coalesce(o.roi, 0), o.created_date, o.id) < ({_RANK.replace('category', 'r.category')}, -coalesce(r.roi, 0), r.created_date, r.id) THEN 1 END) AS INT) AS priority_rank
   FROM requests r LEFT JOIN (SELECT * FROM ideas WHERE status IN {_ACTIVE}) o ON o.assigned_engineer = r.assigned_engineer GROUP BY r.id, r.assigned_engineer, r.category, r.roi)"""
-_add("compute_delivery", lambda v: I.compute_delivery(v.ideas, v.ideas.filter("status = 'Assigned' AND CAST(id AS BIGINT) % 3 = 0"), AS_OF),
+_add("compute_delivery", lambda v: I.compute_delivery(v.ideas, v.ideas.filter("status = 'Assigned'"), AS_OF),
      f""", {_workdays(AS_OF)}, {_SLOT} SELECT id, assigned_engineer, priority_rank, s.d AS sprint_start, e.d AS sprint_end, {_LABEL} AS priority_label FROM slots JOIN workdays s ON s.k = 9 * (priority_rank - 1) JOIN workdays e ON e.k = 9 * priority_rank""", "ideas")
-_add("feasibility_submit", lambda v: I.feasibility_submit(v.ideas, v.ideas.filter("status = 'Assigned' AND CAST(id AS BIGINT) % 3 = 0").selectExpr("id", "CAST(8 AS DOUBLE) AS baseline", "CAST(2 AS DOUBLE) AS new_time", "CAST(1 AS DOUBLE) AS fte", "CAST(4 AS DOUBLE) AS effort", "'Weekly' AS freq"), AS_OF).drop("feasibility_data"),
+_add("feasibility_submit", lambda v: I.feasibility_submit(v.ideas, v.ideas.filter("status = 'Assigned'").selectExpr("id", "CAST(8 AS DOUBLE) AS baseline", "CAST(2 AS DOUBLE) AS new_time", "CAST(1 AS DOUBLE) AS fte", "CAST(4 AS DOUBLE) AS effort", "'Weekly' AS freq"), AS_OF).drop("feasibility_data"),
      f""", {_workdays(AS_OF)}, {_SLOT.replace('category, roi, created_date FROM', 'category, CAST(78 AS DOUBLE) AS roi, created_date FROM')}
      SELECT id, 'WIP' AS status, CAST(78 AS DOUBLE) AS roi, '2024-03-08' AS vsm_meeting_date, {_LABEL} AS priority_label, s.d AS sprint_start, e.d AS sprint_end, e.d AS delivery_date FROM slots JOIN workdays s ON s.k = 9 * (priority_rank - 1) JOIN workdays e ON e.k = 9 * priority_rank""", "ideas")
 _add("decision_apply", lambda v: I.decision_apply(v.ideas, v.ideas.filter("status = 'UAT'").selectExpr("id", "CASE WHEN CAST(id AS BIGINT) % 2 = 0 THEN 'GO' ELSE 'NO-GO' END AS decision", "'Business Rejection' AS reason"), WEEKEND),
@@ -94,8 +94,8 @@ _add("idea_master_lookup", lambda v: I.master_lookup(v.ideas, v.otp_list),
 _add("tools_with_idea", lambda v: I.tools_with_idea(v.deployed_tools, v.ideas),
      "SELECT t.id, tool_name, t.idea_id, CASE WHEN t.idea_id = '' THEN '-' ELSE coalesce(i.idea_name, '(idea not found)') END AS idea_name FROM deployed_tools t LEFT JOIN ideas i ON t.idea_id = i.id AND i.status = 'Completed'", "ideas", "deployed_tools")
 _add("engineers_left_counts", lambda v: D.engineer_load(v.users, v.ideas).select("email", "tasks"), f"SELECT u.email, count(i.id) AS tasks FROM users u LEFT JOIN ideas i ON u.email = i.assigned_engineer AND i.status IN {_ACTIVE} WHERE role = 'automation engineer' GROUP BY u.email", "ideas", "users")
-_add("engineer_load", lambda v: D.engineer_load(v.users, v.ideas.filter("CAST(id AS BIGINT) % 40 = 1")),
-     f"SELECT email, tasks, CAST(least(tasks * 10.0, 100) AS DOUBLE) AS load, CASE WHEN tasks < 4 THEN 'green' WHEN tasks * 10 < 75 THEN 'amber' ELSE 'red' END AS band FROM (SELECT u.email, count(i.id) AS tasks FROM users u LEFT JOIN ideas i ON u.email = i.assigned_engineer AND i.status IN {_ACTIVE} AND CAST(i.id AS BIGINT) % 40 = 1 WHERE role = 'automation engineer' GROUP BY u.email)", "ideas", "users")
+_add("engineer_load", lambda v: D.engineer_load(v.users, v.ideas),
+     f"SELECT email, tasks, CAST(least(tasks * 10.0, 100) AS DOUBLE) AS load, CASE WHEN tasks < 4 THEN 'green' WHEN tasks * 10 < 75 THEN 'amber' ELSE 'red' END AS band FROM (SELECT u.email, count(i.id) AS tasks FROM users u LEFT JOIN ideas i ON u.email = i.assigned_engineer AND i.status IN {_ACTIVE} WHERE role = 'automation engineer' GROUP BY u.email)", "ideas", "users")
 _add("latest_state", lambda v: I.latest_state(v.ideas, v.patches, ("status", "assigned_engineer", "roi")),
      ", rows AS (SELECT id, 0 AS seq, status, assigned_engineer, roi FROM ideas UNION ALL SELECT id, seq, status, assigned_engineer, roi FROM patches) SELECT id, arg_max(status, seq) FILTER (status IS NOT NULL) AS status, arg_max(assigned_engineer, seq) FILTER (assigned_engineer IS NOT NULL) AS assigned_engineer, arg_max(roi, seq) FILTER (roi IS NOT NULL) AS roi FROM rows GROUP BY id", "ideas", "patches")
 _add("upsert_last_wins", lambda v: I.upsert_last_wins(v.otp_batch, "otp", "seq"), "SELECT otp, project_name, business_unit, pd, spl_pl FROM (SELECT *, row_number() OVER (PARTITION BY otp ORDER BY seq DESC) AS k FROM otp_batch) WHERE k = 1", "otp_batch")
@@ -105,13 +105,14 @@ _add("parent_child_self_join", lambda v: I.children(v.ideas).select("id", "child
 _add("parent_rollup", lambda v: I.parent_rollup(v.ideas), _HOURS + f"SELECT p.id, count(*) AS children, CAST(round(count(CASE WHEN c.status = 'Completed' THEN 1 END) * 100.0 / count(*), 1) AS DOUBLE) AS completion, {_DEC('c.r')} AS roi, {_DEC('c.hours')} AS hours FROM ideas p JOIN timed c ON c.parent_id = p.id GROUP BY p.id", "ideas")
 _add("kanban_layout", lambda v: I.kanban_layout(v.ideas), "SELECT c.id, c.status, CASE WHEN p.id IS NULL THEN 0 ELSE 1 END AS depth, coalesce(p.idea_name, '') AS parent_name FROM ideas c LEFT JOIN ideas p ON c.parent_id = p.id AND c.status = p.status AND c.parent_id <> ''", "ideas")
 _add("nestable_cards", lambda v: I.nestable_cards(v.ideas), "SELECT id, status FROM ideas i WHERE NOT EXISTS (SELECT 1 FROM ideas c WHERE c.parent_id = i.id AND c.status = i.status) AND (SELECT count(*) FROM ideas x WHERE x.status = i.status) > 1", "ideas")
-_add("eligible_parents", lambda v: I.eligible_parents(v.ideas, v.ideas), "SELECT id, (SELECT count(*) FROM ideas WHERE parent_id = '') - CASE WHEN parent_id = '' THEN 1 ELSE 0 END AS n_parents FROM ideas", "ideas")
+_add("eligible_parents", lambda v: I.eligible_parents(v.ideas, ("1", "2", "4")), "SELECT r.id, p.id AS parent_id FROM (VALUES ('1'), ('2'), ('4')) r(id) JOIN ideas p ON p.parent_id = '' AND p.id <> r.id", "ideas")
+_add("eligible_parent_counts", lambda v: I.eligible_parent_counts(v.ideas, v.ideas), "SELECT id, (SELECT count(*) FROM ideas WHERE parent_id = '') - CASE WHEN parent_id = '' THEN 1 ELSE 0 END AS n_parents FROM ideas", "ideas")
 _add("meeting_schedule", lambda v: I.meeting_schedule(v.ideas),
      """, people AS (SELECT *, array_to_string(list_filter([submitter_email, assigned_engineer, pl_name], lambda a: a <> ''), ',') AS recipients FROM ideas)
      SELECT id, 'vsm' AS kind, vsm_meeting_date AS date, '10:00' AS time, recipients FROM people WHERE vsm_meeting_date <> '' UNION ALL SELECT id, 'delivery', delivery_date, '15:00', recipients FROM people WHERE delivery_date <> ''""", "ideas")
 
 _add("dashboard_filter", lambda v: D.dashboard_filter(v.ideas, ("Internal",), ("PL1@corp.example", "PL2@corp.example"), ("ASIA", "EUROPE")).select("id"), "SELECT id FROM ideas WHERE category = 'Internal' AND pl_name IN ('PL1@corp.example', 'PL2@corp.example') AND region IN ('ASIA', 'EUROPE')", "ideas")
-_add("filter_options", lambda v: D.filter_options(v.ideas, "region"), "SELECT DISTINCT region AS value FROM ideas WHERE coalesce(region, '') <> ''", "ideas")
+_add("filter_options", lambda v: with_position(D.filter_options(v.ideas, "region")), "SELECT value, row_number() OVER (ORDER BY value) AS position FROM (SELECT DISTINCT region AS value FROM ideas WHERE coalesce(region, '') <> '')", "ideas")
 _add("table_search", lambda v: D.table_search(v.ideas, "idea 1[0-9]+3$|building").select("id"),
      "SELECT id FROM ideas WHERE " + " OR ".join(f"coalesce(regexp_matches(CAST({c} AS VARCHAR), '(?i)idea 1[0-9]+3$|building'), FALSE)" for c in "id name submitter_email idea_name project category automation_category pl_name status roi assigned_engineer feasibility_data rejection_reason customer region parent_id otp created_date vsm_meeting_date delivery_date".split()), "ideas")
 _add("tool_search", lambda v: D.literal_search(v.deployed_tools, "1HANDLES", ("tool_name", "description", "project")).select("id"), "SELECT id FROM deployed_tools WHERE contains(lower(tool_name || description || project), '1handles')", "deployed_tools")
@@ -122,14 +123,14 @@ _add("kpi_totals", lambda v: D.kpi_totals(v.ideas),
      count(CASE WHEN automation_category LIKE 'Automation-%' THEN 1 END) AS n_automation, count(CASE WHEN automation_category LIKE 'AI-%' THEN 1 END) AS n_ai, round({_DEC("CASE WHEN automation_category LIKE 'Automation-%' THEN r END")}, 2) AS roi_automation, round({_DEC("CASE WHEN automation_category LIKE 'AI-%' THEN r END")}, 2) AS roi_ai,
      count(DISTINCT nullif(project, '')) AS projects, CAST(round(count(CASE WHEN status = 'Completed' THEN 1 END) * 100.0 / count(*), 1) AS DOUBLE) AS completed_percent FROM timed""", "ideas")
 _STATUSES = "(VALUES ('New Idea', 0), ('Assigned', 1), ('WIP', 2), ('UAT', 3), ('Completed', 4), ('Hold/Park', 5), ('Rejected', 6)) s(status, ord)"
-_add("status_counts", lambda v: D.status_counts(v.ideas.filter("status <> 'UAT'")), f"SELECT s.status, ord, count(i.id) AS n FROM {_STATUSES} LEFT JOIN (SELECT * FROM ideas WHERE status <> 'UAT') i ON s.status = i.status GROUP BY s.status, ord", "ideas")
+_add("status_counts", lambda v: D.status_counts(v.ideas), f"SELECT s.status, ord, count(i.id) AS n FROM {_STATUSES} LEFT JOIN ideas i ON s.status = i.status GROUP BY s.status, ord", "ideas")
 _add("status_share", lambda v: D.status_share(v.ideas), "SELECT status, count(*) AS n, CAST(round(count(*) * 100.0 / (SELECT count(*) FROM ideas), 2) AS DOUBLE) AS share FROM ideas GROUP BY status", "ideas")
 _add("category_status_counts", lambda v: D.category_status_counts(v.ideas), "SELECT category, sum(CASE status WHEN 'New Idea' THEN 1 ELSE 0 END)::BIGINT AS new_idea, sum(CASE status WHEN 'Assigned' THEN 1 ELSE 0 END)::BIGINT AS assigned, sum(CASE WHEN status IN ('WIP', 'UAT') THEN 1 ELSE 0 END)::BIGINT AS in_progress, sum(CASE status WHEN 'Completed' THEN 1 ELSE 0 END)::BIGINT AS completed, sum(CASE status WHEN 'Hold/Park' THEN 1 ELSE 0 END)::BIGINT AS hold, sum(CASE status WHEN 'Rejected' THEN 1 ELSE 0 END)::BIGINT AS rejected FROM ideas GROUP BY category", "ideas")
 _add("category_automation_matrix", lambda v: D.counts_by(v.ideas, "category", "automation_category"), "SELECT category, automation_category, count(*) AS n FROM ideas GROUP BY ALL", "ideas")
 _PANEL = ", ".join(f"('{c}')" for c in (*AUTOMATION, *AI))
-_add("automation_category_panel", lambda v: D.automation_category_panel(v.ideas.filter("automation_category <> 'AI-Process Improvement'")),
+_add("automation_category_panel", lambda v: D.automation_category_panel(v.ideas),
      _HOURS + f"""SELECT c.automation_category, count(t.id) AS total, count(CASE WHEN status = 'Completed' THEN 1 END) AS completed, count(CASE WHEN status = 'WIP' THEN 1 END) AS wip, count(CASE WHEN status = 'UAT' THEN 1 END) AS uat, round({_DEC('hours')}, 1) AS hours, round({_DEC('r')}, 2) AS roi,
-     CASE WHEN count(t.id) = 0 THEN 0 ELSE CAST(round(count(CASE WHEN status = 'Completed' THEN 1 END) * 100.0 / count(t.id), 1) AS DOUBLE) END AS success FROM (VALUES {_PANEL}) c(automation_category) LEFT JOIN (SELECT * FROM timed WHERE automation_category <> 'AI-Process Improvement') t ON c.automation_category = t.automation_category GROUP BY c.automation_category""", "ideas")
+     CASE WHEN count(t.id) = 0 THEN 0 ELSE CAST(round(count(CASE WHEN status = 'Completed' THEN 1 END) * 100.0 / count(t.id), 1) AS DOUBLE) END AS success FROM (VALUES {_PANEL}) c(automation_category) LEFT JOIN timed t ON c.automation_category = t.automation_category GROUP BY c.automation_category""", "ideas")
 _add("automation_family_totals", lambda v: D.automation_family_totals(v.ideas), _HOURS + f"SELECT split_part(automation_category, '-', 1) AS family, count(*) AS total, count(CASE WHEN status = 'Completed' THEN 1 END) AS done, count(CASE WHEN status = 'WIP' THEN 1 END) AS wip, round({_DEC('r')}, 2) AS roi FROM timed WHERE automation_category <> '' GROUP BY 1", "ideas")
 _add("hours_roi_by_category", lambda v: D.hours_roi_by_category(v.ideas), _HOURS + f"SELECT category, round({_DEC('hours')}, 1) AS hours, round({_DEC('r')}, 2) AS roi FROM timed GROUP BY category", "ideas")
 _add("project_counts", lambda v: D.project_counts(v.ideas), "SELECT project, count(*) AS n FROM ideas WHERE project <> '' GROUP BY project", "ideas")

@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 
 from tallyspark.functions import text as X
 from tallyspark.operators import dashboard as D
+from tallyspark.operators import extraction as E
 from tallyspark.operators import mail as M
 from tallyspark.operators import reconcile as R
 from tallyspark.operators import scoring as S
-from tallyspark.plans.adapters import Inputs, with_clause
+from tallyspark.operators.constants import FREE_MAIL
+from tallyspark.plans.adapters import Inputs, with_clause, with_position
 from tallyspark.plans.idea_queries import dates_as_text
 from tallyspark.sources.scratch import stored
 
@@ -22,7 +24,8 @@ _E = ("lines", "dump", "extractions")
 def _add(name: str, f, sql: str | None, *views: str) -> None:
     QUERIES[name] = lambda spark, sf_dir: dates_as_text(f(Inputs(spark, sf_dir)))
     if sql is not None:
-        SQL[name] = (with_clause(*views) if views else "") + sql
+        text = (with_clause(*views) if views else "") + sql
+        SQL[name] = text.replace("WITH ", "WITH RECURSIVE ", 1) if "seg(value" in text else text
 
 
 # SQL of the scalar rules.
@@ -64,15 +67,29 @@ def _status(mode: str, a: str, b: str) -> str:
     return f"CASE WHEN {_ws(a)} = '' OR {_ws(b)} = '' THEN 'blank' {inner} ELSE 'differ' END"
 
 
-#: Candidate pairs with a status by rule, and the best candidate of each report.
-_STATUS = [f"{_status(m, f'd.{d}', f'e.{r}')} AS s{i}" for i, (d, r, m, _) in enumerate(R.RULES)]
+def _outcome(mode: str, a: str, b: str) -> str:
+    if mode == "number":
+        inner = f"WHEN {_num(a)} IS NULL OR {_num(b)} IS NULL THEN 'not_comparable' WHEN {_num(a)} = {_num(b)} THEN 'equal' ELSE 'unequal'"
+    elif mode == "words":
+        inner = f"WHEN len({_words(a)}) = 0 THEN 'not_comparable' WHEN len({_absent(a, b)}) = 0 THEN 'equal' ELSE 'words_absent'"
+    else:
+        inner = f"WHEN {_txt(a)} = '' OR {_txt(b)} = '' THEN 'not_comparable' WHEN {_txt(a)} = {_txt(b)} THEN 'equal' WHEN {_fold(_txt(a))} = {_fold(_txt(b))} THEN 'equal_folded' ELSE 'unequal'"
+    return f"CASE WHEN {_ws(a)} = '' THEN 'no_dump_value' WHEN {_ws(b)} = '' THEN 'no_report_value' {inner} END"
+
+
+def _absent(a: str, b: str) -> str:
+    return f"list_filter({_words(a)}, lambda v: NOT contains(array_to_string({_words(b)}, ' '), v))"
+
+
+#: Candidate pairs with an outcome and a status by rule, and the best candidate of each report.
+_STATUS = [f"{_outcome(m, f'd.{d}', f'e.{r}')} AS o{i}, {_status(m, f'd.{d}', f'e.{r}')} AS s{i}" for i, (d, r, m, _) in enumerate(R.RULES)]
 _COUNT = lambda s: " + ".join(f"CASE WHEN s{i} = '{s}' THEN 1 ELSE 0 END" for i in range(len(R.RULES)))
 _BLOCKS = " OR ".join(f"s{i} = 'differ'" for i, r in enumerate(R.RULES) if not r[3])
 _PAIRS = f""", keyed AS (SELECT *, regexp_replace(rr_po_number, '[^0-9]', '', 'g') AS po_key FROM dump),
 pairs AS (SELECT e.report_id, d.ord, {', '.join(_STATUS)} FROM extractions e JOIN keyed d ON regexp_replace(e.po, '[^0-9]', '', 'g') = d.po_key AND d.po_key <> ''),
 counted AS (SELECT *, {_COUNT('match')} AS matched, {_COUNT('differ')} AS differed, {_COUNT('blank')} AS blank, NOT ({_BLOCKS}) AS accepted FROM pairs),
 best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY report_id ORDER BY CASE WHEN accepted THEN 0 ELSE 1 END, CASE WHEN accepted THEN 0 ELSE -matched END, ord) AS k FROM counted) WHERE k = 1),
-matches AS (SELECT e.report_id, CASE WHEN b.ord IS NULL THEN 'no_po_rows' WHEN accepted THEN 'matched' ELSE 'mismatch' END AS status, b.ord, coalesce(matched, 0) AS matched, coalesce(differed, 0) AS differed, coalesce(blank, 0) AS blank, {', '.join(f's{i}' for i in range(len(R.RULES)))}
+matches AS (SELECT e.report_id, CASE WHEN b.ord IS NULL THEN 'no_po_rows' WHEN accepted THEN 'matched' ELSE 'mismatch' END AS status, b.ord, coalesce(matched, 0) AS matched, coalesce(differed, 0) AS differed, coalesce(blank, 0) AS blank, {', '.join(f's{i}, o{i}' for i in range(len(R.RULES)))}
   FROM extractions e LEFT JOIN best b ON e.report_id = b.report_id)
 """
 
@@ -94,14 +111,15 @@ _add("mx_number", lambda v: v.dump.select("ord", X.mx_number(F.col("core_tsn")).
 _add("mx_words", lambda v: v.extractions.select("report_id", F.array_join(X.mx_words(F.col("actions_taken")), "|").alias("words")), f"SELECT report_id, array_to_string({_words('actions_taken')}, '|') AS words FROM extractions", *_E)
 _add("numeric_only", lambda v: v.dump.select("ord", X.numeric_only(F.concat(F.lit("TSN: "), F.col("core_tsn"))).alias("tsn"), X.numeric_only(F.col("engine_serial_number")).alias("esn")), "SELECT ord, CASE WHEN regexp_full_match(core_tsn, '[0-9]{1,3}(,[0-9]{3})*(\\.[0-9]+)?|[0-9]+(\\.[0-9]+)?') THEN replace(core_tsn, ',', '') ELSE '' END AS tsn, '' AS esn FROM dump", "lines", "dump")
 _add("post_digits", lambda v: v.dump.select("ord", X.post_digits(F.col("core_oem_part_number")).alias("part")), "SELECT ord, regexp_replace(core_oem_part_number, '[^0-9]', '', 'g') AS part FROM dump", "lines", "dump")
-_add("post_schedule", lambda v: v.dump.select("ord", X.post_schedule(F.col("reason_for_removal")).alias("kind")), "SELECT ord, CASE WHEN contains(lower(reason_for_removal), 'scheduled') THEN 'Scheduled' WHEN regexp_matches(reason_for_removal, '[xXY]|yes') THEN 'Scheduled' ELSE reason_for_removal END AS kind FROM dump", "lines", "dump")
-_add("po_from_subject", lambda v: v.mails.select("seq", X.po_from_subject(F.col("subject")).alias("po"), X.post_po10(F.col("subject")).alias("joined")), "SELECT seq, nullif(regexp_extract(subject, '4[0-9]{9}'), '') AS po, regexp_extract(subject, '4[0-9]{9}') AS joined FROM mails", "mails")
+_add("post_schedule", lambda v: v.dump.select("ord", X.post_schedule(F.concat(F.element_at(F.array(F.lit(""), F.lit("un-"), F.lit("Un "), F.lit("pre"), F.lit("\u2713 ")), (F.col("ord") % 5 + 1).cast("int")), F.col("reason_for_removal"))).alias("kind")),
+     "SELECT ord, CASE WHEN k IN (1, 2) AND s THEN 'Unscheduled' WHEN s AND k <> 3 THEN 'Scheduled' WHEN k = 4 OR regexp_matches(t, '[xXY]|yes') THEN 'Scheduled' ELSE t END AS kind FROM (SELECT ord, ord % 5 AS k, starts_with(lower(reason_for_removal), 'scheduled') AS s, (['', 'un-', 'Un ', 'pre', '\u2713 '])[ord % 5 + 1] || reason_for_removal AS t FROM dump)", "lines", "dump")
+_add("po_from_subject", lambda v: v.mails.select("seq", X.po_from_subject(F.col("subject")).alias("po"), X.post_po10(F.col("subject")).alias("joined")), "SELECT seq, nullif(regexp_extract(subject, '\\b4[0-9]{9}\\b'), '') AS po, regexp_extract(subject, '\\b4[0-9]{9}\\b') AS joined FROM mails", "mails")
 _add("post_date", lambda v: v.extractions.select("report_id", X.post_date(F.col("failure_date")).alias("d"), X.post_date(F.concat(F.col("report_id") % 28 + 1, F.lit("/"), F.col("report_id") % 12 + 1, F.lit("/2023"))).alias("slashed")),
      "SELECT report_id, CASE WHEN failure_date = '' THEN '' ELSE '2024-03-12' END AS d, '2023-' || lpad(CAST(report_id % 12 + 1 AS VARCHAR), 2, '0') || '-' || lpad(CAST(report_id % 28 + 1 AS VARCHAR), 2, '0') AS slashed FROM extractions", *_E)
 _add("sender_domain", lambda v: v.mails.select("seq", X.sender_domain(F.col("sender")).alias("domain")), "SELECT seq, CASE WHEN contains(sender, '@') THEN lower(split_part(trim(sender), '@', -1)) ELSE '' END AS domain FROM mails", "mails")
 _add("safe_name", lambda v: v.mails.select("seq", X.safe_name(F.col("sender")).alias("name"), X.no_po_key(X.safe_name(F.col("subject"))).alias("key")), """SELECT seq, trim(regexp_replace(sender, '[\\\\/:*?"<>|\\r\\n\\t]', '_', 'g')) AS name, 'NO_PO_' || substr(trim(regexp_replace(subject, '[\\\\/:*?"<>|\\r\\n\\t]', '_', 'g')), 1, 20) AS key FROM mails""", "mails")
 _add("display_name", lambda v: v.users.select("email", X.display_name(F.regexp_replace("email", "eng", "eng.no.")).alias("name")), "SELECT email, CASE WHEN email LIKE 'eng%' THEN 'Eng No ' || split_part(substr(email, 4), '@', 1) ELSE upper(substr(email, 1, 1)) || lower(substr(split_part(email, '@', 1), 2)) END AS name FROM users", "users")
-_add("org_email_check", lambda v: v.mails.select("seq", X.org_email_ok(F.col("sender"), ("gmail.com", "yahoo.com")).alias("ok")), "SELECT seq, contains(sender, '@') AND split_part(lower(trim(sender)), '@', -1) NOT IN ('gmail.com', 'yahoo.com') AS ok FROM mails", "mails")
+_add("org_email_check", lambda v: v.mails.select("seq", X.org_email_ok(F.col("sender"), FREE_MAIL).alias("ok")), "SELECT seq, contains(sender, '@') AND split_part(lower(trim(sender)), '@', -1) NOT IN ('aol.com', 'gmail.com', 'gmx.com', 'hotmail.com', 'icloud.com', 'inbox.com', 'live.com', 'mail.com', 'outlook.com', 'protonmail.com', 'rediff.com', 'yahoo.com', 'yandex.com', 'zoho.com') AS ok FROM mails", "mails")
 _add("valid_recipients", lambda v: v.mails.select("seq", X.valid_recipients(F.array("sender", F.lit("no address"), F.lit("a@b.example"))).alias("kept")), "SELECT seq, CASE WHEN regexp_full_match(trim(sender), '[^@\\s]+@[^@\\s]+\\.[^@\\s]+') THEN sender || ',' ELSE '' END || 'a@b.example' AS kept FROM mails", "mails")
 _add("compose_link", lambda v: v.mails.select("seq", X.compose_link("https://mail.example/compose", F.lit("a@b.example"), F.col("subject"), F.lit("x y")).alias("link")), "SELECT seq, 'https://mail.example/compose?to=a%40b.example&subject=' || url_encode(subject) || '&body=x%20y' AS link FROM mails", "mails")
 _add("first_present", lambda v: v.extractions.select("report_id", X.first_present(F.col("fault_outcome"), F.col("findings"), F.col("actions_taken")).alias("first")), f"SELECT report_id, coalesce(nullif({_ws('fault_outcome')}, ''), nullif({_ws('findings')}, ''), nullif({_ws('actions_taken')}, ''), '') AS first FROM extractions", *_E)
@@ -111,10 +129,13 @@ _NUMBERS = "list_distinct(list_transform(regexp_extract_all(coalesce(text, ''),
 _add("report_tokens", lambda v: _docs(v).select("doc_id", F.size(X.report_tokens(F.col("text"))).alias("n_tokens"), F.size(X.report_numbers(F.col("text"))).alias("n_numbers")), f"SELECT doc_id, CAST(len({_TOKENS}) AS INT) AS n_tokens, CAST(len({_NUMBERS}) AS INT) AS n_numbers FROM documents")
 _DATE = "regexp_extract(coalesce(text, ''), '(?i)\\b[0-9]{1,4}[./-][0-9]{1,2}[./-][0-9]{1,4}\\b|\\b[0-9]{1,2}\\s+(?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*\\s+[0-9]{2,4}\\b')"
 _add("any_date_present", lambda v: _docs(v).select("doc_id", X.any_date(F.col("text")).alias("d")), f"SELECT doc_id, {_DATE} AS d FROM documents")
-_add("parse_dates", lambda v: v.ideas.select("id", F.date_format(X.parse_stamp(F.col("created_date")), "yyyy-MM-dd HH:mm").alias("stamp"), F.date_format(X.parse_stamp(F.col("vsm_meeting_date")), "yyyy-MM-dd").alias("vsm"), X.parse_stamp(F.col("status")).isNull().alias("bad")),
-     "SELECT id, created_date AS stamp, nullif(vsm_meeting_date, '') AS vsm, TRUE AS bad FROM ideas", "ideas")
-_add("json_values_parse", lambda v: v.ideas.select("id", F.coalesce(F.element_at(X.json_values(F.col("feasibility_data")), "freq"), F.lit("")).alias("freq"), F.size(X.json_values(F.lit("not json"))).alias("bad")), "SELECT id, coalesce(json_extract_string(feasibility_data, '$.freq'), '') AS freq, CAST(0 AS INT) AS bad FROM ideas", "ideas")
-_add("trim_at_embedded_label", lambda v: v.extractions.select("report_id", X.trim_at_embedded_label(F.concat(F.col("esn"), F.lit(" Input Serial B1151 Qty 1.000")), F.array(F.lit("input serial"), F.lit("qty"))).alias("v")), "SELECT report_id, esn AS v FROM extractions", *_E)
+_stamp = lambda c: F.date_format(X.parse_stamp(c), "yyyy-MM-dd HH:mm")
+_add("parse_dates", lambda v: v.ideas.select("id", _stamp(F.col("created_date")).alias("stamp"), _stamp(F.col("vsm_meeting_date")).alias("vsm"), _stamp(F.concat(F.lit(" "), F.substring("created_date", 1, 10), F.element_at(F.array(F.lit(""), F.lit(" 7:5"), F.lit(" 25:00"), F.lit(" 09:30"), F.lit("x")), (F.col("id").cast("long") % 5 + 1).cast("int")))).alias("mixed"), _stamp(F.when(F.col("status") != "WIP", F.col("status"))).alias("none")),
+     "SELECT id, created_date AS stamp, CASE WHEN vsm_meeting_date <> '' THEN vsm_meeting_date || ' 00:00' END AS vsm, CASE CAST(id AS BIGINT) % 5 WHEN 0 THEN created_date[:10] || ' 00:00' WHEN 3 THEN created_date[:10] || ' 09:30' END AS mixed, NULL::VARCHAR AS none FROM ideas", "ideas")
+_add("json_values_parse", lambda v: v.ideas.select("id", X.json_values(F.when(F.col("id").cast("long") % 4 == 0, F.concat(F.lit("not "), F.col("feasibility_data"))).when(F.col("id").cast("long") % 8 != 1, F.col("feasibility_data"))).alias("m")).select("id", F.coalesce(F.element_at("m", "freq"), F.lit("")).alias("freq"), F.coalesce(F.element_at("m", "fte"), F.lit("")).alias("fte"), F.size("m").alias("n")),
+     "SELECT id, coalesce(json_extract_string(j, '$.freq'), '') AS freq, coalesce(json_extract_string(j, '$.fte'), '') AS fte, CAST(coalesce(len(json_keys(j)), 0) AS INT) AS n FROM (SELECT id, CASE WHEN CAST(id AS BIGINT) % 4 <> 0 AND CAST(id AS BIGINT) % 8 <> 1 THEN feasibility_data END AS j FROM ideas)", "ideas")
+_add("trim_at_embedded_label", lambda v: v.extractions.select("report_id", X.trim_at_embedded_label(F.concat(F.col("reason_for_removal"), F.element_at(F.array(F.lit(" Input Serial: B1151 Qty 1.000"), F.lit(" qty. 4"), F.lit(" and quantity"), F.lit("")), (F.col("report_id") % 4 + 1).cast("int"))), F.array(F.lit("input serial"), F.lit("qty"), F.lit("valve jammed"))).alias("v")),
+     "SELECT report_id, CASE WHEN starts_with(reason_for_removal, 'Unit removed: valve jammed') THEN 'Unit removed' ELSE reason_for_removal || CASE report_id % 4 WHEN 2 THEN ' and quantity' ELSE '' END END AS v FROM extractions", *_E)
 _add("quality_band", lambda v: v.table("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", S.quality_band(F.col("l_quantity") * 2).alias("band")), "SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_quantity * 2 >= 80 THEN 'green' WHEN l_quantity * 2 >= 50 THEN 'amber' ELSE 'red' END AS band FROM lineitem")
 
 # ---- mail --------------------------------------------------------------------------------------------------------
@@ -143,9 +164,11 @@ _OUTCOME = f"""CASE WHEN received < TIMESTAMP '2024-01-05' OR received >= TIMEST
 _add("mail_triage", lambda v: M.triage(v.mails, v.processed, *_span(), vendors=("Vendor A",)), _MAILS + f" SELECT seq, entry_id, {_OUTCOME} AS outcome, regexp_extract(subject, '4[0-9]{{9}}') AS po FROM m", "mails", "processed")
 _add("mail_triage_counts", lambda v: D.counts_by(M.triage(v.mails, v.processed, *_span(), vendors=("Vendor A",)), "outcome"), _MAILS + f" SELECT {_OUTCOME} AS outcome, count(*) AS n FROM m GROUP BY 1", "mails", "processed")
 _add("event_counts", lambda v: M.event_counts(v.activity), "SELECT event, count(*) AS n FROM activity GROUP BY event", "activity")
-_add("history_desc", lambda v: M.newest(v.processed, None, "processed_at", "entry_id").select("entry_id", "downloaded_by"), "SELECT entry_id, downloaded_by FROM processed", "processed")
-_add("recent_activity", lambda v: M.newest(v.activity, 200, "ts", "seq").select("seq", "event"), "SELECT seq, event FROM activity ORDER BY ts DESC, seq DESC LIMIT 200", "activity")
-_add("list_sorted", lambda v: v.otp_list.orderBy("otp").select("otp", "project_name"), "SELECT otp, project_name FROM otp_list", "otp_list")
+_add("history_desc", lambda v: with_position(M.newest(v.processed, None, "processed_at", "entry_id").select("entry_id", "downloaded_by")), "SELECT entry_id, downloaded_by, row_number() OVER (ORDER BY processed_at DESC, entry_id DESC) AS position FROM processed", "processed")
+_add("recent_activity", lambda v: with_position(M.newest(v.activity, 200, "ts", "seq").select("seq", "event")), "SELECT seq, event, row_number() OVER (ORDER BY ts DESC, seq DESC) AS position FROM activity ORDER BY ts DESC, seq DESC LIMIT 200", "activity")
+_add("list_sorted", lambda v: with_position(v.otp_list.orderBy("otp").select("otp", "project_name")), "SELECT otp, project_name, row_number() OVER (ORDER BY otp) AS position FROM otp_list", "otp_list")
+_add("users_sorted", lambda v: with_position(v.users.orderBy("email").select("email", "role")), "SELECT email, role, row_number() OVER (ORDER BY email) AS position FROM users", "users")
+_add("tools_newest", lambda v: with_position(v.deployed_tools.orderBy(F.desc("created_date"), "id").select("id", "created_date")), "SELECT id, created_date, row_number() OVER (ORDER BY created_date DESC, id) AS position FROM deployed_tools", "deployed_tools")
 
 # ---- reports -----------------------------------------------------------------------------------------------------
 _add("dump_load", lambda v: _dump(v).select("ord", "po_key", "core_tsn"), "SELECT ord, regexp_replace(rr_po_number, '[^0-9]', '', 'g') AS po_key, core_tsn FROM dump", "lines", "dump")
@@ -153,31 +176,67 @@ _add("dump_preview", lambda v: R.dump_preview(_dump(v).drop("core_csn"), tuple(r
 _add("extraction_search", lambda v: D.extraction_search(v.extractions, "mk20 corr", ("input_part", "actions_taken", "findings")).select("report_id").unionByName(D.extraction_search(v.extractions, "20 strip", ("input_part", "actions_taken", "findings"), vendor="Vendor A").select("report_id")),
      "SELECT report_id FROM extractions WHERE contains(lower(input_part || ' ' || actions_taken || ' ' || findings), 'mk20 corr') UNION ALL SELECT report_id FROM extractions WHERE vendor = 'Vendor A' AND contains(lower(input_part || ' ' || actions_taken || ' ' || findings), '20 strip')", *_E)
 _add("po_candidate_join", lambda v: R.candidates(v.extractions, _dump(v)).select("report_id", "ord"), "SELECT e.report_id, d.ord FROM extractions e LEFT JOIN dump d ON e.po <> '' AND regexp_replace(e.po, '[^0-9]', '', 'g') = regexp_replace(d.rr_po_number, '[^0-9]', '', 'g')", *_E)
-_add("compare_cell", lambda v: R.checked(v.extractions, _dump(v)).filter("row IS NOT NULL").select("report_id", "ord", *[F.col("checks")[i].status.alias(f"s{i}") for i in range(len(R.RULES))]), _PAIRS + f"SELECT report_id, ord, {', '.join(f's{i}' for i in range(len(R.RULES)))} FROM pairs", *_E)
-_add("rule_join", lambda v: R.checked(v.extractions, _dump(v)).filter("row IS NOT NULL").select("report_id", "ord", F.explode("checks").alias("c")).groupBy("c.field", "c.status").agg(F.count("*").alias("n")),
+_RULED = range(len(R.RULES))
+_add("compare_cell", lambda v: R.checked(v.extractions, _dump(v)).filter("row IS NOT NULL").select("report_id", "ord", *[R.outcome_name(F.col("outcomes")[i]).alias(f"o{i}") for i in _RULED]), _PAIRS + f"SELECT report_id, ord, {', '.join(f'o{i}' for i in _RULED)} FROM pairs", *_E)
+_add("rule_join", lambda v: R.checked(v.extractions, _dump(v)).filter("row IS NOT NULL").select(F.explode(F.array(*[F.struct(F.lit(r[0]).alias("field"), R.status_name(F.col("outcomes")[i]).alias("status")) for i, r in enumerate(R.RULES)])).alias("c")).groupBy("c.field", "c.status").agg(F.count("*").alias("n")),
      _PAIRS + "SELECT field, status, count(*) AS n FROM (" + " UNION ALL ".join(f"SELECT '{r[0]}' AS field, s{i} AS status FROM pairs" for i, r in enumerate(R.RULES)) + ") GROUP BY ALL", *_E)
-_add("blocking_rule", lambda v: R.checked(v.extractions, _dump(v)).filter("row IS NOT NULL").select("report_id", "ord", "accepted", R.accepted(F.col("checks"), True).alias("strict")),
+_add("blocking_rule", lambda v: R.checked(v.extractions, _dump(v)).filter("row IS NOT NULL").select("report_id", "ord", "accepted", R.accepted(blank_blocks=True).alias("strict")),
      _PAIRS + f"SELECT report_id, ord, accepted, accepted AND NOT ({' OR '.join(f's{i} = {chr(39)}blank{chr(39)}' for i, r in enumerate(R.RULES) if not r[3])}) AS strict FROM counted", *_E)
 _add("best_candidate", lambda v: _matches(v).filter("ord IS NOT NULL").select("report_id", "ord"), _PAIRS + "SELECT report_id, ord FROM best", *_E)
 _add("match_reports", lambda v: _matches(v).select("report_id", "status", "ord", "matched", "differed", "blank"), _PAIRS + "SELECT report_id, status, ord, matched, differed, blank FROM matches", *_E)
 _WIDE = ", ".join(f"CASE WHEN m.ord IS NULL THEN '' ELSE e.{r} END AS {d}_report, coalesce(d.{d}, '') AS {d}_dump, coalesce(upper(m.s{i}), 'NOT CHECKED') AS {d}_result" for i, (d, r, _, _) in enumerate(R.RULES))
-_add("comparison_wide", lambda v: R.comparison_wide(v.extractions, _matches(v)).drop("notes"), _PAIRS + f"SELECT e.report_id, CASE m.status WHEN 'matched' THEN 'MATCHED' WHEN 'mismatch' THEN 'NOT MATCHED' ELSE 'PO NOT IN DUMP' END AS match_status, e.po, e.vendor, {_WIDE}, matched, differed, blank FROM extractions e JOIN matches m ON e.report_id = m.report_id LEFT JOIN dump d ON d.ord = m.ord", *_E)
+_NOTE = [f"CASE WHEN m.ord IS NOT NULL AND m.o{i} <> 'equal' THEN '{d}=' || m.o{i}" + (f" || CASE WHEN m.o{i} = 'words_absent' THEN ':' || array_to_string({_absent(f'd.{d}', f'e.{r}')}, '+') ELSE '' END" if m == "words" else "") + " END" for i, (d, r, m, _) in enumerate(R.RULES)]
+_NOTES = f"array_to_string(list_filter([{', '.join(_NOTE)}], lambda x: x IS NOT NULL), ';')"
+_add("comparison_wide", lambda v: R.comparison_wide(v.extractions, _matches(v)), _PAIRS + f"SELECT e.report_id, CASE m.status WHEN 'matched' THEN 'MATCHED' WHEN 'mismatch' THEN 'NOT MATCHED' ELSE 'PO NOT IN DUMP' END AS match_status, e.po, e.vendor, {_WIDE}, matched, differed, blank, {_NOTES} AS notes FROM extractions e JOIN matches m ON e.report_id = m.report_id LEFT JOIN dump d ON d.ord = m.ord", *_E)
 _MATCHED_RULES = "array_to_string(list_filter([" + ", ".join(f"CASE WHEN m.s{i} = 'match' THEN '{r[0]}' END" for i, r in enumerate(R.RULES)) + "], lambda x: x IS NOT NULL), ', ')"
 _add("matched_tracker", lambda v: R.matched_tracker(v.extractions, _matches(v)), _PAIRS + f"SELECT e.report_id, d.* EXCLUDE (ord), e.po AS matched_po, e.vendor, {_MATCHED_RULES} AS matched_rules FROM extractions e JOIN matches m ON e.report_id = m.report_id AND m.status = 'matched' JOIN dump d ON d.ord = m.ord", *_E)
-_add("phase_summary", lambda v: R.phase_summary(_matches(v)), _PAIRS + "SELECT count(*) AS extracted, count(CASE status WHEN 'matched' THEN 1 END) AS matched, count(CASE status WHEN 'mismatch' THEN 1 END) AS mismatch, count(CASE status WHEN 'no_po_rows' THEN 1 END) AS po_missing, count(CASE WHEN status <> 'no_po_rows' THEN 1 END) AS compared FROM matches", *_E)
+_SAMPLE = E.sample_templates()
+_add("phase_summary", lambda v: R.phase_summary(M.attachment_files(v.mails).select((F.col("seq") % 10 != 3).alias("converted")), v.report_text.select(E.identify_template(F.col("text"), _SAMPLE).alias("template")), _matches(v)),
+     _PAIRS + """, files AS (SELECT seq, unnest(string_split(attachments, ';')) AS f FROM mails), q AS (SELECT seq % 10 <> 3 AS ok FROM files WHERE lower(f) LIKE '%.pdf')
+     SELECT (SELECT count(*) FROM q) AS queued, (SELECT count(*) FROM q WHERE ok) AS converted, (SELECT count(*) FROM q WHERE NOT ok) AS errors, (SELECT count(*) FROM report_text WHERE report_id % 6 <> 5) AS extracted, (SELECT count(*) FROM report_text WHERE report_id % 6 = 5) AS unmatched,
+     count(CASE status WHEN 'matched' THEN 1 END) AS matched, count(CASE status WHEN 'mismatch' THEN 1 END) AS mismatch, count(CASE status WHEN 'no_po_rows' THEN 1 END) AS po_missing, count(CASE WHEN status <> 'no_po_rows' THEN 1 END) AS compared FROM matches""", *_E, "report_text", "mails")
 
 _T = (*_E, "report_text")
+#: Ratio of longest matching blocks of (value, token): the longest block, of equal ones the first in value then in token, and the same left and right of it.
+_BLOCK = lambda a, b: f"list_filter(flatten(list_transform(range(len({a}), 0, -1), lambda n: list_transform(range(1, len({a}) - n + 2), lambda i: {{'n': n, 'i': i}}))), lambda x: contains({b}, substr({a}, x.i, x.n)))[1]"
+_RATIO = f"""seg(value, token, a, b, m) AS (SELECT value, token, value, token, {_BLOCK('value', 'token')} FROM likely
+  UNION ALL SELECT value, token, a, b, {_BLOCK('a', 'b')} FROM (SELECT value, token, unnest([substr(a, 1, m.i - 1), substr(a, m.i + m.n)]) AS a, unnest([substr(b, 1, j - 1), substr(b, j + m.n)]) AS b FROM (SELECT *, instr(b, substr(a, m.i, m.n)) AS j FROM seg WHERE m IS NOT NULL)) WHERE a <> '' AND b <> ''),
+ratios AS (SELECT value, token, 2.0::DOUBLE * sum(coalesce(m.n, 0)) / (len(value) + len(token)) AS ratio FROM seg GROUP BY value, token)
+"""
+_TOKEN_FIELDS = [(f, d) for f, d, mode in S.REVERSE_FIELDS if mode == "token"]
 _REVERSE = _PAIRS + f""", sought AS (SELECT m.report_id, t.text, {_TOKENS} AS tokens, {_NUMBERS} AS numbers, {_words('t.text')} AS words, d.* FROM matches m JOIN report_text t ON m.report_id = t.report_id JOIN dump d ON d.ord = m.ord),
-plain AS ({' UNION ALL '.join(
-    f"SELECT report_id, '{f}' AS field, '{d or ''}' AS detail, {f} AS value, " + (f"{_txt(f)} <> '' AND (list_contains(tokens, {_txt(f)}) OR list_contains(list_transform(tokens, lambda t: {_fold('t')}), {_fold(_txt(f))}))" if mode == 'token' else f"coalesce(list_contains(numbers, {_num(f)}), FALSE)" if mode == 'number' else f"len({_words(f)}) > 0 AND len(list_filter({_words(f)}, lambda v: list_contains(words, v))) >= 0.8 * len({_words(f)})") + " AS found FROM sought"
-    for f, d, mode in S.REVERSE_FIELDS)}
-  UNION ALL SELECT report_id, '', 'Date of Removal', '(any date)', {_DATE} <> '' FROM sought
-  UNION ALL SELECT report_id, '', 'Scheduled/Unscheduled', 'scheduled / unscheduled / un-scheduled', contains({_txt('text')}, 'scheduled') FROM sought)
+named AS ({' UNION ALL '.join(f"SELECT report_id, '{f}' AS field, '{d or ''}' AS detail, {f} AS value, {_txt(f)} AS v, tokens FROM sought" for f, d in _TOKEN_FIELDS)}),
+looked AS (SELECT *, CASE WHEN v = '' THEN 'no_value' WHEN list_contains(tokens, v) THEN 'exact' WHEN list_contains(list_transform(tokens, lambda t: {_fold('t')}), {_fold('v')}) THEN 'folded' WHEN len(v) < 7 THEN 'short' ELSE 'absent' END AS code FROM named),
+open AS (SELECT report_id, field, v AS value, unnest(list_filter(tokens, lambda t: abs(len(t) - len(v)) <= 3)) AS token FROM looked WHERE code = 'absent'),
+likely AS (SELECT DISTINCT value, token FROM open), {_RATIO},
+nearest AS (SELECT report_id AS rid, field AS f, max(ratio) AS ratio, arg_min(token, {{'r': -ratio, 't': token}}) AS token FROM open JOIN ratios USING (value, token) GROUP BY ALL),
+plain AS (SELECT report_id, field, detail, 'token' AS mode, value, code IN ('exact', 'folded') OR coalesce(ratio >= 0.8, FALSE) AS found, CASE WHEN code = 'absent' THEN round(coalesce(ratio, 0), 3) WHEN code IN ('exact', 'folded') THEN 1 ELSE 0 END::DOUBLE AS score,
+    CASE WHEN ratio >= 0.8 THEN 'near' ELSE code END AS code, CASE WHEN ratio >= 0.8 THEN token ELSE '' END AS evidence FROM looked LEFT JOIN nearest ON rid = report_id AND f = field
+  UNION ALL {' UNION ALL '.join(
+    f"SELECT report_id, '{f}', '{d or ''}', '{mode}', value, found, found::INT::DOUBLE, CASE WHEN value = '' THEN 'no_value' WHEN {_num('value')} IS NULL THEN 'not_comparable' WHEN found THEN 'exact' ELSE 'absent' END, '' FROM (SELECT report_id, {f} AS value, coalesce(list_contains(numbers, {_num(f)}), FALSE) AS found FROM sought)" if mode == 'number'
+    else f"SELECT report_id, '{f}', '{d or ''}', '{mode}', value, len(w) > 0 AND len(w) - len(x) >= 0.8 * len(w), CASE WHEN len(w) = 0 THEN 0 ELSE round(1 - len(x) / len(w)::DOUBLE, 3) END, CASE WHEN value = '' THEN 'no_value' WHEN len(w) = 0 THEN 'not_comparable' ELSE 'share' END, array_to_string(x, ' ') FROM (SELECT report_id, {f} AS value, {_words(f)} AS w, list_filter({_words(f)}, lambda q: NOT list_contains(words, q)) AS x FROM sought)"
+    for f, d, mode in S.REVERSE_FIELDS if mode != 'token')}
+  UNION ALL SELECT report_id, '', 'Date of Removal', 'date', '', d <> '', (d <> '')::INT, CASE WHEN d <> '' THEN 'exact' ELSE 'absent' END, d FROM (SELECT report_id, {_DATE} AS d FROM sought)
+  UNION ALL SELECT report_id, '', 'Scheduled/Unscheduled', 'word', '', p, p::INT, CASE WHEN p THEN 'exact' ELSE 'absent' END, '' FROM (SELECT report_id, contains({_txt('text')}, 'scheduled') AS p FROM sought))
 """
-_reverse = lambda v, fuzzy=False: S.reverse_check(v.extractions, v.report_text, _matches(v), fuzzy)
-_add("reverse_check", lambda v: _reverse(v).select("report_id", "field", "detail", "value", "found"), _REVERSE + "SELECT report_id, field, detail, value, found FROM plain", *_T)
-_add("reverse_check_fuzzy", lambda v: _reverse(v, True), None)
-_add("fuzzy_token", lambda v: S.fuzzy_tokens(v.extractions.select(X.mx_text(F.col("input_part")).alias("value"), X.mx_text(F.col("input_serial")).alias("token")).unionByName(v.dump.join(v.extractions, F.col("rr_po_number") == F.col("po")).select(X.mx_text(F.col("core_oem_part_number")).alias("value"), X.mx_text(F.col("input_part")).alias("token")))), None)
+
+
+def _reverse(v: Inputs):
+    return S.reverse_check(v.extractions, v.report_text, stored(_matches(v), "matches"))
+
+
+_add("reverse_check", _reverse, _REVERSE + "SELECT report_id, field, detail, mode, value, found, score, code, evidence FROM plain", *_T)
+
+
+def _fuzzy(v: Inputs):
+    own = v.extractions.select(X.mx_text(F.col("input_part")).alias("value"), X.mx_text(F.col("input_serial")).alias("token"))
+    met = v.dump.join(v.extractions, F.col("rr_po_number") == F.col("po")).select(X.mx_text(F.col("core_oem_part_number")).alias("value"), X.mx_text(F.col("input_part")).alias("token"))
+    pairs = own.unionByName(met).distinct().filter(F.size(S.near_length(F.col("value"), F.array("token"))) > 0)
+    return pairs.select("value", "token", F.round(S.best_similar("value", F.array("token")).ratio, 6).alias("ratio"))
+
+
+_add("fuzzy_token", _fuzzy, f""", likely AS (SELECT * FROM (SELECT {_txt('input_part')} AS value, {_txt('input_serial')} AS token FROM extractions UNION SELECT {_txt('core_oem_part_number')}, {_txt('input_part')} FROM dump JOIN extractions ON rr_po_number = po) WHERE abs(len(value) - len(token)) <= 3), {_RATIO}
+     SELECT value, token, round(ratio, 6) AS ratio FROM ratios""", *_E)
 _add("reverse_hit_rate", lambda v: S.hit_rate(_reverse(v)), _REVERSE + "SELECT report_id, count(CASE WHEN found THEN 1 END) AS found, count(*) AS checked FROM plain GROUP BY report_id", *_T)
 _DETAIL = [f"CASE WHEN {_ws(c[0])} <> '' THEN '{n}' END" for n, c in S.BASIC_DETAILS[:7]]
 _FOUND = f"list_filter([{', '.join(_DETAIL)}], lambda x: x IS NOT NULL)"
@@ -226,7 +285,7 @@ _LEVELS = ", ".join(f"{x} AS {k}" for k, x in _SCORES.items())
 def _scored(v: Inputs, columns: tuple[str, ...] = ()):
     """Scores, or the wide rows; what is read twice is written once."""
     matches = stored(_matches(v), "matches")
-    reverse = stored(S.reverse_check(v.extractions, v.report_text, matches, False), "reverse")
+    reverse = stored(S.reverse_check(v.extractions, v.report_text, matches), "reverse")
     scores = S.score_report(v.extractions, matches, reverse)
     return S.scored_details_wide(v.extractions, scores, reverse, columns) if columns else scores
 
