@@ -136,9 +136,8 @@ def text_label_value(text: Column, field: Field, template: Template) -> Column:
     stops = [*field.stop_at, *(x for f in template.fields if f is not field for x in f.labels), *template.neighbours]
     low_stops = F.array(*[F.lit(s.lower()) for s in stops]) if stops else F.array().cast("array<string>")
     def after(label: str) -> Column:
-        pattern = r"(?i)\b" + _escaped(label) + r"\b\s*[#.]*\s*[:\-]?\s*"
-        head = F.regexp_extract(text, pattern, 0)
-        tail = F.when(head != "", F.substring(text, F.position(head, text) + F.length(head), F.length(text))).otherwise("")
+        # The pattern takes all behind the label, so a label inside another word is passed over once and for all.
+        tail = F.regexp_extract(text, r"(?is)\b" + _escaped(label) + r"\b\s*[#.]*\s*[:\-]?\s*(.*)", 1)
 
         def cut(t: Column) -> Column:
             low = F.lower(t)
@@ -264,6 +263,21 @@ def column_union(templates: Sequence[Template]) -> list[str]:
     return list(dict.fromkeys(f.column for t in templates for f in t.fields))
 
 
+def column_order(spark, templates: Sequence[Template]) -> DataFrame:
+    """(column, ord): the union of all templates' columns by the place of their first appearance."""
+    rows = [(f.column, i, k) for i, t in enumerate(templates) for k, f in enumerate(t.fields)]
+    each = spark.createDataFrame(rows, "column string, template int, place int")
+    first = each.groupBy("column").agg(F.min(F.struct("template", "place")).alias("at"))
+    # As many rows as the templates have columns.
+    return first.select("column", F.row_number().over(Window.orderBy("at")).alias("ord"))
+
+
+def filled_columns(extracted: DataFrame, templates: Sequence[Template]) -> DataFrame:
+    """(ord, column, n): each column of the union in order, with the number of documents that fill it."""
+    filled = extracted.select(F.explode("values").alias("column", "v")).filter(F.trim("v") != "").groupBy("column").agg(F.count("*").alias("n"))
+    return column_order(extracted.sparkSession, templates).join(filled, "column", "left").select("ord", "column", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+
+
 def sample_templates() -> tuple[Template, ...]:
     """Templates of the derived sample reports."""
     fields = (

@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 from tallyspark.functions.text import json_values
 from tallyspark.operators import extraction as E
 from tallyspark.operators import scoring as S
-from tallyspark.plans.adapters import Inputs, with_clause
+from tallyspark.plans.adapters import Inputs, with_clause, with_position
 from tallyspark.plans.idea_queries import dates_as_text
+from tallyspark.plans.report_queries import DECLARED, FOUND, LEVELS, PERCENT
 from tallyspark.sources import tables as T
-from tallyspark.sources.scratch import scratch_path
+from tallyspark.sources.scratch import scratch_path, stored
 from tallyspark.streaming import jobs as J
 
 QUERIES, SQL = {}, {}
@@ -45,14 +46,16 @@ _add("add_missing_columns", lambda v: T.add_missing_columns(v.users, {"email": "
 
 
 def _activity(v: Inputs):
-    path = scratch_path(v.spark, "activity")
-    rows = v.activity.select("seq", "ts", "event")
-    T.activity_append(rows.filter("seq % 2 = 0"), path)
-    T.activity_append(rows.filter("seq % 2 = 1").withColumn("extra", F.lit("x")), path)
-    return T.read_growing(v.spark, path).groupBy("day", "event").agg(F.count("*").alias("n"), F.count("extra").alias("extra"))
+    path, twin = scratch_path(v.spark, "activity"), scratch_path(v.spark, "activity-csv")
+    rows = v.activity.select("seq", "ts", "event", "entry_id", "done_by")
+    T.activity_append(rows.filter("seq % 2 = 0"), path, twin)
+    T.activity_append(rows.filter("seq % 2 = 1").withColumn("extra", F.lit("x")), path, twin)
+    table = T.read_growing(v.spark, path).groupBy("day", "event").agg(F.count("*").alias("n"), F.count("extra").alias("extra"))
+    text = T.read_csv(v.spark, twin).groupBy(F.to_date("ts").alias("day"), "event").agg(F.count("*").alias("n_csv"), F.min("entry_id").alias("first_entry"), F.max("done_by").alias("last_by"))
+    return table.join(text, ["day", "event"])
 
 
-_add("activity_append", _activity, "SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, event, count(*) AS n, count(CASE WHEN seq % 2 = 1 THEN 1 END) AS extra FROM activity GROUP BY ALL", "activity")
+_add("activity_append", _activity, "SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, event, count(*) AS n, count(CASE WHEN seq % 2 = 1 THEN 1 END) AS extra, count(*) AS n_csv, min(entry_id) AS first_entry, max(done_by) AS last_by FROM activity GROUP BY ALL", "activity")
 _add("cells_to_text", lambda v: E.cells_to_text(E.cells_of(v.report_text)).select("doc_id", F.md5("text").alias("h")),
      """, l AS (SELECT report_id, i, array_to_string(list_filter(list_transform(string_split(line, '   '), lambda p: trim(p)), lambda p: p <> ''), '   ') AS line FROM (SELECT report_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM report_text))
      SELECT report_id AS doc_id, md5(string_agg(line, chr(10) ORDER BY i) || chr(10)) AS h FROM l WHERE line <> '' GROUP BY report_id""", *_T)
@@ -72,13 +75,16 @@ def _extracted(v: Inputs):
 _VENDOR = "report_id % 6 <> 5"
 _CLEAN = lambda c: f"trim(regexp_replace({c}, '\\s+', ' ', 'g'))"
 _VALUES = f"""SELECT report_id AS doc_id, vendor, 'STRIP REPORT' AS report, CASE WHEN po = '' THEN '4' || lpad(CAST(report_id AS VARCHAR), 9, '0') WHEN regexp_full_match(po, '4[0-9]{{9}}') THEN po ELSE '4' || lpad(CAST(report_id AS VARCHAR), 9, '0') END AS po,
- {_CLEAN('input_part')} AS input_part, input_serial, tsn, csn, esn, CASE failure_date WHEN '' THEN '' ELSE '2024-03-12' END AS failure_date, reason_for_removal, actions_taken, findings, fault_outcome FROM extractions WHERE {_VENDOR}"""
+ {_CLEAN('input_part')} AS input_part, input_serial, CASE WHEN tsn = '' THEN '0' ELSE tsn END AS tsn, csn, esn, CASE failure_date WHEN '' THEN '' ELSE '2024-03-12' END AS failure_date, reason_for_removal, actions_taken, findings, fault_outcome FROM extractions WHERE {_VENDOR}"""
 _COLUMNS = E.column_union(_SAMPLE)
 _add("identify_template", lambda v: v.report_text.select("report_id", E.identify_template(F.col("text"), _SAMPLE).alias("template")), "SELECT report_id, CASE WHEN report_id % 6 = 5 THEN NULL WHEN vendor = 'Vendor A' THEN 0 WHEN vendor = 'Vendor B' THEN 1 ELSE 2 END AS template FROM extractions", *_T)
-_add("grid_label_value", lambda v: E.grid_label_values(E.cells_of(v.report_text), _texts(v).withColumn("template", E.identify_template(F.col("text"), _SAMPLE)).filter("template IS NOT NULL"), _SAMPLE).filter("field IN ('input_serial', 'actions_taken', 'fault_outcome')"),
-     f"SELECT doc_id, field, value FROM (SELECT report_id AS doc_id, 'input_serial' AS field, input_serial AS value FROM extractions WHERE {_VENDOR} UNION ALL SELECT report_id, 'actions_taken', actions_taken FROM extractions WHERE {_VENDOR} UNION ALL SELECT report_id, 'fault_outcome', fault_outcome FROM extractions WHERE {_VENDOR}) WHERE value <> ''", *_T)
+_GRID = {c: c for c in ("po", "input_serial", "tsn", "csn", "failure_date", "reason_for_removal", "actions_taken", "findings", "fault_outcome")} | {"input_part": _CLEAN("input_part"), "esn": "'ESN' || esn"}
+_add("grid_label_value", lambda v: E.grid_label_values(E.cells_of(v.report_text), _texts(v).withColumn("template", E.identify_template(F.col("text"), _SAMPLE)).filter("template IS NOT NULL"), _SAMPLE),
+     "SELECT doc_id, field, value FROM (" + " UNION ALL ".join(f"SELECT report_id AS doc_id, '{c}' AS field, {x} AS value FROM extractions WHERE {_VENDOR}" for c, x in _GRID.items()) + ") WHERE value <> ''", *_T)
 _FIELD = {f.column: f for f in _SAMPLE[0].fields}
-_add("text_label_value", lambda v: v.report_text.select("report_id", *[E.text_label_value(F.col("text"), _FIELD[c], _SAMPLE[0]).alias(c) for c in ("input_serial", "esn", "actions_taken", "failure_date")]),
+#: A line before the report in which the label ends another word.
+_before = lambda: F.concat(F.lit("XESN: 77\nPre-Input Serial 5 NoActions Taken: none\n"), F.col("text"))
+_add("text_label_value", lambda v: v.report_text.select("report_id", *[E.text_label_value(_before() if c == "esn" else F.col("text"), _FIELD[c], _SAMPLE[0]).alias(c) for c in ("input_serial", "esn", "actions_taken", "failure_date")]),
      "SELECT report_id, input_serial, 'ESN' || esn AS esn, actions_taken, failure_date FROM extractions", *_T)
 _add("positional_value", lambda v: E.positional_value(_texts(v), "CSN", _SAMPLE[0].labels()), "SELECT report_id AS doc_id, csn AS value FROM extractions WHERE csn <> ''", *_T)
 _add("grid_positional", lambda v: E.grid_positional(E.cells_of(v.report_text)), "SELECT report_id AS doc_id, 'csn' AS field, csn AS value FROM extractions UNION ALL SELECT report_id, 'tsn', tsn FROM extractions WHERE tsn <> '' UNION ALL SELECT report_id, 'cso', '0' FROM extractions", *_T)
@@ -91,19 +97,40 @@ def _rotated(v: Inputs):
 
 
 _add("grid_positional_vertical", lambda v: E.grid_positional_vertical(_rotated(v)), "SELECT report_id AS doc_id, 'csn' AS field, csn AS value FROM extractions UNION ALL SELECT report_id, 'tsn', tsn FROM extractions WHERE tsn <> '' UNION ALL SELECT report_id, 'tso', '5' FROM extractions", *_T)
-_add("neighbour_cells", lambda v: E.neighbour_cells(E.cells_of(v.report_text)).filter("r = 3").select("doc_id", "c", F.array_join("right", "|").alias("right"), F.array_join("below", "|").alias("below")),
-     """, g AS (SELECT report_id, ['INF', csn, tsn, '0'] AS a FROM extractions), h AS (SELECT report_id, unnest(range(4)) AS c FROM extractions)
-     SELECT h.report_id AS doc_id, CAST(c AS INT) AS c, array_to_string((['Serial #', 'CSN', 'TSN', 'CSO'])[c + 2:], '|') AS right,
-     CASE c WHEN 0 THEN 'INF|ESN: ESN' || esn WHEN 1 THEN csn || '|' || trim('Failure Date: ' || failure_date) WHEN 2 THEN tsn ELSE '0' END AS below FROM h JOIN extractions USING (report_id)""", *_T)
-_add("extract_fields", lambda v: E.extraction_wide(_extracted(v), [c for c in _COLUMNS if c not in ("tsn", "csn")]), f"SELECT * EXCLUDE (tsn, csn) FROM ({_VALUES})", *_T)
+_add("neighbour_cells", lambda v: E.neighbour_cells(E.cells_of(v.report_text)).select("doc_id", "r", "c", F.array_join("right", "|").alias("right"), F.array_join("below", "|").alias("below")),
+     """, l AS (SELECT report_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS r FROM report_text),
+     k AS (SELECT report_id AS doc_id, r, trim(unnest(string_split(line, '   '))) AS t, generate_subscripts(string_split(line, '   '), 1) - 1 AS c FROM l)
+     SELECT doc_id, CAST(r AS INT) AS r, CAST(c AS INT) AS c, (SELECT coalesce(string_agg(x.t, '|' ORDER BY x.c), '') FROM k x WHERE x.doc_id = k.doc_id AND x.r = k.r AND x.c > k.c AND x.c <= k.c + 3) AS right,
+     (SELECT coalesce(string_agg(x.t, '|' ORDER BY x.r), '') FROM k x WHERE x.doc_id = k.doc_id AND x.c = k.c AND x.r > k.r AND x.r <= k.r + 2) AS below FROM k""", *_T)
+_add("extract_fields", lambda v: E.extraction_wide(_extracted(v), _COLUMNS), _VALUES, *_T)
 _add("extraction_wide", lambda v: E.extraction_wide(_extracted(v), ("csn", "esn", "findings")), f"SELECT doc_id, vendor, report, csn, esn, findings FROM ({_VALUES})", *_T)
-_add("extraction_save", lambda v: T.extraction_rows(_extracted(v)).select("doc_id", F.element_at(json_values(F.col("values_json")), "esn").alias("esn")), f"SELECT doc_id, esn FROM ({_VALUES})", *_T)
-_add("completeness_score", lambda v: v.extractions.select("report_id", S.completeness(F.create_map(*[x for c in ("tsn", "csn", "findings", "fault_outcome", "actions_taken") for x in (F.lit(c), F.col(c))]), F.lit(5)).alias("score")),
-     "SELECT report_id, CAST(20 * ((tsn <> '')::INT + (csn <> '')::INT + (findings <> '')::INT + (fault_outcome <> '')::INT + (actions_taken <> '')::INT) AS INT) AS score FROM extractions", *_T)
-_add("recent_extractions", lambda v: v.extractions.orderBy(F.desc("report_id")).limit(1000).select("report_id", S.completeness(F.create_map(F.lit("tsn"), F.col("tsn"), F.lit("findings"), F.col("findings")), F.lit(2)).alias("score")),
-     "SELECT report_id, CAST(50 * ((tsn <> '')::INT + (findings <> '')::INT) AS INT) AS score FROM (SELECT * FROM extractions ORDER BY report_id DESC LIMIT 1000)", *_T)
-_add("sort_extractions", lambda v: v.extractions.orderBy(F.lower("vendor"), F.col("csn").try_cast("double"), "report_id").select("report_id", "vendor", "csn"), "SELECT report_id, vendor, csn FROM extractions", *_T)
-_add("column_union", lambda v: E.grid_positional(E.cells_of(v.report_text)).groupBy("field").agg(F.count("*").alias("n")), "SELECT 'csn' AS field, count(*) AS n FROM extractions WHERE csn <> '' UNION ALL SELECT 'tsn', count(*) FROM extractions WHERE tsn <> '' UNION ALL SELECT 'cso', count(*) FROM extractions", *_T)
+
+
+def _saved(v: Inputs):
+    path, found = scratch_path(v.spark, "extractions"), stored(_extracted(v), "extracted")
+    T.extraction_save(found.filter("vendor = 'Vendor A'"), path)
+    T.extraction_save(found.filter("vendor <> 'Vendor A'"), path)
+    saved = T.read_growing(v.spark, path).withColumn("m", json_values(F.col("values_json")))
+    return saved.select("doc_id", "vendor", "report", *[F.element_at("m", c).alias(c) for c in _COLUMNS])
+
+
+_add("extraction_save", _saved, _VALUES, *_T)
+#: Every seventh report names a vendor without template, every fiftieth has unreadable JSON.
+_BAD_VENDOR, _BAD_JSON = "report_id % 7 = 0", "report_id % 50 = 0"
+
+
+def _saved_rows(v: Inputs):
+    json = F.to_json(F.create_map(*[x for c in _COLUMNS for x in (F.lit(c), F.col(c))]))
+    return v.extractions.select("report_id", F.when(F.expr(_BAD_VENDOR), "Nobody").otherwise(F.upper("vendor")).alias("vendor"), F.when(F.expr(_BAD_JSON), "{bad").otherwise(json).alias("values_json"))
+
+
+_BLANKED = f", r AS (SELECT report_id, CASE WHEN {_BAD_VENDOR} THEN 'Nobody' ELSE upper(vendor) END AS vendor, {', '.join(f'CASE WHEN {_BAD_JSON} THEN {chr(39) * 2} ELSE {c} END AS {c}' for c in _COLUMNS)} FROM extractions)"
+_FILLED = f"CASE WHEN vendor = 'Nobody' THEN 0 ELSE CAST(round(({' + '.join(f'(trim({c}) <> {chr(39) * 2})::INT' for c in _COLUMNS)}) * 100.0 / 11) AS INT) END AS score"
+_add("completeness_score", lambda v: _saved_rows(v).select("report_id", S.completeness(json_values(F.col("values_json")), S.expected_fields(F.col("vendor"), _SAMPLE)).alias("score")), f"{_BLANKED} SELECT report_id, {_FILLED} FROM r", *_T)
+_add("recent_extractions", lambda v: S.recent_extractions(_saved_rows(v), 1000, _SAMPLE, tuple(_COLUMNS)).select("report_id", "vendor", F.coalesce(F.element_at("values", "csn"), F.lit("")).alias("csn"), "score", "quality"),
+     f"{_BLANKED}, last AS (SELECT * FROM r ORDER BY report_id DESC LIMIT 1000), base AS (SELECT *, '' AS dump_rfr, {DECLARED} AS decl, {FOUND} AS f FROM last), levels AS (SELECT report_id, vendor, csn, {_FILLED}, {LEVELS} FROM base) SELECT report_id, vendor, csn, score, {PERCENT} AS quality FROM levels", *_T)
+_add("sort_extractions", lambda v: with_position(v.extractions.orderBy(F.lower("vendor"), F.col("csn").try_cast("double"), "report_id").select("report_id", "vendor", "csn")), "SELECT report_id, vendor, csn, row_number() OVER (ORDER BY lower(vendor), CAST(csn AS DOUBLE), report_id) AS position FROM extractions", *_T)
+_add("column_union", lambda v: E.filled_columns(_extracted(v), _SAMPLE), "SELECT * FROM (" + " UNION ALL ".join(f"SELECT CAST({k} AS INT) AS ord, '{c}' AS \"column\", (SELECT count(*) FROM ({_VALUES}) WHERE {c} <> '') AS n" for k, c in enumerate("po input_part input_serial tsn csn esn failure_date reason_for_removal actions_taken findings fault_outcome".split(), 1)) + ")", *_T)
 
 
 # ---- streams -----------------------------------------------------------------------------------------------------
@@ -141,21 +168,42 @@ def _sessions(v: Inputs):
 
 def _latest(v: Inputs):
     folder, state = scratch_path(v.spark, "patches"), scratch_path(v.spark, "state")
-    v.patches.write.parquet(folder)
-    patches = v.spark.readStream.schema("id string, seq int, status string, assigned_engineer string, roi double").parquet(folder)
+    # Several files, later patches in earlier ones as well, each a micro-batch of its own.
+    for part in ("seq = 3", "seq = 1", "seq = 2"):
+        v.patches.filter(part).coalesce(1).write.mode("append").parquet(folder)
+    patches = v.spark.readStream.schema("id string, seq int, status string, assigned_engineer string, roi double").option("maxFilesPerTrigger", 1).parquet(folder)
     J.stream_latest_state(patches, state, scratch_path(v.spark, "cp"), ("status", "assigned_engineer", "roi")).awaitTermination()
-    return v.spark.read.parquet(f"{state}/v0")
+    return J.read_state(v.spark, state).select("id", "status", "assigned_engineer", "roi")
+
+
+def _stream_active(v: Inputs):
+    target = scratch_path(v.spark, "active-users")
+    J.incremental_results(J.active_users_exact(_streamed(v)).select("window.start", "users"), target, scratch_path(v.spark, "cp")).awaitTermination()
+    return v.spark.read.schema("start timestamp, users long").parquet(target).select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "users")
+
+
+def _watermark_dedup(v: Inputs):
+    target = scratch_path(v.spark, "dedup")
+    mails = _streamed(v).select(F.concat(F.lit("M"), (F.col("event_id") - F.when(F.col("event_id") % 10 == 9, 1).otherwise(0)).cast("string")).alias("entry_id"), F.col("ts").alias("received"))
+    J.incremental_results(J.mail_dedup(mails, "3650 days").select("entry_id"), target, scratch_path(v.spark, "cp")).awaitTermination()
+    return v.spark.read.schema("entry_id string").parquet(target)
 
 
 _add("stream_mail_dedup", _stream_mail_dedup, "SELECT DISTINCT entry_id FROM mails", "mails")
 _add("incremental_results", _incremental, "SELECT event_id, event_type FROM events")
 _add("stream_latest_state", _latest, "SELECT id, arg_max(status, seq) FILTER (status IS NOT NULL) AS status, arg_max(assigned_engineer, seq) FILTER (assigned_engineer IS NOT NULL) AS assigned_engineer, arg_max(roi, seq) FILTER (roi IS NOT NULL) AS roi FROM patches GROUP BY id", "patches")
+_add("stream_mail_dedup_watermark", _watermark_dedup, "SELECT DISTINCT entry_id FROM mails", "mails")
+_WINDOWS = "SELECT user_id, unnest(generate_series(time_bucket(INTERVAL 1 MINUTE, ts) - INTERVAL 4 MINUTE, time_bucket(INTERVAL 1 MINUTE, ts), INTERVAL 1 MINUTE)) AS w FROM events"
+# A window is out once its end lies at or before the watermark, ten minutes behind the last event.
+_add("stream_active_users", _stream_active, f"SELECT strftime(w, '%Y-%m-%d %H:%M:%S') AS start, count(DISTINCT user_id) AS users FROM ({_WINDOWS}) WHERE w + INTERVAL 5 MINUTE <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events) GROUP BY w")
+_add("session_states", lambda v: J.session_states(_events(v), F.lit("2024-01-15 12:00:00").cast("timestamp")), "SELECT user_id, CASE WHEN s >= 600 THEN 'ended' WHEN s >= 340 THEN 'warned' ELSE 'active' END AS state FROM (SELECT user_id, date_diff('microsecond', max(ts), TIMESTAMP '2024-01-15 12:00:00') / 1000000.0 AS s FROM events WHERE ts <= TIMESTAMP '2024-01-15 12:00:00' GROUP BY user_id)")
 _add("active_users_window", lambda v: J.active_users(_events(v), exact=True).select(F.date_format("window.start", "yyyy-MM-dd HH:mm:ss").alias("start"), "users"),
      "SELECT strftime(w, '%Y-%m-%d %H:%M:%S') AS start, count(DISTINCT user_id) AS users FROM (SELECT user_id, unnest(generate_series(time_bucket(INTERVAL 1 MINUTE, ts) - INTERVAL 4 MINUTE, time_bucket(INTERVAL 1 MINUTE, ts), INTERVAL 1 MINUTE)) AS w FROM events) GROUP BY w")
 _add("active_users_now", lambda v: J.present_at(_events(v), F.lit("2024-01-15 12:00:00").cast("timestamp"), 60 * 24).select("user_id"), "SELECT user_id FROM events WHERE ts <= TIMESTAMP '2024-01-15 12:00:00' GROUP BY user_id HAVING max(ts) >= TIMESTAMP '2024-01-14 12:00:00'")
 _SESSIONS = """WITH g AS (SELECT user_id, ts, CASE WHEN lag(ts) OVER w IS NULL OR ts - lag(ts) OVER w >= INTERVAL 600 SECONDS THEN 1 ELSE 0 END AS new, event_id FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
 n AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM g) SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS events FROM n GROUP BY user_id, k"""
 _text = lambda df: df.select("user_id", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "events")
-_add("user_sessions", lambda v: _text(J.sessions_exact(_events(v))), _SESSIONS)
-_add("user_sessions_window", lambda v: _text(J.user_sessions(_events(v))), _SESSIONS)
-_add("stream_user_sessions", _sessions, None)
+_add("user_sessions", lambda v: _text(J.user_sessions(_events(v))), _SESSIONS)
+_add("user_sessions_window", lambda v: J.user_sessions(_events(v)).groupBy("user_id").agg(F.count("*").alias("sessions"), F.sum("events").alias("events")), f"SELECT user_id, count(*) AS sessions, CAST(sum(events) AS BIGINT) AS events FROM ({_SESSIONS}) GROUP BY user_id")
+_add("user_sessions_by_gap", lambda v: _text(J.sessions_exact(_events(v))), _SESSIONS)
+_add("stream_user_sessions", lambda v: _text(_sessions(v)), _SESSIONS + " HAVING max(ts) + INTERVAL 599999999 MICROSECOND <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events)")

@@ -228,6 +228,9 @@ def _reverse(v: Inputs):
 _add("reverse_check", _reverse, _REVERSE + "SELECT report_id, field, detail, mode, value, found, score, code, evidence FROM plain", *_T)
 
 
+_add("reverse_check_fuzzy", lambda v: _reverse(v).filter("code IN ('near', 'absent') AND mode = 'token'").select("report_id", "field", "found", "score", "evidence"), _REVERSE + "SELECT report_id, field, found, score, evidence FROM plain WHERE code IN ('near', 'absent') AND mode = 'token'", *_T)
+
+
 def _fuzzy(v: Inputs):
     own = v.extractions.select(X.mx_text(F.col("input_part")).alias("value"), X.mx_text(F.col("input_serial")).alias("token"))
     met = v.dump.join(v.extractions, F.col("rr_po_number") == F.col("po")).select(X.mx_text(F.col("core_oem_part_number")).alias("value"), X.mx_text(F.col("input_part")).alias("token"))
@@ -239,7 +242,7 @@ _add("fuzzy_token", _fuzzy, f""", likely AS (SELECT * FROM (SELECT {_txt('input_
      SELECT value, token, round(ratio, 6) AS ratio FROM ratios""", *_E)
 _add("reverse_hit_rate", lambda v: S.hit_rate(_reverse(v)), _REVERSE + "SELECT report_id, count(CASE WHEN found THEN 1 END) AS found, count(*) AS checked FROM plain GROUP BY report_id", *_T)
 _DETAIL = [f"CASE WHEN {_ws(c[0])} <> '' THEN '{n}' END" for n, c in S.BASIC_DETAILS[:7]]
-_FOUND = f"list_filter([{', '.join(_DETAIL)}], lambda x: x IS NOT NULL)"
+FOUND = _FOUND = f"list_filter([{', '.join(_DETAIL)}], lambda x: x IS NOT NULL)"
 _BASIC = f"CASE WHEN len(f) = 8 THEN 3 WHEN len(list_filter(f, lambda x: x NOT IN ('LRU SN', 'LRU PN'))) = 0 THEN 0 WHEN len(list_filter(f, lambda x: x NOT IN ('LRU SN', 'LRU PN'))) = 1 THEN 1 ELSE 2 END"
 
 
@@ -251,7 +254,7 @@ def _split_checklist(v: Inputs):
 
 _add("checklist_found_missing", _split_checklist, f", x AS (SELECT report_id, {_FOUND} AS f FROM extractions) SELECT report_id, array_to_string(f, '|') AS found, array_to_string(list_filter(['LRU SN', 'LRU PN', 'ESN', 'TSN', 'CSN', 'Date of Removal', 'RO or PO Number', 'Scheduled/Unscheduled'], lambda x: NOT list_contains(f, x)), '|') AS missing FROM x", *_E)
 _add("rfr_overlap", lambda v: v.extractions.select("report_id", S.shares_words(F.col("findings"), F.col("reason_for_removal")).alias("findings_share"), S.shares_words(F.col("actions_taken"), F.col("reason_for_removal")).alias("actions_share")), f"SELECT report_id, {_shares('findings', 'reason_for_removal')} AS findings_share, {_shares('actions_taken', 'reason_for_removal')} AS actions_share FROM extractions", *_E)
-_DECL = f"trim({_ws('fault_outcome')} || ' ' || {_ws('findings')})"
+DECLARED = _DECL = f"trim({_ws('fault_outcome')} || ' ' || {_ws('findings')})"
 _SCORES = {
     "rfr": f"CASE WHEN {_ws('reason_for_removal')} = '' THEN 0 WHEN len({_words('reason_for_removal')}) <= 1 THEN 1 WHEN coalesce(dump_rfr, '') <> '' AND {_status('words', 'dump_rfr', 'reason_for_removal')} = 'match' THEN 3 ELSE 2 END",
     "basics": _BASIC,
@@ -281,7 +284,10 @@ for _k, _f in _single.items():
     _add(f"score_{_k}", _f, _PLAIN + f"SELECT report_id, {_SCORES[_k]} AS level FROM base", *_E)
 _SEEN = _REVERSE + ", seen AS (SELECT report_id, list(DISTINCT detail) FILTER (found AND detail <> '') AS s, TRUE AS known FROM plain GROUP BY report_id)"
 _FULL = _base(f"CASE WHEN seen.known THEN coalesce(seen.s, []) ELSE {_FOUND.replace('coalesce(', 'coalesce(e.')} END", _SEEN).replace("LEFT JOIN dump d ON d.ord = m.ord)\n", "LEFT JOIN dump d ON d.ord = m.ord LEFT JOIN seen ON seen.report_id = e.report_id)\n")
-_LEVELS = ", ".join(f"{x} AS {k}" for k, x in _SCORES.items())
+LEVELS = _LEVELS = ", ".join(f"{x} AS {k}" for k, x in _SCORES.items())
+PERCENT = "CAST(round((rfr * 5 + basics * 10 + actions * 20 + findings * 20 + outcome * 20 + correctness * 25) * 100.0 / 300, 1) AS DOUBLE)"
+
+
 def _scored(v: Inputs, columns: tuple[str, ...] = ()):
     """Scores, or the wide rows; what is read twice is written once."""
     matches = stored(_matches(v), "matches")

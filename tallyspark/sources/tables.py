@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyspark.functions.text import blank_to_empty
+from tallyspark.sources.scratch import stored
 
 #: Headers that name each column of the project master.
 MASTER_HEADERS = {
@@ -51,11 +52,27 @@ def read_growing(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("mergeSchema", True).parquet(path)
 
 
-def activity_append(events: DataFrame, path: str) -> None:
-    """Append log events, partitioned by day."""
+#: Columns of the log's CSV twin; what else an event carries is in the table alone.
+ACTIVITY_CSV = ("ts", "event", "entry_id", "done_by")
+
+
+def activity_append(events: DataFrame, path: str, csv_path: str | None = None) -> None:
+    """Append log events, partitioned by day, and to the CSV twin if there is one.
+
+    Both writes read one stored copy, so that an event is in both or, after a failure, is written by the repeated run.
+    """
+    events = stored(events, "activity")
     append_parquet(events.withColumn("day", F.to_date("ts")), path, "day")
+    if csv_path:
+        rows = add_missing_columns(events, dict.fromkeys(ACTIVITY_CSV, "string"))
+        rows.select(*[blank_to_empty(F.col(c)).alias(c) for c in ACTIVITY_CSV]).write.mode("append").option("header", True).option("escape", '"').csv(csv_path)
 
 
 def extraction_rows(extracted: DataFrame) -> DataFrame:
     """Extracted values as a JSON object, for saving."""
     return extracted.select("doc_id", "vendor", "report", F.to_json("values").alias("values_json"))
+
+
+def extraction_save(extracted: DataFrame, path: str) -> None:
+    """Append extractions to a saved table."""
+    append_parquet(extraction_rows(extracted), path)

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tallyspark.operators.ideas import latest_state
-
 EVENTS = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
 #: Seconds of silence after which a session warns and ends.
 WARN_S, END_S = 340, 600
@@ -45,6 +45,11 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def active_users(events: DataFrame, width: str = "5 minutes", step: str = "1 minute", delay: str = "10 minutes", exact: bool = False) -> DataFrame:
     """Users seen in each sliding window; approximate in a stream, exact on a table."""
     users = F.count_distinct("user_id") if exact else F.approx_count_distinct("user_id")
@@ -52,6 +57,13 @@ def active_users(events: DataFrame, width: str = "5 minutes", step: str = "1 min
     return rows.groupBy(F.window("ts", width, step)).agg(users.alias("users"))
 
 
+def active_users_exact(events: DataFrame, width: str = "5 minutes", step: str = "1 minute", delay: str = "10 minutes") -> DataFrame:
+    """The same, exact in a stream too: users by window first, then their number; a window comes out once its time is over."""
+    rows = events.withWatermark("ts", delay) if events.isStreaming else events
+    users = rows.groupBy(F.window("ts", width, step).alias("window"), "user_id").agg(F.count("*").alias("events"))
+    return users.groupBy("window").agg(F.count("*").alias("users"))
+
+
 def present_at(events: DataFrame, now: Column, minutes: int = 5) -> DataFrame:
     """Users whose last event lies within the minutes before a time."""
     last = events.filter(F.col("ts") <= now).groupBy("user_id").agg(F.max("ts").alias("last_seen"))
@@ -73,7 +85,14 @@ def sessions_exact(events: DataFrame) -> DataFrame:
     return rows.groupBy("user_id", "n").agg(F.min("ts").alias("start"), F.max("ts").alias("last"), F.count("*").alias("events")).drop("n")
 
 
+def session_states(events: DataFrame, now: Column) -> DataFrame:
+    """(user_id, state) of each user at a time, by the silence since their last event."""
+    last = events.filter(F.col("ts") <= now).groupBy("user_id").agg(F.max("ts").alias("last"))
+    return last.select("user_id", idle_state((F.unix_micros(now) - F.unix_micros("last")) / 1_000_000).alias("state"))
+
+
 def idle_state(idle_seconds: Column) -> Column:
+    """Whether a session goes on, is warned or has ended."""
     return F.when(idle_seconds >= END_S, "ended").when(idle_seconds >= WARN_S, "warned").otherwise("active")
 
 
@@ -82,20 +101,43 @@ def incremental_results(source: DataFrame, target: str, checkpoint: str) -> Stre
     return source.writeStream.format("parquet").outputMode("append").option("path", target).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def fold_patches(before: DataFrame, patches: DataFrame, fields: tuple[str, ...]) -> DataFrame:
+    """State (id, and each field with the seq it comes from) after more patches (id, seq, fields), in whatever order these come."""
+    old = [before.select("id", F.col(f"{f}_seq").alias("seq"), *[F.col(g) if g == f else F.lit(None).cast(before.schema[g].dataType).alias(g) for g in fields]) for f in fields]
+    rows = reduce(DataFrame.unionByName, [patches.select("id", F.col("seq").cast("long").alias("seq"), *fields), *old])
+    seen = lambda f: F.when(F.col(f).isNotNull(), F.col("seq"))
+    return rows.groupBy("id").agg(*[x for f in fields for x in (F.max_by(f, seen(f)).alias(f), F.max(seen(f)).alias(f"{f}_seq"))])
+
+
 def stream_latest_state(patches: DataFrame, state: str, checkpoint: str, fields: tuple[str, ...]) -> StreamingQuery:
     """State by id under a feed of patches: each micro-batch folds into a new version of the state table.
 
-    Version n + 1 is made from version n, so a replayed batch writes the same version again.
+    Version n is made from version n - 1, which must be there, so a replayed batch writes the same version again; a late patch
+    changes no field that a later one has set.  The last two versions are kept.
     """
+    types = {f: patches.schema[f].dataType.simpleString() for f in fields}
+    empty = "id string, " + ", ".join(f"{f} {types[f]}, {f}_seq long" for f in fields)
 
     def fold(batch: DataFrame, number: int) -> None:
-        spark, path = batch.sparkSession, f"{state}/v{number}"
-        before = spark.read.parquet(f"{state}/v{number - 1}") if number and _exists(spark, f"{state}/v{number - 1}") else spark.createDataFrame([], batch.select("id", *fields).schema)
-        latest_state(before, batch, fields).write.mode("overwrite").parquet(path)
+        spark = batch.sparkSession
+        if number and not _exists(spark, f"{state}/v{number - 1}/_SUCCESS"):
+            raise FileNotFoundError(f"state version {number - 1} is missing below {state}")
+        before = spark.read.schema(empty).parquet(f"{state}/v{number - 1}") if number else spark.createDataFrame([], empty)
+        fold_patches(before, batch, fields).write.mode("overwrite").parquet(f"{state}/v{number}")
+        if number > 1:
+            _delete(spark, f"{state}/v{number - 2}")
 
     return patches.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def read_state(spark: SparkSession, state: str) -> DataFrame:
+    """The last whole version of a state table."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(state)
+    names = [x.getPath().getName() for x in at.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(at)]
+    done = [int(n[1:]) for n in names if n[0] == "v" and n[1:].isdigit() and _exists(spark, f"{state}/{n}/_SUCCESS")]
+    return spark.read.parquet(f"{state}/v{max(done)}")
+
+
 def run_to_table(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     """Drive a stream over what is there now into an in-memory table: for tests and small results only."""
     query = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()

@@ -78,7 +78,39 @@ def test_contradiction_scores_zero_without_review(spark):
     assert got == {1: (0, False), 2: (3, False), 3: (3, False), 4: (0, True)}
 
 
-def test_similarity(spark):
-    df = spark.createDataFrame([("abcdefgh", "abcdefgx"), ("abcdefgh", "zzzzzzzz"), ("abcdefgh", "abc")], "value string, token string")
-    got = {r.token: r.ratio for r in S.fuzzy_tokens(df).collect()}
-    assert got == {"abcdefgx": 0.875, "zzzzzzzz": 0.0}
+def test_best_similar_token(spark):
+    import difflib
+    import random
+
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choice("abc12") for _ in range(rng.randrange(7, 12)))
+    rows = [("abcdefgh", ["abcdefgx", "zzzzzzzz"]), ("abcdefgh", []), ("", ["abc"]), ("zzzzzzzz", ["aaaaaaaa"])] + [(word(), [word() for _ in range(9)]) for _ in range(60)]
+    df = spark.createDataFrame(rows, "value string, tokens array<string>").select("value", "tokens", S.best_similar("value", "tokens").alias("best"))
+    for r in df.collect():
+        every = [(difflib.SequenceMatcher(None, r.value, t).ratio(), t) for t in r.tokens]
+        most = max((x for x, _ in every), default=0.0)
+        assert (r.best.ratio, r.best.token) == (most, min((t for x, t in every if x == most), default="") if most else "")
+
+
+def test_reverse_check_codes(spark):
+    text = "Unit BPU9OO1 SN-77/123 seen 2.3.2021, TSN 1,234.0 hours; unscheduled. Valve jammed"
+    row = ("SN-77/129", "BPU9001", "88", "1234", "x", "4600000001", "jammed valve slow", "N1")
+    names = [f for f, _, _ in S.REVERSE_FIELDS]
+    order = ("core_serial_number", "core_oem_part_number", "engine_serial_number", "core_tsn", "core_csn", "rr_po_number", "reason_for_removal", "aircraft_tail_number")
+    assert tuple(names) == order
+    matches = spark.createDataFrame([(1, row)], "report_id int, row struct<" + ",".join(f"{n}:string" for n in names) + ">")
+    texts = spark.createDataFrame([(1, text)], "report_id int, text string")
+    got = {(r.field or r.detail): (r.found, r.score, r.code, r.evidence) for r in S.reverse_check(texts, texts, matches).collect()}
+    assert got["core_serial_number"] == (True, 0.857, "near", "sn77123") and got["core_oem_part_number"] == (True, 1.0, "folded", "")
+    assert got["engine_serial_number"] == (False, 0.0, "absent", "") and got["core_tsn"] == (True, 1.0, "exact", "") and got["core_csn"][2] == "not_comparable"
+    assert got["rr_po_number"][0] is False and got["rr_po_number"][2] == "absent" and got["aircraft_tail_number"][2] == "short"
+    assert got["reason_for_removal"] == (False, 0.667, "share", "slow") and got["Date of Removal"] == (True, 1.0, "exact", "2.3.2021") and got["Scheduled/Unscheduled"][0]
+
+
+def test_completeness_by_vendor(spark):
+    from tallyspark.operators import extraction as E
+
+    ts = (E.Template("Big Maker", "R", (E.Field("a", ("A",)), E.Field("b", ("B",)), E.Field("c", ("C",)))),)
+    rows = [(1, "big  MAKER", {"a": "1", "b": " "}), (2, "Other", {"a": "1"}), (3, None, {}), (4, "Big Maker", {"a": "1", "b": "2", "c": "3", "d": "4"})]
+    df = spark.createDataFrame(rows, "k int, vendor string, m map<string,string>")
+    assert [r.s for r in df.orderBy("k").select(S.completeness(F.col("m"), S.expected_fields(F.col("vendor"), ts)).alias("s")).collect()] == [33, 0, 0, 100]

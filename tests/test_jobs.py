@@ -2,13 +2,16 @@
 
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
+from tallyspark.operators import dashboard as D
 from tallyspark.operators import extraction as E
 from tallyspark.operators import ideas as I
 from tallyspark.operators import mail as M
 from tallyspark.operators import reconcile as R
+from tallyspark.plans.adapters import with_position
 from tallyspark.sources import tables as T
 from tallyspark.sources.scratch import scratch_path
 from tallyspark.streaming import jobs as J
@@ -127,3 +130,60 @@ def test_new_mail_is_handled_once(spark):
         spark.createDataFrame([(i, dt.datetime(2024, 1, 1)) for i in ids], schema).write.mode("append").parquet(folder)
         J.write_new_mail(spark.readStream.schema(schema).parquet(folder), ledger, cp).awaitTermination()
     assert sorted(r.entry_id for r in spark.read.parquet(ledger).collect()) == ["a", "b", "c"]
+
+
+def test_late_and_repeated_patches(spark):
+    folder, state, cp = (scratch_path(spark, n) for n in ("patches", "state", "cp"))
+    schema = "id string, seq int, status string, roi double"
+    for rows in ([("a", 5, "UAT", None)], [("a", 3, "WIP", 2.0), ("b", 1, None, 1.0)], [("a", 4, None, 9.0), ("b", 1, None, 1.0)]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(folder)
+        J.stream_latest_state(spark.readStream.schema(schema).parquet(folder), state, cp, ("status", "roi")).awaitTermination()
+    assert {r.id: (r.status, r.roi) for r in J.read_state(spark, state).collect()} == {"a": ("UAT", 9.0), "b": (None, 1.0)}
+    spark.createDataFrame([("c", 1, "WIP", None)], schema).write.mode("append").parquet(folder)
+    J._delete(spark, f"{state}/v2")
+    query = J.stream_latest_state(spark.readStream.schema(schema).parquet(folder), state, cp, ("status", "roi"))
+    with pytest.raises(Exception, match="is missing"):
+        query.awaitTermination()
+
+
+def test_a_label_inside_a_word_is_passed_over(spark):
+    t = E.Template("V", "R", (E.Field("tsn", ("TSN",)), E.Field("csn", ("CSN",)), E.Field("note", ("Note",), multiline=True)))
+    rows = [(1, "CTSN: 5\nTSN: 6"), (2, "TSN #. - 7 CSN 8"), (3, "CTSN 4"), (4, None), (5, "Note: two\nlines TSN 3")]
+    got = {r.k: (r.tsn, r.note) for r in spark.createDataFrame(rows, "k int, text string").select("k", *[E.text_label_value(F.col("text"), f, t).alias(f.column) for f in t.fields]).collect()}
+    assert got == {1: ("6", ""), 2: ("7", ""), 3: ("", ""), 4: ("", ""), 5: ("3", "two lines")}
+
+
+def test_dashboard_keeps_empty_rows_and_bands(spark):
+    rows = [(str(i), "Internal", 1.0, "2024", "WIP", f"e{i // 6}", "", "x") for i in range(18)] + [("t", "Internal", 1.0, "2024", "WIP", "e1", "", "x"), ("u", "Internal", 1.0, "2024", "WIP", "e1", "", "x")]
+    df = ideas(spark, rows[:6] + rows[6:9] + rows[12:]).withColumn("automation_category", F.lit("AI-Process Improvement")).withColumn("feasibility_data", F.lit(None).cast("string"))
+    counts = {r.status: r.n for r in D.status_counts(df).collect()}
+    assert len(counts) == 7 and counts["WIP"] == df.count() and sum(counts.values()) == df.count()
+    panel = {r.automation_category: (r.total, r.success) for r in D.automation_category_panel(df).collect()}
+    assert len(panel) == 7 and panel["AI-Personal Productivity"] == (0, 0.0)
+    users = spark.createDataFrame([(e, "automation engineer") for e in ("e0", "e1", "e2", "idle")], "email string, role string")
+    more = df.unionByName(ideas(spark, [(f"m{i}", "Internal", 1.0, "2024", "UAT", "e2", "", "x") for i in range(9)]), allowMissingColumns=True)
+    assert {r.email: (r.tasks, r.load, r.band) for r in D.engineer_load(users, more).collect()} == {"e0": (6, 60.0, "amber"), "e1": (5, 50.0, "amber"), "e2": (15, 100.0, "red"), "idle": (0, 0.0, "green")}
+
+
+def test_sprint_meetings_and_recipients(spark):
+    rows = [("1", "a@b.example", "no address", None, "2024-03-01", "2024-03-04 10:00", ""), ("2", "", None, "pl@b.example", "", "bad", "2024-03-09")]
+    df = spark.createDataFrame(rows, "id string, submitter_email string, assigned_engineer string, pl_name string, vsm_meeting_date string, sprint_meeting_date string, delivery_date string")
+    got = sorted((r.id, r.kind, r.date, r.time, r.recipients) for r in I.meeting_schedule(df).collect())
+    assert got == [("1", "sprint", "2024-03-04", "11:00", "a@b.example"), ("1", "vsm", "2024-03-01", "10:00", "a@b.example"), ("2", "delivery", "2024-03-09", "15:00", "pl@b.example")]
+
+
+def test_eligible_parents(spark):
+    df = ideas(spark, [("1", "", 0.0, "", "WIP", "", "", "a"), ("2", "", 0.0, "", "WIP", "", "1", "b"), ("3", "", 0.0, "", "WIP", "", None, "c")])
+    assert sorted(tuple(r) for r in I.eligible_parents(df, ("1", "2")).collect()) == [("1", "3"), ("2", "1"), ("2", "3")]
+    assert {r.id: r.n_parents for r in I.eligible_parent_counts(df, df).collect()} == {"1": 1, "2": 2, "3": 1}
+
+
+def test_positions_follow_the_sort(spark):
+    df = spark.range(1000).withColumn("k", F.col("id") * 7919 % 1000).repartition(9)
+    assert [r.k for r in with_position(df.orderBy(F.desc("k"))).orderBy("position").collect()] == list(range(999, -1, -1))
+    assert with_position(df.limit(0).orderBy("k")).count() == 0
+
+
+def test_oracles_of_whole_inputs_have_no_empty_result(spark):
+    for name in ("column_union", "phase_summary", "stream_active_users"):
+        assert __spark_entry__.queries()[name](spark, SF).count() > 0
