@@ -1,17 +1,20 @@
 """Benchmark decontamination by greedy string tiling.
 
-Documents and benchmark items meet on shared seeds, runs of ``least`` tokens.  For each pair that shares one, tiles
+Documents and benchmark items are joined on shared seeds, runs of ``least`` tokens.  For each pair that shares enough of them, tiles
 are laid as running Karp-Rabin greedy string tiling does: the longest matches between unmarked tokens are
 marked first, none overlaps another in the item or in the document, and the search length shrinks until ``least``.
 The covered share of the item's tokens decides, so passages in another order are caught as well.
 
 Tokens are runs of ASCII letters and digits or any non-ASCII characters, lower-cased.
 
-Scale: the benchmark is the stated query set.  It goes to tasks in blocks of at most about ``BLOCK_BYTES`` of text,
-each block against all documents, where each document is read once a block and nothing is shuffled.
+Scale: documents are read once, whatever the benchmark's size.  A table of at most ``TABLE_BITS`` bits tells which seeds no item
+has; only the others, with the few tokens that they hold, are stored and shuffled.  A seed that very many documents hold is one
+key of a plain join, which Spark can split.  Of the pairs, only those go on whose shared seeds could cover the threshold.
 
 Defined results: null or empty texts share nothing; items of fewer than ``least`` tokens can't be told from
-chance and match nothing; items repeated under one id count as separate items of that id; repeated documents each give rows.
+chance and match nothing; items repeated under one id count as separate items of that id; repeated documents each give rows; of equally long
+matches the first in the item, then in the document is marked first; an empty table on either side gives no pair; a null id stays null;
+texts of any length are read whole; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -30,7 +33,8 @@ from tallyspark.llm.text_arrays import RunHash, Texts, map_texts, pieces, row_of
 
 LEAST = 5
 THRESHOLD = 0.6
-BLOCK_BYTES = 16 << 20
+#: Bits of the table of seeds that goes to all tasks, at most: 16 MiB.
+TABLE_BITS = 1 << 27
 
 _BETWEEN = np.ones(256, bool)
 _BETWEEN[[*range(48, 58), *range(97, 123), *range(128, 256)]] = False
@@ -107,130 +111,138 @@ def _matches(item: np.ndarray, text: np.ndarray, free_item: np.ndarray, free_tex
     return found, longest
 
 
-class Items:
-    """A block of benchmark items: token hashes and a sorted table of seeds."""
+def _grams(hashes: np.ndarray, n: int) -> np.ndarray:
+    at = np.arange(max(0, len(hashes) - n + 1))
+    return RunHash(hashes, "word").of(at, at + n)
+
 
-    def __init__(self, items: pa.Table, least: int):
-        self.least = least
-        self.ids: list[int | None] = []
-        self.tokens: list[np.ndarray] = []
-        for piece in _lowered(items.combine_chunks().to_batches(), 1 << 20):
+def _tokens_of(items: DataFrame, least: int) -> DataFrame:
+    """(item, item_id, tokens): token hashes of the items (item, item_id, text) that have ``least`` tokens or more."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in _lowered(batches, 1 << 20):
             _, _, first = piece.words()
-            hashes = piece.word_hashes()
-            for k, item_id in enumerate(piece.rows.column("item_id").to_pylist()):
-                if first[k + 1] - first[k] >= least:
-                    self.ids.append(item_id)
-                    self.tokens.append(hashes[first[k] : first[k + 1]])
-        seeds = [np.unique(_grams(t, least)) for t in self.tokens]
-        keys = np.concatenate(seeds) if seeds else np.zeros(0, np.uint64)
-        owner = np.repeat(np.arange(len(seeds)), [len(s) for s in seeds])
-        order = np.argsort(keys, kind="stable")
-        self.seeds, self.owner = keys[order], owner[order]
-        #: For a quick test, whether some seed has these low bits.
-        self.low = np.zeros(1 << 16, bool)
-        self.low[(self.seeds & np.uint64(0xFFFF)).astype(np.int64)] = True
-
-    def compare(self, piece: Texts) -> Iterator[tuple[int, int, int, list[tuple[int, int, int]]]]:
-        """(row, item index, covered tokens, tiles) of each pair that shares a seed."""
-        _, _, first = piece.words()
-        hashes, row = piece.word_hashes(), row_of(first)
-        if len(hashes) < self.least or not len(self.seeds):
-            return
-        grams = _grams(hashes, self.least)
-        maybe = np.flatnonzero(self.low[(grams & np.uint64(0xFFFF)).astype(np.int64)] & (row[: len(grams)] == row[self.least - 1 :]))
-        begin = np.searchsorted(self.seeds, grams[maybe], "left")
-        end = np.searchsorted(self.seeds, grams[maybe], "right")
-        keep = end > begin
-        maybe, begin, end = maybe[keep], begin[keep], end[keep]
-        if not len(maybe):
-            return
-        which = np.repeat(np.arange(len(maybe)), end - begin)
-        item = self.owner[np.arange(len(which)) + np.repeat(begin - (np.cumsum(end - begin) - (end - begin)), end - begin)]
-        at = maybe[which]
-        order = np.lexsort((at, item, row[at]))
-        at, item, rows = at[order], item[order], row[at[order]]
-        cut = np.flatnonzero(np.concatenate([[True], (rows[1:] != rows[:-1]) | (item[1:] != item[:-1])]))
-        for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(at)]):
-            # Only tokens of seeds can lie in a tile; parts are held apart by values that no token has.
-            places, tokens, last = [], [], -1
-            for p in at[a:b].tolist():
-                begin_ = max(p, last)
-                if p > last >= 0:
-                    places.append(-1)
-                    tokens.append(len(places) * 2 + 1)
-                for q in range(begin_, p + self.least):
-                    places.append(q)
-                    tokens.append(int(hashes[q]))
-                last = p + self.least
-            k, r = int(item[a]), int(rows[a])
-            laid = tiles(self.tokens[k], np.array(tokens, np.uint64), self.least)
-            base = int(first[r])
-            yield r, k, sum(t[2] for t in laid), [(i, places[j] - base, n) for i, j, n in laid]
+            hashes = piece.word_hashes().view(np.int64)
+            long = np.flatnonzero(np.diff(first) >= least)
+            rows = piece.rows.take(pa.array(long))
+            yield pa.RecordBatch.from_arrays([rows.column("item"), rows.column("item_id"), pa.array([hashes[first[k] : first[k + 1]] for k in long], pa.list_(pa.int64()))], ["item", "item_id", "tokens"])
 
+    return map_texts(items, run, "item long, item_id long, tokens array<long>")
 
-def _grams(hashes: np.ndarray, n: int) -> np.ndarray:
-    at = np.arange(max(0, len(hashes) - n + 1))
-    return RunHash(hashes, "word").of(at, at + n)
+
+def _seeds_of(items: DataFrame, least: int) -> DataFrame:
+    """(seed, item, n, n_tokens): the seeds of each item, and how often each stands in it."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for item, tokens in zip(batch.column("item").to_pylist(), batch.column("tokens")):
+                tokens = tokens.values.to_numpy()
+                seeds, n = np.unique(_grams(tokens.view(np.uint64), least).view(np.int64), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(seeds), pa.array(np.full(len(n), item)), pa.array(n.astype(np.int32)), pa.array(np.full(len(n), len(tokens), np.int32))], ["seed", "item", "n", "n_tokens"])
+
+    return items.select("item", "tokens").mapInArrow(run, "seed long, item long, n int, n_tokens int")
+
+
+def _seed_table(seeds: DataFrame) -> np.ndarray:
+    """For each value of a seed's low bits whether some seed has them; at most TABLE_BITS, 16 for each seed if that is less."""
+    bits, wanted = 1 << 16, 16 * seeds.count()
+    while bits < min(TABLE_BITS, wanted):
+        bits *= 2
+    low = F.col("seed").bitwiseAND(F.lit(bits - 1)) + 1
+    # A row for each 32,768 bits, 4 KiB each.
+    parts = seeds.groupBy(F.bitmap_bucket_number(low).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(low)).alias("b")).collect()
+    table = np.zeros((max(1, bits // 32768), 4096), np.uint8)
+    for part in parts:
+        table[part.k - 1] = np.frombuffer(part.b, np.uint8)
+    return table.ravel()
 
 
-def item_blocks(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> list[DataFrame]:
-    """The benchmark in parts of about ``block_bytes`` of text."""
-    items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    n = -(-int(items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // block_bytes) or 1
-    if n == 1:
-        return [items]
-    return [items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k) for k in range(n)]
+def _met_seeds(base: DataFrame, table: np.ndarray, least: int) -> DataFrame:
+    """(uid, doc_id, places, seeds, tokens) of documents with seeds of the table: places and values of these, and the tokens in them in order."""
+    mask = np.uint64(8 * len(table) - 1)
 
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in _lowered(batches, 1 << 20):
+            _, _, first = piece.words()
+            hashes, row = piece.word_hashes(), row_of(first)
+            if len(hashes) < least:
+                continue
+            grams = _grams(hashes, least)
+            low = (grams & mask).astype(np.int64)
+            at = np.flatnonzero((table[low >> 3] >> (low & 7).astype(np.uint8) & 1).astype(bool) & (row[: len(grams)] == row[least - 1 :]))
+            if not len(at):
+                continue
+            held = np.unique((at[:, None] + np.arange(least)).ravel())
+            rows, begin = np.unique(row[at], return_index=True)
+            ends, cut = np.append(begin[1:], len(at)), np.append(np.searchsorted(row[held], rows), len(held))
+            grams, tokens = grams[at].view(np.int64), hashes[held].view(np.int64)
+            lists = lambda values, of: pa.array([values[a:b] for a, b in of])
+            spans = list(zip(begin, ends))
+            kept = piece.rows.take(pa.array(rows))
+            columns = [pa.array([at[a:b] - first[r] for (a, b), r in zip(spans, rows)]), lists(grams, spans), lists(tokens, zip(cut[:-1], cut[1:]))]
+            yield pa.RecordBatch.from_arrays([kept.column("uid"), kept.column("doc_id"), *columns], ["uid", "doc_id", "places", "seeds", "tokens"])
 
-def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST, threshold: float = THRESHOLD, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    return map_texts(base, run, "uid long, doc_id long, places array<long>, seeds array<long>, tokens array<long>")
+
+
+def _laid(pairs: DataFrame, least: int, threshold: float) -> DataFrame:
+    """Tiles of pairs, each row with the document's met seeds and the item's tokens, that reach the threshold."""
+    tile = pa.struct([("item_start", pa.int32()), ("doc_start", pa.int32()), ("length", pa.int32())])
+    kinds = [("uid", pa.int64()), ("doc_id", pa.int64()), ("item_id", pa.int64()), ("n_tokens", pa.int64()), ("n_covered", pa.int64()), ("coverage", pa.float64()), ("tiles", pa.list_(tile))]
+    schema = pa.schema(kinds)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for k in range(batch.num_rows):
+                places, seeds, tokens, item = (batch.column(c)[k].values.to_numpy() for c in ("places", "seeds", "tokens", "item_tokens"))
+                item = item.view(np.uint64)
+                held = np.unique((places[:, None] + np.arange(least)).ravel())
+                at = np.unique((places[np.isin(seeds, _grams(item, least).view(np.int64))][:, None] + np.arange(least)).ravel())
+                # Only tokens of this item's seeds can lie in a tile; a value that no token has stands wherever some are left out.
+                gaps = np.flatnonzero(np.diff(at) > 1) + 1
+                text = np.insert(tokens[np.searchsorted(held, at)].view(np.uint64), gaps, np.arange(len(gaps), dtype=np.uint64) * 2 + 1)
+                where = np.insert(at, gaps, -1)
+                laid = tiles(item, text, least)
+                covered = sum(t[2] for t in laid)
+                if covered >= threshold * len(item):
+                    named = [{"item_start": i, "doc_start": int(where[j]), "length": n} for i, j, n in laid]
+                    out.append((*(batch.column(c)[k].as_py() for c in ("uid", "doc_id", "item_id")), len(item), covered, covered / len(item), named))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), schema.types)], schema=schema)
+
+    return map_texts(pairs, run, "uid long, doc_id long, item_id long, n_tokens long, n_covered long, coverage double, tiles array<struct<item_start:int,doc_start:int,length:int>>")
+
+
+def _pairs(base: DataFrame, benchmark: DataFrame, item_col: str, item_text_col: str, least: int, threshold: float, once: bool = False) -> DataFrame:
+    """Contaminated pairs of documents (uid, doc_id, text), which are read once; ``once`` where a uid may stand for several equal ones."""
+    rows = benchmark.select(F.monotonically_increasing_id().alias("item"), F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).cast("string").alias("text"))
+    items = stored(_tokens_of(rows, least), "decontamination-items")
+    seeds = stored(_seeds_of(items, least), "decontamination-seeds")
+    met = _met_seeds(base, _seed_table(seeds), least)
+    met = stored(met.dropDuplicates(["uid", "doc_id"]) if once else met, "decontamination-met")
+    shared = met.select("uid", F.explode(F.array_distinct("seeds")).alias("seed")).join(seeds, "seed").groupBy("uid", "item").agg(F.sum("n").alias("n"), F.first("n_tokens").alias("n_tokens"))
+    # A shared seed covers ``least`` tokens of the item at most wherever it stands in it.
+    likely = stored(shared.filter(F.col("n") * least >= F.col("n_tokens") * threshold).select("uid", "item"), "decontamination-likely")
+    sides = likely.join(met, "uid").join(items.select("item", "item_id", F.col("tokens").alias("item_tokens")), "item")
+    return _laid(sides.select("uid", "doc_id", "item_id", "places", "seeds", "tokens", "item_tokens"), least, threshold)
+
+
+def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", least: int = LEAST, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, item_id, n_tokens, n_covered, coverage, tiles) of pairs whose coverage reaches the threshold.
 
     tiles: array of (item_start, doc_start, length) in tokens.
     """
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    tile = pa.struct([("item_start", pa.int32()), ("doc_start", pa.int32()), ("length", pa.int32())])
-    schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("n_tokens", pa.int64()), ("n_covered", pa.int64()), ("coverage", pa.float64()), ("tiles", pa.list_(tile))])
-
-    def against(items: Items) -> DataFrame:
-        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for piece in _lowered(batches, 1 << 20):
-                ids, out = piece.rows.column("doc_id").to_pylist(), []
-                for row, k, covered, laid in items.compare(piece):
-                    size = len(items.tokens[k])
-                    if covered >= threshold * size:
-                        out.append((ids[row], items.ids[k], size, covered, covered / size, [dict(zip(("item_start", "doc_start", "length"), t)) for t in laid]))
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), schema.types)], schema=schema)
-
-        return map_texts(base, run, "doc_id long, item_id long, n_tokens long, n_covered long, coverage double, tiles array<struct<item_start:int,doc_start:int,length:int>>")
-
-    parts = item_blocks(benchmark, block_bytes=block_bytes)
-    found = None
-    for part in parts:
-        one = against(Items(part.toArrow(), least))
-        one = stored(one, "decontamination") if len(parts) > 1 else one
-        found = one if found is None else found.unionByName(one)
-    return found
-
-
-def without_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", least: int = LEAST, threshold: float = THRESHOLD, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Rows of ``docs``, unchanged, that cover no benchmark item to the threshold."""
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-
-    def against(rows: DataFrame, items: Items) -> DataFrame:
-        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                plain = pa.RecordBatch.from_arrays([batch.column(text_col), pa.array(np.arange(batch.num_rows))], ["text", "at"])
-                keep = np.ones(batch.num_rows, bool)
-                for piece in _lowered([plain], 1 << 20):
-                    at = piece.rows.column("at").to_numpy()
-                    for row, k, covered, _ in items.compare(piece):
-                        if covered >= threshold * len(items.tokens[k]):
-                            keep[at[row]] = False
-                yield batch.filter(pa.array(keep))
-
-        return map_texts(rows, run, kinds)
-
-    for part in item_blocks(benchmark, block_bytes=block_bytes):
-        docs = against(docs, Items(part.toArrow(), least))
-    return docs
+    base = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return _pairs(base, benchmark, item_col, item_text_col, least, threshold).drop("uid")
+
+
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", least: int = LEAST, threshold: float = THRESHOLD) -> DataFrame:
+    """Rows of ``docs``, unchanged, that cover no benchmark item to the threshold.
+
+    A text decides for all its rows, so rows are told by a hash of the text; Spark broadcasts the hashes of contaminated texts while these are few.
+    """
+    text = F.col(text_col).cast("string")
+    base = docs.select(F.xxhash64(text).alias("uid"), F.hash(text).cast("long").alias("doc_id"), text.alias("text"))
+    bad = stored(_pairs(base, benchmark, item_col, item_text_col, least, threshold, once=True).select("uid", "doc_id").distinct(), "decontamination-bad")
+    return docs.join(bad, (F.xxhash64(docs[text_col].cast("string")) == bad["uid"]) & (F.hash(docs[text_col].cast("string")).cast("long") == bad["doc_id"]), "left_anti")

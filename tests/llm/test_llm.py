@@ -423,14 +423,38 @@ def test_decontamination(spark, edges, empty):
     rows = [(1, f"before {item} after"), (2, f"x {turned.upper()}, y"), (3, " ".join(w[:7]) + " nothing else"), (4, None), (5, ""), (1, f"before {item} after")]
     bench = spark.createDataFrame([(10, item), (11, None), (12, "too short"), (13, item)], "item_id long, text string")
     d = spark.createDataFrame(rows, "doc_id long, text string")
-    for block in (1 << 20, 60):
-        got = sorted((r.doc_id, r.item_id, r.n_covered, len(r.tiles)) for r in decontamination.contaminated_pairs(d, bench, block_bytes=block).collect())
-        assert got == [(1, 10, 20, 1), (1, 10, 20, 1), (1, 13, 20, 1), (1, 13, 20, 1), (2, 10, 20, 2), (2, 13, 20, 2)]
-        assert sorted(r.doc_id for r in decontamination.without_contaminated(d, bench, block_bytes=block).collect()) == [3, 4, 5]
+    got = sorted((r.doc_id, r.item_id, r.n_covered, len(r.tiles)) for r in decontamination.contaminated_pairs(d, bench).collect())
+    assert got == [(1, 10, 20, 1), (1, 10, 20, 1), (1, 13, 20, 1), (1, 13, 20, 1), (2, 10, 20, 2), (2, 13, 20, 2)]
+    assert sorted(r.doc_id for r in decontamination.without_contaminated(d, bench).collect()) == [3, 4, 5]
     assert decontamination.contaminated_pairs(edges, bench).count() == 0
     assert decontamination.contaminated_pairs(empty, bench).count() == 0
     assert decontamination.contaminated_pairs(d, bench.limit(0)).count() == 0
     assert decontamination.without_contaminated(edges, bench).columns == edges.columns
+    clash = d.selectExpr("*", "1 AS uid", "2 AS item_id", "3 AS seeds")
+    assert sorted(r.doc_id for r in decontamination.without_contaminated(clash, bench.selectExpr("*", "1 AS item")).collect()) == [3, 4, 5]
+
+
+def test_contaminated_pairs_match_brute_force(spark, monkeypatch):
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(60)] + ["a", "b"] * 20
+    items = [(i, rng.choices(words, k=rng.choice([4, 5, 6, 12, 30]))) for i in range(25)] + [(30, ["x", "y"] * 10)]
+    docs = []
+    for i in range(60):
+        text = rng.choices(words, k=rng.randrange(40))
+        for _ in range(rng.randrange(4)):
+            w = rng.choice(items)[1]
+            a, b = sorted(rng.choices(range(len(w) + 1), k=2))
+            at = rng.randrange(len(text) + 1)
+            text[at:at] = w[a:b] if rng.random() < 0.5 else w[len(w) // 2 :] + w[: len(w) // 2]
+        docs.append((i, text))
+    want = {(d, i): c for d, t in docs for i, w in items if len(w) >= 5 and (c := brute_tiles(w, t, 5)) >= 0.6 * len(w)}
+    frame = lambda rows, name: spark.createDataFrame([(i, ", ".join(w).upper()) for i, w in rows], f"{name} long, text string")
+    for bits in (1 << 27, 1 << 16):
+        monkeypatch.setattr(decontamination, "TABLE_BITS", bits)
+        got = decontamination.contaminated_pairs(frame(docs, "doc_id"), frame(items, "item_id")).collect()
+        assert {(r.doc_id, r.item_id): r.n_covered for r in got} == want and len(want) > 20
+    texts, passages = dict(docs), dict(items)
+    assert all(texts[r.doc_id][t.doc_start : t.doc_start + t.length] == passages[r.item_id][t.item_start : t.item_start + t.length] for r in got for t in r.tiles)
 
 
 def test_warc_round_trip(spark):
