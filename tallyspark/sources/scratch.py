@@ -8,13 +8,30 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+def _root(spark: SparkSession) -> str:
+    """The application's own folder below ``spark.checkpoint.dir``, deleted when the application ends.
+
+    Where that setting is unset, a temporary folder serves a local session; on a cluster executors could not see it, so that is an error.
+    """
+    context = spark.sparkContext
+    root = getattr(context, "_tallyspark_scratch", None)
+    if root is None:
+        base = spark.conf.get("spark.checkpoint.dir", None)
+        if not base:
+            if not context.master.partition("[")[0] == "local":
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            base = tempfile.mkdtemp(prefix="spark-scratch-")
+        root = context._tallyspark_scratch = f"{base.rstrip('/')}/tallyspark-{context.applicationId}"
+        path = spark._jvm.org.apache.hadoop.fs.Path(root)
+        files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+    return root
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path below ``spark.checkpoint.dir``; where that is unset (a local test), below one temporary folder an application."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        context = spark.sparkContext
-        base = context._tallyspark_scratch = getattr(context, "_tallyspark_scratch", None) or tempfile.mkdtemp(prefix="spark-scratch-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new path in the application's scratch folder."""
+    return f"{_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
