@@ -5,7 +5,8 @@ together.  On features with a sign in MONOTONE the score never rises (-1) or fal
 breaks the order is not taken, and the midpoint of its children bounds what stands below them.
 
 Defined results: null or empty text has no words and fails the base rules; without a usable label
-the trees keep all; repeated rows are judged alike; labels are read in training only.
+the trees keep all; repeated rows are judged alike; labels are read in training only; a null id stays null; of equally good splits the first
+feature and cut wins; an empty table gives no rows; a text of any length is read whole; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations

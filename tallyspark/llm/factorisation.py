@@ -4,7 +4,10 @@ score = sigmoid(b + sum w_i x_i + 1/2 sum_f ((sum_i v_if x_i)^2 - sum_i v_if^2 x
 features interact through vectors of rank ``rank``, in time linear in a text's distinct words.
 
 Defined results: null and empty texts have only the statistics' zero values and still get a
-score; repeated rows score alike; without a usable label every score is 0.5; labels, language, source and id never enter.
+score; repeated rows score alike; without a usable label every score is 0.5; labels, language, source and id never enter; of several labels of an
+id the least counts; a null id is in no held-out fold; an empty table gives no rows; a text of any length is read whole; other columns, whatever
+their names, pass unread.  The sample that a machine is fitted on holds TRAIN_ROWS documents at most, as hashed words: some hundred
+bytes a distinct word, so several hundred megabytes if all of them are very long.
 """
 
 from __future__ import annotations
@@ -142,7 +145,6 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int
     return fit(Sparse(flat("i").astype(np.int64), flat("x"), first).rows(order), stats[order], y[order])
 
 
-
 def score(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: str = "text", rest: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, score) of every whole text, with the columns in ``rest`` under the prefix ``rest_``."""
 

@@ -5,11 +5,17 @@ and host: each level's posterior mean is the prior mean of the level below, and
 strength comes from the moments of its beta-binomial counts.  A host is blocked where the lower bound of its
 posterior bad rate lies above the threshold.  A rule that fits a url overrides the reputation.
 
-Scale: pages are reduced to counts by host before any level meets another; only three pairs of sums reach the driver.
+Suffixes are the last label, or the last two where a country's two letters follow one of SECOND_LEVEL; the registered domain has one
+label more.  The bound is the posterior mean less z posterior standard deviations.
+
+Scale: pages are parsed once for counts by host and once for the result, and reduced to counts before any level meets another; only sums by
+level reach the driver.  Counts and reputations by host are stored, so that the join of pages with a very common host can be split.
 
 Defined results: a null url or one without ``://`` has empty host and path and no rule, and is judged by the
 empty host's outcomes; labels repeated for a page count once, as bad if one of them is; pages repeated under one
-id each give a row; a page without outcome counts in no rate; with no outcome at all nothing is blocked but by rule.
+id each give a row; a null id has no outcome; a page without outcome counts in no rate; with no outcome at all nothing is blocked but by rule;
+of rules of one length the first by text wins; an empty table gives no rows; a url of any length is parsed whole; other columns, whatever their
+names, are not read.
 """
 
 from __future__ import annotations
@@ -17,6 +23,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyspark.llm.scratch import stored
+
+#: Labels below which countries register domains.
+SECOND_LEVEL = ("ac", "co", "com", "edu", "gov", "net", "org")
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: (verdict, host, path): a rule fits its host and all subdomains where the path starts with the rule's.
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
@@ -54,7 +64,10 @@ def prior_strength(level: DataFrame, least: float = 1.0, most: float = 1000.0) -
 
 def reputations(hosts: DataFrame, z: float = 1.645, threshold: float = 0.5) -> DataFrame:
     """(host, lower, blocked) from counts (host, n, bad); hosts without outcome get their domain's rate."""
-    labelled = hosts.withColumn("domain", F.substring_index("host", ".", -2)).withColumn("suffix", F.substring_index("host", ".", -1))
+    last, before = F.substring_index("host", ".", -1), F.substring_index(F.substring_index("host", ".", -2), ".", 1)
+    two = F.col("host").contains(".") & last.rlike("^[a-z][a-z]$") & before.isin(*SECOND_LEVEL)
+    labelled = hosts.withColumn("domain", F.when(two, F.substring_index("host", ".", -3)).otherwise(F.substring_index("host", ".", -2)))
+    labelled = labelled.withColumn("suffix", F.when(two, F.substring_index("host", ".", -2)).otherwise(last))
     domains = labelled.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     total, all_bad = (x or 0 for x in suffixes.agg(F.sum("n"), F.sum("bad")).first())
@@ -74,8 +87,8 @@ def judge_urls(pages: DataFrame, outcomes: DataFrame, rules: tuple[tuple[str, st
     parsed = pages.select(F.col("page_id").cast("long").alias("page_id"), host.alias("host"), path.alias("path"))
     once = outcomes.filter("page_id is not null and bad is not null").groupBy("page_id").agg(F.max("bad").alias("bad"))
     counted = parsed.select("page_id", "host").join(once, "page_id", "left")
-    hosts = counted.groupBy("host").agg(F.count("bad").alias("n"), F.count_if("bad").alias("bad"))
-    known = reputations(hosts, z, threshold)
+    hosts = stored(counted.groupBy("host").agg(F.count("bad").alias("n"), F.count_if("bad").alias("bad")), "hosts")
+    known = stored(reputations(hosts, z, threshold), "reputations")
     text, verdict = rule_of(F.col("host"), F.col("path"), rules)
     judged = parsed.join(known, "host", "left")
     method = F.when(F.coalesce("blocked", F.lit(False)), "block").otherwise("allow")

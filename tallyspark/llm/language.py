@@ -6,7 +6,8 @@ the mean over all its positions.  Training is backpropagation through time on a
 
 Defined results: ``und`` with score 0 where the text is null or has no letter, or where no label was
 learned; ties go to the first language in order; repeated rows are labelled alike; rows without a
-language, and the held-out fold, are never learned from.
+language, and the held-out fold, are never learned from; a null id is in no held-out fold; an empty table gives no rows; other columns, whatever
+their names, are not read.  All of a text's positions are labelled, in memory of about its own length besides a fixed number of segments.
 """
 
 from __future__ import annotations
@@ -161,12 +162,12 @@ def fit(segments: np.ndarray, target: np.ndarray, languages: list[str], epochs:
     return net
 
 
-def segments_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All segments of a piece as (n, SEGMENT) codes, and their number by row."""
+def segments_of(data: np.ndarray, offsets: np.ndarray, begin: int = 0, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The segments of a piece from ``begin`` to ``end`` as (n, SEGMENT) codes, and their number by row."""
     sizes = np.diff(offsets)
     each = -(-sizes // SEGMENT)
-    starts = np.repeat(offsets[:-1], each) + SEGMENT * (spread(np.zeros(len(each), np.int64), each))
-    ends = np.repeat(offsets[1:], each)
+    starts = (np.repeat(offsets[:-1], each) + SEGMENT * (spread(np.zeros(len(each), np.int64), each)))[begin:end]
+    ends = np.repeat(offsets[1:], each)[begin:end]
     at = starts[:, None] + np.arange(SEGMENT)
     inside = at < ends[:, None]
     codes = np.full(at.shape, PAD, np.int16)
@@ -186,10 +187,10 @@ def has_letter(piece: Texts) -> np.ndarray:
 
 def document_probabilities(net: Network, piece: Texts, batch: int = 4096) -> np.ndarray:
     """(rows, L): mean over all positions of a text; zero rows for empty ones."""
-    codes, each = segments_of(piece.data, piece.offsets)
-    sums = np.zeros((len(codes), len(net.languages)))
-    for at in range(0, len(codes), batch):
-        part = np.ascontiguousarray(codes[at : at + batch].T)
+    each = -(-np.diff(piece.offsets) // SEGMENT)
+    sums = np.zeros((int(each.sum()), len(net.languages)))
+    for at in range(0, len(sums), batch):
+        part = np.ascontiguousarray(segments_of(piece.data, piece.offsets, at, at + batch)[0].T)
         p = position_probabilities(net, part)
         p[part == PAD] = 0
         sums[at : at + batch] = p.sum(axis=0)

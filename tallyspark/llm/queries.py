@@ -132,7 +132,8 @@ parsed AS (SELECT page_id, translate(regexp_extract(coalesce(rest, ''), '^[^/?#]
                   regexp_extract(coalesce(rest, ''), '^[^/?#]*([^?#]*)', 1) AS path FROM rests),
 outcomes AS (SELECT doc_id AS page_id, max(CASE WHEN quality = 0 OR toxic = 1 THEN 1 WHEN quality IS NULL OR toxic IS NULL THEN NULL ELSE 0 END) AS bad FROM labels GROUP BY doc_id),
 hosts AS (SELECT host, count(bad) AS n, coalesce(sum(bad), 0) AS bad FROM parsed LEFT JOIN outcomes USING (page_id) GROUP BY host),
-split AS (SELECT *, CASE WHEN len(string_split(host, '.')) > 2 THEN array_to_string(string_split(host, '.')[-2:], '.') ELSE host END AS domain, string_split(host, '.')[-1] AS suffix FROM hosts),
+labels_of AS (SELECT *, string_split(host, '.') AS p, CASE WHEN len(string_split(host, '.')) > 1 AND regexp_full_match(string_split(host, '.')[-1], '[a-z][a-z]') AND string_split(host, '.')[-2] IN ('ac', 'co', 'com', 'edu', 'gov', 'net', 'org') THEN 2 ELSE 1 END AS k FROM hosts),
+split AS (SELECT host, n, bad, array_to_string(p[-(k + 1):], '.') AS domain, array_to_string(p[-k:], '.') AS suffix FROM labels_of),
 domains AS (SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad FROM split GROUP BY domain, suffix),
 suffixes AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM domains GROUP BY suffix),
 k AS (SELECT {_strength("suffixes")} AS ks, {_strength("domains")} AS kd, {_strength("hosts")} AS kh, (SELECT (sum(bad) + 1)::DOUBLE / (sum(n) + 2) FROM suffixes) AS base),

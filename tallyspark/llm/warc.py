@@ -7,11 +7,11 @@ payloads of at least ``min_bytes`` bytes one record is a response, the others ar
 Executors write files through pyarrow's file systems, so the folder may be on any store it reaches.
 Each attempt of a task uses names of its own and returns a manifest row per finished archive; the
 manifest is stored by Spark, which keeps one attempt's rows, and readers open only the files in it.
-A task holds one archive's first records (``SAMPLE_BYTES``) and one record at a time.
+A task holds one archive's first records (``SAMPLE_BYTES`` and ``SAMPLE_RECORDS``) and one record at a time.
 
 Defined results: null html is an empty payload; a null url has no target header; among rows
 repeated with the largest id of a group each is a response; a null id ranks below all and reads back as null; an archive with too few
-records to train on has no dictionary; an empty table writes nothing and reads as no rows.
+records to train on has no dictionary; an empty table writes nothing and reads as no rows; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -27,17 +27,18 @@ import pyarrow as pa
 import pyarrow.fs as pafs
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyspark.llm.scratch import stored
 from tallyspark.llm.text_arrays import map_texts
 
 DICTIONARY_MAGIC = 0x184D2A5D
 DICTIONARY_BYTES = 64 << 10
-#: Raw bytes of records that an archive's dictionary is built from, and raw bytes that end an archive.
-SAMPLE_BYTES, ARCHIVE_BYTES = 4 << 20, 64 << 20
-#: A dictionary learns from this much of each sampled record, so that no record outweighs the rest.
-HEAD_BYTES = 16 << 10
+#: Records and raw bytes of them that an archive's dictionary is built from, both at least; raw bytes that end an archive.
+SAMPLE_RECORDS, SAMPLE_BYTES, ARCHIVE_BYTES = 16, 4 << 20, 64 << 20
+#: A dictionary learns from slices of each sampled record, from all over it, of this length in all, so that no record outweighs the rest.
+LEARN_BYTES = 16 << 10
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 RECORD = "urn:tally:page:"
 
@@ -61,10 +62,11 @@ def record_bytes(page_id: int | None, url: str | None, payload: bytes, digest: s
 
 
 def train_dictionary(samples: list[bytes]) -> zstandard.ZstdCompressionDict | None:
-    """A dictionary from the heads of records, None where there are too few or they have nothing in common."""
-    if len(samples) < 16:
+    """A dictionary from slices of records, None where there are too few or they have nothing in common."""
+    if len(samples) < SAMPLE_RECORDS:
         return None
-    samples = [s[:HEAD_BYTES] for s in samples]
+    part = LEARN_BYTES // 4
+    samples = [s if len(s) <= LEARN_BYTES else b"".join(s[k * (len(s) - part) // 3 :][:part] for k in range(4)) for s in samples]
     try:
         return zstandard.train_dictionary(min(DICTIONARY_BYTES, sum(map(len, samples)) // 8), samples, k=512, d=8)
     except zstandard.ZstdError:
@@ -87,7 +89,7 @@ class ArchiveWriter:
             self._frame(record)
             return
         self.held.append(record)
-        if self.raw >= SAMPLE_BYTES:
+        if self.raw >= SAMPLE_BYTES and self.records >= SAMPLE_RECORDS:
             self._start()
 
     def _start(self) -> None:
@@ -153,8 +155,17 @@ class _Joined:
         return self.source.read(n)
 
 
+def _qualified(spark: SparkSession, folder: str) -> str:
+    """The folder with the scheme that Spark gives it, so that executors resolve it as Spark does."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return str(path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString())
+
+
 def _filesystem(folder: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (pafs.LocalFileSystem(), folder)
+    """File system and path of a qualified folder; a local one is written ``file:/...``."""
+    if folder.startswith("file:"):
+        return pafs.LocalFileSystem(), "/" + folder[5:].lstrip("/")
+    return pafs.FileSystem.from_uri(folder)
 
 
 def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_bytes: int = 0, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
@@ -162,8 +173,10 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     payload = F.encode(F.coalesce(F.col(html_col).cast("string"), F.lit("")), "UTF-8")
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"))
     rows = rows.withColumn("digest", F.when(F.octet_length("payload") >= min_bytes, F.sha1("payload")))
+    folder = _qualified(pages.sparkSession, folder)
     groups = rows.filter("digest is not null").groupBy("digest").agg(F.max("page_id").alias("response"), F.count("*").alias("n")).filter("n > 1 and response is not null").select("digest", "response")
-    marked = rows.join(groups, "digest", "left").select("page_id", "url", "payload", F.when(~F.col("page_id").eqNullSafe(F.col("response")), F.col("response")).alias("refers_to"))
+    # Stored, so that both sides of the join are plain shuffles and Spark can split a very common page.
+    marked = rows.join(stored(groups, "warc-groups"), "digest", "left").select("page_id", "url", "payload", F.when(~F.col("page_id").eqNullSafe(F.col("response")), F.col("response")).alias("refers_to"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, root = _filesystem(folder)
@@ -181,7 +194,7 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
                     path = f"{root}/part-{context.partitionId():06d}-{k:04d}-{uuid.uuid4().hex[:12]}.warc.zst"
                     archive = ArchiveWriter(files.open_output_stream(path, compression=None))
                 archive.add(record_bytes(page_id, url, body, base32_sha1(body), refers_to, refers_to is not None, date))
-                if archive.raw >= ARCHIVE_BYTES:
+                if archive.raw >= ARCHIVE_BYTES and archive.records >= SAMPLE_RECORDS:
                     yield finish()
                     archive, k = None, k + 1
         if archive is not None:
@@ -196,7 +209,7 @@ def read_archives(manifest: DataFrame, folder: str, parts: int | None = None) ->
     page_id, payload_bytes, payload_digest, record_type, refers_to and url; a response's digest is taken anew from
     its payload and must equal its header's.
     """
-    parts = parts or max(1, min(manifest.count(), 20000))
+    parts, folder = parts or max(1, min(manifest.count(), 20000)), _qualified(manifest.sparkSession, folder)
     number = lambda x: None if x is None or x.endswith("null>") else int(x[len(RECORD) + 1 : -1])
     schema = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("url", pa.string())])
 
