@@ -12,8 +12,9 @@ extension are one side of the comparison, however many they are, so no pairs are
    compared on both sides of the anchor, as far as windows around it reach: a window that two of them share is repeated.
 3. Repeated windows of a document merge to its maximal repeats, see ``repeated_spans``.
 
-A passage in a third of all documents costs rows in proportion to its places: sums are combined before
-the shuffle, and both sides of each join on anchors or windows are shuffled for the join alone, so that Spark can split a common key.
+A passage in a third of all documents costs a row for each anchor and batch of texts: places are combined within
+a batch and stay there, and only what tells batches and extensions apart is shuffled.  Both sides of each join on anchors or windows are
+shuffled for the join alone, so that Spark can split a common key.
 
 Defined results: null or empty text has no words; a text shorter than the window has no window;
 rows repeated under one id each count as a place; equal documents all lose what they share; an empty table gives no rows; a null id
@@ -26,6 +27,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -76,14 +78,58 @@ def anchored_runs(piece: Texts, length: int, gram: int) -> tuple[np.ndarray, ...
     return owner, grams[anchor].view(np.int64), text.view(np.int64), place[begin], size
 
 
-def _anchors(docs: DataFrame, length: int, gram: int) -> DataFrame:
+#: What a batch of texts gives: a row for each different (anchor, ext) in it, n of whose places lie in the batch. The
+#: places themselves stand in the batch's first row: documents by row, and each place's row, run and number of (anchor, ext).
+BATCHES = "anchor long, ext long, batch long, at int, n int, docs array<long>, tkeys array<int>, rows array<int>, runs array<long>, ats array<int>"
+
+
+def _batches(docs: DataFrame, length: int, gram: int) -> DataFrame:
+    """Anchors of (doc_id, tkey, text), combined within each batch."""
+    kinds = [pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int32())]
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 32
         for piece in pieces(batches, "text"):
             owner, anchor, text, begin, size = anchored_runs(piece, length, gram)
-            ids, keys = piece.rows.column("doc_id").take(pa.array(owner)), piece.rows.column("tkey").take(pa.array(owner))
-            yield pa.RecordBatch.from_arrays([ids, keys, pa.array(anchor), pa.array(text), pa.array(begin << SHIFT | size)], ["doc_id", "tkey", "anchor", "ext", "run"])
-
-    return map_texts(docs, run, "doc_id long, tkey int, anchor long, ext long, run long")
+            if not len(owner):
+                continue
+            order = np.lexsort((text, anchor))
+            a, t = anchor[order], text[order]
+            new = np.concatenate([[True], (a[1:] != a[:-1]) | (t[1:] != t[:-1])])
+            head = np.flatnonzero(new)
+            at = np.empty(len(order), np.int32)
+            at[order] = np.cumsum(new) - 1
+            held = (piece.rows.column("doc_id").to_pylist(), piece.rows.column("tkey").to_numpy(), owner.astype(np.int32), begin << SHIFT | size, at)
+            rest = [pa.array([x] + [None] * (len(head) - 1), kind) for x, kind in zip(held, kinds)]
+            keys = [pa.array(a[head]), pa.array(t[head]), pa.array(np.full(len(head), number)), pa.array(np.arange(len(head), dtype=np.int32)), pa.array(np.diff(np.append(head, len(order))).astype(np.int32))]
+            yield pa.RecordBatch.from_arrays([*keys, *rest], ["anchor", "ext", "batch", "at", "n", "docs", "tkeys", "rows", "runs", "ats"])
+            number += 1
+
+    return map_texts(docs, run, BATCHES)
+
+
+def _runs_of(batches: DataFrame, chosen: DataFrame, once: bool) -> DataFrame:
+    """(doc_id, tkey, runs, singles) of the places of chosen (batch, at, alone), or of the first place of each with ``once``."""
+    by_batch = chosen.groupBy("batch").agg(F.collect_list(F.struct("at", "alone")).alias("c")).select("batch", F.col("c.at").alias("chosen"), F.col("c.alone").alias("alone"))
+    places = batches.filter("at = 0").select("batch", "docs", "tkeys", "rows", "runs", "ats").join(by_batch, "batch").drop("batch")
+
+    def run(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            for k in range(part.num_rows):
+                of = lambda c: part.column(c)[k].values.to_numpy(zero_copy_only=False)  # noqa: E731,B023
+                ats, rows, alone = of("ats"), of("rows"), np.zeros(int(of("ats").max()) + 1, np.int8)
+                alone[of("chosen")] = 1 + of("alone").astype(np.int8)
+                keep = np.zeros(len(ats), bool)
+                keep[np.unique(ats, return_index=True)[1] if once else slice(None)] = True
+                keep &= alone[ats] > 0
+                place = np.flatnonzero(keep)
+                row, first = np.unique(rows[place], return_index=True)
+                ends = np.append(first, len(place)).astype(np.int32)
+                lists = lambda x: pa.ListArray.from_arrays(pa.array(ends), pa.array(x))  # noqa: E731,B023
+                ids, keys = (part.column(c)[k].values.take(pa.array(row)) for c in ("docs", "tkeys"))
+                yield pa.RecordBatch.from_arrays([ids, keys, lists(of("runs")[place]), lists(alone[ats[place]] == 2)], ["doc_id", "tkey", "runs", "singles"])
+
+    return map_texts(places, run, "doc_id long, tkey int, runs array<long>, singles array<boolean>")
 
 
 def _unpacked(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -126,22 +172,27 @@ def repeated_runs(docs: DataFrame, length: int = 35, gram: int = 8) -> DataFrame
     if not 0 < gram <= length or length - gram + 1 >= 1 << SHIFT:
         raise ValueError(f"gram is from 1 to length, and a window has fewer than {1 << SHIFT} grams")
     key = ["anchor", "ext"]
-    anchors = stored(_anchors(docs, length, gram), "repeats-anchors")
+    batches = stored(_batches(docs, length, gram), "repeats-batches")
+    anchors = batches.select("anchor", "ext", "batch", "at", "n")
     # Most anchors stand in one place only; they go before anything else is shuffled with them.
-    met = anchors.groupBy("anchor").agg(F.count("*").alias("n"), F.min("ext").alias("lo"), F.max("ext").alias("hi")).filter("n > 1")
+    met = anchors.groupBy("anchor").agg(F.sum("n").alias("n"), F.min("ext").alias("lo"), F.max("ext").alias("hi")).filter("n > 1")
     met = stored(met.select("anchor", (F.col("lo") != F.col("hi")).alias("several")), "repeats-met")
     shared = stored(anchors.join(met, "anchor"), "repeats-shared")
-    texts = stored(shared.groupBy(*key).agg(F.count("*").alias("places"), F.max("several").alias("several"), F.min(F.struct("doc_id", "tkey", "run")).alias("at")), "repeats-texts")
-    whole = shared.join(texts.filter("places > 1").select(*key), key).select("doc_id", "tkey", "run")
-
-    open_runs = texts.filter("several").select("at.doc_id", "at.tkey", "at.run", (F.col("places") == 1).alias("alone"))
-    by_doc = open_runs.groupBy("doc_id", "tkey").agg(F.collect_list(F.struct("run", "alone")).alias("r")).select("doc_id", "tkey", F.col("r.run").alias("runs"), F.col("r.alone").alias("singles"))
+    # Of an anchor with one extension all places are repeated; else it takes two places of the same extension.
+    several = shared.filter("several")
+    texts = stored(several.groupBy(*key).agg(F.sum("n").alias("places"), F.min(F.struct("batch", "at")).alias("first")), "repeats-texts")
+    again = several.join(texts.filter("places > 1").select(*key), key).select("batch", "at")
+    whole = _runs_of(batches, shared.filter("not several").select("batch", "at").unionByName(again).withColumn("alone", F.lit(False)), once=False)
+
+    by_doc = _runs_of(batches, texts.select("first.batch", "first.at", (F.col("places") == 1).alias("alone")), once=True)
+    by_doc = by_doc.groupBy("doc_id", "tkey").agg(F.flatten(F.collect_list("runs")).alias("runs"), F.flatten(F.collect_list("singles")).alias("singles"))
     # A row repeated under one id and text has its twin as another place, so one of them is enough here.
     once = docs.join(by_doc, docs.doc_id.eqNullSafe(by_doc.doc_id) & (docs.tkey == by_doc.tkey)).select(docs.doc_id, docs.tkey, "text", "runs", "singles")
     windows = stored(_windows(once, length), "repeats-windows")
     twice = windows.groupBy("w1", "w2").agg((F.max(F.when(~F.col("alone"), 1).otherwise(0)) * 2 + F.count_if("alone")).alias("places")).filter("places > 1")
-    parts = windows.filter("alone").join(stored(twice.select("w1", "w2"), "repeats-twice"), ["w1", "w2"]).select("doc_id", "tkey", (F.shiftleft("start", SHIFT) + 1).alias("run"))
-    return whole.unionByName(parts).groupBy("doc_id", "tkey").agg(F.collect_list("run").alias("runs"))
+    parts = windows.filter("alone").join(stored(twice.select("w1", "w2"), "repeats-twice"), ["w1", "w2"])
+    parts = parts.groupBy("doc_id", "tkey").agg(F.collect_list(F.shiftleft("start", SHIFT) + 1).alias("runs"))
+    return whole.select("doc_id", "tkey", "runs").unionByName(parts).groupBy("doc_id", "tkey").agg(F.flatten(F.collect_set("runs")).alias("runs"))  # equal rows give equal lists
 
 
 def _joined(docs: DataFrame, id_col: str, text_col: str, length: int, gram: int, rest: tuple[str, ...] = ()) -> DataFrame:
