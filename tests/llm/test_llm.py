@@ -20,7 +20,7 @@ DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 #: Nulls, empty texts, a long text, ties, repeated rows.
 EDGES = [
     (1, None, None, None, None), (2, "", "en", "s", 0), (3, " \n\t ", "en", "s", 4), (4, "one", "en", "s", 3), (4, "one", "en", "s", 3), (5, "One", "en", "s", 3),
-    (6, "a b c d e f g h " * 2000, "en", "s", 32000), (7, "x " * 60 + "tail", "en", "s", 124), (8, "x " * 60 + "other", "en", "s", 125), (None, "no id here", "en", "s", 10), (9, "Ünïcode ▁ 漢字 🎉\r\n" * 3, "fr", "s", 60),
+    (6, "a b c d e f g h " * 6000, "en", "s", 96000), (7, "x " * 60 + "tail", "en", "s", 124), (8, "x " * 60 + "other", "en", "s", 125), (None, "no id here", "en", "s", 10), (9, "Ünïcode ▁ 漢字 🎉\r\n" * 3, "fr", "s", 60),
 ]
 
 
@@ -184,6 +184,18 @@ def test_early_shingles_meet_all_similar_sets(spark):
     assert all(roots[i] != roots[j] for i, j in got)
 
 
+def test_fingerprint_chain_matches_brute_force(spark):
+    texts = near_copies(random.Random(12))
+    got = {r.doc_id: (r.fp & (2**64 - 1), r.component_id) for r in simhash.near_duplicates(spark.createDataFrame(texts, "doc_id long, text string"), bucket_rows=4).collect()}
+    prints = {i: brute_fingerprint(t) for i, t in texts}
+    root = brute_components(set(prints.values()))
+    least = {}
+    for i in sorted(prints):
+        least.setdefault(root[prints[i]], i)
+    assert got == {i: (f, least[root[f]]) for i, f in prints.items()}
+    assert len(set(least.values())) < len(texts) - 20
+
+
 def test_similar_documents_edges_and_empty(edges, empty):
     pairs = {(r.a, r.b) for r in minwise.similar_documents(edges).collect()}
     assert pairs == {(2, 1), (3, 1), (5, 4)}
@@ -544,22 +556,67 @@ def test_quality_classifier_held_out(larger, edges, empty, labels):
     assert kept.columns == edges.columns
 
 
+def one_piece(texts):
+    import pyarrow as pa
+
+    from tallyspark.llm.text_arrays import pieces
+
+    (piece,) = pieces([pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["text"])], "text", 1 << 30)
+    return piece
+
+
+def test_quality_scores_equal_all_pairs(larger):
+    # The score from texts, with every pair of features written out.
+    docs, marks = larger
+    m = factorisation.train(docs, marks)
+    texts = [r.text for r in docs.limit(3).collect()] + ["one two two three", "", None]
+    piece = one_piece(texts)
+    stats, first, hashes = statistics.features(statistics.counts(piece)), piece.words()[2], piece.word_hashes()
+    for k, got in enumerate(m.score(piece)):
+        n = collections.Counter((hashes[first[k] : first[k + 1]] >> np.uint64(50)).tolist())
+        size = sum(np.log1p(c) ** 2 for c in n.values()) ** 0.5
+        x = {i: np.log1p(c) / size for i, c in n.items()}
+        x |= {factorisation.WORD_BUCKETS + j: max(-4, min(4, (v - m.mean[j]) / m.scale[j])) / len(statistics.FEATURES) ** 0.5 for j, v in enumerate(stats[k])}
+        raw, each = m.bias + sum(float(m.linear[i]) * v for i, v in x.items()), list(x.items())
+        raw += sum(float(m.factors[i] @ m.factors[j]) * v * w for a, (i, v) in enumerate(each) for j, w in each[:a])
+        assert abs(got - 1 / (1 + np.exp(-raw))) < 1e-4
+
+
+def test_language_probabilities_equal_a_plain_walk():
+    net = language.new_network(["a", "b", "c"])
+    texts = ["bonjour le monde, é漢 " * 9, "x", ""]
+    got = language.document_probabilities(net, one_piece(texts), batch=2)
+    for text, p in zip(texts, got):
+        raw, total = text.encode(), np.zeros(3)
+        for at in range(0, len(raw), language.SEGMENT):
+            part = raw[at : at + language.SEGMENT]
+            states = [[], []]
+            for way, order in ((0, range(len(part))), (1, range(len(part) - 1, -1, -1))):
+                h = np.zeros(language.HIDDEN)
+                for t in order:
+                    z, r = (np.clip((net.gates[way, g, part[t]] + h @ net.u_gates[way, g]) / 4 + 0.5, 0, 1) for g in (0, 1))
+                    h = h + z * (np.tanh(net.inputs[way, part[t]] + r * (h @ net.u_inputs[way])) - h)
+                    states[way].append(h)
+            for f, b in zip(states[0], states[1][::-1]):
+                e = np.exp(np.concatenate([f, b]) @ net.out + net.bias)
+                total += e / e.sum()
+        assert np.allclose(p, total / max(1, len(raw)), atol=1e-4)
+
+
 def test_factorisation_machine_gradient_and_identity():
     rng = np.random.default_rng(0)
     n = 40
     first = np.arange(n + 1) * 5
-    words = factorisation.Sparse(rng.integers(0, 50, 5 * n), rng.random(5 * n).astype(np.float32), first)
+    words = factorisation.Sparse(np.concatenate([rng.permutation(50)[:5] for _ in range(n)]), rng.random(5 * n).astype(np.float32), first)
     stats = rng.random((n, len(statistics.FEATURES)))
     m = factorisation.fit(words, stats, (rng.random(n) < 0.5).astype(float), epochs=2)
     raw, _ = m.raw(words, stats)
-    for i in (0, 7):
+    for i in range(n):
         x = np.zeros(len(m.linear))
         np.add.at(x, words.index[first[i] : first[i + 1]], words.value[first[i] : first[i + 1]])
-        repeated = len(set(words.index[first[i] : first[i + 1]].tolist())) < 5
         x[factorisation.WORD_BUCKETS :] = m.scaled(stats[i : i + 1])[0]
         pairs = sum(float(m.factors[a] @ m.factors[b]) * x[a] * x[b] for a in np.flatnonzero(x) for b in np.flatnonzero(x) if a < b)
-        if not repeated:
-            assert abs(raw[i] - (m.bias + float(m.linear @ x) + pairs)) < 1e-4
+        assert abs(raw[i] - (m.bias + float(m.linear @ x) + pairs)) < 1e-4
 
 
 def test_quality_rules(larger, edges, empty, labels):
@@ -632,6 +689,73 @@ def test_host_reputation(spark):
     assert {r.verdict for r in host_reputation.judge_urls(pages.filter("page_id < 900"), outcomes.limit(0)).collect()} == {"allow"}
 
 
+def test_names_used_inside_do_not_clash(spark):
+    pages = spark.createDataFrame([(1, "http://a.b/x", "same"), (2, "http://a.b/y", "same"), (3, None, None)], "page_id long, url string, html string")
+    clash = pages.selectExpr("*", "1 AS payload", "2 AS digest", "3 AS response", "4 AS n", "5 AS host", "6 AS bad", "7 AS path", "8 AS lower")
+    folder = scratch_path(spark, "warc-clash")
+    read = warc.read_archives(stored(warc.write_archives(clash, folder), "manifest-clash"), folder).collect()
+    assert sorted((r.page_id, r.record_type, r.refers_to) for r in read) == [(1, "revisit", 2), (2, "response", None), (3, "response", None)]
+    outcomes = spark.createDataFrame([(1, True, 1), (2, True, 1)], "page_id long, bad boolean, host int")
+    assert sorted(r.host for r in host_reputation.judge_urls(clash, outcomes).collect()) == ["", "a.b", "a.b"]
+
+
+def test_country_suffixes(spark):
+    hosts = spark.createDataFrame([("x.a.co.uk", 40, 40), ("y.b.co.uk", 40, 0), ("z.b.co.uk", 0, 0), ("co.uk", 0, 0), ("uk", 0, 0), ("", 0, 0)], "host string, n long, bad long")
+    got = {r.host: r.blocked for r in host_reputation.reputations(hosts).collect()}
+    assert got["x.a.co.uk"] and not got["y.b.co.uk"] and not got["z.b.co.uk"] and len(got) == 6
+
+
+@pytest.fixture(scope="module")
+def small_corpus(spark, tmp_path_factory):
+    """A folder of tables: some real documents, copies, a shared passage and a benchmark item."""
+    folder = str(tmp_path_factory.mktemp("corpus"))
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(60)
+    rows = [tuple(r) for r in docs.collect()]
+    good = next(t for _, t, *_ in rows if t and len(t.split()) > 80)
+    passage, item = " ".join(f"wort{i}" for i in range(50)), spark.read.parquet(f"{SF}/benchmark.parquet").first().text
+    more = [(9000, good + " end", "en", "s", 1), (9001, good + " " + passage, "en", "s", 1), (9002, f"{passage} {rows[5][1]}", "en", "s", 1), (9003, f"{rows[7][1]} {item}", "en", "s", 1), (9004, None, None, None, None), (9005, "", "en", "s", 0)]
+    spark.createDataFrame(rows + more, docs.schema).write.parquet(f"{folder}/documents.parquet")
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(f"{SF}/{name}.parquet").write.parquet(f"{folder}/{name}.parquet")
+    return folder
+
+
+def test_pipeline_stages_match_brute_force(spark, small_corpus):
+    import corpus_pipeline as pipeline
+
+    read = lambda name: spark.read.parquet(f"{small_corpus}/{name}.parquet")
+    docs, rows = read("documents"), lambda df: {r.doc_id: r for r in df.collect()}
+    stages = dict(pipeline.STAGES)
+    good = stages["quality"](spark, docs, small_corpus)
+    scores = {r.doc_id: r.score for r in factorisation.classify(docs, read("labels")).collect()}
+    assert set(rows(good)) == {i for i, x in scores.items() if x >= 0.5} and good.columns == docs.columns
+    texts = [(i, r.text) for i, r in rows(good).items()]
+    prints = {i: brute_fingerprint(t) for i, t in texts}
+    pairs = brute_similar(texts) + [(i, j) for i in prints for j in prints if j < i and (prints[i] ^ prints[j]).bit_count() <= 2]
+    one = stored(stages["near_duplicates"](spark, good, small_corpus), "one")
+    assert set(rows(one)) == brute_groups([i for i, _ in texts], pairs) and one.columns == docs.columns
+    cut = stored(stages["substrings"](spark, one, small_corpus), "cut")
+    want = {i: (text, removed) for i, _, removed, text in brute_repeats([(i, r.text) for i, r in rows(one).items()])}
+    assert {i: r.text for i, r in rows(cut).items()} == {i: want[i][0] if want[i][1] else r.text for i, r in rows(one).items()} and cut.columns == docs.columns
+    clean = stages["decontaminated"](spark, cut, small_corpus)
+    bad = {r.doc_id for r in decontamination.contaminated_pairs(cut, read("benchmark")).collect()}
+    assert set(rows(clean)) == set(rows(cut)) - bad and clean.columns == docs.columns
+    end = rows(pipeline.run(spark, small_corpus))
+    assert set(end) == set(rows(clean)) and all(r.lossless for r in end.values())
+    again = rows(stages["encoded"](spark, clean, small_corpus))
+    assert {i: list(r.ids) for i, r in end.items()} == {i: list(r.ids) for i, r in again.items()}
+
+
+def test_pipeline_on_empty_tables_and_more_columns(spark, small_corpus, edges):
+    import corpus_pipeline as pipeline
+
+    empty = spark.read.parquet(f"{small_corpus}/documents.parquet").limit(0)
+    for name, stage in pipeline.STAGES:
+        assert stage(spark, empty, small_corpus).count() == 0
+        if name != "encoded":
+            assert stage(spark, edges, small_corpus).columns == edges.columns
+
+
 def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(150)] + [(500, 501), (501, 500)], "a long, b long")
     got = {r.node: r.root for r in components.connected_components(edges, "a", "b").collect()}
