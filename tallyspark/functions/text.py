@@ -17,7 +17,18 @@ STOP_WORDS = ("the", "and", "of", "for", "to", "a", "an", "on", "in", "at", "by"
 SCAN_LETTERS, SCAN_DIGITS = "oilsbzgq", "01158260"
 #: Written dates, day first before month first; two-digit years last.
 DATE_FORMATS = ("d.M.yyyy", "d/M/yyyy", "M/d/yyyy", "yyyy-M-d", "d-M-yyyy", "d MMM yyyy", "d MMMM yyyy", "MMM d, yyyy", "MMMM d, yyyy")
-SHORT_DATE_FORMATS = (("d.M.yy", r"^\d{1,2}\.\d{1,2}\.\d{2}$"), ("d/M/yy", r"^\d{1,2}/\d{1,2}/\d{2}$"), ("M/d/yy", r"^\d{1,2}/\d{1,2}/\d{2}$"))
+SHORT_DATE_FORMATS = (("d.M.yy", r"^[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{2}$"), ("d/M/yy", r"^[0-9]{1,2}/[0-9]{1,2}/[0-9]{2}$"), ("M/d/yy", r"^[0-9]{1,2}/[0-9]{1,2}/[0-9]{2}$"))
+#: Fixed patterns. Digits are written [0-9]: only ASCII ones count, in Spark and in the compared SQL.
+COUNTER_LABEL = r"(?i)^(?:CSN|TSN|CSO|TSO|CSI|TSI|CSR|TSR)\b\s*[:\-]?\s*"
+CLEAN_NUMBER = r"^[0-9]{1,3}(?:,[0-9]{3})*(?:\.[0-9]+)?$|^[0-9]+(?:\.[0-9]+)?$"
+FIRST_NUMBER = r"-?[0-9]+(\.[0-9]+)?"
+EVERY_NUMBER = r"-?[0-9][0-9,]*(?:\.[0-9]+)?"
+EVERY_TOKEN = r"[A-Za-z0-9][A-Za-z0-9\-/._]*"
+ORDER_NUMBER = r"\b(4[0-9]{9})\b"
+SCHEDULE_WORD = r"(?i)\b(un[\s-]?scheduled|scheduled)\b"
+TICK = "[\\u2713\\u2714\\u2611xXY]|yes"
+ANY_DATE = r"(?i)\b[0-9]{1,4}[./-][0-9]{1,2}[./-][0-9]{1,4}\b|\b[0-9]{1,2}\s+(?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*\s+[0-9]{2,4}\b"
+ADDRESS = r"^[^@\s]+@[^@\s]+\.[^@\s]+$"
 
 
 def let(c: Column, f: Callable[[Column], Column]) -> Column:
@@ -42,12 +53,12 @@ def mx_text(c: Column) -> Column:
 def to_double(c: Column) -> Column:
     """A number in plain or exponent form, else null (no suffix letters, unlike a lenient cast)."""
     t = F.trim(c.cast("string"))
-    return F.when(t.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), t.try_cast("double"))
+    return F.when(t.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"), t.try_cast("double"))
 
 
 def mx_number(c: Column) -> Column:
     """The first number in a text without its commas, else null."""
-    return F.nullif(F.regexp_extract(F.replace(norm_ws(c), F.lit(","), F.lit("")), r"-?[0-9]+(\.[0-9]+)?", 0), F.lit("")).try_cast("double")
+    return F.nullif(F.regexp_extract(F.replace(norm_ws(c), F.lit(","), F.lit("")), FIRST_NUMBER, 0), F.lit("")).try_cast("double")
 
 
 def mx_words(c: Column) -> Column:
@@ -63,8 +74,8 @@ def scan_fold(c: Column) -> Column:
 
 def numeric_only(c: Column) -> Column:
     """A counter reading without label and commas; blank if the text is anything else."""
-    v = F.trim(F.regexp_replace(norm_ws(c), r"(?i)^(?:CSN|TSN|CSO|TSO|CSI|TSI|CSR|TSR)\b\s*[:\-]?\s*", ""))
-    return let(v, lambda v: F.when(v.rlike(r"(?i)^ESN\b"), "").when(v.rlike(r"^\d{1,3}(?:,\d{3})*(?:\.\d+)?$|^\d+(?:\.\d+)?$"), F.replace(v, F.lit(","), F.lit(""))).otherwise(""))
+    v = F.trim(F.regexp_replace(norm_ws(c), COUNTER_LABEL, ""))
+    return let(v, lambda v: F.when(v.rlike(r"(?i)^ESN\b"), "").when(v.rlike(CLEAN_NUMBER), F.replace(v, F.lit(","), F.lit(""))).otherwise(""))
 
 
 def post_digits(c: Column) -> Column:
@@ -76,21 +87,20 @@ def post_schedule(c: Column) -> Column:
     """Scheduled or Unscheduled; a tick mark, or an x or Y anywhere, counts as Scheduled; else unchanged."""
 
     def of(v: Column) -> Column:
-        word = F.lower(F.regexp_extract(v, r"(?i)\b(un[\s-]?scheduled|scheduled)\b", 1))
-        return F.when(word.startswith("un"), "Unscheduled").when(word != "", "Scheduled").when(v.rlike("[\\u2713\\u2714\\u2611xXY]|yes"), "Scheduled").otherwise(v)
+        word = F.lower(F.regexp_extract(v, SCHEDULE_WORD, 1))
+        return F.when(word.startswith("un"), "Unscheduled").when(word != "", "Scheduled").when(v.rlike(TICK), "Scheduled").otherwise(v)
 
     return let(norm_ws(c), of)
 
 
 def po_from_subject(c: Column) -> Column:
     """The ten digits of an order number that starts with 4, on word bounds; null if there are none."""
-    return F.nullif(F.regexp_extract(blank_to_empty(c), r"\b(4[0-9]{9})\b", 1), F.lit(""))
+    return F.nullif(F.regexp_extract(blank_to_empty(c), ORDER_NUMBER, 1), F.lit(""))
 
 
 def post_po10(c: Column) -> Column:
     """The same once commas and blanks are removed, then as written; blank if neither has one."""
-    pattern = r"\b(4[0-9]{9})\b"
-    return let(norm_ws(c), lambda v: F.coalesce(F.nullif(F.regexp_extract(F.regexp_replace(v, "[, ]", ""), pattern, 1), F.lit("")), F.regexp_extract(v, pattern, 1)))
+    return let(norm_ws(c), lambda v: F.coalesce(F.nullif(F.regexp_extract(F.regexp_replace(v, "[, ]", ""), ORDER_NUMBER, 1), F.lit("")), F.regexp_extract(v, ORDER_NUMBER, 1)))
 
 
 def post_date(c: Column) -> Column:
@@ -161,26 +171,23 @@ def matches_any(c: Column, patterns: tuple[str, ...]) -> Column:
 
 def report_tokens(c: Column) -> Column:
     """Different normalised tokens of a text."""
-    raw = F.regexp_extract_all(blank_to_empty(c), F.lit(r"[A-Za-z0-9][A-Za-z0-9\-/._]*"), 0)
+    raw = F.regexp_extract_all(blank_to_empty(c), F.lit(EVERY_TOKEN), 0)
     return F.array_distinct(F.filter(F.transform(raw, lambda t: F.regexp_replace(F.lower(t), "[^a-z0-9]", "")), lambda t: t != ""))
 
 
 def report_numbers(c: Column) -> Column:
     """Different numbers of a text."""
-    raw = F.regexp_extract_all(blank_to_empty(c), F.lit(r"-?[0-9][0-9,]*(?:\.[0-9]+)?"), 0)
+    raw = F.regexp_extract_all(blank_to_empty(c), F.lit(EVERY_NUMBER), 0)
     return F.array_distinct(F.transform(raw, lambda t: F.replace(t, F.lit(","), F.lit("")).try_cast("double")))
 
 
-ANY_DATE = r"(?i)\b[0-9]{1,4}[./-][0-9]{1,2}[./-][0-9]{1,4}\b|\b[0-9]{1,2}\s+(?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*\s+[0-9]{2,4}\b"
-
-
 def any_date(c: Column) -> Column:
     """The first written date of a text, blank if none."""
     return F.regexp_extract(blank_to_empty(c), ANY_DATE, 0)
 
 
 def is_address(c: Column) -> Column:
-    return F.trim(blank_to_empty(c)).rlike(r"^[^@\s]+@[^@\s]+\.[^@\s]+$")
+    return F.trim(blank_to_empty(c)).rlike(ADDRESS)
 
 
 def valid_recipients(addresses: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyspark.functions.calendar import sprint, vsm_date
-from tallyspark.functions.text import blank_to_empty, let, parse_stamp, to_double
+from tallyspark.functions.text import blank_to_empty, is_address, let, parse_stamp, to_double
 from tallyspark.operators.constants import ACTIVE, CUSTOMER, FREQUENCY, INTERNAL, MEETINGS
 from tallyspark.sources.scratch import stored
 
@@ -280,6 +280,6 @@ def meeting_schedule(ideas: DataFrame) -> DataFrame:
     """A row for each idea and kind of meeting that has a date."""
     have = [m for m in MEETINGS if m[1] in ideas.columns]
     meetings = F.array(*[F.struct(F.lit(kind).alias("kind"), F.substring(blank_to_empty(F.col(c)), 1, 10).alias("date"), F.lit(time).alias("time")) for kind, c, time in have])
-    people = F.array_join(F.filter(F.array("submitter_email", "assigned_engineer", "pl_name"), lambda a: F.trim(blank_to_empty(a)).rlike(r"^[^@\s]+@[^@\s]+\.[^@\s]+$")), ",")
+    people = F.array_join(F.filter(F.array("submitter_email", "assigned_engineer", "pl_name"), is_address), ",")
     out = ideas.select("id", people.alias("recipients"), F.explode(meetings).alias("m"))
     return out.filter(parse_stamp(F.col("m.date")).isNotNull()).select("id", "m.kind", "m.date", "m.time", "recipients")
