@@ -1,4 +1,8 @@
-"""A corpus pipeline of the training-data operators: each stage works on what the one before it kept."""
+"""A corpus pipeline of the training-data operators: each stage works on what the one before it kept.
+
+Defined results of all stages: an empty table gives no rows; extra columns, whatever their names, pass unchanged through all
+stages but the last; repeated rows are treated alike; a text of any length is worked on whole; rows without id stay unless their text goes.
+"""
 
 from __future__ import annotations
 
@@ -10,27 +14,30 @@ from tallyspark.llm.scratch import stored
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go."""
+    """Documents that the classifier rejects go; null and empty texts are scored by their statistics, and a score of just 0.5 stays."""
     return factorisation.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays, that with the least id."""
+    """One document of each group of near copies stays, that with the least id.
+
+    Null and empty texts are copies of each other; rows repeated under the id that stays all stay.
+    """
     return simhash.keep_one_of_each(docs, similarity=0.8, words=5, shingle=3, max_bits=2)
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Words in passages of 35 words or more that repeat are taken out of the text; a text that loses none stays as it is."""
+    """Words in passages of 35 words or more that repeat are taken out of the text, wherever they stand; a text that loses none stays as it is, null included."""
     return repeats.cut_repeats(docs, length=35)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
+    """Documents that hold a benchmark item go; null and empty texts hold none, and a coverage of just the threshold goes."""
     return decontamination.without_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Piece ids of what is left, with merge-dropout."""
+    """Piece ids of what is left, with merge-dropout; null and empty texts have no pieces."""
     return merge_dropout.encode(docs, tokenizer("piece_bpe_32k.model"), rate=0.1, seed=1)
 
 
