@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 #: Bytes of an Arrow batch sent to a Python worker. Spark's own bound is 64 MiB, which a task holds several times over.
 BATCH_BYTES = 4 << 20
 #: A piece of a batch ends once it has this many bytes of text; a longer text is a piece of its own.
-PIECE_BYTES = 2 << 20
+PIECE_BYTES = 1 << 20
 
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
