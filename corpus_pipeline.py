@@ -38,7 +38,7 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Piece ids of what is left, with merge-dropout; null and empty texts have no pieces."""
-    return merge_dropout.encode(docs, tokenizer("piece_bpe_32k.model"), rate=0.1, seed=1)
+    return merge_dropout.encode(docs, tokenizer("piece_bpe_32k.model"), rate=0.1, seed=1, part_bytes=1 << 19)
 
 
 STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("substrings", substrings), ("decontaminated", decontaminated), ("encoded", encoded)]
