@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.llm import boosted_rules, decontamination, factorisation, host_reputation, language, merge_dropout, repeats, simhash, token_counts, warc
+from tallyspark.llm import boosted_rules, decontamination, factorisation, host_reputation, kmeans_tree, language, merge_dropout, merkle, repeats, simhash, token_counts, warc, whitening
+from tallyspark.llm.manifest_sql import manifest_sql
 from tallyspark.llm.scratch import scratch_path, stored
 
 
@@ -76,6 +77,21 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op11_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kmeans_tree.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), most=16)
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tampered rows, where 5 divides crc32 of the id, have their text in lower case."""
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    leaves = merkle.leaves(table(spark, sf_dir, "documents"), changes={"text": merkle.ascii_lower(F.col("text"))}, where=tampered)
+    return merkle.verified(merkle.proofs(leaves)).select(F.col("id").alias("doc_id"), "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_warc": op1_warc,
@@ -88,6 +104,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality_rules": op8_quality_rules,
         "op9_sentencepiece": op9_sentencepiece,
         "op10_simhash": op10_simhash,
+        "op11_nearest_neighbours": op11_nearest_neighbours,
+        "op12_whitening": op12_whitening,
+        "op13_merkle_manifest": op13_merkle_manifest,
     }
 
 
@@ -151,4 +170,4 @@ FROM ruled LEFT JOIN judged USING (host)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": OP1_SQL, "op5_substring_dedup": OP5_SQL, "op7_url_filters": OP7_SQL}
+    return {"op1_warc": OP1_SQL, "op5_substring_dedup": OP5_SQL, "op7_url_filters": OP7_SQL, "op13_merkle_manifest": manifest_sql()}
