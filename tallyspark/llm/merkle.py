@@ -4,8 +4,8 @@ A row's leaf is the SHA-256 of its fields; the leaves of a source make a tree of
 subroots, in order of their source, make the tree of the whole with its root.  A change of one leaf is a version of
 the tree: it copies the leaf's ancestors, one node a level, and shares every other node with the tree that it comes from.
 
-The work goes by aligned blocks of 16**3 nodes.  A block is made from its nodes in one task; blocks' roots are the nodes of the
-next three levels, until each tree has one node.  From the top down, each block then gets the siblings on its root's way up.  So a
+The work goes by aligned blocks of 16**3 nodes (``depth`` levels).  A block is made from its nodes in one task; blocks' roots are the nodes of the
+next levels, until each tree has one node.  From the top down, each block then gets the siblings on its root's way up.  So a
 version's ancestors inside its block and, through the siblings handed down, those above it are made where its leaf is, and nothing
 larger than a block and its way up meets in one task.
 
@@ -31,7 +31,6 @@ FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 #: Children of a node, and levels of a block.
 FAN, DEPTH = 16, 3
 WIDTH = 64
-_BLOCK = FAN**DEPTH
 
 
 def digest_of(values: Sequence[Column]) -> Column:
@@ -66,35 +65,36 @@ def _sha(text: str) -> str:
     return hashlib.sha256(text.encode()).hexdigest()
 
 
-def _runs(nodes: list[str], whole: bool) -> list[list[str]]:
-    """Joined runs of a block by level, and last its root alone: to a single node in a whole tree, else DEPTH levels."""
+def _runs(nodes: list[str], n: int, depth: int) -> list[list[str]]:
+    """Joined runs of a block by level, and last its root alone: to a single node where the tree's ``n`` nodes are one block, else ``depth`` levels."""
     out: list[list[str]] = []
-    while len(nodes) > 1 if whole else len(out) < DEPTH:
+    whole = n <= FAN**depth
+    while len(nodes) > 1 if whole else len(out) < depth:
         out.append(["".join(nodes[i : i + FAN]) for i in range(0, len(nodes), FAN)])
         nodes = [_sha(run) for run in out[-1]]
     return [*out, nodes]
 
 
-def _with_block(nodes: DataFrame) -> DataFrame:
-    return nodes.withColumn("block", F.floor(F.col("pos") / _BLOCK))
+def _with_block(nodes: DataFrame, depth: int) -> DataFrame:
+    return nodes.withColumn("block", F.shiftright("pos", 4 * depth))
 
 
-def _block_roots(nodes: DataFrame) -> DataFrame:
+def _block_roots(nodes: DataFrame, depth: int) -> DataFrame:
     """(tree, pos, n, digest) of the blocks of nodes."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         tree, block, n = rows["tree"].iloc[0], rows["block"].iloc[0], int(rows["n"].iloc[0])
-        top = _runs(rows.sort_values("pos")["digest"].tolist(), n <= _BLOCK)[-1][0]
-        return pd.DataFrame({"tree": [tree], "pos": [block], "n": [-(-n // _BLOCK)], "digest": [top]})
+        top = _runs(rows.sort_values("pos")["digest"].tolist(), n, depth)[-1][0]
+        return pd.DataFrame({"tree": [tree], "pos": [block], "n": [-(-n // FAN**depth)], "digest": [top]})
 
-    return _with_block(nodes.select("tree", "pos", "n", "digest")).groupBy("tree", "block").applyInPandas(run, "tree string, pos long, n long, digest string")
+    return _with_block(nodes.select("tree", "pos", "n", "digest"), depth).groupBy("tree", "block").applyInPandas(run, "tree string, pos long, n long, digest string")
 
 
-def _climb(nodes: DataFrame) -> list[DataFrame]:
+def _climb(nodes: DataFrame, depth: int) -> list[DataFrame]:
     """Tables of nodes from the given ones up, a row a block each, until every tree has ended in a row with ``n`` of 1."""
     tables = [nodes]
     while True:
-        tables.append(stored(_block_roots(tables[-1].filter("n > 1") if len(tables) > 1 else nodes), "merkle-nodes"))
+        tables.append(stored(_block_roots(tables[-1].filter("n > 1") if len(tables) > 1 else nodes, depth), "merkle-nodes"))
         if tables[-1].filter("n > 1").isEmpty():
             return tables
 
@@ -102,9 +102,9 @@ def _climb(nodes: DataFrame) -> list[DataFrame]:
 _WAY = "siblings array<string>, places array<int>"
 
 
-def _ways_in_block(digests: list[str], whole: bool, up_siblings: list[str], up_places: list[int]) -> tuple[list[list[str]], list[list[int]]]:
+def _ways_in_block(digests: list[str], n: int, depth: int, up_siblings: list[str], up_places: list[int]) -> tuple[list[list[str]], list[list[int]]]:
     """For each node of a block the others of its run at each level, and its place among them, followed by the block's own way up."""
-    levels = _runs(digests, whole)[:-1]
+    levels = _runs(digests, n, depth)[:-1]
     siblings, places = [], []
     for i in range(len(digests)):
         s, p, at = [], [], i
@@ -127,7 +127,7 @@ def _copies(leaf: str, siblings: list[str], places: list[int]) -> list[str]:
     return out
 
 
-def _ways(nodes: DataFrame, above: DataFrame, carry: str = "", versions: bool = False) -> DataFrame:
+def _ways(nodes: DataFrame, above: DataFrame, depth: int, carry: str = "", versions: bool = False) -> DataFrame:
     """Way up of each node; ``above`` has that of its block by (tree, pos), with the subroot and root it ends in.
 
     ``carry`` names further columns of nodes, as a schema; ``versions`` adds ``copied``, made from ``changed`` or else the node.
@@ -139,7 +139,7 @@ def _ways(nodes: DataFrame, above: DataFrame, carry: str = "", versions: bool =
         if not len(rows) or not len(up):
             return pd.DataFrame({c: [] for c in ["tree", "pos", "n", "digest", "siblings", "places", "subroot", "root", *extra, *["copied"] * versions]}, dtype=object)
         one = up.iloc[0]
-        siblings, places = _ways_in_block(rows["digest"].tolist(), int(rows["n"].iloc[0]) <= _BLOCK, list(one["siblings"]), [int(x) for x in one["places"]])
+        siblings, places = _ways_in_block(rows["digest"].tolist(), int(rows["n"].iloc[0]), depth, list(one["siblings"]), [int(x) for x in one["places"]])
         out = rows[["tree", "pos", "n", "digest", *extra]].assign(siblings=siblings, places=places, subroot=one["subroot"], root=one["root"])
         if versions:
             starts = rows["changed"].where(rows["changed"].notna(), rows["digest"])
@@ -148,17 +148,17 @@ def _ways(nodes: DataFrame, above: DataFrame, carry: str = "", versions: bool =
 
     blocks = above.select("tree", F.col("pos").alias("block"), "siblings", "places", "subroot", "root")
     schema = f"tree string, pos long, n long, digest string, {_WAY}, subroot string, root string" + (f", {carry}" if carry else "") + (", copied array<string>" if versions else "")
-    return _with_block(nodes.select("tree", "pos", "n", "digest", *extra)).groupBy("tree", "block").cogroup(blocks.groupBy("tree", "block")).applyInPandas(run, schema)
+    return _with_block(nodes.select("tree", "pos", "n", "digest", *extra), depth).groupBy("tree", "block").cogroup(blocks.groupBy("tree", "block")).applyInPandas(run, schema)
 
 
-def _descend(tables: list[DataFrame], tops: DataFrame, carry: str = "", versions: bool = False) -> DataFrame:
+def _descend(tables: list[DataFrame], tops: DataFrame, depth: int, carry: str = "", versions: bool = False) -> DataFrame:
     """Ways up of all nodes of ``tables[0]``; ``tops`` has the way that each tree's last node goes on with."""
     above = None
     for k in range(len(tables) - 1, 0, -1):
         ended = tables[k].filter("n = 1").join(tops, "tree").select("tree", "pos", "siblings", "places", "subroot", "root")
-        above = ended if above is None else ended.unionByName(_ways(tables[k].filter("n > 1"), above).select(*ended.columns))
+        above = ended if above is None else ended.unionByName(_ways(tables[k].filter("n > 1"), above, depth).select(*ended.columns))
         above = stored(above, "merkle-ways")
-    return _ways(tables[0], above, carry, versions)
+    return _ways(tables[0], above, depth, carry, versions)
 
 
 def _ended(tables: list[DataFrame]) -> DataFrame:
@@ -169,21 +169,21 @@ def _ended(tables: list[DataFrame]) -> DataFrame:
     return out.select("tree", "digest")
 
 
-def proofs(rows: DataFrame) -> DataFrame:
+def proofs(rows: DataFrame, depth: int = DEPTH) -> DataFrame:
     """A row a leaf of ``leaves``: its place, subroot, root, way up and ancestors.
 
     Columns: id, tree, pos, n, leaf, changed, subroot, root, ``siblings`` (others of the run, level by level), ``places`` (own place in the
     run), ``copied`` (the nodes of the version that the changed leaf makes, parent to root; for an unchanged leaf the shared nodes made anew from the way up).
     """
     placed = stored(numbered(rows, "id", "leaf"), "merkle-leaves").withColumnRenamed("leaf", "digest")
-    trees = _climb(placed)
+    trees = _climb(placed, depth)
     sources = stored(numbered(_ended(trees).withColumnsRenamed({"tree": "name", "digest": "leaf"}).withColumn("tree", F.lit("")), "name"), "merkle-sources").withColumnRenamed("leaf", "digest")
-    whole = _climb(sources)
+    whole = _climb(sources, depth)
     none = {"siblings": F.array().cast("array<string>"), "places": F.array().cast("array<int>")}
     tops = _ended(whole).select("tree", F.col("digest").alias("root"), F.lit("").alias("subroot")).withColumns(none)
-    ways = stored(_descend(whole, tops, "name string"), "merkle-tops")
+    ways = stored(_descend(whole, tops, depth, "name string"), "merkle-tops")
     tops = ways.select(F.col("name").alias("tree"), "siblings", "places", F.col("digest").alias("subroot"), "root")
-    return _descend(trees, tops, "id long, changed string", versions=True).withColumnRenamed("digest", "leaf")
+    return _descend(trees, tops, depth, "id long, changed string", versions=True).withColumnRenamed("digest", "leaf")
 
 
 def verified(found: DataFrame) -> DataFrame:
@@ -198,10 +198,10 @@ def version_nodes(found: DataFrame) -> DataFrame:
 
     Levels count from the leaf's parent, 1, through the subroot up to the root; ``pos`` is the place within a source's tree, null above the subroot.
     """
-    depth = F.when(F.col("n") > 1, F.ceil(F.log(F.lit(float(FAN)), F.col("n").cast("double")) - 1e-9)).otherwise(0)
+    depth = F.when(F.col("n") > 1, F.ceil(F.log2("n") / 4 - 1e-12)).otherwise(0)
     rows = found.filter("changed is not null").select(F.col("id").alias("version"), "tree", F.col("pos").alias("_leaf"), depth.alias("_depth"), F.posexplode("copied").alias("_k", "digest"))
     level = F.col("_k") + 1
-    return rows.select("version", "tree", level.alias("level"), F.when(level <= F.col("_depth"), F.floor(F.col("_leaf") / F.pow(F.lit(float(FAN)), level))).alias("pos"), "digest")
+    return rows.select("version", "tree", level.alias("level"), F.when(level <= F.col("_depth"), F.expr("shiftright(_leaf, 4 * (_k + 1))")).alias("pos"), "digest")
 
 
 def ascii_lower(c: Column) -> Column:

@@ -223,6 +223,8 @@ def components(r: np.ndarray, n: int, most: int) -> tuple[np.ndarray, np.ndarray
     a, b, w = bidiagonal(r)
     values = dqds(a, b)
     kept = values[: min(most, int(np.sum(values > 1e-13 * values[0])))] if len(values) and values[0] > 0 else values[:0]
+    if not len(kept):
+        return kept, np.zeros((len(a), 0)), 0.0
     v = w @ directions(a, b, kept)
     v *= np.where(v[np.abs(v).argmax(0), np.arange(v.shape[1])] < 0, -1.0, 1.0)
     return kept / n, v, float(values.sum()) / n
