@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from tallyspark.llm.folds import held_out, labelled_sample
 from tallyspark.llm.statistics import FEATURES, counts, features
-from tallyspark.llm.text_arrays import Texts, map_texts, pieces, row_of
+from tallyspark.llm.text_arrays import Texts, map_texts, pieces, quoted, row_of
 
 #: Labelled documents that a model is fitted on at most.
 TRAIN_ROWS = 6000
@@ -146,16 +146,16 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int
 
 
 def score(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: str = "text", rest: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, score) of every whole text, with the columns in ``rest`` under the prefix ``rest_``."""
+    """(doc_id, score) of every whole text, with the columns in ``rest`` as rest_0, rest_1, ..., so that no name can clash or need quoting."""
+    names = [f"rest_{i}" for i in range(len(rest))]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batches, "text"):
-            kept = [piece.rows.column(f"rest_{c}") for c in rest]
-            yield pa.RecordBatch.from_arrays([piece.rows.column("doc_id"), pa.array(machine.score(piece)), *kept], ["doc_id", "score", *[f"rest_{c}" for c in rest]])
+            kept = [piece.rows.column(c) for c in names]
+            yield pa.RecordBatch.from_arrays([piece.rows.column("doc_id"), pa.array(machine.score(piece)), *kept], ["doc_id", "score", *names])
 
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *[F.col(c).alias(f"rest_{c}") for c in rest])
-    kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
-    return map_texts(base, run, "doc_id long, score double" + "".join(f", `rest_{c}` {kinds[c]}" for c in rest))
+    base = docs.select(F.col(quoted(id_col)).cast("long").alias("doc_id"), F.col(quoted(text_col)).cast("string").alias("text"), *[F.col(quoted(c)).alias(n) for n, c in zip(names, rest)])
+    return map_texts(base, run, "doc_id long, score double" + "".join(f", {n} {docs.schema[c].dataType.simpleString()}" for n, c in zip(names, rest)))
 
 
 def classify(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int = TRAIN_ROWS) -> DataFrame:
@@ -168,4 +168,4 @@ def keep_good(docs: DataFrame, labels: DataFrame, label: str = "quality", most:
     """Rows of ``docs``, unchanged, that the classifier doesn't reject."""
     names = tuple(docs.columns)
     scored = score(docs, train(docs, labels, label, most), rest=names)
-    return scored.filter("score >= 0.5").select(*[F.col(f"rest_{c}").alias(c) for c in names])
+    return scored.filter("score >= 0.5").select(*[F.col(f"rest_{i}").alias(c) for i, c in enumerate(names)])

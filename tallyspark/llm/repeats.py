@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyspark.llm.scratch import stored
-from tallyspark.llm.text_arrays import RunHash, Texts, map_texts, mix, per_row, pieces, row_of, spread
+from tallyspark.llm.text_arrays import RunHash, Texts, map_texts, mix, per_row, pieces, quoted, row_of, spread
 
 #: A packed run is first window << SHIFT | number of windows.
 SHIFT = 12
@@ -196,11 +196,11 @@ def repeated_runs(docs: DataFrame, length: int = 35, gram: int = 8) -> DataFrame
 
 
 def _joined(docs: DataFrame, id_col: str, text_col: str, length: int, gram: int, rest: tuple[str, ...] = ()) -> DataFrame:
-    """Documents (doc_id, text, rest_...) with the packed runs of their repeated windows."""
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *[F.col(f"`{c}`").alias(f"rest_{c}") for c in rest])
+    """Documents (doc_id, text, and the columns in ``rest`` as rest_0, rest_1, ...) with the packed runs of their repeated windows."""
+    base = docs.select(F.col(quoted(id_col)).cast("long").alias("doc_id"), F.col(quoted(text_col)).cast("string").alias("text"), *[F.col(quoted(c)).alias(f"rest_{i}") for i, c in enumerate(rest)])
     base = base.withColumn("tkey", F.hash("text"))
     found = repeated_runs(base.select("doc_id", "tkey", "text"), length, gram)
-    return base.join(found, base.doc_id.eqNullSafe(found.doc_id) & (base.tkey == found.tkey), "left").select(base.doc_id, "text", "runs", *[f"`rest_{c}`" for c in rest])
+    return base.join(found, base.doc_id.eqNullSafe(found.doc_id) & (base.tkey == found.tkey), "left").select(base.doc_id, "text", "runs", *[f"rest_{i}" for i in range(len(rest))])
 
 
 def _gone(piece: Texts, length: int) -> np.ndarray:
@@ -232,7 +232,8 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def _cut(docs: DataFrame, id_col: str, text_col: str, length: int, gram: int, rest: tuple[str, ...] = (), layout: bool = False) -> DataFrame:
-    """doc_id, n_words, n_removed, kept and rest_...; with ``layout`` a text that loses nothing stays as it is."""
+    """doc_id, n_words, n_removed, kept and rest_0, rest_1, ...; with ``layout`` a text that loses nothing stays as it is."""
+    names = [f"rest_{i}" for i in range(len(rest))]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batches, "text"):
@@ -253,10 +254,9 @@ def _cut(docs: DataFrame, id_col: str, text_col: str, length: int, gram: int, re
                     words = raw[starts[a] : ends[b - 1]].split()
                     kept.append(b" ".join([words[i] for i in np.flatnonzero(keep[a:b]).tolist()]))
             arrays = [piece.rows.column("doc_id"), pa.array(np.diff(first)), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())]
-            yield pa.RecordBatch.from_arrays([*arrays, *[piece.rows.column(f"rest_{c}") for c in rest]], ["doc_id", "n_words", "n_removed", "kept", *[f"rest_{c}" for c in rest]])
+            yield pa.RecordBatch.from_arrays([*arrays, *[piece.rows.column(c) for c in names]], ["doc_id", "n_words", "n_removed", "kept", *names])
 
-    kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
-    return map_texts(_joined(docs, id_col, text_col, length, gram, rest), run, "doc_id long, n_words long, n_removed long, kept string" + "".join(f", `rest_{c}` {kinds[c]}" for c in rest))
+    return map_texts(_joined(docs, id_col, text_col, length, gram, rest), run, "doc_id long, n_words long, n_removed long, kept string" + "".join(f", {n} {docs.schema[c].dataType.simpleString()}" for n, c in zip(names, rest)))
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 35, gram: int = 8) -> DataFrame:
@@ -274,5 +274,6 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     rest = tuple(c for c in docs.columns if c != text_col)
     cut = _cut(docs, id_col, text_col, length, gram, rest, layout=True)
-    column = lambda c: F.col("kept") if c == text_col else F.when(F.col("n_removed") > 0, F.char_length("kept")).otherwise(F.col(f"`rest_{c}`")) if c == chars_col else F.col(f"`rest_{c}`")
+    place = {c: F.col(f"rest_{i}") for i, c in enumerate(rest)}
+    column = lambda c: F.col("kept") if c == text_col else F.when(F.col("n_removed") > 0, F.char_length("kept")).otherwise(place[c]) if c == chars_col else place[c]
     return cut.select(*[column(c).cast(docs.schema[c].dataType).alias(c) for c in docs.columns])

@@ -132,6 +132,11 @@ def map_texts(df: DataFrame, run: Callable[[Iterable[pa.RecordBatch]], Iterator[
     return df.mapInArrow(run, schema)
 
 
+def quoted(name: str) -> str:
+    """A column's name for ``F.col``, whatever is in it."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def per_row(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Sums of ``values`` over each row's range first[i]..first[i+1], empty ranges included."""
     sums = np.zeros(len(values) + 1, np.int64 if values.dtype.kind in "iub" else np.float64)

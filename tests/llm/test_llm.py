@@ -27,8 +27,8 @@ EDGES = [
 @pytest.fixture(scope="module")
 def edges(spark):
     # Extra columns whose names operators use inside.
-    rows = [(*r, "fp", 1, "runs") for r in EDGES]
-    return spark.createDataFrame(rows, DOCS + ", label string, tkey int, runs string")
+    rows = [(*r, "fp", 1, "runs", "dot") for r in EDGES]
+    return spark.createDataFrame(rows, DOCS + ", label string, tkey int, runs string, `a.b` string")
 
 
 @pytest.fixture(scope="module")
@@ -769,7 +769,7 @@ def test_op5_digest(spark):
     assert all(r.kept_sha256 == hashlib.sha256(kept[i].encode()).hexdigest() for i, r in rows.items())
 
 
-def test_pipeline_stages_match_brute_force(spark, labels):
+def test_pipeline_stages_on_given_documents(spark, labels):
     import corpus_pipeline
 
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(150)
