@@ -1,21 +1,23 @@
-"""Structured Streaming jobs: mail handled once, presence, sessions, new results and state under patches."""
+"""Structured Streaming jobs: mail within a watermark, presence, sessions and new results.
 
-from __future__ import annotations
+The exact ledger of mail is in ``ledger``, session alerts are in ``sessions``, state under patches is in ``latest``.
+"""
 
-from functools import reduce
+from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from tallyspark.streaming.settings import END_S, WARN_S
+
 EVENTS = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
-#: Seconds of silence after which a session warns and ends.
-WARN_S, END_S = 340, 600
 
 
-def event_stream(spark: SparkSession, folder: str, schema: str = EVENTS) -> DataFrame:
+def event_stream(spark: SparkSession, folder: str, schema: str = EVENTS, files_per_batch: int | None = None) -> DataFrame:
     """Files of a folder as a stream."""
-    return spark.readStream.schema(schema).parquet(folder)
+    reader = spark.readStream.schema(schema)
+    return (reader.option("maxFilesPerTrigger", files_per_batch) if files_per_batch else reader).parquet(folder)
 
 
 def mail_dedup(mails: DataFrame, delay: str = "7 days") -> DataFrame:
@@ -23,38 +25,19 @@ def mail_dedup(mails: DataFrame, delay: str = "7 days") -> DataFrame:
     return mails.withWatermark("received", delay).dropDuplicatesWithinWatermark(["entry_id"])
 
 
-def write_new_mail(mails: DataFrame, ledger: str, checkpoint: str) -> StreamingQuery:
-    """Exact form: each micro-batch appends the ids that the ledger table lacks; replays of a batch add nothing.
-
-    The ledger is a Parquet folder partitioned by batch, overwritten by batch number.
-    """
-
-    def append(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        new = batch.dropDuplicates(["entry_id"]).withColumn("batch", F.lit(number).cast("long"))
-        if _exists(spark, ledger):
-            seen = spark.read.schema(new.schema).parquet(ledger).filter(F.col("batch") < number).select("entry_id")
-            new = new.join(seen, "entry_id", "left_anti")
-        new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(ledger)
-
-    return mails.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
-
+def user_panes(events: DataFrame, step: str = "1 minute", delay: str = "10 minutes", lg_k: int = 12) -> DataFrame:
+    """(window, sketch): a mergeable sketch of the users in each pane; the relative standard error is about 0.8 / sqrt(2**lg_k)."""
+    rows = events.withWatermark("ts", delay) if events.isStreaming else events
+    return rows.groupBy(F.window("ts", step).alias("window")).agg(F.hll_sketch_agg("user_id", F.lit(lg_k)).alias("sketch"))
 
-def _delete(spark: SparkSession, path: str) -> None:
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
+def active_users(events: DataFrame, width: str = "5 minutes", step: str = "1 minute", delay: str = "10 minutes", lg_k: int = 12) -> DataFrame:
+    """About how many users each sliding window saw: an event goes into one pane's sketch, and only sketches into the windows.
 
-def active_users(events: DataFrame, width: str = "5 minutes", step: str = "1 minute", delay: str = "10 minutes", exact: bool = False) -> DataFrame:
-    """Users seen in each sliding window; approximate in a stream, exact on a table."""
-    users = F.count_distinct("user_id") if exact else F.approx_count_distinct("user_id")
-    rows = events.withWatermark("ts", delay) if events.isStreaming else events
-    return rows.groupBy(F.window("ts", width, step)).agg(users.alias("users"))
+    ``active_users_exact`` counts; this one moves a sketch of at most 2**lg_k bytes a pane and window, however many events there are.
+    """
+    panes = user_panes(events, step, delay, lg_k)
+    return panes.groupBy(F.window(F.window_time("window"), width, step).alias("window")).agg(F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("users"))
 
 
 def active_users_exact(events: DataFrame, width: str = "5 minutes", step: str = "1 minute", delay: str = "10 minutes") -> DataFrame:
@@ -101,43 +84,6 @@ def incremental_results(source: DataFrame, target: str, checkpoint: str) -> Stre
     return source.writeStream.format("parquet").outputMode("append").option("path", target).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def fold_patches(before: DataFrame, patches: DataFrame, fields: tuple[str, ...]) -> DataFrame:
-    """State (id, and each field with the seq it comes from) after more patches (id, seq, fields), in whatever order these come."""
-    old = [before.select("id", F.col(f"{f}_seq").alias("seq"), *[F.col(g) if g == f else F.lit(None).cast(before.schema[g].dataType).alias(g) for g in fields]) for f in fields]
-    rows = reduce(DataFrame.unionByName, [patches.select("id", F.col("seq").cast("long").alias("seq"), *fields), *old])
-    seen = lambda f: F.when(F.col(f).isNotNull(), F.col("seq"))
-    return rows.groupBy("id").agg(*[x for f in fields for x in (F.max_by(f, seen(f)).alias(f), F.max(seen(f)).alias(f"{f}_seq"))])
-
-
-def stream_latest_state(patches: DataFrame, state: str, checkpoint: str, fields: tuple[str, ...]) -> StreamingQuery:
-    """State by id under a feed of patches: each micro-batch folds into a new version of the state table.
-
-    Version n is made from version n - 1, which must be there, so a replayed batch writes the same version again; a late patch
-    changes no field that a later one has set.  The last two versions are kept.
-    """
-    types = {f: patches.schema[f].dataType.simpleString() for f in fields}
-    empty = "id string, " + ", ".join(f"{f} {types[f]}, {f}_seq long" for f in fields)
-
-    def fold(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        if number and not _exists(spark, f"{state}/v{number - 1}/_SUCCESS"):
-            raise FileNotFoundError(f"state version {number - 1} is missing below {state}")
-        before = spark.read.schema(empty).parquet(f"{state}/v{number - 1}") if number else spark.createDataFrame([], empty)
-        fold_patches(before, batch, fields).write.mode("overwrite").parquet(f"{state}/v{number}")
-        if number > 1:
-            _delete(spark, f"{state}/v{number - 2}")
-
-    return patches.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-def read_state(spark: SparkSession, state: str) -> DataFrame:
-    """The last whole version of a state table."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(state)
-    names = [x.getPath().getName() for x in at.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(at)]
-    done = [int(n[1:]) for n in names if n[0] == "v" and n[1:].isdigit() and _exists(spark, f"{state}/{n}/_SUCCESS")]
-    return spark.read.parquet(f"{state}/v{max(done)}")
-
-
 def run_to_table(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     """Drive a stream over what is there now into an in-memory table: for tests and small results only."""
     query = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()

@@ -123,29 +123,6 @@ def test_sessions_stream_equals_batch(spark):
     assert key(done) == [x for x in key(J.user_sessions(events)) if x[0] != 9]
 
 
-def test_new_mail_is_handled_once(spark):
-    folder, ledger, cp = (scratch_path(spark, n) for n in ("mails", "ledger", "cp"))
-    schema = "entry_id string, received timestamp"
-    for ids in (("a", "b", "a"), ("b", "c")):
-        spark.createDataFrame([(i, dt.datetime(2024, 1, 1)) for i in ids], schema).write.mode("append").parquet(folder)
-        J.write_new_mail(spark.readStream.schema(schema).parquet(folder), ledger, cp).awaitTermination()
-    assert sorted(r.entry_id for r in spark.read.parquet(ledger).collect()) == ["a", "b", "c"]
-
-
-def test_late_and_repeated_patches(spark):
-    folder, state, cp = (scratch_path(spark, n) for n in ("patches", "state", "cp"))
-    schema = "id string, seq int, status string, roi double"
-    for rows in ([("a", 5, "UAT", None)], [("a", 3, "WIP", 2.0), ("b", 1, None, 1.0)], [("a", 4, None, 9.0), ("b", 1, None, 1.0)]):
-        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(folder)
-        J.stream_latest_state(spark.readStream.schema(schema).parquet(folder), state, cp, ("status", "roi")).awaitTermination()
-    assert {r.id: (r.status, r.roi) for r in J.read_state(spark, state).collect()} == {"a": ("UAT", 9.0), "b": (None, 1.0)}
-    spark.createDataFrame([("c", 1, "WIP", None)], schema).write.mode("append").parquet(folder)
-    J._delete(spark, f"{state}/v2")
-    query = J.stream_latest_state(spark.readStream.schema(schema).parquet(folder), state, cp, ("status", "roi"))
-    with pytest.raises(Exception, match="is missing"):
-        query.awaitTermination()
-
-
 def test_a_label_inside_a_word_is_passed_over(spark):
     t = E.Template("V", "R", (E.Field("tsn", ("TSN",)), E.Field("csn", ("CSN",)), E.Field("note", ("Note",), multiline=True)))
     rows = [(1, "CTSN: 5\nTSN: 6"), (2, "TSN #. - 7 CSN 8"), (3, "CTSN 4"), (4, None), (5, "Note: two\nlines TSN 3")]
