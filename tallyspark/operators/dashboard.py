@@ -60,8 +60,20 @@ def extraction_search(df: DataFrame, text: str = "", columns: tuple[str, ...] =
     return literal_search(df, text, columns, " ") if text else df
 
 
-def kpi_totals(ideas: DataFrame) -> DataFrame:
-    """All counters of the first row of the dashboard in one pass."""
+def rename_for_display(df: DataFrame, names: dict[str, str]) -> DataFrame:
+    """Columns under the names they are shown with, in that order; nulls and columns that are absent are blank."""
+    return df.select(*[(blank_to_empty(F.col(f"`{c}`")) if c in df.columns else F.lit("")).alias(shown) for c, shown in names.items()])
+
+
+def list_sorted(df: DataFrame, *keys: str, last: str | None = None) -> DataFrame:
+    """Rows by keys, each rising, or falling with a minus before it; ties by ``last``."""
+    order = [F.desc(k[1:]) if k.startswith("-") else F.asc(k) for k in keys]
+    return df.orderBy(*order, *([F.asc(last)] if last else []))
+
+
+def kpi_totals(ideas: DataFrame, approximate: bool = False) -> DataFrame:
+    """All counters of the first row of the dashboard in one pass; ``approximate`` sketches the number of projects instead of collecting them."""
+    different = F.approx_count_distinct if approximate else F.count_distinct
     done, cat, auto = F.col("status") == "Completed", F.col("category"), F.col("automation_category")
     rows = ideas.withColumn("h", hours()).withColumn("r", roi())
     when = lambda test, value: F.when(test, value)
@@ -71,7 +83,7 @@ def kpi_totals(ideas: DataFrame) -> DataFrame:
         *[total(when(cat == k, F.col("r")), 2).alias(f"roi_{n}") for n, k in (("customer", CUSTOMER), ("internal", INTERNAL))],
         *[F.count_if(auto.isin(*k)).alias(f"n_{n}") for n, k in (("automation", AUTOMATION), ("ai", AI))],
         *[total(when(auto.isin(*k), F.col("r")), 2).alias(f"roi_{n}") for n, k in (("automation", AUTOMATION), ("ai", AI))],
-        F.count_distinct(F.when(F.col("project") != "", F.col("project"))).alias("projects"),
+        different(F.when(F.col("project") != "", F.col("project"))).alias("projects"),
     )
     share = F.when(F.col("total") == 0, 0.0).otherwise(F.round(F.col("completed") * 100.0 / F.col("total"), 1).cast("double"))
     return out.withColumn("completed_percent", share)

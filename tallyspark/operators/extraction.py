@@ -13,7 +13,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyspark.functions.terms import term_hits
 from tallyspark.functions.text import blank_to_empty, let, norm_ws, numeric_only, po_from_subject, post_date, post_digits, post_po10, post_schedule, trim_at_embedded_label
+from tallyspark.sources.scratch import stored
 
 
 @dataclass(frozen=True)
@@ -42,6 +44,19 @@ class Template:
     neighbours: tuple[str, ...] = ()
     positional: bool = False
 
+    def names(self) -> tuple[tuple[str, ...], tuple[str, ...]]:
+        """Vendor names and report titles that the text of such a report holds."""
+        tidy = lambda names: tuple(" ".join(n.split()).lower() for n in names)
+        return tidy((self.vendor, *self.aliases)), tidy((self.report, *self.report_aliases))
+
+    def stops(self, field: Field) -> list[str]:
+        """Terms that end a field's value in flattened text."""
+        return [*field.stop_at, *(x for f in self.fields if f is not field for x in f.labels), *self.neighbours]
+
+    def terms(self) -> list[str]:
+        """All that is looked for in flattened text."""
+        return [*self.names()[0], *self.names()[1], *(x for f in self.fields for x in (*f.labels, *f.stop_at)), *self.neighbours]
+
     def labels(self) -> list[str]:
         return sorted({label_key(x) for f in self.fields for x in f.labels} | {label_key(x) for x in self.neighbours})
 
@@ -54,9 +69,11 @@ def cell_key(c: Column) -> Column:
     return F.regexp_replace(F.lower(norm_ws(c)), "[ :#.]+$", "")
 
 
-#: Order of the measuring grid's columns, off its serial-number column, and those that are read.
+#: Order of the measuring grid's columns, off its serial-number column, and those that are read.
 GRID_ORDER = ("serial", "csn", "tsn", "cso", "csr", "tso", "tsr", "tscmp")
 GRID_FIELDS = ("csn", "tsn", "cso", "tso")
+#: Cells of the measuring grid that are no reading.
+GRID_WORDS = ("inf", "our", "unknown")
 
 
 def cells_of(texts: DataFrame) -> DataFrame:
@@ -75,18 +92,27 @@ def cells_to_text(cells: DataFrame) -> DataFrame:
 
 
 def identify_template(text: Column, templates: Sequence[Template]) -> Column:
-    """Place of the first template of which a vendor name and a report title occur in the text, else null."""
-    low = F.lower(norm_ws(text))
-    has = lambda names: reduce(lambda a, b: a | b, [F.contains(low, F.lit(" ".join(n.split()).lower())) for n in names])
+    """Place of the first template of which a vendor name and a report title occur in the text, else null; one pass finds all names."""
+    return let(term_hits(F.lower(text), [n for t in templates for names in t.names() for n in names]), lambda hits: template_of(hits, templates))
+
+
+def template_of(hits: Column, templates: Sequence[Template]) -> Column:
+    """The same from the hits of a pass over the text."""
+    has = lambda names: F.exists(hits, lambda h: reduce(lambda a, b: a | b, [norm_ws(h.term).startswith(n) for n in names]))
     out = F.lit(None).cast("int")
     for i, t in reversed(list(enumerate(templates))):
-        out = F.when(has((t.vendor, *t.aliases)) & has((t.report, *t.report_aliases)), i).otherwise(out)
+        vendor, report = t.names()
+        out = F.when(has(vendor) & has(report), i).otherwise(out)
     return out
 
 
+#: Letters of a label that index it; a cell meets the labels that begin with its own first letters.
+STEM = 4
+
+
 def _fields(spark, templates: Sequence[Template]) -> DataFrame:
-    rows = [(i, f.column, k, label_key(x), len(x), f.tabular) for i, t in enumerate(templates) for f in t.fields for k, x in enumerate(f.labels)]
-    return spark.createDataFrame(rows, "template int, field string, label_ord int, label string, label_length int, tabular boolean")
+    rows = [(i, label_key(x)[:STEM], f.column, k, label_key(x), len(x), f.tabular) for i, t in enumerate(templates) for f in t.fields for k, x in enumerate(f.labels)]
+    return spark.createDataFrame(rows, "template int, stem string, field string, label_ord int, label string, label_length int, tabular boolean")
 
 
 def _known(spark, templates: Sequence[Template]) -> DataFrame:
@@ -117,12 +143,15 @@ def grid_label_values(cells: DataFrame, docs: DataFrame, templates: Sequence[Tem
     """(doc_id, field, value) from cells; ``docs`` has doc_id and template.
 
     Labels in order, cells in (sheet, row, column) order; a cell's rest, else its neighbours, below first when tabular.
+    Cells meet labels by their first letters, so that about as many rows come out of the join as there are hits.
     """
     spark = cells.sparkSession
     # Template tables hold a row for each label of the parameter: their size is the configuration's, not the data's.
     around = neighbour_cells(cells).join(docs.select("doc_id", "template"), "doc_id").filter(norm_ws(F.col("text")) != "")
     keyed = around.withColumn("tidy", norm_ws(F.col("text"))).withColumn("key", cell_key(F.col("text")))
-    met = keyed.join(F.broadcast(_fields(spark, templates)), "template").filter(F.col("key").startswith(F.col("label"))).join(F.broadcast(_known(spark, templates)), "template")
+    stems = sorted({min(STEM, len(label_key(x))) for t in templates for f in t.fields for x in f.labels})
+    stemmed = keyed.withColumn("stem", F.explode(F.array_distinct(F.array(*[F.substring("key", 1, n) for n in stems]))))
+    met = stemmed.join(F.broadcast(_fields(spark, templates)), ["template", "stem"]).filter(F.col("key").startswith(F.col("label"))).join(F.broadcast(_known(spark, templates)), "template")
     rest = F.regexp_replace(F.substring("tidy", F.col("label_length") + 1, F.length("tidy")), "^[ :\\-#./\t]+|[ :\\-#./\t]+$", "")
     side, under = (_first_value(F.col(c), F.col("known"), F.col("label")) for c in ("right", "below"))
     one, two = F.when(F.col("tabular"), under).otherwise(side), F.when(F.col("tabular"), side).otherwise(under)
@@ -133,20 +162,29 @@ def grid_label_values(cells: DataFrame, docs: DataFrame, templates: Sequence[Tem
 
 def text_label_value(text: Column, field: Field, template: Template) -> Column:
     """A field from flattened text: after its label, up to the nearest stop term, on its line unless multiline."""
-    stops = [*field.stop_at, *(x for f in template.fields if f is not field for x in f.labels), *template.neighbours]
-    low_stops = F.array(*[F.lit(s.lower()) for s in stops]) if stops else F.array().cast("array<string>")
-    def after(label: str) -> Column:
-        # The pattern takes all behind the label, so a label inside another word is passed over once and for all.
-        tail = F.regexp_extract(text, r"(?is)\b" + _escaped(label) + r"\b\s*[#.]*\s*[:\-]?\s*(.*)", 1)
+    return let(term_hits(F.lower(text), [*field.labels, *template.stops(field)]), lambda hits: cut_field(text, hits, field, template))
+
+
+def cut_field(text: Column, hits: Column, field: Field, template: Template) -> Column:
+    """The same from the hits of a pass over the text, which may be of further terms."""
+    stops = [s.lower() for s in template.stops(field)]
+    is_stop = lambda term: reduce(lambda a, b: a | b, [term.startswith(s) for s in stops], F.lit(False))
 
-        def cut(t: Column) -> Column:
-            low = F.lower(t)
-            ends = F.transform(low_stops, lambda s: F.position(s, low))
-            ends = ends if field.multiline else F.concat(ends, F.array(F.position(F.lit("\n"), t)))
-            end = F.array_min(F.filter(ends, lambda x: x > 0))
-            return F.regexp_replace(norm_ws(F.substring(t, F.lit(1), F.coalesce(end - 1, F.length(t)))), "^[ :\\-/\t#.]+|[ :\\-/\t#.]+$", "")
+    def cut(start: Column) -> Column:
+        end = F.try_element_at(F.filter(hits, lambda h: (h.at >= start) & is_stop(h.term)), F.lit(1)).at
+        value = F.substring(text, start, F.coalesce(end - start, F.length(text)))
+        value = value if field.multiline else F.substring_index(value, "\n", 1)
+        tidy = F.regexp_replace(norm_ws(value), "^[ :\\-/\t#.]+|[ :\\-/\t#.]+$", "")
+        return F.nullif(F.substring(tidy, 1, 300 if field.multiline else 120), F.lit(""))
 
-        return F.nullif(F.substring(let(tail, cut), 1, 300 if field.multiline else 120), F.lit(""))
+    def after(label: str) -> Column:
+        low, n = label.lower(), len(label)
+        whole = r"(?i)\b" + _escaped(label) + r"\b"
+        around = lambda h: F.substring(text, F.greatest(h.at - 1, F.lit(1)), F.lit(n + 1) + (h.at > 1).cast("int"))
+        at = F.try_element_at(F.filter(hits, lambda h: h.term.startswith(low) & around(h).rlike(whole)), F.lit(1)).at + n
+        # Each step is worked out once and then read several times; a label that isn't there ends it.
+        gap = lambda at: F.length(F.regexp_extract(F.substring(text, at, F.length(text)), r"^\s*[#.]*\s*[:\-]?\s*", 0))
+        return let(at, lambda at: F.when(at.isNotNull(), let(at + gap(at), cut)))
 
     return F.coalesce(*[after(label) for label in field.labels], F.lit(""))
 
@@ -155,15 +193,19 @@ def _escaped(label: str) -> str:
     return "".join("\\" + ch if not ch.isalnum() and ch != " " else ch for ch in label)
 
 
-def positional_value(texts: DataFrame, label: str, known: Sequence[str]) -> DataFrame:
-    """(doc_id, value) where a label heads a column: the same column of the next filled line, columns apart by two blanks."""
+def positional_value(texts: DataFrame, label: str, known: Sequence[str] | str) -> DataFrame:
+    """(doc_id, value) where a label heads a column: the same column of the next filled line, columns apart by two blanks.
+
+    A value that is itself one of the labels ``known`` is none; these are given, or are in a column of that name.
+    """
+    texts = texts.withColumn("_own", F.col(known) if isinstance(known, str) else F.array(*[F.lit(x) for x in known]).cast("array<string>"))
     pattern = r"(?i)\b" + _escaped(label) + r"\b"
     # A document's lines stay in its own row: the next lines are array elements, so no window is needed.
     lines = F.split("text", "\n")
-    at = texts.select("doc_id", F.explode(F.filter(F.transform(lines, lambda line, i: F.struct(i.alias("i"), F.split(F.trim(line), " {2,}").alias("cols"), F.filter(F.slice(lines, i + 2, 2), lambda x: F.trim(x) != "").alias("next"))), lambda x: F.exists(x.cols, lambda c: c.rlike(pattern)))).alias("x"))
+    at = texts.select("doc_id", "_own", F.explode(F.filter(F.transform(lines, lambda line, i: F.struct(i.alias("i"), F.split(F.trim(line), " {2,}").alias("cols"), F.filter(F.slice(lines, i + 2, 2), lambda x: F.trim(x) != "").alias("next"))), lambda x: F.exists(x.cols, lambda c: c.rlike(pattern)))).alias("x"))
     column = F.array_min(F.filter(F.transform("x.cols", lambda c, i: F.when(c.rlike(pattern), i)), lambda i: i.isNotNull()))
-    found = at.select("doc_id", "x.i", F.trim(F.try_element_at(F.split(F.trim(F.try_element_at("x.next", F.lit(1))), " {2,}"), (column + 1).cast("int"))).alias("v")).filter("v is not null")
-    value = F.when(cell_key(F.col("v")).isin(*known), "").otherwise(F.substring("v", 1, 120))
+    found = at.select("doc_id", "_own", "x.i", F.trim(F.try_element_at(F.split(F.trim(F.try_element_at("x.next", F.lit(1))), " {2,}"), (column + 1).cast("int"))).alias("v")).filter("v is not null")
+    value = F.when(F.array_contains("_own", cell_key(F.col("v"))), "").otherwise(F.substring("v", 1, 120))
     return found.groupBy("doc_id").agg(F.min_by(value, "i").alias("value")).filter("value <> ''")
 
 
@@ -177,7 +219,7 @@ def grid_positional(cells: DataFrame) -> DataFrame:
     names = F.array(*[F.lit(n) for n in GRID_ORDER])
     placed = near.join(chosen, ["doc_id", "r"]).withColumn("field", F.try_element_at(names, (F.col("c") - F.col("ac") + 1).cast("int"))).filter("c >= ac")
     value = norm_ws(F.col("text"))
-    return placed.filter(F.col("field").isin(*GRID_FIELDS) & (value != "") & ~key.isin("inf", "our", "unknown")).select("doc_id", "field", F.substring(value, 1, 120).alias("value"))
+    return placed.filter(F.col("field").isin(*GRID_FIELDS) & (value != "") & ~key.isin(*GRID_WORDS)).select("doc_id", "field", F.substring(value, 1, 120).alias("value"))
 
 
 def grid_positional_vertical(cells: DataFrame) -> DataFrame:
@@ -205,15 +247,18 @@ def extract_fields(texts: DataFrame, cells: DataFrame, templates: Sequence[Templ
     Grid, then header columns and text, then the cut at an embedded label, clean-up, number guard, order number
     from the subject, and the measuring grid for what is still blank. ``texts`` has doc_id, text, subject.
     """
-    docs = texts.withColumn("template", identify_template(F.col("text"), templates)).filter("template is not null")
+    # One pass over a text finds all names, labels and stop terms; the table keeps the steps below from repeating it.
+    scanned = texts.withColumn("_hits", term_hits(F.lower("text"), [x for t in templates for x in t.terms()]))
+    own = F.element_at(F.array(*[F.array(*[F.lit(x) for x in t.labels()]) for t in templates]), F.col("template") + 1)
+    docs = scanned.withColumn("template", template_of(F.col("_hits"), templates)).withColumn("_known", own)
+    docs = stored(docs.filter("template is not null"), "extraction-hits")
     grid = grid_label_values(cells, docs, templates).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("field", "value"))).alias("grid"))
     level = grid_positional(cells).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("field", "value"))).alias("level"))
     upright = grid_positional_vertical(cells).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("field", "value"))).alias("upright"))
     rows = docs.join(grid, "doc_id", "left").join(level, "doc_id", "left").join(upright, "doc_id", "left")
     tabular = sorted({label for t in templates for f in t.fields if f.tabular for label in f.labels})
-    every = sorted({x for t in templates for x in t.labels()})
     for k, label in enumerate(tabular):
-        rows = rows.join(positional_value(docs, label, every).withColumnRenamed("value", f"_tab{k}"), "doc_id", "left")
+        rows = rows.join(positional_value(docs, label, "_known").withColumnRenamed("value", f"_tab{k}"), "doc_id", "left")
     place, columns = {label: k for k, label in enumerate(tabular)}, column_union(templates)
 
     # Templates that differ in names alone share one expression.
@@ -231,7 +276,7 @@ def extract_fields(texts: DataFrame, cells: DataFrame, templates: Sequence[Templ
 
     def raw(t: Template, f: Field) -> Column:
         tried = [F.nullif(F.col(f"_tab{place[x]}"), F.lit("")) for x in f.labels] if f.tabular else []
-        return F.coalesce(F.nullif(F.element_at("grid", f.column), F.lit("")), *tried, text_label_value(F.col("text"), f, t))
+        return F.coalesce(F.nullif(F.element_at("grid", f.column), F.lit("")), *tried, cut_field(F.col("text"), F.col("_hits"), f, t))
 
     def cleaned(f: Field, v: Column) -> Column:
         v = POSTS[f.post](v) if f.post else v
@@ -244,8 +289,7 @@ def extract_fields(texts: DataFrame, cells: DataFrame, templates: Sequence[Templ
         return F.coalesce(F.nullif(v, F.lit("")), F.element_at(F.coalesce("level", "upright"), f.column), F.lit(""))
 
     # One projection a step: a value is worked out once before the next step reads it several times.
-    known = F.element_at(F.array(*[F.array(*[F.lit(x) for x in t.labels()]) for t in templates]), F.col("template") + 1)
-    rows = rows.withColumns({f"_v_{c}": by_template(lambda t, c=c: next((raw(t, f) for f in t.fields if f.column == c), None)) for c in columns} | {"_known": known})
+    rows = rows.withColumns({f"_v_{c}": by_template(lambda t, c=c: next((raw(t, f) for f in t.fields if f.column == c), None)) for c in columns})
     rows = rows.withColumns({f"_v_{c}": trim_at_embedded_label(F.col(f"_v_{c}"), F.col("_known")) for c in columns})
     rows = rows.withColumns({f"_v_{c}": by_template(lambda t, c=c: next((filled(t, f, cleaned(f, F.col(f"_v_{c}"))) for f in t.fields if f.column == c), None)) for c in columns})
     values = F.map_filter(F.create_map(*[x for c in columns for x in (F.lit(c), F.col(f"_v_{c}"))]), lambda _, x: x.isNotNull())

@@ -225,9 +225,26 @@ def upsert_last_wins(batch: DataFrame, key: str, seq: str) -> DataFrame:
     return batch.groupBy(key).agg(F.max_by(F.struct(*rest), F.col(seq)).alias("r")).select(key, "r.*")
 
 
+def user_log(users: DataFrame, changes: DataFrame) -> DataFrame:
+    """(email, seq, deleted, role): users as the log's beginning, without seq, and then changes; emails in lower case.
+
+    ``changes``: email, role, seq, and ``deleted`` where users may go.
+    """
+    key = F.lower(F.trim("email")).alias("email")
+    gone = F.coalesce(F.col("deleted"), F.lit(False)) if "deleted" in changes.columns else F.lit(False)
+    before = users.select(key, F.lit(None).cast("long").alias("seq"), F.lit(False).alias("deleted"), "role")
+    return before.unionByName(changes.select(key, F.col("seq").cast("long").alias("seq"), gone.alias("deleted"), "role"))
+
+
+def fold_users(log: DataFrame) -> DataFrame:
+    """(email, role) as the log's last entry of each email leaves it; a deletion is last among entries of one seq. Combined before the shuffle."""
+    last = log.groupBy("email").agg(F.max(F.struct("seq", "deleted", "role")).alias("x"))
+    return last.filter("not x.deleted").select("email", "x.role")
+
+
 def upsert_users(users: DataFrame, changes: DataFrame) -> DataFrame:
-    """Users added if absent, else with a new role."""
-    return users.join(changes.select("email"), "email", "left_anti").unionByName(changes.select("email", "role"))
+    """Users after changes in order of seq: added, given a new role, or deleted; repeated changes fold to the last."""
+    return fold_users(user_log(users, changes))
 
 
 def children(ideas: DataFrame) -> DataFrame:

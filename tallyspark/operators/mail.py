@@ -35,6 +35,11 @@ def domains_of(vendors: tuple[str, ...], table: tuple[tuple[str, str], ...] = DO
     return tuple(sorted({d for v, d in table if v in vendors}))
 
 
+def vendor_domains(vendors: DataFrame, table: DataFrame) -> DataFrame:
+    """Sorted different domains of the chosen vendors (column vendor) by a table (vendor, domain); unknown names are ignored."""
+    return table.join(vendors.select("vendor").distinct(), "vendor", "left_semi").select("domain").filter("domain is not null").distinct().orderBy("domain")
+
+
 def from_domains(domain: Column, domains: tuple[str, ...]) -> Column:
     """Whether a sender's domain is one of the domains or lies below one."""
     return reduce(lambda a, b: a | b, [(domain == d) | domain.endswith("." + d) for d in domains], F.lit(False))

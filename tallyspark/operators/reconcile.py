@@ -1,7 +1,8 @@
 """Reports against a system-of-record dump: candidate rows, rules, best candidate and wide outputs.
 
-Rules are evaluated inside a row of the join, and the best candidate is an aggregate, combined before the
-shuffle, so an order with very many dump rows costs no sort in one task.
+Two phases: the join of reports and dump carries only what rules compare, and the best candidate is the least of a fixed-width
+number, a hash aggregate combined before the shuffle, so an order with very many dump rows costs no sort; the winner's
+columns and checks are then fetched and named for that one row alone.
 """
 
 from __future__ import annotations
@@ -103,14 +104,14 @@ def candidates(reports: DataFrame, dump: DataFrame) -> DataFrame:
     return met.unionByName(keyed.filter("po_key is null"), allowMissingColumns=True)
 
 
-def checked(reports: DataFrame, dump: DataFrame, rules=RULES, blank_blocks: bool = False) -> DataFrame:
+def checked(reports: DataFrame, dump: DataFrame, rules=RULES, blank_blocks: bool = False, tolerance: float = 0.0) -> DataFrame:
     """Candidates with an outcome by rule (array ``outcomes``), counts and acceptance.
 
     A row is accepted where no rule that must hold is contradicted; blanks block only if told to.
     """
     for i, (field, report, mode, _) in enumerate(rules):
         dump, reports = dump.withColumn(f"_d{i}", prepared(mode, F.col(field))), reports.withColumn(f"_r{i}", prepared(mode, F.col(report)))
-    found = F.array(*[outcome_of(mode, F.col(f"_d{i}"), F.col(f"_r{i}")) for i, (_, _, mode, _) in enumerate(rules)])
+    found = F.array(*[outcome_of(mode, F.col(f"_d{i}"), F.col(f"_r{i}"), tolerance) for i, (_, _, mode, _) in enumerate(rules)])
     rows = candidates(reports, dump).withColumn("outcomes", F.when(F.col("row").isNotNull(), found))
     tens = [_tens(F.col("outcomes")[i]) for i in range(len(rules))]
     counts = {name: sum((F.when(t == k, 1).otherwise(0) for t in tens), F.lit(0)) for k, name in enumerate(("matched", "differed", "blank"), 1)}
@@ -123,26 +124,50 @@ def accepted(rules=RULES, blank_blocks: bool = False) -> Column:
     return ~reduce(lambda a, b: a | b, [_tens(F.col("outcomes")[i]).isin(*against) for i, r in enumerate(rules) if not r[3]], F.lit(False))
 
 
-def match_reports(reports: DataFrame, dump: DataFrame, rules=RULES, blank_blocks: bool = False) -> DataFrame:
-    """A row by report: status, ord, row, checks and counts of the best candidate.
+#: A candidate's rank is a decimal: the misses of one that isn't accepted, then its place in the dump.
+_PLACES, _MANY = 10**19, 1 + 99
 
-    The first accepted row in dump order wins, else the row with most matches, ties to the earliest.  Only numbers are
-    worked out for candidates; values and names of outcomes are put together for the best one.
+
+def best_candidates(reports: DataFrame, dump: DataFrame, rules=RULES, blank_blocks: bool = False, tolerance: float = 0.0) -> DataFrame:
+    """(report_id, po_key, ord): the winning dump row of each report that has candidates.
+
+    The first accepted row in dump order wins, else the row with most matches, ties to the earliest.
+    """
+    slim = reports.select("report_id", "po", *dict.fromkeys(r[1] for r in rules))
+    rows = checked(slim, dump.select("po_key", "ord", *dict.fromkeys(r[0] for r in rules)), rules, blank_blocks, tolerance).filter("row is not null")
+    misses = F.when(F.col("accepted"), 0).otherwise(_MANY - F.col("matched")).cast("decimal(4,0)")
+    rank = (misses * F.lit(str(_PLACES)).cast("decimal(20,0)") + F.col("ord").cast("decimal(19,0)")).cast("decimal(38,0)")
+    best = rows.groupBy("report_id", "po_key").agg(F.min(rank).alias("rank"))
+    return best.select("report_id", "po_key", (F.col("rank") % F.lit(str(_PLACES)).cast("decimal(20,0)")).cast("long").alias("ord"))
+
+
+def match_reports(reports: DataFrame, dump: DataFrame | None, rules=RULES, blank_blocks: bool = False, tolerance: float = 0.0) -> DataFrame:
+    """A row by report: status, ord, row, checks and counts of the best candidate; without a dump every report says so.
+
+    ``report_id`` names a report, ``ord`` (not negative) a dump row.
     """
-    rows = checked(reports, dump, rules, blank_blocks)
-    ok = F.col("accepted")
-    order = F.struct(F.when(ok, 0).otherwise(1), F.when(ok, 0).otherwise(-F.col("matched")), F.col("ord"))
-    best = F.min_by(F.struct("accepted", "ord", "row", "outcomes", "matched", "differed", "blank"), F.when(F.col("row").isNotNull(), order)).alias("best")
-    picked = rows.groupBy("report_id").agg(best, F.first(F.struct(*[F.col(r[1]).alias(f"v{i}") for i, r in enumerate(rules)])).alias("said"))
-    status = F.when(F.col("best").isNull(), "no_po_rows").when(F.col("best.accepted"), "matched").otherwise("mismatch")
-    zero = lambda c: F.coalesce(F.col(f"best.{c}"), F.lit(0)).alias(c)
-    checks = F.when(F.col("best").isNotNull(), F.array(*[_check(i, *rule) for i, rule in enumerate(rules)]))
-    return picked.select("report_id", status.alias("status"), F.col("best.ord").alias("ord"), F.col("best.row").alias("row"), checks.alias("checks"), zero("matched"), zero("differed"), zero("blank"))
+    if dump is None:
+        nothing = "cast(null as array<struct<field:string,mode:string,dump_value:string,report_value:string,status:string,outcome:string,absent:array<string>,optional:boolean>>)"
+        dumped = F.struct(*[F.lit(None).cast("string").alias(r[0]) for r in rules])
+        return reports.select("report_id", F.lit("no_dump").alias("status"), F.lit(None).cast("long").alias("ord"), F.when(F.lit(False), dumped).alias("row"), F.expr(nothing).alias("checks"), *[F.lit(0).alias(c) for c in ("matched", "differed", "blank")])
+    won = best_candidates(reports, dump, rules, blank_blocks, tolerance)
+    rows = dump.select("po_key", "ord", F.struct(*[F.col(c) for c in dump.columns if c not in ("po_key", "ord")]).alias("row"))
+    won = won.join(rows, ["po_key", "ord"]).select("report_id", "ord", "row")
+    said = F.struct(*[F.col(r[1]).alias(f"v{i}") for i, r in enumerate(rules)])
+    best = reports.select("report_id", said.alias("said")).join(won, "report_id", "left")
+    sides = [(mode, F.col(f"row.{field}"), F.col(f"said.v{i}")) for i, (field, _, mode, _) in enumerate(rules)]
+    outcomes = F.array(*[outcome_of(mode, prepared(mode, ours), prepared(mode, theirs), tolerance) for mode, ours, theirs in sides])
+    best = best.withColumn("outcomes", F.when(F.col("row").isNotNull(), outcomes))
+    status = F.when(F.col("row").isNull(), "no_po_rows").when(accepted(rules, blank_blocks), "matched").otherwise("mismatch")
+    count = lambda k, name: F.coalesce(F.size(F.filter("outcomes", lambda x: _tens(x) == k)), F.lit(0)).alias(name)
+    checks = F.when(F.col("row").isNotNull(), F.array(*[_check(i, *rule) for i, rule in enumerate(rules)]))
+    counts = [F.when(F.col("row").isNull(), 0).otherwise(count(k, name)).alias(name) for k, name in enumerate(("matched", "differed", "blank"), 1)]
+    return best.select("report_id", status.alias("status"), "ord", "row", checks.alias("checks"), *counts)
 
 
 def _check(i: int, dump: str, report: str, mode: str, optional: bool) -> Column:
     """One rule of the best candidate; ``absent`` are the dump's words that the report lacks."""
-    outcome, ours, theirs = F.col("best.outcomes")[i], F.col(f"best.row.{dump}"), F.col(f"said.v{i}")
+    outcome, ours, theirs = F.col("outcomes")[i], F.col(f"row.{dump}"), F.col(f"said.v{i}")
     absent = F.array().cast("array<string>")
     if mode == "words":
         absent = F.when(outcome == 21, F.filter(mx_words(ours), lambda w: ~F.contains(F.array_join(mx_words(theirs), " "), w))).otherwise(absent)
@@ -185,6 +210,6 @@ def phase_summary(attachments: DataFrame, extracted: DataFrame, matches: DataFra
     s, count = F.col("status"), lambda c, name: F.count_if(c).alias(name)
     files = attachments.agg(F.count("*").alias("queued"), count(F.col("converted"), "converted"), count(~F.col("converted"), "errors"))
     read = extracted.agg(F.count("template").alias("extracted"), count(F.col("template").isNull(), "unmatched"))
-    met = matches.agg(count(s == "matched", "matched"), count(s == "mismatch", "mismatch"), count(s == "no_po_rows", "po_missing"), count(s != "no_po_rows", "compared"))
+    met = matches.agg(count(s == "matched", "matched"), count(s == "mismatch", "mismatch"), count(s == "no_po_rows", "po_missing"), count(s.isin("matched", "mismatch"), "compared"))
     rows = files.unionByName(read, allowMissingColumns=True).unionByName(met, allowMissingColumns=True)
     return rows.agg(*[F.sum(c).alias(c) for c in rows.columns])

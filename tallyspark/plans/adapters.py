@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+from functools import cached_property
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -125,6 +128,13 @@ SELECT report_id,
        || chr(10) || 'Actions Taken: ' || actions_taken
        || chr(10) || 'Findings: ' || findings || chr(10) || 'Conclusion: ' || fault_outcome AS text
 FROM extractions
+""",
+    "vendor_table": """
+SELECT s_name AS vendor, lower(replace(n_name, ' ', '-')) || CAST(s_suppkey % 9 AS STRING) || '.example' AS domain FROM supplier JOIN nation ON s_nationkey = n_nationkey
+UNION ALL SELECT s_name, 'mail' || CAST(s_suppkey % 5 AS STRING) || '.example' FROM supplier
+""",
+    "chosen_vendors": """
+SELECT s_name AS vendor FROM supplier WHERE s_acctbal > 5000 UNION ALL SELECT c_name FROM customer
 """,
     "activity": """
 SELECT event_id AS seq, ts, CASE event_type WHEN 'view' THEN 'SAVED-MSG' WHEN 'click' THEN 'SAVED-ATT' WHEN 'purchase' THEN 'COMPLETED' WHEN 'signup' THEN 'SKIP-NOPO' ELSE 'EXTRACTED' END AS event,
@@ -175,9 +185,20 @@ class Inputs:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
+    @cached_property
+    def _numbered_lines(self) -> str:
+        """Name of a view over ``lines`` in a table of the shared folder: several inputs read it, and its window is worked out once."""
+        rows = stored(self.spark.sql(with_clause("lines") + "SELECT * FROM lines"), "lines")
+        name = f"lines_{uuid.uuid4().hex}"
+        rows.createOrReplaceTempView(name)
+        return name
+
     def __getattr__(self, name: str) -> DataFrame:
         if name not in VIEWS:
             raise AttributeError(name)
         for t in _TABLES:
             self.table(t).createOrReplaceTempView(t)
-        return self.spark.sql(with_clause(name) + f"SELECT * FROM {name}")
+        query = with_clause(name) + f"SELECT * FROM {name}"
+        if "lines" in (name, *_NEEDS.get(name, ())):
+            query = query.replace(VIEWS["lines"].strip(), f"SELECT * FROM {self._numbered_lines}")
+        return self.spark.sql(query)

@@ -130,7 +130,8 @@ _FILLED = f"CASE WHEN vendor = 'Nobody' THEN 0 ELSE CAST(round(({' + '.join(f'(t
 _add("completeness_score", lambda v: _saved_rows(v).select("report_id", S.completeness(json_values(F.col("values_json")), S.expected_fields(F.col("vendor"), _SAMPLE)).alias("score")), f"{_BLANKED} SELECT report_id, {_FILLED} FROM r", *_T)
 _add("recent_extractions", lambda v: S.recent_extractions(_saved_rows(v), 1000, _SAMPLE, tuple(_COLUMNS)).select("report_id", "vendor", F.coalesce(F.element_at("values", "csn"), F.lit("")).alias("csn"), "score", "quality"),
      f"{_BLANKED}, last AS (SELECT * FROM r ORDER BY report_id DESC LIMIT 1000), base AS (SELECT *, '' AS dump_rfr, {DECLARED} AS decl, {FOUND} AS f FROM last), levels AS (SELECT report_id, vendor, csn, {_FILLED}, {LEVELS} FROM base) SELECT report_id, vendor, csn, score, {PERCENT} AS quality FROM levels", *_T)
-_add("sort_extractions", lambda v: with_position(v.extractions.orderBy(F.lower("vendor"), F.col("csn").try_cast("double"), "report_id").select("report_id", "vendor", "csn")), "SELECT report_id, vendor, csn, row_number() OVER (ORDER BY lower(vendor), CAST(csn AS DOUBLE), report_id) AS position FROM extractions", *_T)
+_add("sort_extractions", lambda v: with_position(S.sort_extractions(v.extractions, "findings").select("report_id", "findings")), "SELECT report_id, findings, row_number() OVER (ORDER BY lower(findings), report_id) AS position FROM extractions", *_T)
+_add("sort_extractions_by_number", lambda v: with_position(S.sort_extractions(v.extractions, "tsn", ascending=False, numbers=("tsn",)).select("report_id", "tsn")), "SELECT report_id, tsn, row_number() OVER (ORDER BY coalesce(TRY_CAST(tsn AS DOUBLE), 0) DESC, report_id) AS position FROM extractions", *_T)
 _add("column_union", lambda v: E.filled_columns(_extracted(v), _SAMPLE), "SELECT * FROM (" + " UNION ALL ".join(f"SELECT CAST({k} AS INT) AS ord, '{c}' AS \"column\", (SELECT count(*) FROM ({_VALUES}) WHERE {c} <> '') AS n" for k, c in enumerate("po input_part input_serial tsn csn esn failure_date reason_for_removal actions_taken findings fault_outcome".split(), 1)) + ")", *_T)
 
 

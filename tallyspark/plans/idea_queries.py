@@ -56,8 +56,8 @@ def _add(name: str, f, sql: str | None, *views: str) -> None:
     query(name, sql, *views)(f)
 
 
-_add("ideas_load", lambda v: with_position(I.load(v.ideas).select("id", "created_date", F.coalesce("feasibility.freq", F.lit("")).alias("freq"), F.coalesce("feasibility.fte", F.lit("")).alias("fte"))),
-     f"SELECT id, created_date, {_FIELD('freq')} AS freq, {_FIELD('fte')} AS fte, row_number() OVER (ORDER BY created_date DESC, id) AS position FROM ideas", "ideas")
+_add("ideas_load", lambda v: with_position(I.load(v.ideas.withColumn("feasibility_data", F.when(F.expr("CAST(id AS BIGINT) % 17 = 3"), F.lit('{"fte": 1, ')).otherwise(F.col("feasibility_data")))).select("id", "created_date", F.coalesce("feasibility.freq", F.lit("")).alias("freq"), F.coalesce("feasibility.fte", F.lit("")).alias("fte"))),
+     f"SELECT id, created_date, CASE WHEN CAST(id AS BIGINT) % 17 = 3 THEN '' ELSE {_FIELD('freq')} END AS freq, CASE WHEN CAST(id AS BIGINT) % 17 = 3 THEN '' ELSE {_FIELD('fte')} END AS fte, row_number() OVER (ORDER BY created_date DESC, id) AS position FROM ideas", "ideas")
 _add("idea_hours", lambda v: v.ideas.select("id", I.idea_hours(F.col("feasibility_data")).alias("hours")), _HOURS + "SELECT id, CAST(hours AS DOUBLE) AS hours FROM timed", "ideas")
 _add("idea_savings_table", lambda v: I.savings_table(v.ideas),
      _HOURS + f""", local AS (SELECT *, CASE WHEN {_FIELD('baseline_process_time')} <> '' THEN {_NUM(_FIELD('baseline_process_time'))} END AS b, CASE WHEN {_FIELD('new_process_time')} <> '' THEN {_NUM(_FIELD('new_process_time'))} END AS n,
@@ -80,9 +80,17 @@ slots AS (SELECT r.id, r.assigned_engineer, r.category, r.roi, CAST(1 + count(CA
   FROM requests r LEFT JOIN (SELECT * FROM ideas WHERE status IN {_ACTIVE}) o ON o.assigned_engineer = r.assigned_engineer GROUP BY r.id, r.assigned_engineer, r.category, r.roi)"""
 _add("compute_delivery", lambda v: I.compute_delivery(v.ideas, v.ideas.filter("status = 'Assigned'"), AS_OF),
      f""", {_workdays(AS_OF)}, {_SLOT} SELECT id, assigned_engineer, priority_rank, s.d AS sprint_start, e.d AS sprint_end, {_LABEL} AS priority_label FROM slots JOIN workdays s ON s.k = 9 * (priority_rank - 1) JOIN workdays e ON e.k = 9 * priority_rank""", "ideas")
-_add("feasibility_submit", lambda v: I.feasibility_submit(v.ideas, v.ideas.filter("status = 'Assigned'").selectExpr("id", "CAST(8 AS DOUBLE) AS baseline", "CAST(2 AS DOUBLE) AS new_time", "CAST(1 AS DOUBLE) AS fte", "CAST(4 AS DOUBLE) AS effort", "'Weekly' AS freq"), AS_OF).drop("feasibility_data"),
+def _json_read(df):
+    """The submitted JSON by field."""
+    read = lambda k: F.get_json_object("feasibility_data", f"$.{k}")
+    out = df.withColumns({f"json_{k}": read(k).try_cast("double") for k in _JSON} | {"json_freq": read("freq"), "json_fields": F.size(F.json_object_keys("feasibility_data"))})
+    return out.drop("feasibility_data")
+
+
+_JSON = {"baseline_process_time": 8, "new_process_time": 2, "fte": 1, "eng": 4}
+_add("feasibility_submit", lambda v: _json_read(I.feasibility_submit(v.ideas, v.ideas.filter("status = 'Assigned'").selectExpr("id", "CAST(8 AS DOUBLE) AS baseline", "CAST(2 AS DOUBLE) AS new_time", "CAST(1 AS DOUBLE) AS fte", "CAST(4 AS DOUBLE) AS effort", "'Weekly' AS freq"), AS_OF)),
      f""", {_workdays(AS_OF)}, {_SLOT.replace('category, roi, created_date FROM', 'category, CAST(78 AS DOUBLE) AS roi, created_date FROM')}
-     SELECT id, 'WIP' AS status, CAST(78 AS DOUBLE) AS roi, '2024-03-08' AS vsm_meeting_date, {_LABEL} AS priority_label, s.d AS sprint_start, e.d AS sprint_end, e.d AS delivery_date FROM slots JOIN workdays s ON s.k = 9 * (priority_rank - 1) JOIN workdays e ON e.k = 9 * priority_rank""", "ideas")
+     SELECT id, 'WIP' AS status, CAST(78 AS DOUBLE) AS roi, {', '.join(f'CAST({x} AS DOUBLE) AS json_{k}' for k, x in _JSON.items())}, 'Weekly' AS json_freq, 5 AS json_fields, '2024-03-08' AS vsm_meeting_date, {_LABEL} AS priority_label, s.d AS sprint_start, e.d AS sprint_end, e.d AS delivery_date FROM slots JOIN workdays s ON s.k = 9 * (priority_rank - 1) JOIN workdays e ON e.k = 9 * priority_rank""", "ideas")
 _add("decision_apply", lambda v: I.decision_apply(v.ideas, v.ideas.filter("status = 'UAT'").selectExpr("id", "CASE WHEN CAST(id AS BIGINT) % 2 = 0 THEN 'GO' ELSE 'NO-GO' END AS decision", "'Business Rejection' AS reason"), WEEKEND),
      "SELECT id, CASE WHEN CAST(id AS BIGINT) % 2 = 0 THEN 'WIP' ELSE 'Rejected' END AS status, CASE WHEN CAST(id AS BIGINT) % 2 = 0 THEN '2024-03-11' END AS sprint_start, CASE WHEN CAST(id AS BIGINT) % 2 = 0 THEN '2024-03-22' END AS sprint_end, CASE WHEN CAST(id AS BIGINT) % 2 = 0 THEN '' ELSE 'Business Rejection' END AS rejection_reason FROM ideas WHERE status = 'UAT'", "ideas")
 _MOVES = "SELECT id, CASE CAST(id AS BIGINT) % 4 WHEN 0 THEN 'Completed' WHEN 1 THEN 'Hold/Park' WHEN 2 THEN 'Hold/Park' ELSE 'UAT' END AS new_status, CASE WHEN CAST(id AS BIGINT) % 4 = 2 THEN ' ' ELSE 'waiting' END AS reason FROM ideas"
@@ -99,8 +107,21 @@ _add("engineer_load", lambda v: D.engineer_load(v.users, v.ideas),
 _add("latest_state", lambda v: I.latest_state(v.ideas, v.patches, ("status", "assigned_engineer", "roi")),
      ", rows AS (SELECT id, 0 AS seq, status, assigned_engineer, roi FROM ideas UNION ALL SELECT id, seq, status, assigned_engineer, roi FROM patches) SELECT id, arg_max(status, seq) FILTER (status IS NOT NULL) AS status, arg_max(assigned_engineer, seq) FILTER (assigned_engineer IS NOT NULL) AS assigned_engineer, arg_max(roi, seq) FILTER (roi IS NOT NULL) AS roi FROM rows GROUP BY id", "ideas", "patches")
 _add("upsert_last_wins", lambda v: I.upsert_last_wins(v.otp_batch, "otp", "seq"), "SELECT otp, project_name, business_unit, pd, spl_pl FROM (SELECT *, row_number() OVER (PARTITION BY otp ORDER BY seq DESC) AS k FROM otp_batch) WHERE k = 1", "otp_batch")
-_add("upsert_users", lambda v: I.upsert_users(v.users, v.users.filter("role = 'pl/spl'").selectExpr("email", "'normal user' AS role").unionByName(v.table("region").selectExpr("'new' || CAST(r_regionkey AS STRING) || '@corp.example' AS email", "'super user' AS role"))),
-     "SELECT email, CASE role WHEN 'pl/spl' THEN 'normal user' ELSE role END AS role FROM users UNION ALL SELECT 'new' || CAST(r_regionkey AS VARCHAR) || '@corp.example', 'super user' FROM region", "users")
+#: Changes of users: each supplier's lead in other letters, first to one role and then to another; orders' engineers go, but those whose last order is even come back; new users.
+_CHANGES = """SELECT 'pL' || CAST(s_suppkey AS STRING) || '@CORP.example' AS email, 1 AS seq, false AS deleted, 'super user' AS role FROM supplier
+UNION ALL SELECT 'PL' || CAST(s_suppkey AS STRING) || '@corp.example', 2, false, 'normal user' FROM supplier
+UNION ALL SELECT ' Eng' || CAST(o_custkey AS STRING) || '@corp.example', 10 + o_orderkey, o_orderkey % 2 = 1, 'back' || CAST(o_orderkey % 3 AS STRING) FROM orders
+UNION ALL SELECT 'new' || CAST(r_regionkey AS STRING) || '@corp.example', 3, false, 'super user' FROM region"""
+
+
+def _changed_users(v):
+    for t in ("supplier", "orders", "region"):
+        v.table(t).createOrReplaceTempView(t)
+    return I.upsert_users(v.users, v.spark.sql(_CHANGES))
+
+
+_add("upsert_users", _changed_users, f""", log AS (SELECT lower(email) AS email, 0 AS seq, false AS deleted, role FROM users UNION ALL SELECT lower(trim(email)), seq, deleted, role FROM ({_CHANGES}))
+     SELECT email, role FROM (SELECT *, row_number() OVER (PARTITION BY email ORDER BY seq DESC, deleted DESC, role DESC) AS k FROM log) WHERE k = 1 AND NOT deleted""", "users")
 _add("parent_child_self_join", lambda v: I.children(v.ideas).select("id", "child_id", "child_status"), "SELECT p.id, c.id AS child_id, c.status AS child_status FROM ideas p JOIN ideas c ON c.parent_id = p.id WHERE c.parent_id <> ''", "ideas")
 _add("parent_rollup", lambda v: I.parent_rollup(v.ideas), _HOURS + f"SELECT p.id, count(*) AS children, CAST(round(count(CASE WHEN c.status = 'Completed' THEN 1 END) * 100.0 / count(*), 1) AS DOUBLE) AS completion, {_DEC('c.r')} AS roi, {_DEC('c.hours')} AS hours FROM ideas p JOIN timed c ON c.parent_id = p.id GROUP BY p.id", "ideas")
 _add("kanban_layout", lambda v: I.kanban_layout(v.ideas), "SELECT c.id, c.status, CASE WHEN p.id IS NULL THEN 0 ELSE 1 END AS depth, coalesce(p.idea_name, '') AS parent_name FROM ideas c LEFT JOIN ideas p ON c.parent_id = p.id AND c.status = p.status AND c.parent_id <> ''", "ideas")
@@ -116,7 +137,14 @@ _add("filter_options", lambda v: with_position(D.filter_options(v.ideas, "region
 _add("table_search", lambda v: D.table_search(v.ideas, "idea 1[0-9]+3$|building").select("id"),
      "SELECT id FROM ideas WHERE " + " OR ".join(f"coalesce(regexp_matches(CAST({c} AS VARCHAR), '(?i)idea 1[0-9]+3$|building'), FALSE)" for c in "id name submitter_email idea_name project category automation_category pl_name status roi assigned_engineer feasibility_data rejection_reason customer region parent_id otp created_date vsm_meeting_date delivery_date".split()), "ideas")
 _add("tool_search", lambda v: D.literal_search(v.deployed_tools, "1HANDLES", ("tool_name", "description", "project")).select("id"), "SELECT id FROM deployed_tools WHERE contains(lower(tool_name || description || project), '1handles')", "deployed_tools")
-_add("rename_for_display", lambda v: v.otp_list.select(*[F.coalesce(F.col(a), F.lit("")).alias(b) for a, b in (("otp", "OTP"), ("project_name", "Project Name"), ("pd", "PD"))], F.lit("").alias("Owner")), "SELECT coalesce(otp, '') AS \"OTP\", coalesce(project_name, '') AS \"Project Name\", coalesce(pd, '') AS \"PD\", '' AS \"Owner\" FROM otp_list", "otp_list")
+_add("rename_for_display", lambda v: D.rename_for_display(v.otp_list, {"otp": "OTP", "project_name": "Project Name", "pd": "PD", "owner": "Owner"}), "SELECT coalesce(otp, '') AS \"OTP\", coalesce(project_name, '') AS \"Project Name\", coalesce(pd, '') AS \"PD\", '' AS \"Owner\" FROM otp_list", "otp_list")
+def _kpi_within(v):
+    """Whether the approximate number of projects lies within 5 % of the exact one, or 1 of it."""
+    both = D.kpi_totals(v.ideas).select("total", "projects").crossJoin(D.kpi_totals(v.ideas, approximate=True).select(F.col("projects").alias("about")))  # one row each
+    return both.select("total", "projects", (F.abs(F.col("about") - F.col("projects")) <= F.greatest(F.lit(1.0), 0.05 * F.col("projects"))).alias("within"))
+
+
+_add("kpi_totals_approximate", _kpi_within, "SELECT count(*) AS total, count(DISTINCT nullif(project, '')) AS projects, true AS within FROM ideas", "ideas")
 _add("kpi_totals", lambda v: D.kpi_totals(v.ideas),
      _HOURS + f"""SELECT count(*) AS total, count(CASE WHEN status = 'Completed' THEN 1 END) AS completed, round({_DEC("CASE WHEN category = 'Customer Requirement' THEN hours END")}, 1) AS hours_customer, round({_DEC("CASE WHEN category = 'Internal' THEN hours END")}, 1) AS hours_internal,
      round({_DEC("CASE WHEN category = 'Customer Requirement' THEN r END")}, 2) AS roi_customer, round({_DEC("CASE WHEN category = 'Internal' THEN r END")}, 2) AS roi_internal,

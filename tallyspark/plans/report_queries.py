@@ -114,6 +114,18 @@ _add("post_digits", lambda v: v.dump.select("ord", X.post_digits(F.col("core_oem
 _add("post_schedule", lambda v: v.dump.select("ord", X.post_schedule(F.concat(F.element_at(F.array(F.lit(""), F.lit("un-"), F.lit("Un "), F.lit("pre"), F.lit("\u2713 ")), (F.col("ord") % 5 + 1).cast("int")), F.col("reason_for_removal"))).alias("kind")),
      "SELECT ord, CASE WHEN k IN (1, 2) AND s THEN 'Unscheduled' WHEN s AND k <> 3 THEN 'Scheduled' WHEN k = 4 OR regexp_matches(t, '[xXY]|yes') THEN 'Scheduled' ELSE t END AS kind FROM (SELECT ord, ord % 5 AS k, starts_with(lower(reason_for_removal), 'scheduled') AS s, (['', 'un-', 'Un ', 'pre', '\u2713 '])[ord % 5 + 1] || reason_for_removal AS t FROM dump)", "lines", "dump")
 _add("po_from_subject", lambda v: v.mails.select("seq", X.po_from_subject(F.col("subject")).alias("po"), X.post_po10(F.col("subject")).alias("joined")), "SELECT seq, nullif(regexp_extract(subject, '\\b4[0-9]{9}\\b'), '') AS po, regexp_extract(subject, '\\b4[0-9]{9}\\b') AS joined FROM mails", "mails")
+#: A date of each report in each of the formats: pattern in Spark, and whether its day and month can be told apart.
+_FORMATS = (*X.DATE_FORMATS, *(f for f, _ in X.SHORT_DATE_FORMATS))
+
+
+def _dates(v: Inputs):
+    """Days after 12, so that day and month differ, in the format of the report's number."""
+    day = F.make_date(F.lit(2023), (F.col("report_id") % 12 + 1).cast("int"), (F.col("report_id") % 16 + 13).cast("int"))
+    written = F.element_at(F.array(*[F.date_format(day, f) for f in _FORMATS]), (F.col("report_id") % len(_FORMATS) + 1).cast("int"))
+    return v.extractions.select("report_id", X.post_date(F.concat(F.lit(" "), written)).alias("d"))
+
+
+_add("post_date_formats", _dates, "SELECT report_id, '2023-' || lpad(CAST(report_id % 12 + 1 AS VARCHAR), 2, '0') || '-' || lpad(CAST(report_id % 16 + 13 AS VARCHAR), 2, '0') AS d FROM extractions", *_E)
 _add("post_date", lambda v: v.extractions.select("report_id", X.post_date(F.col("failure_date")).alias("d"), X.post_date(F.concat(F.col("report_id") % 28 + 1, F.lit("/"), F.col("report_id") % 12 + 1, F.lit("/2023"))).alias("slashed")),
      "SELECT report_id, CASE WHEN failure_date = '' THEN '' ELSE '2024-03-12' END AS d, '2023-' || lpad(CAST(report_id % 12 + 1 AS VARCHAR), 2, '0') || '-' || lpad(CAST(report_id % 28 + 1 AS VARCHAR), 2, '0') AS slashed FROM extractions", *_E)
 _add("sender_domain", lambda v: v.mails.select("seq", X.sender_domain(F.col("sender")).alias("domain")), "SELECT seq, CASE WHEN contains(sender, '@') THEN lower(split_part(trim(sender), '@', -1)) ELSE '' END AS domain FROM mails", "mails")
@@ -126,7 +138,7 @@ _add("first_present", lambda v: v.extractions.select("report_id", X.first_presen
 _add("matches_any", lambda v: v.extractions.select("report_id", X.matches_any(F.col("findings"), S.FAULT).alias("fault"), X.matches_any(F.col("fault_outcome"), S.NO_FAULT).alias("none"), X.matches_any(F.col("findings"), S.ROOT_CAUSE).alias("cause")), f"SELECT report_id, {_any('findings', S.FAULT)} AS fault, {_any('fault_outcome', S.NO_FAULT)} AS none, {_any('findings', S.ROOT_CAUSE)} AS cause FROM extractions", *_E)
 _TOKENS = "list_distinct(list_filter(list_transform(regexp_extract_all(coalesce(text, ''), '[A-Za-z0-9][A-Za-z0-9\\-/._]*'), lambda t: regexp_replace(lower(t), '[^a-z0-9]', '', 'g')), lambda t: t <> ''))"
 _NUMBERS = "list_distinct(list_transform(regexp_extract_all(coalesce(text, ''), '-?[0-9][0-9,]*(?:\\.[0-9]+)?'), lambda t: CAST(replace(t, ',', '') AS DOUBLE)))"
-_add("report_tokens", lambda v: _docs(v).select("doc_id", F.size(X.report_tokens(F.col("text"))).alias("n_tokens"), F.size(X.report_numbers(F.col("text"))).alias("n_numbers")), f"SELECT doc_id, CAST(len({_TOKENS}) AS INT) AS n_tokens, CAST(len({_NUMBERS}) AS INT) AS n_numbers FROM documents")
+_add("report_tokens", lambda v: _docs(v).select("doc_id", F.md5(F.array_join(F.array_sort(X.report_tokens(F.col("text"))), "|")).alias("tokens"), F.size(X.report_numbers(F.col("text"))).alias("n_numbers"), F.array_max(X.report_numbers(F.col("text"))).alias("greatest")), f"SELECT doc_id, md5(array_to_string(list_sort({_TOKENS}), '|')) AS tokens, CAST(len({_NUMBERS}) AS INT) AS n_numbers, list_max({_NUMBERS}) AS greatest FROM documents")
 _DATE = "regexp_extract(coalesce(text, ''), '(?i)\\b[0-9]{1,4}[./-][0-9]{1,2}[./-][0-9]{1,4}\\b|\\b[0-9]{1,2}\\s+(?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*\\s+[0-9]{2,4}\\b')"
 _add("any_date_present", lambda v: _docs(v).select("doc_id", X.any_date(F.col("text")).alias("d")), f"SELECT doc_id, {_DATE} AS d FROM documents")
 _stamp = lambda c: F.date_format(X.parse_stamp(c), "yyyy-MM-dd HH:mm")
@@ -136,6 +148,7 @@ _add("json_values_parse", lambda v: v.ideas.select("id", X.json_values(F.when(F.
      "SELECT id, coalesce(json_extract_string(j, '$.freq'), '') AS freq, coalesce(json_extract_string(j, '$.fte'), '') AS fte, CAST(coalesce(len(json_keys(j)), 0) AS INT) AS n FROM (SELECT id, CASE WHEN CAST(id AS BIGINT) % 4 <> 0 AND CAST(id AS BIGINT) % 8 <> 1 THEN feasibility_data END AS j FROM ideas)", "ideas")
 _add("trim_at_embedded_label", lambda v: v.extractions.select("report_id", X.trim_at_embedded_label(F.concat(F.col("reason_for_removal"), F.element_at(F.array(F.lit(" Input Serial: B1151 Qty 1.000"), F.lit(" qty. 4"), F.lit(" and quantity"), F.lit("")), (F.col("report_id") % 4 + 1).cast("int"))), F.array(F.lit("input serial"), F.lit("qty"), F.lit("valve jammed"))).alias("v")),
      "SELECT report_id, CASE WHEN starts_with(reason_for_removal, 'Unit removed: valve jammed') THEN 'Unit removed' ELSE reason_for_removal || CASE report_id % 4 WHEN 2 THEN ' and quantity' ELSE '' END END AS v FROM extractions", *_E)
+_add("level_band", lambda v: v.table("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", S.level_band(F.col("l_linenumber") - 1).alias("band")), "SELECT l_orderkey, l_linenumber, l_partkey, CASE l_linenumber - 1 WHEN 3 THEN 'green' WHEN 2 THEN 'amber' ELSE 'red' END AS band FROM lineitem")
 _add("quality_band", lambda v: v.table("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", S.quality_band(F.col("l_quantity") * 2).alias("band")), "SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_quantity * 2 >= 80 THEN 'green' WHEN l_quantity * 2 >= 50 THEN 'amber' ELSE 'red' END AS band FROM lineitem")
 
 # ---- mail --------------------------------------------------------------------------------------------------------
@@ -153,22 +166,24 @@ def _span() -> tuple[str, str]:
 _add("mail_date_window", lambda v: v.mails.filter(M.date_window(F.col("received"), *_span())).select("seq"), "SELECT seq FROM mails WHERE received >= TIMESTAMP '2024-01-05 00:00:00' AND received < TIMESTAMP '2024-01-21 00:00:00'", "mails")
 _add("mail_read_state", lambda v: v.mails.filter(M.read_state(F.col("unread"), True, False)).select("seq"), "SELECT seq FROM mails WHERE NOT unread", "mails")
 _add("sender_domain_filter", lambda v: M.domain_filter(v.mails, ("Vendor A", "Nobody")).select("seq"), _MAILS + f" SELECT seq FROM m WHERE {_VENDOR_A}", "mails")
-_add("vendor_domain_union", lambda v: D.filter_options(M.domain_filter(v.mails, ("Vendor A", "Vendor B", "Vendor C")).select(X.sender_domain(F.col("sender")).alias("domain")), "domain"),
+_add("vendor_domain_union", lambda v: with_position(M.vendor_domains(v.chosen_vendors, v.vendor_table)),
+     "SELECT domain, row_number() OVER (ORDER BY domain) AS position FROM (SELECT DISTINCT domain FROM vendor_table WHERE vendor IN (SELECT vendor FROM chosen_vendors))", "vendor_table", "chosen_vendors")
+_add("mail_domains_seen", lambda v: D.filter_options(M.domain_filter(v.mails, ("Vendor A", "Vendor B", "Vendor C")).select(X.sender_domain(F.col("sender")).alias("domain")), "domain"),
      _MAILS + f" SELECT DISTINCT domain AS value FROM m WHERE {_VENDOR_A} OR domain = 'vendor-b.example' OR domain LIKE '%.vendor-b.example'", "mails")
 _add("attachment_filter", lambda v: M.attachment_files(v.mails).select("seq", "file_name"), "SELECT seq, file_name FROM (SELECT seq, unnest(string_split(attachments, ';')) AS file_name FROM mails) WHERE lower(file_name) LIKE '%.pdf'", "mails")
 _add("mail_new_only", lambda v: M.new_only(v.mails, v.processed).select("seq"), "SELECT seq FROM mails WHERE entry_id NOT IN (SELECT entry_id FROM processed)", "mails", "processed")
 _add("mail_duplicates", lambda v: M.duplicates(v.mails, v.processed).select("seq", "downloaded_by"), "SELECT seq, downloaded_by FROM mails JOIN processed USING (entry_id)", "mails", "processed")
 _add("ledger_first_wins", lambda v: M.first_wins(v.mails.select("entry_id", F.col("sender").alias("downloaded_by"), F.col("received").alias("processed_at"))).select("entry_id", "downloaded_by"), "SELECT entry_id, sender AS downloaded_by FROM (SELECT *, row_number() OVER (PARTITION BY entry_id ORDER BY received, sender) AS k FROM mails) WHERE k = 1", "mails")
-_OUTCOME = f"""CASE WHEN received < TIMESTAMP '2024-01-05' OR received >= TIMESTAMP '2024-01-21' THEN 'SKIP-DATE' WHEN unread AND seq IS NULL THEN '' WHEN NOT ({_VENDOR_A}) THEN 'SKIP-SENDER'
+_OUTCOME = f"""CASE WHEN received < TIMESTAMP '2024-01-05' OR received >= TIMESTAMP '2024-01-21' THEN 'SKIP-DATE' WHEN unread THEN 'SKIP-STATE' WHEN NOT ({_VENDOR_A}) THEN 'SKIP-SENDER'
  WHEN m.entry_id IN (SELECT entry_id FROM processed) THEN 'SKIP-DUP' WHEN regexp_extract(subject, '4[0-9]{{9}}') = '' THEN 'SKIP-NOPO' WHEN NOT contains(lower(attachments), '.pdf') THEN 'SKIP-NOATT' ELSE 'ACCEPTED' END"""
-_add("mail_triage", lambda v: M.triage(v.mails, v.processed, *_span(), vendors=("Vendor A",)), _MAILS + f" SELECT seq, entry_id, {_OUTCOME} AS outcome, regexp_extract(subject, '4[0-9]{{9}}') AS po FROM m", "mails", "processed")
-_add("mail_triage_counts", lambda v: D.counts_by(M.triage(v.mails, v.processed, *_span(), vendors=("Vendor A",)), "outcome"), _MAILS + f" SELECT {_OUTCOME} AS outcome, count(*) AS n FROM m GROUP BY 1", "mails", "processed")
+_add("mail_triage", lambda v: M.triage(v.mails, v.processed, *_span(), unread=False, vendors=("Vendor A",)), _MAILS + f" SELECT seq, entry_id, {_OUTCOME} AS outcome, regexp_extract(subject, '4[0-9]{{9}}') AS po FROM m", "mails", "processed")
+_add("mail_triage_counts", lambda v: D.counts_by(M.triage(v.mails, v.processed, *_span(), vendors=("Vendor A",)), "outcome"), _MAILS + f" SELECT {_OUTCOME.replace(chr(87) + 'HEN unread THEN ' + chr(39) + 'SKIP-STATE' + chr(39), '')} AS outcome, count(*) AS n FROM m GROUP BY 1", "mails", "processed")
 _add("event_counts", lambda v: M.event_counts(v.activity), "SELECT event, count(*) AS n FROM activity GROUP BY event", "activity")
 _add("history_desc", lambda v: with_position(M.newest(v.processed, None, "processed_at", "entry_id").select("entry_id", "downloaded_by")), "SELECT entry_id, downloaded_by, row_number() OVER (ORDER BY processed_at DESC, entry_id DESC) AS position FROM processed", "processed")
 _add("recent_activity", lambda v: with_position(M.newest(v.activity, 200, "ts", "seq").select("seq", "event")), "SELECT seq, event, row_number() OVER (ORDER BY ts DESC, seq DESC) AS position FROM activity ORDER BY ts DESC, seq DESC LIMIT 200", "activity")
-_add("list_sorted", lambda v: with_position(v.otp_list.orderBy("otp").select("otp", "project_name")), "SELECT otp, project_name, row_number() OVER (ORDER BY otp) AS position FROM otp_list", "otp_list")
-_add("users_sorted", lambda v: with_position(v.users.orderBy("email").select("email", "role")), "SELECT email, role, row_number() OVER (ORDER BY email) AS position FROM users", "users")
-_add("tools_newest", lambda v: with_position(v.deployed_tools.orderBy(F.desc("created_date"), "id").select("id", "created_date")), "SELECT id, created_date, row_number() OVER (ORDER BY created_date DESC, id) AS position FROM deployed_tools", "deployed_tools")
+_add("list_sorted", lambda v: with_position(D.list_sorted(v.otp_list, "otp").select("otp", "project_name")), "SELECT otp, project_name, row_number() OVER (ORDER BY otp) AS position FROM otp_list", "otp_list")
+_add("users_sorted", lambda v: with_position(D.list_sorted(v.users, "email").select("email", "role")), "SELECT email, role, row_number() OVER (ORDER BY email) AS position FROM users", "users")
+_add("tools_newest", lambda v: with_position(D.list_sorted(v.deployed_tools, "-created_date", last="id").select("id", "created_date")), "SELECT id, created_date, row_number() OVER (ORDER BY created_date DESC, id) AS position FROM deployed_tools", "deployed_tools")
 
 # ---- reports -----------------------------------------------------------------------------------------------------
 _add("dump_load", lambda v: _dump(v).select("ord", "po_key", "core_tsn"), "SELECT ord, regexp_replace(rr_po_number, '[^0-9]', '', 'g') AS po_key, core_tsn FROM dump", "lines", "dump")
@@ -178,11 +193,12 @@ _add("extraction_search", lambda v: D.extraction_search(v.extractions, "mk20 cor
 _add("po_candidate_join", lambda v: R.candidates(v.extractions, _dump(v)).select("report_id", "ord"), "SELECT e.report_id, d.ord FROM extractions e LEFT JOIN dump d ON e.po <> '' AND regexp_replace(e.po, '[^0-9]', '', 'g') = regexp_replace(d.rr_po_number, '[^0-9]', '', 'g')", *_E)
 _RULED = range(len(R.RULES))
 _add("compare_cell", lambda v: R.checked(v.extractions, _dump(v)).filter("row IS NOT NULL").select("report_id", "ord", *[R.outcome_name(F.col("outcomes")[i]).alias(f"o{i}") for i in _RULED]), _PAIRS + f"SELECT report_id, ord, {', '.join(f'o{i}' for i in _RULED)} FROM pairs", *_E)
-_add("rule_join", lambda v: R.checked(v.extractions, _dump(v)).filter("row IS NOT NULL").select(F.explode(F.array(*[F.struct(F.lit(r[0]).alias("field"), R.status_name(F.col("outcomes")[i]).alias("status")) for i, r in enumerate(R.RULES)])).alias("c")).groupBy("c.field", "c.status").agg(F.count("*").alias("n")),
-     _PAIRS + "SELECT field, status, count(*) AS n FROM (" + " UNION ALL ".join(f"SELECT '{r[0]}' AS field, s{i} AS status FROM pairs" for i, r in enumerate(R.RULES)) + ") GROUP BY ALL", *_E)
+_add("rule_join", lambda v: R.checked(v.extractions, _dump(v)).filter("row IS NOT NULL").select("report_id", "ord", *[R.status_name(F.col("outcomes")[i]).alias(f"s{i}") for i in _RULED]), _PAIRS + f"SELECT report_id, ord, {', '.join(f's{i}' for i in _RULED)} FROM pairs", *_E)
 _add("blocking_rule", lambda v: R.checked(v.extractions, _dump(v)).filter("row IS NOT NULL").select("report_id", "ord", "accepted", R.accepted(blank_blocks=True).alias("strict")),
      _PAIRS + f"SELECT report_id, ord, accepted, accepted AND NOT ({' OR '.join(f's{i} = {chr(39)}blank{chr(39)}' for i, r in enumerate(R.RULES) if not r[3])}) AS strict FROM counted", *_E)
 _add("best_candidate", lambda v: _matches(v).filter("ord IS NOT NULL").select("report_id", "ord"), _PAIRS + "SELECT report_id, ord FROM best", *_E)
+_add("match_reports_without_dump", lambda v: R.comparison_wide(v.extractions, R.match_reports(v.extractions, None)).select("report_id", "match_status", "po", "core_tsn_report", "core_tsn_result", "matched", "notes"),
+     "SELECT report_id, 'NO DUMP FILE' AS match_status, po, '' AS core_tsn_report, 'NOT CHECKED' AS core_tsn_result, 0 AS matched, '' AS notes FROM extractions", "lines", "extractions")
 _add("match_reports", lambda v: _matches(v).select("report_id", "status", "ord", "matched", "differed", "blank"), _PAIRS + "SELECT report_id, status, ord, matched, differed, blank FROM matches", *_E)
 _WIDE = ", ".join(f"CASE WHEN m.ord IS NULL THEN '' ELSE e.{r} END AS {d}_report, coalesce(d.{d}, '') AS {d}_dump, coalesce(upper(m.s{i}), 'NOT CHECKED') AS {d}_result" for i, (d, r, _, _) in enumerate(R.RULES))
 _NOTE = [f"CASE WHEN m.ord IS NOT NULL AND m.o{i} <> 'equal' THEN '{d}=' || m.o{i}" + (f" || CASE WHEN m.o{i} = 'words_absent' THEN ':' || array_to_string({_absent(f'd.{d}', f'e.{r}')}, '+') ELSE '' END" if m == "words" else "") + " END" for i, (d, r, m, _) in enumerate(R.RULES)]
@@ -297,8 +313,8 @@ def _scored(v: Inputs, columns: tuple[str, ...] = ()):
 
 
 _add("score_report", _scored, _FULL + f", levels AS (SELECT report_id, {_LEVELS}, {_REVIEW} AS needs_review FROM base) SELECT *, CAST(round((rfr * 5 + basics * 10 + actions * 20 + findings * 20 + outcome * 20 + correctness * 25) * 100.0 / 300, 1) AS DOUBLE) AS weighted_percent FROM levels", *_T)
-_add("scored_details_wide", lambda v: _scored(v, ("po", "vendor", "tsn")).select("report_id", "po", "vendor", "tsn", "in_report_core_tsn", "in_report_rr_po_number", "score_actions", "review", "band"),
+_add("scored_details_wide", lambda v: _scored(v, ("po", "vendor", "tsn")).select("report_id", "po", "vendor", "tsn", "in_report_core_tsn", "in_report_rr_po_number", "score_actions", "band_actions", "review", "band"),
      _FULL + f""", levels AS (SELECT report_id, {_LEVELS}, {_REVIEW} AS needs_review FROM base), pct AS (SELECT *, round((rfr * 5 + basics * 10 + actions * 20 + findings * 20 + outcome * 20 + correctness * 25) * 100.0 / 300, 1) AS p FROM levels)
      SELECT e.report_id, e.po, e.vendor, e.tsn, coalesce(max(CASE WHEN field = 'core_tsn' THEN CASE WHEN found THEN 'FOUND' ELSE 'NOT FOUND' END END), '') AS in_report_core_tsn, coalesce(max(CASE WHEN field = 'rr_po_number' THEN CASE WHEN found THEN 'FOUND' ELSE 'NOT FOUND' END END), '') AS in_report_rr_po_number,
-     any_value(CAST(actions AS VARCHAR) || ' - ' || ['Unacceptable', 'Insufficient', 'Needs Improving', 'Adequate'][actions + 1]) AS score_actions, any_value(CASE WHEN needs_review THEN 'CORRECTNESS' ELSE 'No' END) AS review, any_value(CASE WHEN p >= 80 THEN 'green' WHEN p >= 50 THEN 'amber' ELSE 'red' END) AS band
+     any_value(CAST(actions AS VARCHAR) || ' - ' || ['Unacceptable', 'Insufficient', 'Needs Improving', 'Adequate'][actions + 1]) AS score_actions, any_value(CASE actions WHEN 3 THEN 'green' WHEN 2 THEN 'amber' ELSE 'red' END) AS band_actions, any_value(CASE WHEN needs_review THEN 'CORRECTNESS' ELSE 'No' END) AS review, any_value(CASE WHEN p >= 80 THEN 'green' WHEN p >= 50 THEN 'amber' ELSE 'red' END) AS band
      FROM extractions e JOIN pct ON pct.report_id = e.report_id LEFT JOIN plain ON plain.report_id = e.report_id GROUP BY e.report_id, e.po, e.vendor, e.tsn""", *_T)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from tallyspark.functions.text import blank_to_empty
 from tallyspark.sources.scratch import stored
@@ -43,13 +44,44 @@ def append_growing_schema(before: DataFrame, new: DataFrame) -> DataFrame:
     return before.unionByName(new, allowMissingColumns=True)
 
 
+#: Folder beside a growing table's rows with a line for each column that came; names that begin so are no rows to readers.
+SCHEMA_LOG = "_columns"
+_ENTRY = "name string, kind string, since timestamp"
+
+
+def logged_schema(spark: SparkSession, path: str) -> StructType | None:
+    """Columns of a growing table by their log, in order of their coming; null without one. Entries of appends at one time fold."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{SCHEMA_LOG}")
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        return None
+    entries = spark.read.schema(_ENTRY).json(f"{path}/{SCHEMA_LOG}").groupBy("name").agg(F.min("since").alias("since"), F.collect_set("kind").alias("kinds"))
+    rows = entries.orderBy("since", "name").collect()  # as many rows as the table has columns
+    if odd := [r["name"] for r in rows if len(r["kinds"]) > 1]:
+        raise ValueError(f"columns of several types: {odd}")
+    return StructType([StructField(r["name"], StructType.fromDDL(f"x {r['kinds'][0]}")[0].dataType) for r in rows])
+
+
+def log_schema(df: DataFrame, path: str) -> None:
+    """Log the columns of ``df`` that the table's log lacks; a column of another type than before is an error. Names count in lower case too."""
+    spark = df.sparkSession
+    have = {f.name.lower(): f.dataType.simpleString() for f in logged_schema(spark, path) or ()}
+    if odd := [f.name for f in df.schema if have.get(f.name.lower(), f.dataType.simpleString()) != f.dataType.simpleString()]:
+        raise ValueError(f"the table has other types for {odd}")
+    new = [(f.name, f.dataType.simpleString()) for f in df.schema if f.name.lower() not in have]
+    if new:
+        spark.createDataFrame(new, "name string, kind string").coalesce(1).withColumn("since", F.current_timestamp()).write.mode("append").json(f"{path}/{SCHEMA_LOG}")
+
+
 def append_parquet(df: DataFrame, path: str, *partitions: str) -> None:
-    """Append to a table whose columns may grow; read it with ``mergeSchema``."""
+    """Append to a table whose columns may grow: the log first, so that no row has a column that it lacks."""
+    log_schema(df, path)
     df.write.mode("append").partitionBy(*partitions).parquet(path)
 
 
 def read_growing(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.option("mergeSchema", True).parquet(path)
+    """All rows under all columns by the table's log, without a look into its files; older rows are null. Tables without a log merge their files' schemas."""
+    schema = logged_schema(spark, path)
+    return spark.read.schema(schema).parquet(path) if schema else spark.read.option("mergeSchema", True).parquet(path)
 
 
 #: Columns of the log's CSV twin; what else an event carries is in the table alone.
