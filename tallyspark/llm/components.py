@@ -1,8 +1,9 @@
 """Connected components of an edge list by alternating large-star and small-star steps.
 
 Defined results: loops and repeated edges change nothing, nor does an edge's direction; an edge with a null end is
-dropped; an empty table has no components; other columns, whatever their names, are not read.  Joins on a star's
-centre have plain shuffles on both sides, so Spark can split a centre that very many edges share.
+dropped; an empty table has no components; other columns, whatever their names, are not read.  Each node's least
+neighbour is an aggregate, combined before its shuffle, and goes to a table before the join with the edges; so that join has plain shuffles, or none, on
+both sides, and Spark can split a centre that very many edges share.
 """
 
 from __future__ import annotations
@@ -16,13 +17,13 @@ from tallyspark.llm.scratch import stored
 def _large_star(edges: DataFrame) -> DataFrame:
     """Each node's larger neighbours move to the least of the node and its neighbours."""
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+    least = stored(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "components-least")
     return both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b")
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Each node and its smaller neighbours move to the least of them."""
-    least = edges.groupBy("a").agg(F.min("b").alias("m"))
+    least = stored(edges.groupBy("a").agg(F.min("b").alias("m")), "components-least")
     moved = edges.join(least, "a")
     out = moved.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
     return out.filter("a <> b").distinct()
@@ -44,7 +45,7 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """
     now, mark = _written(edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).filter(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col("a") != F.col("b"))).distinct())
     while mark[0]:
-        new, before = _written(_small_star(_large_star(now))), mark
+        new, before = _written(_small_star(stored(_large_star(now), "components-large"))), mark
         now, mark = new
         if mark == before:
             break

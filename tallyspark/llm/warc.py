@@ -17,6 +17,7 @@ records to train on has no dictionary; an empty table writes nothing and reads a
 from __future__ import annotations
 
 import base64
+import contextlib
 import hashlib
 import io
 import struct
@@ -39,6 +40,8 @@ DICTIONARY_BYTES = 64 << 10
 SAMPLE_RECORDS, SAMPLE_BYTES, ARCHIVE_BYTES = 16, 4 << 20, 64 << 20
 #: A dictionary learns from slices of each sampled record, from all over it, of this length in all, so that no record outweighs the rest.
 LEARN_BYTES = 16 << 10
+#: A dictionary, and a record's share of an untrained one, have this many bytes at least, where the records do.
+LEAST_BYTES = 256
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 RECORD = "urn:tally:page:"
 
@@ -61,16 +64,16 @@ def record_bytes(page_id: int | None, url: str | None, payload: bytes, digest: s
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
-def train_dictionary(samples: list[bytes]) -> zstandard.ZstdCompressionDict | None:
-    """A dictionary from slices of records, None where there are too few or they have nothing in common."""
-    if len(samples) < SAMPLE_RECORDS:
-        return None
+def train_dictionary(samples: list[bytes]) -> zstandard.ZstdCompressionDict:
+    """A dictionary from slices of records; where they are too few for training, or have nothing in common, their beginnings as they are."""
     part = LEARN_BYTES // 4
     samples = [s if len(s) <= LEARN_BYTES else b"".join(s[k * (len(s) - part) // 3 :][:part] for k in range(4)) for s in samples]
-    try:
-        return zstandard.train_dictionary(min(DICTIONARY_BYTES, sum(map(len, samples)) // 8), samples, k=512, d=8)
-    except zstandard.ZstdError:
-        return None
+    size = min(DICTIONARY_BYTES, max(LEAST_BYTES, sum(map(len, samples)) // 8))
+    if len(samples) >= SAMPLE_RECORDS:
+        with contextlib.suppress(zstandard.ZstdError):
+            return zstandard.train_dictionary(size, samples, k=512, d=8)
+    each = max(LEAST_BYTES, size // len(samples))
+    return zstandard.ZstdCompressionDict(b"".join(s[:each] for s in samples)[:DICTIONARY_BYTES], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
 
 
 class ArchiveWriter:
@@ -89,15 +92,14 @@ class ArchiveWriter:
             self._frame(record)
             return
         self.held.append(record)
-        if self.raw >= SAMPLE_BYTES and self.records >= SAMPLE_RECORDS:
+        if self.raw >= SAMPLE_BYTES and (self.records >= SAMPLE_RECORDS or self.raw >= 4 * SAMPLE_BYTES):
             self._start()
 
     def _start(self) -> None:
         held, self.held = self.held or [], None
         made = train_dictionary(held)
-        if made:
-            data = made.as_bytes()
-            self._write(struct.pack("<II", DICTIONARY_MAGIC, len(data)) + data)
+        data = made.as_bytes()
+        self._write(struct.pack("<II", DICTIONARY_MAGIC, len(data)) + data)
         self.compressor = zstandard.ZstdCompressor(level=self.level, dict_data=made, write_content_size=True, write_checksum=True)
         for record in held:
             self._frame(record)
@@ -110,7 +112,7 @@ class ArchiveWriter:
         self.written += len(data)
 
     def close(self) -> None:
-        if self.held is not None:
+        if self.held:
             self._start()
         self.sink.close()
 
