@@ -25,7 +25,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyspark.llm.scratch import stored
@@ -214,6 +214,21 @@ def _laid(pairs: DataFrame, least: int, threshold: float) -> DataFrame:
     return map_texts(pairs, run, "uid long, doc_id long, item_id long, n_tokens long, n_covered long, coverage double, tiles array<struct<item_start:int,doc_start:int,length:int>>")
 
 
+def _rare_seeds(seeds: DataFrame, documents: DataFrame, least: int, threshold: float) -> DataFrame:
+    """(seed, item, n, wanted, spared): each item's seeds without its commonest ones.
+
+    A shared seed covers ``least`` tokens of the item at most wherever it stands in it, so a pair that reaches the threshold shares ``wanted``
+    places at least.  Seeds that stand in fewer places than that, together ``spared``, can't make a pair; these are the seeds that
+    most documents have (``documents``: seed, often), so a common phrase joins no documents with items.
+    """
+    wanted = F.ceil(F.col("n_tokens") * threshold / least - 1e-9)
+    by = Window.partitionBy("item").orderBy(F.desc("often"), "seed").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = seeds.join(documents, "seed").withColumns({"wanted": wanted, "upto": F.sum("n").over(by)})
+    spare = F.col("upto") < F.col("wanted")
+    ranked = ranked.withColumn("spared", F.coalesce(F.max(F.when(spare, F.col("upto"))).over(Window.partitionBy("item")), F.lit(0)))
+    return ranked.filter(~spare).select("seed", "item", "n", "wanted", "spared")
+
+
 def _pairs(base: DataFrame, benchmark: DataFrame, item_col: str, item_text_col: str, least: int, threshold: float, once: bool = False) -> DataFrame:
     """Contaminated pairs of documents (uid, doc_id, text), which are read once; ``once`` where a uid may stand for several equal ones."""
     rows = benchmark.select(F.monotonically_increasing_id().alias("item"), F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).cast("string").alias("text"))
@@ -221,9 +236,10 @@ def _pairs(base: DataFrame, benchmark: DataFrame, item_col: str, item_text_col:
     seeds = stored(_seeds_of(items, least), "decontamination-seeds")
     met = _met_seeds(base, _seed_table(seeds), least)
     met = stored(met.dropDuplicates(["uid", "doc_id"]) if once else met, "decontamination-met")
-    shared = met.select("uid", F.explode(F.array_distinct("seeds")).alias("seed")).join(seeds, "seed").groupBy("uid", "item").agg(F.sum("n").alias("n"), F.first("n_tokens").alias("n_tokens"))
-    # A shared seed covers ``least`` tokens of the item at most wherever it stands in it.
-    likely = stored(shared.filter(F.col("n") * least >= F.col("n_tokens") * threshold).select("uid", "item"), "decontamination-likely")
+    held = met.select("uid", F.explode(F.array_distinct("seeds")).alias("seed"))
+    rare = stored(_rare_seeds(seeds, held.groupBy("seed").agg(F.count("*").alias("often")), least, threshold), "decontamination-rare")
+    shared = held.join(rare, "seed").groupBy("uid", "item").agg(F.sum("n").alias("n"), F.first("wanted").alias("wanted"), F.first("spared").alias("spared"))
+    likely = stored(shared.filter(F.col("n") + F.col("spared") >= F.col("wanted")).select("uid", "item"), "decontamination-likely")
     sides = likely.join(met, "uid").join(items.select("item", "item_id", F.col("tokens").alias("item_tokens")), "item")
     return _laid(sides.select("uid", "doc_id", "item_id", "places", "seeds", "tokens", "item_tokens"), least, threshold)
 

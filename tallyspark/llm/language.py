@@ -1,8 +1,8 @@
 """Language identification by a bidirectional gated recurrent network over bytes, trained here in numpy.
 
-A text's bytes are cut in segments of ``SEGMENT``; forward and backward states start at zero in each
-segment.  Every position gets language probabilities from both states there, and a document's probabilities are
-the mean over all its positions.  Training is backpropagation through time on a bounded sample of segments.
+A text's bytes are cut in segments of ``SEGMENT``, each read with ``CONTEXT`` bytes of the text on either side: the forward
+state comes from those before, the backward state from those behind.  Every position gets language probabilities from both states there, and a document's
+probabilities are the mean over all its positions.  Training is backpropagation through time on all segments of a bounded sample of documents.
 
 Defined results: ``und`` with score 0 where the text is null or has no letter, or where no label was
 learned; ties go to the first language in order; repeated rows are labelled alike; rows without a
@@ -23,11 +23,12 @@ from pyspark.sql import functions as F
 from tallyspark.llm.folds import held_out, labelled_sample
 from tallyspark.llm.text_arrays import Texts, map_texts, per_row, pieces, spread
 
-SEGMENT = 64
+SEGMENT, CONTEXT = 256, 32
 HIDDEN = 8
-#: Documents that the network learns from at most, and segments of each.
-TRAIN_ROWS = 3000
-TRAIN_SEGMENTS = 2
+#: Documents that the network learns from at most, each of them whole.
+TRAIN_ROWS = 400
+#: Segments that training goes through, over and over if the sample has fewer; every one is used once at least.
+TRAIN_SEGMENTS = 24_000
 #: Stands for places after a segment's end; its update gate keeps the state.
 PAD = 256
 
@@ -90,9 +91,10 @@ def run_states(net: Network, codes: np.ndarray, keep: bool = False) -> tuple[np.
     return states, trace
 
 
-def position_probabilities(net: Network, codes: np.ndarray) -> np.ndarray:
-    """(T, B, L) language probabilities at every position."""
+def position_probabilities(net: Network, codes: np.ndarray, context: int = 0) -> np.ndarray:
+    """(T, B, L) language probabilities at every position but the first and last ``context``, which only lead the states in."""
     states, _ = run_states(net, codes)
+    states = states[:, context : len(codes) - context]
     raw = states[0] @ net.out[:HIDDEN]
     raw += states[1] @ net.out[HIDDEN:]
     raw += net.bias
@@ -140,7 +142,7 @@ def gradients(net: Network, codes: np.ndarray, target: np.ndarray) -> tuple[floa
     return loss, grads
 
 
-def fit(segments: np.ndarray, target: np.ndarray, languages: list[str], epochs: int = 4, batch: int = 64, seed: int = 5) -> Network:
+def fit(segments: np.ndarray, target: np.ndarray, languages: list[str], epochs: int = 4, batch: int = 128, seed: int = 5) -> Network:
     """A network trained with Adam; ``segments`` is (n, SEGMENT) with PAD after the end."""
     net, rng = new_network(languages, seed), np.random.default_rng(seed)
     moments = [(np.zeros_like(w), np.zeros_like(w)) for w in net.weights()]
@@ -162,14 +164,14 @@ def fit(segments: np.ndarray, target: np.ndarray, languages: list[str], epochs:
     return net
 
 
-def segments_of(data: np.ndarray, offsets: np.ndarray, begin: int = 0, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """The segments of a piece from ``begin`` to ``end`` as (n, SEGMENT) codes, and their number by row."""
+def segments_of(data: np.ndarray, offsets: np.ndarray, begin: int = 0, end: int | None = None, context: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """The segments of a piece from ``begin`` to ``end`` as (n, SEGMENT + 2 context) codes, and their number by row; PAD lies outside the text."""
     sizes = np.diff(offsets)
     each = -(-sizes // SEGMENT)
     starts = (np.repeat(offsets[:-1], each) + SEGMENT * (spread(np.zeros(len(each), np.int64), each)))[begin:end]
-    ends = np.repeat(offsets[1:], each)[begin:end]
-    at = starts[:, None] + np.arange(SEGMENT)
-    inside = at < ends[:, None]
+    heads, ends = (np.repeat(o, each)[begin:end] for o in (offsets[:-1], offsets[1:]))
+    at = starts[:, None] + np.arange(-context, SEGMENT + context)
+    inside = (at >= heads[:, None]) & (at < ends[:, None])
     codes = np.full(at.shape, PAD, np.int16)
     codes[inside] = data[at[inside]]
     return codes, each
@@ -185,14 +187,14 @@ def has_letter(piece: Texts) -> np.ndarray:
     return out
 
 
-def document_probabilities(net: Network, piece: Texts, batch: int = 4096) -> np.ndarray:
+def document_probabilities(net: Network, piece: Texts, batch: int = 1024) -> np.ndarray:
     """(rows, L): mean over all positions of a text; zero rows for empty ones."""
     each = -(-np.diff(piece.offsets) // SEGMENT)
     sums = np.zeros((int(each.sum()), len(net.languages)))
     for at in range(0, len(sums), batch):
-        part = np.ascontiguousarray(segments_of(piece.data, piece.offsets, at, at + batch)[0].T)
-        p = position_probabilities(net, part)
-        p[part == PAD] = 0
+        part = np.ascontiguousarray(segments_of(piece.data, piece.offsets, at, at + batch, CONTEXT)[0].T)
+        p = position_probabilities(net, part, CONTEXT)
+        p[part[CONTEXT:-CONTEXT] == PAD] = 0
         sums[at : at + batch] = p.sum(axis=0)
     first = np.concatenate([[0], np.cumsum(each)])
     total = np.stack([per_row(sums[:, k], first) for k in range(sums.shape[1])], axis=1)
@@ -202,27 +204,28 @@ def document_probabilities(net: Network, piece: Texts, batch: int = 4096) -> np.
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most: int = TRAIN_ROWS) -> Network | None:
     """A network from at most ``most`` documents with a language outside the held-out fold; None if there is none.
 
-    Executors cut TRAIN_SEGMENTS segments from evenly spaced places of each whole text.
+    Executors cut each whole text in segments.
     """
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batches, "text"):
-            codes, each = segments_of(piece.data, piece.offsets)
-            first = np.concatenate([[0], np.cumsum(each)])[:-1]
-            good = np.flatnonzero(has_letter(piece))
-            for k in range(TRAIN_SEGMENTS):
-                at = first[good] + (each[good] * (2 * k + 1)) // (2 * TRAIN_SEGMENTS)
-                yield pa.RecordBatch.from_arrays([pa.array([row.tobytes() for row in codes[at]], pa.binary()), piece.rows.column("label").take(pa.array(good))], ["codes", "label"])
-
-    rows = map_texts(labelled_sample(base, base.filter("text is not null"), "lang", most), run, "codes binary, label string").limit(TRAIN_SEGMENTS * most).toArrow()
+            _, each = segments_of(piece.data, piece.offsets, 0, 0)
+            kept = np.repeat(has_letter(piece), each)
+            owner = np.repeat(np.arange(len(piece)), each)
+            for at in range(0, len(kept), 4096):
+                good = np.flatnonzero(kept[at : at + 4096])
+                codes, _ = segments_of(piece.data, piece.offsets, at, at + 4096)
+                yield pa.RecordBatch.from_arrays([pa.array([row.tobytes() for row in codes[good]], pa.binary()), piece.rows.column("label").take(pa.array(owner[at + good]))], ["codes", "label"])
+
+    rows = map_texts(labelled_sample(base, base.filter("text is not null"), "lang", most), run, "codes binary, label string").toArrow()
     if not rows.num_rows:
         return None
     labels = rows.column("label").to_pylist()
     learned = sorted(zip(rows.column("codes").to_pylist(), labels))  # the same order however rows arrive
     languages = sorted(set(labels))
     codes = np.frombuffer(b"".join(c for c, _ in learned), np.int16).reshape(-1, SEGMENT)
-    return fit(codes, np.array([languages.index(x) for _, x in learned]), languages)
+    return fit(codes, np.array([languages.index(x) for _, x in learned]), languages, epochs=max(1, min(6, TRAIN_SEGMENTS // len(codes))))
 
 
 def predict(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

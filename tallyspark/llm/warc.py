@@ -11,7 +11,7 @@ A task holds one archive's first records (``SAMPLE_BYTES`` and ``SAMPLE_RECORDS`
 
 Defined results: null html is an empty payload; a null url has no target header; among rows
 repeated with the largest id of a group each is a response; a null id ranks below all and reads back as null; an archive with too few
-records to train on has no dictionary; an empty table writes nothing and reads as no rows; other columns, whatever their names, are not read.
+records to train on has a dictionary of their beginnings as they are; an empty table writes nothing and reads as no rows; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations

@@ -221,3 +221,20 @@ def test_nearest_edges(spark):
     assert got == [(0, 1, 1, 1.0), (0, 2, 2, 1.0), (0, 3, 50, 1.0), (0, 4, 3, 0.0), (50, 1, 0, 1.0), (50, 2, 1, 1.0), (50, 3, 2, 1.0), (50, 4, 3, 0.0)]
     assert kmeans_tree.nearest(table.limit(0), F.col("vec_id") % 50 == 0).count() == 0
     assert kmeans_tree.nearest(table.filter("vec_id = 50"), F.col("vec_id") % 50 == 0).count() == 0
+
+
+def test_common_phrases_make_no_pairs(spark):
+    """A phrase of most documents and of every item is no seed to join on; contaminated pairs are found as before."""
+    from tallyspark.llm import decontamination
+
+    phrase = "as everybody knows by now"
+    item = lambda i: f"{phrase} " + " ".join(f"q{i}w{k}" for k in range(20))
+    rows = [(i, f"start{i} {phrase} end{i}") for i in range(300)] + [(1000 + i, f"x{i} {item(i)} y{i}") for i in range(5)] + [(2000, " ".join(f"q7w{k}" for k in range(16)))]
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, item(i)) for i in range(40)], "item_id long, text string")
+    got = sorted((r.doc_id, r.item_id, r.n_covered) for r in decontamination.contaminated_pairs(docs, bench).collect())
+    assert got == [(1000 + i, i, 25) for i in range(5)] + [(2000, 7, 16)]
+    items = decontamination._tokens_of(bench.select(F.col("item_id").alias("item"), "item_id", "text"), 5)
+    seeds = decontamination._seeds_of(items, 5)
+    often = seeds.groupBy("seed").agg(F.count("*").alias("often"))
+    rare = decontamination._rare_seeds(seeds, often, 5, 0.6)
+    assert rare.groupBy("seed").count().agg(F.max("count")).first()[0] == 1 and {(r.wanted, r.spared) for r in rare.collect()} == {(3, 2)}
