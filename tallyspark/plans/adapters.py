@@ -69,7 +69,7 @@ SELECT CAST(l_orderkey AS STRING) || '-' || CAST(rn AS STRING) AS id,
        CASE l_partkey % 3 WHEN 0 THEN '' WHEN 1 THEN CAST(l_orderkey AS STRING) ELSE 'gone-' || CAST(l_orderkey AS STRING) END AS idea_id,
        CASE l_suppkey % 2 WHEN 0 THEN 'Controls' ELSE '' END AS project,
        substr(CAST(l_shipdate AS STRING), 1, 16) AS created_date
-FROM lines WHERE rn = 1
+FROM lines
 """,
     "mails": """
 SELECT event_id AS seq,

@@ -164,7 +164,8 @@ def _span() -> tuple[str, str]:
 
 
 _add("mail_date_window", lambda v: v.mails.filter(M.date_window(F.col("received"), *_span())).select("seq"), "SELECT seq FROM mails WHERE received >= TIMESTAMP '2024-01-05 00:00:00' AND received < TIMESTAMP '2024-01-21 00:00:00'", "mails")
-_add("mail_read_state", lambda v: v.mails.filter(M.read_state(F.col("unread"), True, False)).select("seq"), "SELECT seq FROM mails WHERE NOT unread", "mails")
+_STATES = {"read": (True, False), "unread": (False, True), "both": (True, True), "none": (False, False)}
+_add("mail_read_state", lambda v: v.mails.select("seq", *[M.read_state(F.col("unread"), *s).alias(f"takes_{n}") for n, s in _STATES.items()]), "SELECT seq, NOT unread AS takes_read, unread AS takes_unread, true AS takes_both, false AS takes_none FROM mails", "mails")
 _add("sender_domain_filter", lambda v: M.domain_filter(v.mails, ("Vendor A", "Nobody")).select("seq"), _MAILS + f" SELECT seq FROM m WHERE {_VENDOR_A}", "mails")
 _add("vendor_domain_union", lambda v: with_position(M.vendor_domains(v.chosen_vendors, v.vendor_table)),
      "SELECT domain, row_number() OVER (ORDER BY domain) AS position FROM (SELECT DISTINCT domain FROM vendor_table WHERE vendor IN (SELECT vendor FROM chosen_vendors))", "vendor_table", "chosen_vendors")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,9 +31,30 @@ def _root(spark: SparkSession) -> str:
     return root
 
 
+def _made(spark: SparkSession) -> list[str]:
+    """Paths given out so far and not deleted since."""
+    context = spark.sparkContext
+    if not hasattr(context, "_tallyspark_paths"):
+        context._tallyspark_paths = []
+    return context._tallyspark_paths
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path in the application's scratch folder."""
-    return f"{_root(spark)}/{name}-{uuid.uuid4().hex}"
+    _made(spark).append(f"{_root(spark)}/{name}-{uuid.uuid4().hex}")
+    return _made(spark)[-1]
+
+
+@contextmanager
+def only_last_kept(spark: SparkSession) -> Iterator[None]:
+    """On leaving, all scratch tables made inside are deleted but the last: for a step whose result is a stored table that nothing else is read for."""
+    before = len(_made(spark))
+    yield
+    paths = _made(spark)
+    for path in paths[before:-1]:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    del paths[before:-1]
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 Events may come in any order within the watermark's delay.  They wait in the user's state until the watermark has passed
 them, so that every silence is judged on all events that can still count; a timer in event time wakes the user up where the next decision falls.
+The state holds one user's events of the delay at most.
 """
 
 from __future__ import annotations
@@ -31,15 +32,15 @@ class SessionAlerts(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         new = [int(t) for part in rows for t in part["micros"]]
-        yield self._advance(key[0], new, timerValues.getCurrentWatermarkInMs() * 1000)
+        yield from self._advance(key[0], new, timerValues.getCurrentWatermarkInMs() * 1000)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        yield self._advance(key[0], [], timerValues.getCurrentWatermarkInMs() * 1000)
+        yield from self._advance(key[0], [], timerValues.getCurrentWatermarkInMs() * 1000)
 
     def close(self) -> None:
         pass
 
-    def _advance(self, user, new: list[int], known: int) -> pd.DataFrame:
+    def _advance(self, user, new: list[int], known: int) -> Iterator[pd.DataFrame]:
         """Events up to ``known``, the watermark, are all there: they settle, and so does the silence after the last of them."""
         start, last, events, warned, timer, waiting = self.state.get() if self.state.exists() else (None, None, 0, False, None, [])
         out: list[tuple] = []
@@ -64,8 +65,9 @@ class SessionAlerts(StatefulProcessor):
         silence(known)
         waiting = [t for t in every if t > known]
         self._keep(start, last, events, warned, timer, waiting)
-        rows = pd.DataFrame(out, columns=["user_id", "start", "state", "at", "events"])
-        return rows.assign(start=pd.to_datetime(rows["start"], unit="us", utc=True), at=pd.to_datetime(rows["at"], unit="us", utc=True))
+        if out:
+            rows = pd.DataFrame(out, columns=["user_id", "start", "state", "at", "events"])
+            yield rows.assign(start=pd.to_datetime(rows["start"], unit="us", utc=True), at=pd.to_datetime(rows["at"], unit="us", utc=True))
 
     def _keep(self, start, last, events, warned, timer, waiting) -> None:
         nexts = waiting[:1] + ([last + (self.end if warned else self.warn)] if start is not None else [])
