@@ -273,6 +273,18 @@ def test_token_counts_equal_the_library(spark, edges, empty, docs):
     assert token_counts.count_tokens(empty, path).count() == 0
 
 
+def test_long_texts_are_counted_in_slices():
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    counter, library, rng = token_counts.TokenCounter(path), Tokenizer.from_file(path), random.Random(3)
+    words = ["don't", "Stop", "x1", "é漢", "'tis", "a", "<|endoftext|>", "\n", "  ", "1 2", "we'll"]
+    for text in (" ".join(rng.choice(words) for _ in range(4000)), "a" * 5000, "a b" * 2000, "no cut 1 2 3 " + "9 " * 3000):
+        piece = one_piece([text])
+        want = len(library.encode(text, add_special_tokens=False).ids)
+        assert [int(counter.count_long(piece, limit)[0]) for limit in (50, 997, 10**7)] == [want] * 3
+
+
 def test_scan_agrees_with_a_plain_walk():
     table, rng = token_counts.splitter_table(), np.random.default_rng(0)
     classes = rng.integers(0, 13, 5000).astype(np.uint8)
