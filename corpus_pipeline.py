@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tallyspark.llm import decontamination, factorisation, merge_dropout, repeats, simhash
 from tallyspark.llm.queries import table, tokenizer
-from tallyspark.llm.scratch import stored
+from tallyspark.llm.scratch import only_last_kept, stored
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,8 +48,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written as Parquet and read again."""
+    """All stages over ``documents``, each written as Parquet and read again; what a stage has stored on its way goes once its result is there."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        with only_last_kept(spark):
+            # The result's path is given out after those of the stage itself.
+            result = stage(spark, docs, sf_dir)
+            docs = stored(result, f"pipeline-{name}")
     return STAGES[-1][1](spark, docs, sf_dir)
