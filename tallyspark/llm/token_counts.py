@@ -12,7 +12,8 @@ Two deterministic transducers are compiled from a public tokenizer file:
   prefix are a finite set (last token, trie node, tokens so far); such sets, their least
   count emitted, are the states.  There are too many to list them all, so they are made when first met, into arrays that
   all chunks of a batch then step through together.  A chunk's map (state, count) is constant where a boundary opens
-  the chunk; the other chunks' maps compose onto it.
+  the chunk; maps of the chunks within a long run hold the entry states that the chunk before can leave, and compose in a
+  parallel prefix scan like the splitter's.
 
 Defined results: a null text counts as empty (no bytes, no tokens); added tokens that stand in
 a text count as one token each, as the library's default has it; repeated rows each give a row, ties can't
@@ -151,6 +152,8 @@ class Counter:
 
     #: Entries of the transition table before it starts anew.
     MOST = 48 << 20
+    #: Entry states that the map of a chunk within a long run holds at most.
+    ENTRIES = 8
 
     def __init__(self, vocab: dict[bytes, int], merges: dict[tuple[int, int], tuple[int, int]]):
         self.rank = {a << 20 | b: rank for (a, b), (rank, _) in merges.items()}
@@ -305,9 +308,8 @@ class Counter:
     def count(self, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """Tokens of each run of bytes between boundaries.
 
-        Runs are cut in chunks. A chunk behind a boundary has a constant map (state and count whatever came before);
-        all of these are found at once. Maps of later chunks of a long run compose in order: each is applied to the state that
-        the one before leaves. Counts add.
+        Runs are cut in chunks.  A chunk behind a boundary has a constant map (state and count whatever came before);
+        the maps of later chunks of long runs compose with it in a parallel prefix scan, see ``follow``.
         """
         if self.next.size > self.MOST:
             self.reset()
@@ -318,14 +320,58 @@ class Counter:
         begin = np.repeat(starts, chunks) + CHUNK * place
         size = np.minimum(np.repeat(starts + lengths, chunks) - begin, CHUNK)
         state, emitted = np.zeros(len(begin), np.int32), np.zeros(len(begin), np.int64)
-        order = np.argsort(place, kind="stable")
-        bounds = np.searchsorted(place[order], np.arange(int(chunks.max(initial=0)) + 1))
-        for a, b in zip(bounds[:-1], bounds[1:]):
-            now = order[a:b]
-            entry = state[now - 1] if a else state[now]
-            state[now], emitted[now] = self.walk(data, begin[now], size[now], entry)
+        heads, later = np.flatnonzero(place == 0), np.flatnonzero(place)
+        state[heads], emitted[heads] = self.walk(data, begin[heads], size[heads], state[heads])
+        if len(later):
+            state[later], emitted[later] = self.follow(data, begin[later], size[later], place[later] == 1, state[later - 1])
         return per_row(emitted, np.append(first, len(begin))) + self.final[state[first + chunks - 1]]
 
+    def follow(self, data: np.ndarray, begin: np.ndarray, size: np.ndarray, head: np.ndarray, entry: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(state after, tokens emitted) of chunks that follow each other; one marked ``head`` is entered with its ``entry``.
+
+        A chunk's map holds as many entry states as may matter: the start state, as a guess, and all that the map of the
+        chunk before leaves.  Encodings from different states soon agree, so two or three entries are the rule.
+        Maps of all chunks grow side by side until they are closed, and then compose in a prefix scan.  One with ``ENTRIES`` of them
+        takes no more guesses; where the true state is not among them it takes the place of one, and the scan is run again.
+        """
+        n, rows = len(begin), np.arange(len(begin))
+        enters, leaves, counts = (np.full((n, self.ENTRIES), -1, t) for t in (np.int32, np.int32, np.int64))
+        enters[:, 0] = np.where(head, entry, 0)
+        joined = np.append(~head[1:], False)  # whether the next chunk follows this one
+        todo = rows, np.zeros(n, np.int64)
+        sure = False
+        while True:
+            while len(todo[0]):
+                at, slot = todo
+                leaves[at, slot], counts[at, slot] = self.walk(data, begin[at], size[at], enters[at, slot])
+                at, left = at[joined[at]] + 1, leaves[at, slot][joined[at]]
+                new = (enters[at] != left[:, None]).all(axis=1)
+                key = np.unique(at[new] << 32 | left[new])
+                at, left = key >> 32, key & 0xFFFFFFFF
+                # New states of one chunk take its free places one after the other.
+                nth = np.arange(len(at)) - np.searchsorted(at, at)
+                slot = (enters[at] >= 0).sum(axis=1) + nth
+                slot = np.minimum(slot, self.ENTRIES - 1) if sure else slot
+                fits = slot < self.ENTRIES
+                todo = at[fits], slot[fits]
+                enters[todo] = left[fits]
+            # A map takes the place of an entry in its own chunk to that in the next; ENTRIES stands for one that isn't there.
+            same = (leaves[:-1, :, None] == enters[1:, None, :]) & (leaves[:-1, :, None] >= 0)
+            maps = np.full((n, self.ENTRIES + 1), self.ENTRIES, np.int64)
+            maps[1:, :-1] = np.where(same.any(axis=2), same.argmax(axis=2), self.ENTRIES)
+            maps[head] = 0
+            step = 1
+            while step < n:  # inclusive scan, as that of the splitter's maps
+                maps = np.concatenate([maps[:step], np.take_along_axis(maps[step:], maps[:-step], axis=1)])
+                step *= 2
+            slot = maps[:, 0]
+            lost = np.flatnonzero((slot == self.ENTRIES) & np.append(0, slot[:-1] != self.ENTRIES).astype(bool))
+            if not len(lost):
+                return leaves[rows, slot], counts[rows, slot]
+            sure, last = True, np.full(len(lost), self.ENTRIES - 1)
+            enters[lost, last] = leaves[lost - 1, slot[lost - 1]]
+            todo = lost, last
+
 
 class TokenCounter:
     """Both transducers of a tokenizer file in the tokenizers library's JSON form."""

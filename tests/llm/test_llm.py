@@ -285,6 +285,19 @@ def test_long_texts_are_counted_in_slices():
         assert [int(counter.count_long(piece, limit)[0]) for limit in (50, 997, 10**7)] == [want] * 3
 
 
+@pytest.mark.parametrize("entries", [1, 2, 8])
+def test_chunk_maps_of_long_runs_compose(monkeypatch, entries):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(token_counts.Counter, "ENTRIES", entries)
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    counter, library, rng = token_counts.TokenCounter(path), Tokenizer.from_file(path), random.Random(5)
+    texts = ["".join(rng.choice(letters) for _ in range(n)) for letters in ("ab", "etaoin", "é漢字x", "=-", "a") for n in (255, 256, 257, 513, 9000)]
+    texts += ["abcabd" * 3000, "ha" * 4000 + " " + "na" * 700]
+    want = [len(e.ids) for e in library.encode_batch(texts, add_special_tokens=False)]
+    assert counter.count(one_piece(texts)).tolist() == want
+
+
 def test_scan_agrees_with_a_plain_walk():
     table, rng = token_counts.splitter_table(), np.random.default_rng(0)
     classes = rng.integers(0, 13, 5000).astype(np.uint8)
