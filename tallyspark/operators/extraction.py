@@ -162,13 +162,17 @@ def grid_label_values(cells: DataFrame, docs: DataFrame, templates: Sequence[Tem
 
 def text_label_value(text: Column, field: Field, template: Template) -> Column:
     """A field from flattened text: after its label, up to the nearest stop term, on its line unless multiline."""
-    return let(term_hits(F.lower(text), [*field.labels, *template.stops(field)]), lambda hits: cut_field(text, hits, field, template))
+    return let(term_hits(F.lower(text), [*field.labels, *template.stops(field)]), lambda hits: cut_field(text, hits, field, _texts_of([template.stops(field)])[0]))
 
 
-def cut_field(text: Column, hits: Column, field: Field, template: Template) -> Column:
-    """The same from the hits of a pass over the text, which may be of further terms."""
-    stops = [s.lower() for s in template.stops(field)]
-    is_stop = lambda term: reduce(lambda a, b: a | b, [term.startswith(s) for s in stops], F.lit(False))
+def _texts_of(lists: Sequence[Sequence[str]]) -> Column:
+    """Array of arrays of texts."""
+    return F.array(*[F.array(*[F.lit(x) for x in texts]).cast("array<string>") for texts in lists])
+
+
+def cut_field(text: Column, hits: Column, field: Field, stops: Column) -> Column:
+    """The same from the hits of a pass over the text, which may be of further terms; ``stops`` holds the field's stop terms, by row."""
+    is_stop = lambda term: F.exists(stops, lambda s: term.startswith(F.lower(s)))
 
     def cut(start: Column) -> Column:
         end = F.try_element_at(F.filter(hits, lambda h: (h.at >= start) & is_stop(h.term)), F.lit(1)).at
@@ -261,37 +265,37 @@ def extract_fields(texts: DataFrame, cells: DataFrame, templates: Sequence[Templ
         rows = rows.join(positional_value(docs, label, "_known").withColumnRenamed("value", f"_tab{k}"), "doc_id", "left")
     place, columns = {label: k for k, label in enumerate(tabular)}, column_union(templates)
 
-    # Templates that differ in names alone share one expression.
-    kinds: dict[tuple, tuple[Template, list[int]]] = {}
-    for i, t in enumerate(templates):
-        kinds.setdefault((t.fields, t.neighbours, t.positional), (t, []))[1].append(i)
-
-    def by_template(make) -> Column:
-        """``make`` of the template at hand; null where that one lacks the field."""
+    def by_template(c: str, make, positional: bool = False) -> Column:
+        """``make`` of field ``c`` of the template at hand; null where that one lacks it. Templates with an equal field share one expression."""
+        kinds: dict[tuple, list[int]] = {}
+        for i, t in enumerate(templates):
+            for f in (f for f in t.fields if f.column == c):
+                kinds.setdefault((f, positional and t.positional), []).append(i)
         out = F.lit(None).cast("string")
-        for t, places in kinds.values():
-            v = make(t)
-            out = out if v is None else F.when(F.col("template").isin(*places), v).otherwise(out)
+        for (f, grid), places in kinds.items():
+            out = F.when(F.col("template").isin(*places), make(f, grid)).otherwise(out)
         return out
 
-    def raw(t: Template, f: Field) -> Column:
+    def raw(f: Field, _: bool) -> Column:
         tried = [F.nullif(F.col(f"_tab{place[x]}"), F.lit("")) for x in f.labels] if f.tabular else []
-        return F.coalesce(F.nullif(F.element_at("grid", f.column), F.lit("")), *tried, cut_field(F.col("text"), F.col("_hits"), f, t))
+        stops = F.element_at(_texts_of([t.stops(f) if f in t.fields else [] for t in templates]), F.col("template") + 1)
+        return F.coalesce(F.nullif(F.element_at("grid", f.column), F.lit("")), *tried, cut_field(F.col("text"), F.col("_hits"), f, stops))
 
     def cleaned(f: Field, v: Column) -> Column:
         v = POSTS[f.post](v) if f.post else v
         v = numeric_only(v) if f.expect == "number" else v
         return F.coalesce(F.nullif(v, F.lit("")), po_from_subject(F.col("subject")), F.lit("")) if f.fallback == "po_from_subject" else v
 
-    def filled(t: Template, f: Field, v: Column) -> Column:
-        if not (t.positional and f.column in GRID_FIELDS):
+    def filled(f: Field, grid: bool) -> Column:
+        v = cleaned(f, F.col(f"_v_{f.column}"))
+        if not (grid and f.column in GRID_FIELDS):
             return v
         return F.coalesce(F.nullif(v, F.lit("")), F.element_at(F.coalesce("level", "upright"), f.column), F.lit(""))
 
     # One projection a step: a value is worked out once before the next step reads it several times.
-    rows = rows.withColumns({f"_v_{c}": by_template(lambda t, c=c: next((raw(t, f) for f in t.fields if f.column == c), None)) for c in columns})
+    rows = rows.withColumns({f"_v_{c}": by_template(c, raw) for c in columns})
     rows = rows.withColumns({f"_v_{c}": trim_at_embedded_label(F.col(f"_v_{c}"), F.col("_known")) for c in columns})
-    rows = rows.withColumns({f"_v_{c}": by_template(lambda t, c=c: next((filled(t, f, cleaned(f, F.col(f"_v_{c}"))) for f in t.fields if f.column == c), None)) for c in columns})
+    rows = rows.withColumns({f"_v_{c}": by_template(c, filled, positional=c in GRID_FIELDS) for c in columns})
     values = F.map_filter(F.create_map(*[x for c in columns for x in (F.lit(c), F.col(f"_v_{c}"))]), lambda _, x: x.isNotNull())
     name = lambda attr: F.element_at(F.array(*[F.lit(getattr(t, attr)) for t in templates]), F.col("template") + 1)
     return rows.select("doc_id", name("vendor").alias("vendor"), name("report").alias("report"), values.alias("values"), "text")
@@ -323,11 +327,15 @@ def filled_columns(extracted: DataFrame, templates: Sequence[Template]) -> DataF
 
 
 def sample_templates() -> tuple[Template, ...]:
-    """Templates of the derived sample reports."""
-    fields = (
-        Field("po", ("Cust PO",), post="po10", fallback="po_from_subject"), Field("input_part", ("Input Part",)), Field("input_serial", ("Input Serial",)),
-        Field("tsn", ("TSN",), tabular=True, expect="number"), Field("csn", ("CSN",), tabular=True, expect="number"), Field("esn", ("ESN",), post="digits"),
-        Field("failure_date", ("Failure Date",), post="date"), Field("reason_for_removal", ("Reason For Removal",)), Field("actions_taken", ("Actions Taken",)),
-        Field("findings", ("Findings",)), Field("fault_outcome", ("Conclusion",)),
-    )
-    return tuple(Template(v, "STRIP REPORT", fields, neighbours=("Qty", "Serial #", "CSO"), positional=v == "Vendor A") for v in ("Vendor A", "Vendor B", "Vendor C"))
+    """Templates of the derived sample reports; vendors B and C have a label of their own each."""
+
+    def template(vendor: str, part: str = "Input Part", outcome: str = "Conclusion") -> Template:
+        fields = (
+            Field("po", ("Cust PO",), post="po10", fallback="po_from_subject"), Field("input_part", (part,)), Field("input_serial", ("Input Serial",)),
+            Field("tsn", ("TSN",), tabular=True, expect="number"), Field("csn", ("CSN",), tabular=True, expect="number"), Field("esn", ("ESN",), post="digits"),
+            Field("failure_date", ("Failure Date",), post="date"), Field("reason_for_removal", ("Reason For Removal",)), Field("actions_taken", ("Actions Taken",)),
+            Field("findings", ("Findings",)), Field("fault_outcome", (outcome,)),
+        )
+        return Template(vendor, "STRIP REPORT", fields, neighbours=("Qty", "Serial #", "CSO"), positional=vendor == "Vendor A")
+
+    return template("Vendor A"), template("Vendor B", part="Part No In"), template("Vendor C", outcome="Outcome")

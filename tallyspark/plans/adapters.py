@@ -84,7 +84,7 @@ FROM events
     "processed": """
 SELECT 'M' || CAST(event_id AS STRING) AS entry_id, 'user' || CAST(user_id % 5 AS STRING) AS downloaded_by, ts AS processed_at,
        CAST(event_id % 4 AS INT) AS file_count
-FROM events WHERE event_id % 11 = 0
+FROM events WHERE event_type = 'purchase'
 """,
     "dump": """
 SELECT l_orderkey * 1000 + rn AS ord,
@@ -120,13 +120,13 @@ FROM lines WHERE rn = 2
     "report_text": """
 SELECT report_id,
        CASE report_id % 6 WHEN 5 THEN 'Unknown Maker Note' ELSE upper(vendor) || ' - STRIP REPORT' END
-       || chr(10) || 'Cust PO   ' || po || '   Input Part   ' || input_part
+       || chr(10) || 'Cust PO   ' || po || CASE vendor WHEN 'Vendor B' THEN '   Part No In   ' ELSE '   Input Part   ' END || input_part
        || chr(10) || 'Input Serial: ' || input_serial || '   Qty   1.000'
        || chr(10) || 'Serial #   CSN   TSN   CSO' || chr(10) || 'INF   ' || csn || '   ' || tsn || '   0'
        || chr(10) || 'ESN: ESN' || esn || '   Failure Date: ' || failure_date
        || chr(10) || 'Reason For Removal: ' || reason_for_removal
        || chr(10) || 'Actions Taken: ' || actions_taken
-       || chr(10) || 'Findings: ' || findings || chr(10) || 'Conclusion: ' || fault_outcome AS text
+       || chr(10) || 'Findings: ' || findings || chr(10) || CASE vendor WHEN 'Vendor C' THEN 'Outcome: ' ELSE 'Conclusion: ' END || fault_outcome AS text
 FROM extractions
 """,
     "vendor_table": """
@@ -147,11 +147,11 @@ UNION ALL
 SELECT 'OTP' || lpad(CAST(3 * p_partkey AS STRING), 9, '0'), 'New ' || p_name, p_brand, p_type, 'PL0', 2 FROM part
 """,
     "patches": """
-SELECT id, 1 AS seq, 'WIP' AS status, CAST(NULL AS STRING) AS assigned_engineer, CAST(NULL AS DOUBLE) AS roi FROM ideas WHERE CAST(id AS BIGINT) % 5 = 0
+SELECT id, 1 AS seq, 'WIP' AS status, CAST(NULL AS STRING) AS assigned_engineer, CAST(NULL AS DOUBLE) AS roi FROM ideas WHERE status <> 'Rejected'
 UNION ALL
-SELECT id, 2, CAST(NULL AS STRING), 'eng1@corp.example', CAST(7 AS DOUBLE) FROM ideas WHERE CAST(id AS BIGINT) % 10 = 0
+SELECT id, 2, CAST(NULL AS STRING), 'eng1@corp.example', CAST(7 AS DOUBLE) FROM ideas WHERE status IN ('Assigned', 'WIP', 'UAT')
 UNION ALL
-SELECT id, 3, 'UAT', CAST(NULL AS STRING), CAST(NULL AS DOUBLE) FROM ideas WHERE CAST(id AS BIGINT) % 15 = 0
+SELECT id, 3, 'UAT', CAST(NULL AS STRING), CAST(NULL AS DOUBLE) FROM ideas WHERE status IN ('UAT', 'Completed', 'Rejected')
 """,
 }
 _NEEDS = {"ideas": (), "otp_batch": ("otp_list",), "patches": ("ideas",), "deployed_tools": ("lines",), "dump": ("lines",), "extractions": ("lines",), "report_text": ("lines", "extractions")}

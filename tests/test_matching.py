@@ -123,3 +123,13 @@ def test_level_bands_and_sorting(spark):
     rows = spark.createDataFrame([(1, "10", "b"), (2, "9", "A"), (3, None, None)], "report_id int, score string, vendor string")
     ids = lambda *a, **o: [r.report_id for r in S.sort_extractions(rows, *a, **o).collect()]
     assert ids("score", ascending=False) == [1, 2, 3] and ids("score", numbers=()) == [3, 1, 2] and ids("vendor") == [3, 2, 1]
+
+
+def test_fields_stop_at_labels_of_their_own_template(spark):
+    texts = spark.createDataFrame([(1, "ACME - NOTE\nFindings worn Result good\nState fine", ""), (2, "Other - NOTE\nFindings worn Result good\nState fine", "")], "doc_id long, text string, subject string")
+    field = lambda c, label: E.Field(c, (label,))
+    acme = E.Template("ACME", "NOTE", (field("findings", "Findings"), field("result", "Result")))
+    other = E.Template("Other", "NOTE", (field("findings", "Findings"), field("state", "State")))
+    cells = spark.createDataFrame([], "doc_id long, sheet int, r int, c int, text string")
+    got = {r.doc_id: r["values"] for r in E.extract_fields(texts, cells, (acme, other)).collect()}
+    assert got == {1: {"findings": "worn", "result": "good"}, 2: {"findings": "worn Result good", "state": "fine"}}
