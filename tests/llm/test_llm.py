@@ -633,7 +633,7 @@ def test_language_probabilities_equal_a_plain_walk():
         assert np.allclose(p, total / max(1, len(raw)), atol=1e-4)
 
 
-def test_factorisation_machine_gradient_and_identity():
+def test_factorisation_machine_identity_equals_all_pairs():
     rng = np.random.default_rng(0)
     n = 40
     first = np.arange(n + 1) * 5
@@ -670,6 +670,26 @@ def test_quality_rules(larger, edges, empty, labels):
     assert boosted_rules.train(docs, marks.limit(0)).raw(x)[0] > 0
 
 
+def test_flattened_trees_equal_a_plain_walk():
+    rng = np.random.default_rng(3)
+    x = np.round(rng.random((600, len(statistics.FEATURES))), 2)
+    y = (x[:, 0] + x[:, 1] * x[:, 2] + 0.3 * rng.random(600) > 0.9).astype(float)
+    trees = boosted_rules.fit(x, y, trees=12)
+    assert (trees.left != np.arange(trees.left.shape[1])).any(axis=1).all()  # each tree has split
+
+    def walk(t, row):
+        node = 0
+        while trees.left[t, node] != node:
+            node = trees.left[t, node] if row[trees.feature[t, node]] <= trees.cut[t, node] else trees.right[t, node]
+        return trees.value[t, node]
+
+    edge = np.where(rng.random(x.shape) < 0.5, rng.choice(trees.cut.ravel(), x.shape), x)  # values that are just a cut go left
+    for rows in (x, edge):
+        want = [trees.bias + sum(walk(t, row) for t in range(12)) for row in rows]
+        assert np.allclose(trees.raw(rows), want, rtol=0, atol=1e-12)
+    assert np.mean((trees.score(x) >= 0.5) == (y == 1)) > 0.9
+
+
 def test_language(larger, edges, empty):
     docs, _ = larger
     net = language.train(docs)
