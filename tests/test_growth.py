@@ -16,3 +16,15 @@ def test_text_label_value_searches_without_lists_of_hits(spark):
     got = df.select(*[E.text_label_value(F.col("text"), f, t).alias(f.column) for f in t.fields])
     assert [tuple(r) for r in got.collect()] == [("a b", "5"), ("", "2"), ("", ""), ("a SERIAL # b", "x"), ("\u00fc \u2713", "1tsn2 tsn"), ("", ""), ("", "")]
     assert "lambda" not in plan(got)
+
+
+def test_cells_are_shuffled_once(spark):
+    rows = [(1, s, r, c, f" {s}{r}{c} " if (r + c) % 3 else None) for s in (0, 1) for r in range(3) for c in range(3)] + [(2, 0, 0, 0, " ")]
+    cells = spark.createDataFrame(rows, "doc_id long, sheet int, r int, c int, text string")
+    text = E.cells_to_text(cells)
+    assert [tuple(r) for r in text.collect()] == [(1, "001   002\n010   011\n020   022\n\n101   102\n110   111\n120   122\n")]
+    around = E.neighbour_cells(cells)
+    got = {(r.sheet, r.r, r.c): (r.right, r.below) for r in around.filter("doc_id = 1").collect()}
+    assert got[0, 0, 0] == ([" 001 ", " 002 "], [" 010 ", " 020 "]) and got[1, 1, 1] == ([None], [None])
+    for df in (E.cells_to_text(cells), around, E.grid_positional(cells)):
+        assert plan(df).count("Exchange ") == 1
