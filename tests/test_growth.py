@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from tallyspark.operators import extraction as E
+from tallyspark.operators import reconcile as R
 
 
 def plan(df) -> str:
@@ -28,3 +29,14 @@ def test_cells_are_shuffled_once(spark):
     assert got[0, 0, 0] == ([" 001 ", " 002 "], [" 010 ", " 020 "]) and got[1, 1, 1] == ([None], [None])
     for df in (E.cells_to_text(cells), around, E.grid_positional(cells)):
         assert plan(df).count("Exchange ") == 1
+
+
+def test_outcomes_are_worked_out_once_behind_a_filter(spark):
+    reports = spark.createDataFrame([(1, "41", "ab 1"), (2, "41", "x"), (3, "", "")], "report_id long, po string, v string")
+    dump = spark.createDataFrame([(7, "41", "AB-1"), (8, "41", "q")], "ord long, po_key string, w string")
+    rules = (("w", "v", "exact", False),)
+    matched = R.match_reports(reports, dump, rules).filter("status = 'matched'")
+    # Outcomes of candidates and of winners each come out of a generator, which no filter is pushed through.
+    assert plan(matched).count("Generate inline") == 2
+    assert [(r.report_id, r.ord) for r in matched.collect()] == [(1, 7)]
+    assert [(r.report_id, r.ord, r.accepted) for r in R.checked(reports, dump, rules).filter("row is not null").orderBy("report_id", "ord").collect()] == [(1, 7, True), (1, 8, False), (2, 7, False), (2, 8, False)]
