@@ -2,8 +2,10 @@
 
 from pyspark.sql import functions as F
 
+from tallyspark.functions import text as X
 from tallyspark.operators import extraction as E
 from tallyspark.operators import reconcile as R
+from tallyspark.operators import scoring as S
 
 
 def plan(df) -> str:
@@ -40,3 +42,45 @@ def test_outcomes_are_worked_out_once_behind_a_filter(spark):
     assert plan(matched).count("Generate inline") == 2
     assert [(r.report_id, r.ord) for r in matched.collect()] == [(1, 7)]
     assert [(r.report_id, r.ord, r.accepted) for r in R.checked(reports, dump, rules).filter("row is not null").orderBy("report_id", "ord").collect()] == [(1, 7, True), (1, 8, False), (2, 7, False), (2, 8, False)]
+
+
+def test_a_report_is_searched_once_whatever_is_asked_of_it(spark):
+    names = [f for f, _, _ in S.REVERSE_FIELDS]
+    row = ("SN-77/129", "BPU9001", "88", "1234", "x", "4600000001", "jammed valve slow", "N1")
+    matches = spark.createDataFrame([(1, row), (2, None)], "report_id int, row struct<" + ",".join(f"{n}:string" for n in names) + ">")
+    texts = spark.createDataFrame([(1, "BPU9OO1 SN-77/123, TSN 1,234.0 scheduled"), (2, "x")], "report_id int, text string")
+    results = S.reverse_results(texts, matches)
+    for df in (S.reverse_check(texts, texts, matches), S.hit_rate(results), S.reverse_summary(results)):
+        # One call of Python, no filter that repeats the searches, no shuffle but the join's.
+        assert plan(df).count("ArrowEvalPython") == 1 and "HashAggregate" not in plan(df) and plan(df).count("Exchange ") <= 2
+        assert "size(array(" not in df._jdf.queryExecution().optimizedPlan().toString()
+    assert [tuple(r) for r in S.hit_rate(results).collect()] == [(1, 4, 10)]
+    summary = S.reverse_summary(results).first()
+    assert summary.seen == ["LRU SN", "LRU PN", "TSN", "Scheduled/Unscheduled"] and summary.in_report_core_csn == "NOT FOUND"
+
+
+def test_lines_of_tokens_and_joint_patterns_equal_the_plain_forms(spark):
+    texts = ["a-b/c._D --x -5 \u212a9 \u0130z. 1,2.5,6 -,5 1,,3 ._-", "no  fault\u00a0found NFF", "noise xnoisy noisyx unserviceable", "", None, "\u00a0\u2007", "-7 .5 2,000.0,"]
+    df = spark.createDataFrame([(x,) for x in texts], "t string")
+    c = F.col("t")
+    for r in df.select(X.report_tokens(c).alias("a"), F.split(F.trim(X.token_line(c)), " ").alias("b"), X.report_numbers(c).alias("c"), X.number_list(c).alias("d"), X.is_blank(c).alias("e"), (X.norm_ws(c) == "").alias("f")).collect():
+        assert set(r.a) == set(r.b) - {""} and set(r.c) == set(r.d) - {None} and r.e == r.f
+    for patterns in (S.NO_FAULT, S.FAULT, S.ROOT_CAUSE, S.SYMPTOM, (r"a\|b", "[|]", r"\(x|y")):
+        assert all(r.a == r.b for r in df.select(X.matches_any(c, patterns).alias("a"), X.norm_ws(c).rlike("(?i)(?:" + "|".join(patterns) + ")").alias("b")).collect())
+    assert X.any_pattern((r"\ba", r"\bno|is\b")) == r"\b(?:a|no)|is\b"
+
+
+def test_rules_of_candidates_stay_small_enough_to_be_compiled(spark):
+    import contextlib
+    import io
+    import re
+
+    names = ("core_oem_part_number", "core_serial_number", "core_tsn", "core_csn", "engine_serial_number", "reason_for_removal", "aircraft_tail_number")
+    reports = spark.createDataFrame([(1, "41", *"abcdefg")], "report_id long, po string, " + ", ".join(f"{r[1]} string" for r in R.RULES))
+    dump = spark.createDataFrame([(7, "41", *"abcdefg")], "ord long, rr_po_number string, " + ", ".join(f"{n} string" for n in names))
+    out = io.StringIO()
+    with contextlib.redirect_stdout(out):
+        R.best_candidates(reports, R.load_dump(dump)).explain("codegen")
+    # The JVM never compiles a method beyond 8,000 bytes.
+    sizes = [int(x) for x in re.findall(r"maxMethodCodeSize:(\d+)", out.getvalue())]
+    assert max(sizes, default=0) < 8000
