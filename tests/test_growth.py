@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from tallyspark.functions import text as X
 from tallyspark.operators import extraction as E
+from tallyspark.operators import ideas as I
 from tallyspark.operators import reconcile as R
 from tallyspark.operators import scoring as S
 
@@ -84,3 +85,19 @@ def test_rules_of_candidates_stay_small_enough_to_be_compiled(spark):
     # The JVM never compiles a method beyond 8,000 bytes.
     sizes = [int(x) for x in re.findall(r"maxMethodCodeSize:(\d+)", out.getvalue())]
     assert max(sizes, default=0) < 8000
+
+
+def test_tools_without_idea_spread_over_tasks(spark):
+    tools = spark.range(4000).selectExpr("cast(id as string) id", "'t' tool_name", "case when id % 4 = 0 then cast(id as string) when id % 4 = 1 then null else '' end idea_id")
+    ideas = spark.createDataFrame([("0", "a", "Completed"), ("4", "b", "WIP"), ("", "c", "Completed")], "id string, idea_name string, status string")
+    before = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        rows = I.tools_with_idea(tools, ideas).select("*", F.spark_partition_id().alias("p")).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert len(rows) == 4000 and max(sum(r.p == p for r in rows) for p in range(4)) < 1300
+    said = {r.id: (r.idea_id, r.idea_name) for r in rows}
+    assert [said[k] for k in "01234"] == [("0", "a"), (None, "-"), ("", "-"), ("", "-"), ("4", "(idea not found)")]
