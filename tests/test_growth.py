@@ -101,3 +101,16 @@ def test_tools_without_idea_spread_over_tasks(spark):
     assert len(rows) == 4000 and max(sum(r.p == p for r in rows) for p in range(4)) < 1300
     said = {r.id: (r.idea_id, r.idea_name) for r in rows}
     assert [said[k] for k in "01234"] == [("0", "a"), (None, "-"), ("", "-"), ("", "-"), ("4", "(idea not found)")]
+
+
+def test_batches_of_patches_come_from_many_tasks(spark, monkeypatch):
+    from pathlib import Path
+
+    from tallyspark.plans import flow_queries
+
+    made, path = {}, flow_queries.scratch_path
+    monkeypatch.setattr(flow_queries, "scratch_path", lambda s, name: made.setdefault(name, path(s, name)))
+    flow_queries.QUERIES["stream_latest_state"](spark, "/root/testdata/sf0.001")
+    files = list(Path(made["patches"]).glob("*.parquet"))
+    # Three micro-batches, each of as many files as there are tasks.
+    assert len(files) == 3 * int(spark.conf.get("spark.sql.shuffle.partitions")) and len(list(Path(made["cp"]).glob("commits/[0-9]*"))) == 3
