@@ -114,3 +114,9 @@ def test_batches_of_patches_come_from_many_tasks(spark, monkeypatch):
     files = list(Path(made["patches"]).glob("*.parquet"))
     # Three micro-batches, each of as many files as there are tasks.
     assert len(files) == 3 * int(spark.conf.get("spark.sql.shuffle.partitions")) and len(list(Path(made["cp"]).glob("commits/[0-9]*"))) == 3
+
+
+def test_similarity_of_pairs_without_lists(spark):
+    df = spark.createDataFrame([("abcdefgh", "abcdefgx"), ("", ""), ("", "abc"), ("zz", "aa")], "value string, token string")
+    got = df.select(S.similarity("value", "token").alias("a"), S.best_similar("value", F.array("token")).ratio.alias("b"))
+    assert all(r.a == r.b for r in got.collect()) and "array(" not in plan(df.select(S.similarity("value", "token")))
