@@ -120,3 +120,38 @@ def test_similarity_of_pairs_without_lists(spark):
     df = spark.createDataFrame([("abcdefgh", "abcdefgx"), ("", ""), ("", "abc"), ("zz", "aa")], "value string, token string")
     got = df.select(S.similarity("value", "token").alias("a"), S.best_similar("value", F.array("token")).ratio.alias("b"))
     assert all(r.a == r.b for r in got.collect()) and "array(" not in plan(df.select(S.similarity("value", "token")))
+
+
+def test_a_text_is_searched_without_patterns_over_it(spark):
+    names = [f for f, _, _ in S.REVERSE_FIELDS]
+    texts = ["a-b/c._D K9x İz. 1,2.5,6 -,5 1,,3 ._- -7 .5 2,000.0, valveéjammed", "sche duled O1L5 9-8,1. 😀-44", "", None, "x valve 3-٣ -12"]
+    sought = [("ABCD", "9X", "-7", "2000", "44", "zz", "valve jammed", "01L5"), ("oils", "k9x", "-8", "81", "-44", "9", "9 z", "o1l5"), ("13", "x", "13", "0", "3", "01ls", "x the valve", "iz"), ("12", "valve", "-12", "12", "7", "x", "3", "n")]
+    rows = [(i * 10 + j, t, v) for i, t in enumerate(texts) for j, v in enumerate(sought)]
+    matches = spark.createDataFrame([(i, v) for i, _, v in rows], "report_id int, row struct<" + ",".join(f"{n}:string" for n in names) + ">")
+    reports = spark.createDataFrame([(i, t) for i, t, _ in rows], "report_id int, text string")
+    results = S.reverse_results(reports, matches)
+    # Python gets the text; the only pattern that runs over it looks for a date.
+    assert "translate(" not in results._jdf.queryExecution().optimizedPlan().toString()
+    plain = reports.withColumns({"tokens": X.report_tokens(F.col("text")), "numbers": X.report_numbers(F.col("text")), "words": F.regexp_extract_all(F.lower(X.blank_to_empty(F.col("text"))), F.lit("[a-z0-9]+"), 0)}).join(matches, "report_id").join(results, "report_id")
+    for r in plain.collect():
+        for i, (field, _, mode) in enumerate(S.REVERSE_FIELDS):
+            value, got = r.row[field], r.results[i]
+            if mode == "number":
+                assert got.found == (float(value) in r.numbers), (r.text, value)
+            elif mode == "words":
+                lacking = [w for w in value.lower().split() if w != "the" and w not in r.words]
+                assert got.evidence == " ".join(lacking), (r.text, value)
+            else:
+                fold = lambda t: t.translate(str.maketrans("oilsbzgq", "01158260"))
+                want = "exact" if value.lower() in r.tokens else "folded" if fold(value.lower()) in map(fold, r.tokens) else "short"
+                assert got.code == want, (r.text, value)
+        assert r.results[-1].found == ("scheduled" in "".join(r.words))
+
+
+def test_reasons_become_words_once(spark):
+    reports = spark.createDataFrame([(1, "valve jammed", "x", "worn", "")], "report_id int, reason_for_removal string, actions_taken string, findings string, fault_outcome string")
+    matches = spark.createDataFrame([(1, ("Valve jammed",))], "report_id int, row struct<reason_for_removal:string>")
+    scores = S.score_report(reports, matches)
+    # Lists of words: three of the report's columns, what it declares, and the dump's reason.
+    assert scores._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 5
+    assert scores.first().rfr == 3
