@@ -155,3 +155,19 @@ def test_reasons_become_words_once(spark):
     # Lists of words: three of the report's columns, what it declares, and the dump's reason.
     assert scores._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 5
     assert scores.first().rfr == 3
+
+
+def test_batches_of_mail_come_from_many_files(spark, monkeypatch):
+    import os
+
+    from tallyspark.plans import flow_queries
+    from tallyspark.plans.adapters import Inputs
+
+    asked = []
+    plain = flow_queries.J.event_stream
+    monkeypatch.setattr(flow_queries.J, "event_stream", lambda session, folder, **o: asked.append((len([f for f in os.listdir(folder) if f.startswith("part-")]), o)) or plain(session, folder, **o))
+    inputs = Inputs(spark, "/root/testdata/sf0.001")
+    flow_queries._streamed(inputs, 4)
+    (names, options), files = asked[0], int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # A file a batch was one task's.
+    assert names == 4 * files and options == {"files_per_batch": files}
