@@ -171,3 +171,44 @@ def test_batches_of_mail_come_from_many_files(spark, monkeypatch):
     (names, options), files = asked[0], int(spark.conf.get("spark.sql.shuffle.partitions"))
     # A file a batch was one task's.
     assert names == 4 * files and options == {"files_per_batch": files}
+
+
+def test_winners_shuffle_each_side_once_and_rank_as_the_rules_do(spark):
+    import random
+
+    rng = random.Random(3)
+    some = lambda: rng.choice(["P1", "p-1", "PI", "", None, "5", "5.0", "-6", "the", "valve jammed", "jammed", "-", "K9", " "])
+    ours, theirs = list(dict.fromkeys(r[0] for r in R.RULES)), [r[1] for r in R.RULES]
+    reports = spark.createDataFrame([(i, rng.choice(["41", "42", "43", "44", "", "x"]), *[some() for _ in theirs]) for i in range(300)], "report_id long, po string, " + ", ".join(f"{c} string" for c in theirs))
+    dump = R.load_dump(spark.createDataFrame([(i, rng.choice(["41", "4-2", "43", "45"]), i / 2, *[some() for _ in ours]) for i in range(200)], "ord long, rr_po_number string, extra double, " + ", ".join(f"{c} string" for c in ours)))
+    for options in ({}, {"blank_blocks": True}, {"tolerance": 1.0}):
+        won = {tuple(r) for r in R.winners(reports, dump, **options).collect()}
+        assert won == {(r.report_id, r.ord, r.row) for r in R.match_reports(reports, dump, **options).filter("row is not null").collect()}
+    # Both sides by order, few winners by report; a second join would shuffle the dump again.
+    before = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        made = plan(R.winners(reports, dump))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert made.count("Exchange hashpartitioning") == 3 and made.count("SortMergeJoin") == 1
+
+
+def test_columns_are_cleaned_as_single_values_are(spark):
+    import random
+
+    import pyarrow as pa
+
+    from tallyspark.functions import columns as C
+
+    rng = random.Random(4)
+    texts = ["".join(rng.choice("aAoOl01-,.. 97KKİé ٣\U0001f600\tthe ") for _ in range(rng.randrange(0, 9))) for _ in range(2000)] + ["", "-", "--5", "5.", "5.5.5", "-5,000.25x", "9" * 400, "007", "1,,2", "-,5", "\x1c", "THE the of", "other the"]
+    c = F.col("v")
+    rows = spark.createDataFrame([(x,) for x in texts], "v string").select("v", X.mx_text(c).alias("t"), X.scan_fold(X.mx_text(c)).alias("f"), X.mx_number(c).alias("n"), X.mx_words(c).alias("w"), X.is_blank(c).alias("b")).collect()
+    column = pa.array(["cut", *[r.v for r in rows]]).slice(1)
+    low, folded = C.letters(column)
+    for r, t, f, n in zip(rows, low.to_pylist(), folded.to_pylist(), C.numbers(column).tolist()):
+        assert (t.decode(), f.decode(), n if n == n else None) == (r.t, r.f, r.n)
+        assert C.words(r.v) == r.w and (r.v.strip(C.BLANKS) == "") == r.b
