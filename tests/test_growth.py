@@ -212,3 +212,38 @@ def test_columns_are_cleaned_as_single_values_are(spark):
     for r, t, f, n in zip(rows, low.to_pylist(), folded.to_pylist(), C.numbers(column).tolist()):
         assert (t.decode(), f.decode(), n if n == n else None) == (r.t, r.f, r.n)
         assert C.words(r.v) == r.w and (r.v.strip(C.BLANKS) == "") == r.b
+
+
+def test_similar_words_of_lines_equal_similar_tokens():
+    import random
+
+    from tallyspark.functions.similarity import most_similar, most_similar_words
+
+    rng = random.Random(5)
+    text = lambda: "".join(rng.choice("ab1z") for _ in range(rng.randrange(4, 13)))
+    values, tokens = [text() for _ in range(300)], [[text() for _ in range(rng.randrange(0, 9))] for _ in range(300)]
+    lines = [b" " + " ".join(ts).encode() + b" " for ts in tokens]
+    ratio, token = most_similar(values, [[t for t in ts if abs(len(t) - len(v)) <= 3] for v, ts in zip(values, tokens)])
+    assert [(a, b) for a, b in zip(*most_similar_words(values, lines, 3))] == list(zip(ratio, token))
+    # With a least ratio only what reaches it must be told.
+    assert [(a, b) if a >= 0.8 else () for a, b in zip(*most_similar_words(values, lines, 3, 0.8))] == [(a, b) if a >= 0.8 else () for a, b in zip(ratio, token)]
+    assert most_similar_words([], [], 3)[1] == []
+
+
+def report_inputs(spark):
+    """Reports, texts and dump rows: report 0 has no dump row, 2 no text, 3 a null row."""
+    names = [f for f, _, _ in S.REVERSE_FIELDS]
+    fields = ["input_serial", "input_part", "esn", "tsn", "csn", "failure_date", "po", "removal_type"]
+    reports = spark.createDataFrame([(i, "valve jammed", "x", "worn", None, *["v" if (i + k) % 2 else "" for k in range(7)], None) for i in range(4)], "report_id int, reason_for_removal string, actions_taken string, findings string, fault_outcome string, " + ", ".join(f"{c} string" for c in fields))
+    row = ("SN-77/129", "BPU9001", "88", "1234", "x", "4600000001", "Valve  jammed", "N1")
+    matches = spark.createDataFrame([(1, row), (2, row), (3, None)], "report_id int, row struct<" + ",".join(f"{n}:string" for n in names) + ">")
+    texts = spark.createDataFrame([(0, "BPU9001"), (1, "BPU9OO1 SN-77/123, TSN 1,234.0 scheduled valve"), (3, "x")], "report_id int, text string")
+    return reports, texts, matches
+
+
+def test_scores_come_from_one_join_by_report(spark):
+    reports, texts, matches = report_inputs(spark)
+    reverse = S.reverse_summary(S.reverse_results(texts, matches))
+    scores = S.scored_reports(reports, texts, matches)
+    assert plan(scores).count("ArrowEvalPython") == 1 and plan(scores).count("Exchange ") <= 3
+    assert sorted(scores.collect()) == sorted(S.score_report(reports, matches, reverse).collect())
