@@ -247,3 +247,12 @@ def test_scores_come_from_one_join_by_report(spark):
     scores = S.scored_reports(reports, texts, matches)
     assert plan(scores).count("ArrowEvalPython") == 1 and plan(scores).count("Exchange ") <= 3
     assert sorted(scores.collect()) == sorted(S.score_report(reports, matches, reverse).collect())
+
+
+def test_wide_rows_come_with_the_scores(spark):
+    reports, texts, matches = report_inputs(spark)
+    reverse = S.reverse_summary(S.reverse_results(texts, matches))
+    wide = S.scored_reports(reports, texts, matches, ("po", "tsn"))
+    # One search and a shuffle of each input: neither scores nor verdicts are joined again.
+    assert plan(wide).count("ArrowEvalPython") == 1 and plan(wide).count("Exchange ") <= 3
+    assert sorted(wide.collect()) == sorted(S.scored_details_wide(reports, S.score_report(reports, matches, reverse), reverse, ("po", "tsn")).collect())
