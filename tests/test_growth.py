@@ -318,3 +318,13 @@ def test_fields_are_found_without_a_shuffle(spark):
     assert sorted(map(str, made.collect())) == sorted(map(str, E.extract_fields(texts, cells, templates).collect()))
     got = {r.doc_id: r["values"] for r in made.collect()}
     assert (got[1]["po"], got[1]["csn"], got[1]["tsn"], got[1]["findings"], got[1]["input_part"]) == ("4000000001", "7", "5", "worn", "1") and (got[2]["po"], got[2]["input_part"], got[2]["esn"]) == ("4000000002", "x", "7")
+
+
+def test_columns_are_counted_without_working_values_out_twice(spark):
+    templates = E.sample_templates()
+    texts = spark.createDataFrame([(1, "Vendor A STRIP REPORT\nCust PO   4000000001   Input Part   x", ""), (2, "Vendor B STRIP REPORT\nPart No In    ", "")], "doc_id int, text string, subject string")
+    counted = E.filled_columns(E.extract_documents(texts, templates), templates)
+    made = counted._jdf.queryExecution().optimizedPlan().toString()
+    # The map of values is made in one place; a filter before an explode made it once more.
+    assert made.count("map_filter(") == 1
+    assert [(r.column, r.n) for r in counted.orderBy("ord").collect()][:3] == [("po", 1), ("input_part", 1), ("input_serial", 0)]
