@@ -328,3 +328,12 @@ def test_columns_are_counted_without_working_values_out_twice(spark):
     # The map of values is made in one place; a filter before an explode made it once more.
     assert made.count("map_filter(") == 1
     assert [(r.column, r.n) for r in counted.orderBy("ord").collect()][:3] == [("po", 1), ("input_part", 1), ("input_serial", 0)]
+
+
+def test_saved_extractions_are_stored_without_their_texts(spark, monkeypatch):
+    from tallyspark.plans import flow_queries
+
+    kept, plain = [], flow_queries.stored
+    monkeypatch.setattr(flow_queries, "stored", lambda df, name: kept.append(df.columns) or plain(df, name))
+    flow_queries.QUERIES["extraction_save"](spark, "/root/testdata/sf0.001")
+    assert kept == [["doc_id", "vendor", "report", "values"]]
