@@ -337,3 +337,53 @@ def test_saved_extractions_are_stored_without_their_texts(spark, monkeypatch):
     monkeypatch.setattr(flow_queries, "stored", lambda df, name: kept.append(df.columns) or plain(df, name))
     flow_queries.QUERIES["extraction_save"](spark, "/root/testdata/sf0.001")
     assert kept == [["doc_id", "vendor", "report", "values"]]
+
+
+def matched_inputs(spark):
+    """Reports and dump rows of a few orders; one order has more rows than a batch holds."""
+    import random
+
+    rng = random.Random(8)
+    some = lambda: rng.choice(["P1", "p-1", "PI", "", None, "5", "5.0", "the", "valve jammed", "jammed", " "])
+    ours, theirs = list(dict.fromkeys(r[0] for r in R.RULES)), [r[1] for r in R.RULES]
+    reports = spark.createDataFrame([(i, rng.choice(["41", "42", "43", "44", "", None]), "V", *[some() for _ in theirs]) for i in range(120)], "report_id long, po string, vendor string, " + ", ".join(f"{c} string" for c in theirs))
+    rows = [(i, rng.choice(["41", "42", "43"]), *[some() for _ in ours]) for i in range(150)] + [(1000 + i, "45", *[some() for _ in ours]) for i in range(300)]
+    return reports.unionByName(reports.limit(1).withColumns({"report_id": F.lit(500).cast("long"), "po": F.lit("45")})), R.load_dump(spark.createDataFrame(rows, "ord long, rr_po_number string, " + ", ".join(f"{c} string" for c in ours)))
+
+
+def exchanges(spark, make) -> list[str]:
+    """Shuffles of a plan without broadcasts."""
+    before = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        return [x for x in plan(make()).split("\n") if "Exchange hashpartitioning" in x]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_the_dump_is_shuffled_once_for_matches(spark):
+    reports, dump = matched_inputs(spark)
+    # Reports and dump by order, winners and reports by report; fetching winners by a second join shuffled the dump again.
+    assert len(exchanges(spark, lambda: R.match_reports(reports, dump))) == 4
+    got = {r.report_id: r for r in R.match_reports(reports, dump).collect()}
+    for options in ({}, {"blank_blocks": True}, {"tolerance": 1.0}):
+        best = {r.report_id: r.ord for r in R.best_candidates(reports, dump, **options).collect()}
+        assert {r.report_id: r.ord for r in R.match_reports(reports, dump, **options).filter("ord is not null").collect()} == best and 500 in best
+    # Checks and counts of the winner are those of its candidate.
+    for r in R.checked(reports, dump).filter("row is not null").collect():
+        if got[r.report_id].ord == r.ord:
+            won = got[r.report_id]
+            assert (r.matched, r.differed, r.blank, r.row) == (won.matched, won.differed, won.blank, won.row)
+            assert [R.OUTCOMES[x] for x in r.outcomes] == [c.outcome for c in won.checks]
+
+
+def test_statuses_take_no_dump_column_beyond_the_join(spark):
+    reports, dump = matched_inputs(spark)
+    made = exchanges(spark, lambda: R.match_statuses(reports, dump))
+    # The order's own text is not shuffled with the dump, and winners are an id and a number.
+    assert len(made) == 4
+    assert R.ranked(reports, dump).columns == ["report_id", "ord", "misses"]
+    for options in ({}, {"blank_blocks": True}):
+        assert sorted(R.match_statuses(reports, dump, **options).collect()) == sorted(R.match_reports(reports, dump, **options).select("report_id", "status").collect())
